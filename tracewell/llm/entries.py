@@ -16,11 +16,12 @@ from tracewell.llm.bpe import op5_bpe  # noqa: E402
 from tracewell.llm.decontamination import op6_decontamination  # noqa: E402
 from tracewell.llm.quality_classifier import op3_quality_classifier  # noqa: E402
 from tracewell.llm.quality_rules import op8_quality_rules  # noqa: E402
+from tracewell.llm.secrets import op2_secret_scan  # noqa: E402
 from tracewell.llm.sharding import op10_rendezvous  # noqa: E402
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_classifier, op5_bpe, op6_decontamination, op8_quality_rules, op10_rendezvous)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_quality_classifier, op5_bpe, op6_decontamination, op8_quality_rules, op10_rendezvous)}
 
 
 def oracle_sql():
