@@ -14,6 +14,7 @@ if _REPO not in sys.path:
 
 from tracewell.llm.bpe import op5_bpe  # noqa: E402
 from tracewell.llm.decontamination import op6_decontamination  # noqa: E402
+from tracewell.llm.near_dedup import op1_near_dedup  # noqa: E402
 from tracewell.llm.quality_classifier import op3_quality_classifier  # noqa: E402
 from tracewell.llm.quality_rules import op8_quality_rules  # noqa: E402
 from tracewell.llm.secrets import op2_secret_scan  # noqa: E402
@@ -22,7 +23,7 @@ from tracewell.llm.warc import op7_warc  # noqa: E402
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_scan, op3_quality_classifier, op5_bpe, op6_decontamination, op7_warc, op8_quality_rules, op10_rendezvous)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op3_quality_classifier, op5_bpe, op6_decontamination, op7_warc, op8_quality_rules, op10_rendezvous)}
 
 
 def oracle_sql():
