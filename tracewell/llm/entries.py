@@ -19,11 +19,13 @@ from tracewell.llm.quality_classifier import op3_quality_classifier  # noqa: E40
 from tracewell.llm.quality_rules import op8_quality_rules  # noqa: E402
 from tracewell.llm.secrets import op2_secret_scan  # noqa: E402
 from tracewell.llm.sharding import op10_rendezvous  # noqa: E402
+from tracewell.llm.suffix_array import op9_suffix_array_dedup  # noqa: E402
+from tracewell.llm.super_kmers import op4_substring_dedup  # noqa: E402
 from tracewell.llm.warc import op7_warc  # noqa: E402
 
 
 def queries():
-    return {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op3_quality_classifier, op5_bpe, op6_decontamination, op7_warc, op8_quality_rules, op10_rendezvous)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op3_quality_classifier, op4_substring_dedup, op5_bpe, op6_decontamination, op7_warc, op8_quality_rules, op9_suffix_array_dedup, op10_rendezvous)}
 
 
 def oracle_sql():

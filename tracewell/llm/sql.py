@@ -38,4 +38,39 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS p
 FROM p LEFT JOIN f USING (body)
 """
 
-ORACLES = {"op7_warc": OP7, "op6_decontamination": OP6}
+_SPANS = """
+m AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s),
+h AS (SELECT doc_id, i, i > 50 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w JOIN m USING (s) WHERE doc_id > f),
+g AS (SELECT doc_id, i, count(*) FILTER (gap) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM h),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, k),
+cuts AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans)
+"""
+
+OP4 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),
+w AS (SELECT doc_id, i, array_to_string(x[i + 1 : i + 50], ' ') AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) - 49)) AS i FROM d WHERE len(x) >= 50)),
+{_SPANS},
+k AS (
+  SELECT doc_id, sum(z - a) AS n_removed, flatten(list(x[p + 1 : a] ORDER BY a)) || any_value(x)[max(z) + 1 :] AS kept
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(x) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(coalesce(kept, x), ' ')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, x[2 * i + 1 : 2 * i + 100] AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+{_SPANS},
+k AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
+         string_agg(x[2 * p + 1 : 2 * a], '' ORDER BY a) || any_value(x)[2 * max(z) + 1 :] AS kept
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {"op4_substring_dedup": OP4, "op9_suffix_array_dedup": OP9, "op7_warc": OP7, "op6_decontamination": OP6}
