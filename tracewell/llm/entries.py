@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 import os
 import sys
 
@@ -12,6 +11,7 @@ _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 if _REPO not in sys.path:
     sys.path.append(_REPO)
 
+import corpus_pipeline  # noqa: E402
 from tracewell.llm.bpe import op5_bpe  # noqa: E402
 from tracewell.llm.decontamination import op6_decontamination  # noqa: E402
 from tracewell.llm.near_dedup import op1_near_dedup  # noqa: E402
@@ -24,9 +24,23 @@ from tracewell.llm.super_kmers import op4_substring_dedup  # noqa: E402
 from tracewell.llm.warc import op7_warc  # noqa: E402
 
 
+_OPERATORS = (
+    op1_near_dedup,
+    op2_secret_scan,
+    op3_quality_classifier,
+    op4_substring_dedup,
+    op5_bpe,
+    op6_decontamination,
+    op7_warc,
+    op8_quality_rules,
+    op9_suffix_array_dedup,
+    op10_rendezvous,
+)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_near_dedup, op2_secret_scan, op3_quality_classifier, op4_substring_dedup, op5_bpe, op6_decontamination, op7_warc, op8_quality_rules, op9_suffix_array_dedup, op10_rendezvous)}
+    return {**{f.__name__: f for f in _OPERATORS}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {k: v for k, v in sql.ORACLES.items() if k in queries()}
+    return dict(sql.ORACLES)
