@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracewell.plans import sequences, traffic
+from tracewell.plans import identity, joins, sequences, traffic
 
-MODULES = (traffic, sequences)
+MODULES = (traffic, sequences, joins, identity)
 QUERIES = {k: v for m in MODULES for k, v in m.Q.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.S.items()}
