@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracewell.plans import alerts, identity, joins, sequences, traffic
+from tracewell.plans import alerts, identity, joins, sequences, streams, traffic
 
-MODULES = (traffic, sequences, joins, identity, alerts)
+MODULES = (traffic, sequences, joins, identity, alerts, streams)
 QUERIES = {k: v for m in MODULES for k, v in m.Q.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.S.items()}
