@@ -36,10 +36,11 @@ from pyspark.sql import types as T
 from tracewell.llm import kernels as K
 from tracewell.llm.frames import col, cut
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 BLOCK_DOCS = 60_000
 PART = 2_000  # strings of a minimiser per part of its bucket
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
+SEEN_BYTES = 24 << 20  # strings that a task remembers before it sends them
 _LOW = (1 << 48) - 1
 
 
@@ -189,7 +190,7 @@ def _blobs(docs: DataFrame, units: Units, ranges: int) -> DataFrame:
         fresh()
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
-            for i, size in K.slices(b.column(1), 2 << 20):
+            for i, size in K.slices(b.column(1), 1 << 20):
                 c = K.chunk(b.column(1).slice(i, size))
                 h, of, start, n = minimiser_runs(c, units)
                 base = len(state["doc"])
@@ -301,24 +302,31 @@ _STRINGS = "kind int, h long, part int, hot boolean, doc long, did long, start i
 
 
 def _strings(candidates: DataFrame, units: Units) -> DataFrame:
-    """Packed strings of runs; of equal ones in a batch those of larger keys are hits at once (kind 1)."""
+    """Packed strings of runs; one that the task has sent for a smaller key is a hit at once (kind 1)."""
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in _STRINGS.split(", ")]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
+        least: dict[tuple[int, bytes], int] = {}
+        held = 0
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 runs = []
+                if held > SEEN_BYTES:
+                    least.clear()
+                    held = 0
                 for doc, did, z, items in zip(*(x.to_pylist() for x in part.columns), strict=True):
                     text = units.split(unpack.decompress(z))
                     for x in items:
                         a, n = x["start"], x["n"]
                         runs.append((x["h"], units.join(text[a : a + n + units.k - 1]), doc, did, a, n, x["parts"]))
-                least: dict[tuple[int, bytes], int] = {}
                 for h, s, doc, *_ in runs:
-                    if least.get((h, s), doc) >= doc:
+                    known = least.get((h, s))
+                    if known is None:
+                        held += len(s) + 200
+                    if known is None or known > doc:
                         least[h, s] = doc
                 rows = []
                 for h, s, doc, did, a, n, parts in runs:

@@ -5,14 +5,17 @@ suffix array comes from induced sorting: suffixes are classified as smaller or
 larger than their successor, the leftmost-smaller substrings are sorted (by
 recursion where they repeat), and all other suffixes are induced from them in
 two linear scans.  Common prefixes are computed in text order (permuted), and
-runs of suffixes that share k bytes or more are the repeats.
+runs of suffixes that share k bytes or more are the repeats.  Strings none of
+whose window hashes recurs in the shard are left out of its suffix array.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracewell.llm import kernels as K
 from tracewell.llm.frames import read
 from tracewell.llm.shared_windows import Units, deduplicate, runs_of
 
@@ -99,6 +102,25 @@ def repeated_substrings(k: int):
     """Finder: runs of suffixes with k bytes in common, from the shard's suffix array."""
 
     def find(strings: list[bytes], docs: list[int], hot: list[bool]):
+        rows = candidates(strings, docs, hot)
+        hits, firsts = exact([strings[i] for i in rows], [docs[i] for i in rows], [hot[i] for i in rows]) if rows else ([], [])
+        return [(rows[i], a, n) for i, a, n in hits], [(rows[i], a) for i, a in firsts]
+
+    def candidates(strings: list[bytes], docs: list[int], hot: list[bool]) -> list[int]:
+        """Strings with a window whose hash another document's string has too: no other can hold a repeat."""
+        c = K.chunk(pa.array(strings, pa.binary()))
+        at, h = K.windows(K._BYTE[c.data], c.offsets, k)
+        of = np.searchsorted(c.offsets, at, side="right") - 1
+        order = np.argsort(h)
+        h, doc = h[order], np.array(docs, dtype=np.int64)[of[order]]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        shared = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
+        mine = np.repeat(shared, np.diff(np.append(first, len(h))))
+        keep = np.array(hot, dtype=bool)
+        keep[of[order[mine]]] = True
+        return np.flatnonzero(keep).tolist()
+
+    def exact(strings: list[bytes], docs: list[int], hot: list[bool]):
         q = len(strings)
         sizes = np.array([len(x) for x in strings])
         starts = np.cumsum(sizes + 1) - sizes - 1
@@ -131,7 +153,7 @@ def repeated_substrings(k: int):
     return find
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 50, m: int = 14) -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 50, m: int = 20) -> DataFrame:
     """Remove bytes covered by a k-byte string that starts in a document of a smaller key too.
 
     (key, n_units, n_removed, n_spans, kept_sha256, kept).  Texts are UTF-8;
