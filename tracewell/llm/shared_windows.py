@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import kernels as K
-from tracewell.llm.frames import col, cut
+from tracewell.llm.frames import col, cut, release
 
 BLOCK_BYTES = 12 << 20
 BLOCK_DOCS = 60_000
@@ -445,10 +445,15 @@ def repeats(docs: DataFrame, meta: DataFrame, units: Units, finder: Finder, key:
     items = found.where(F.col("kind") == _ITEM).select("block", "idx", "h", "start", "n")
     owners = found.where(F.col("kind") == _DOC).select("block", "idx", "doc", "did")
     owners = owners.join(meta.where("doc = rep").select("doc", "did").distinct(), ["doc", "did"])
-    hot = found.where(F.col("kind") == _HOT).select("h", F.col("n").alias("parts"))
-    items = items.join(owners, ["block", "idx"]).join(hot, "h", "left")
-    grouped = items.groupBy("doc", "did").agg(F.collect_set(F.struct("h", "start", "n", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("items"))
+    # a table of its own, so that its size is known before the join is planned
+    hot = cut(found.where(F.col("kind") == _HOT).select("h", F.col("n").alias("parts")), "hot")
+    items = items.join(hot, "h", "left")
+    runs = F.collect_set(F.struct("h", "start", "n", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("items")
+    # a document's entries meet once, by the number it has in its block; only then its key comes in
+    grouped = items.groupBy("block", "idx").agg(runs).join(owners, ["block", "idx"]).select("doc", "did", "items")
+    release(docs.sparkSession)
     texts = cut(_packed(rows).join(grouped, ["doc", "did"]).dropDuplicates(["doc", "did"]), "texts")
+    release(docs.sparkSession)
     hits = cut(_buckets(_strings(texts.select("doc", "did", "z", "items"), units), units, finder), "hits")
     parted = hits.where("kind = 2")
     least = parted.groupBy("digest").agg(F.min("doc").alias("least")).withColumnRenamed("digest", "_digest")

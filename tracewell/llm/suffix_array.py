@@ -153,7 +153,7 @@ def repeated_substrings(k: int):
     return find
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 50, m: int = 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 50, m: int = 18) -> DataFrame:
     """Remove bytes covered by a k-byte string that starts in a document of a smaller key too.
 
     (key, n_units, n_removed, n_spans, kept_sha256, kept).  Texts are UTF-8;
