@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import kernels as K
-from tracewell.llm.frames import col, cut, release
+from tracewell.llm.frames import col, cut, drop_cut, release
 
 BLOCK_BYTES = 12 << 20
 BLOCK_DOCS = 60_000
@@ -453,8 +453,11 @@ def repeats(docs: DataFrame, meta: DataFrame, units: Units, finder: Finder, key:
     grouped = items.groupBy("block", "idx").agg(runs).join(owners, ["block", "idx"]).select("doc", "did", "items")
     release(docs.sparkSession)
     texts = cut(_packed(rows).join(grouped, ["doc", "did"]).dropDuplicates(["doc", "did"]), "texts")
+    for done in (found, hot):
+        drop_cut(done)
     release(docs.sparkSession)
     hits = cut(_buckets(_strings(texts.select("doc", "did", "z", "items"), units), units, finder), "hits")
+    release(docs.sparkSession)
     parted = hits.where("kind = 2")
     least = parted.groupBy("digest").agg(F.min("doc").alias("least")).withColumnRenamed("digest", "_digest")
     across = parted.join(least, F.col("digest") == F.col("_digest")).where("doc > least").select("doc", "did", "start", "n")
@@ -475,7 +478,7 @@ def deduplicate(docs: DataFrame, units: Units, finder: Finder, key: str, text: s
     classes = meta.groupBy("digest").agg(F.min("doc").alias("rep")).withColumnRenamed("digest", "_digest")
     meta = cut(meta.join(classes, F.col("digest") == F.col("_digest"), "left").select("doc", "did", "n_units", "sha256", "rep"), "meta")
     left = cut_texts(*repeats(docs, meta, units, finder, key, text), units)
-    left = left.select(F.col("doc").alias("_doc"), F.col("did").alias("_did"), "n_removed", "n_spans", "kept")
+    left = left.select(F.col("doc").alias("_doc"), F.col("did").alias("_did"), "n_removed", "n_spans", F.col("sha256").alias("_sha256"), "kept")
     out = meta.join(left, (F.col("doc") == F.col("_doc")) & (F.col("did") == F.col("_did")), "left")
     gone = F.coalesce(F.col("doc") > F.col("rep"), F.lit(False)) & (F.col("n_units") >= units.k)
     kept = F.when(gone, F.lit(b"")).otherwise(F.col("kept"))
@@ -485,12 +488,12 @@ def deduplicate(docs: DataFrame, units: Units, finder: Finder, key: str, text: s
         "n_units",
         F.when(gone, F.col("n_units")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
-        F.coalesce(F.sha2(kept, 256), F.col("sha256")).alias("kept_sha256"),
+        F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("_sha256", "sha256")).alias("kept_sha256"),
         kept.alias("kept"),
     )
 
 
-_CUT = "doc long, did long, n_units long, n_removed long, n_spans long, kept binary"
+_CUT = "doc long, did long, n_removed long, n_spans long, sha256 string, kept binary"
 
 
 def cut_texts(texts: DataFrame, cuts: DataFrame, units: Units) -> DataFrame:
@@ -511,8 +514,8 @@ def cut_texts(texts: DataFrame, cuts: DataFrame, units: Units) -> DataFrame:
                         at = y
                     kept.append(body[at:])
                     left = b" ".join(w for part in kept for w in part) if units.words else b"".join(kept)
-                    out.append((doc, did, len(body), int(mask.sum()), len(first), left))
-                kinds = [pa.int64()] * 5 + [pa.binary()]
+                    out.append((doc, did, int(mask.sum()), len(first), K.sha256_hex(left), left))
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _CUT.split(", ")])
 
     return texts.join(cuts, ["doc", "did"]).mapInArrow(run, _CUT)
