@@ -190,7 +190,7 @@ def _blobs(docs: DataFrame, units: Units, ranges: int) -> DataFrame:
         fresh()
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
-            for i, size in K.slices(b.column(1), 1 << 20):
+            for i, size in K.slices(b.column(1)):
                 c = K.chunk(b.column(1).slice(i, size))
                 h, of, start, n = minimiser_runs(c, units)
                 base = len(state["doc"])
