@@ -257,6 +257,29 @@ def test_repeats_equal_brute_force(spark, operator, units, monkeypatch):
         assert got == brute_windows(texts, units)
 
 
+@pytest.mark.parametrize(("finder", "units"), [(super_kmers.sorted_windows(50), Units(words=True)), (suffix_array.repeated_substrings(50), Units(words=False))])
+def test_parts_of_one_bucket_share_strings(spark, finder, units):
+    from tracewell.llm import shared_windows
+
+    same = " ".join(f"w{i}" for i in range(60)).encode()
+    n = len(units.split(same)) - units.k + 1
+    # docs 5 and 9 end in the same passage, doc 7 holds it with text after it
+    held = [(0, 1, 0, True, 9, 90, 0, n, same), (0, 1, 0, True, 7, 70, 0, n + 6, same + b" a b c"), (0, 1, 1, True, 5, 50, 0, n, same)]
+    strings = spark.createDataFrame(held, shared_windows._STRINGS).coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        hits = shared_windows._buckets(strings, units, finder).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    gone = {(r.doc, r.start + j) for r in hits if r.kind == 1 for j in range(r.n)}
+    first = defaultdict(list)
+    for r in hits:
+        if r.kind == 2:
+            first[bytes(r.digest)].append((r.doc, r.start))
+    gone |= {x for xs in first.values() for x in xs if x[0] > min(xs)[0]}
+    assert gone == {(d, j) for d in (7, 9) for j in range(n)}
+
+
 @pytest.mark.parametrize("operator", [super_kmers.substring_dedup, suffix_array.exact_dedup])
 def test_repeat_edges(spark, edges, nothing, operator):
     rows = operator(edges).collect()

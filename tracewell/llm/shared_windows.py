@@ -367,9 +367,13 @@ def _buckets(strings: DataFrame, units: Units, finder: Finder) -> DataFrame:
                 elif len(least) > 1 or r[3]:
                     left.append(r)
             i = j
-        same: dict[bytes, list[tuple]] = defaultdict(list)  # equal strings here are of one key
+        same: dict[bytes, list[tuple]] = defaultdict(list)
         for r in left:
             same[r[8]].append(r)
+        for s, owners in same.items():  # parts of one bucket can hold a string under different keys
+            low = min(r[4] for r in owners)
+            out += [(1, r[4], r[5], r[6], r[7], None) for r in owners if r[4] > low]
+            same[s] = [r for r in owners if r[4] == low]
         texts, owners = list(same), list(same.values())
         hits, firsts = finder(texts, [o[0][4] for o in owners], [o[0][3] for o in owners]) if texts else ([], [])
         for i, a, n in hits:
