@@ -100,6 +100,31 @@ def test_near_duplicates_equal_brute_force(spark, docs):
         assert got == brute_components(texts, 4)
 
 
+def twins(rng: random.Random, pairs: int = 60) -> dict:
+    """Copies of one text edited at places of their own, two at each: linked in pairs, seldom with others."""
+    base, out = [f"w{rng.randrange(5000)}" for _ in range(150)], {}
+    for i in range(pairs):
+        places = rng.sample(range(4, 146), 3)
+        for j in (2 * i, 2 * i + 1):
+            w = list(base)
+            for at in places:
+                w[at] = f"e{rng.randrange(10**6)}"
+            out[j] = " ".join(w)
+    return out
+
+
+def test_near_duplicates_far_from_hubs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL", 20, raising=False)
+    # all documents share every bucket, where most pairs have no hub
+    monkeypatch.setattr(near_dedup, "band_keys", lambda regs: np.tile(np.arange(near_dedup.BANDS, dtype=np.uint64), (len(regs), 1)))
+    texts = twins(random.Random(8))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, shingle=4).collect()}
+    want = {i: c for i, (_, c) in brute_components(texts, 4).items()}
+    assert len(set(want.values())) > 1
+    assert got == want
+
+
 def test_near_duplicates_edges(spark, edges, nothing):
     rows = near_dedup.near_duplicates(edges).collect()
     assert len(rows) == len(EDGES)

@@ -10,9 +10,10 @@ verified on the full sets.
 Equal sets are one class from the start.  Inside a band bucket no pair list is
 built: members are compared with hubs.  A hub is a document whose buckets are
 large: of a group of edited copies the least edited one, to which whatever is
-linked with any of them is nearest.  Only buckets that then hold several
-components take part in further turns, with other hubs; buckets of few members
-are then compared in full.
+linked with any of them is nearest.  Of buckets that then hold several
+components, half take part in each of two turns with other hubs, where buckets
+of few members are compared in full.  What is apart after that in a large bucket
+is compared with all others of the bucket, so hubs only set the order of the work.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BANDS = REGISTERS // BAND_ROWS
 SMALL_BUCKET = 8
 HUBS = 16
 TURNS = 2
+CELL = 2048  # members of a bucket that meet as many others of it in a task
+PICKS = 2
 _EMPTY = np.uint16(0xFFFF)
 
 
@@ -113,9 +116,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     used = (a != _EMPTY) | (b != _EMPTY)
     n = used.sum(axis=1)
-    same = ((a == b) & used).sum(axis=1)
+    return _corrected(((a == b) & used).sum(axis=1), n), n
+
+
+def _corrected(same: np.ndarray, n: np.ndarray) -> np.ndarray:
     chance = n * (2.0**-MANTISSA / 3)
-    return np.clip((same - chance) / np.maximum(n - chance, 1), 0, 1), n
+    return np.clip((same - chance) / np.maximum(n - chance, 1), 0, 1)
+
+
+def _room(j: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    return j >= similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / np.maximum(n, 1)) - 1e-9
 
 
 def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -166,7 +176,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
             j, n = estimate(a, b)
-            keep = j >= similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / np.maximum(n, 1)) - 1e-9
+            keep = _room(j, n, similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
     return both.mapInArrow(run, schema)
@@ -241,6 +251,75 @@ def _pairs(open_rows: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct()
 
 
+def _marked(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows (bucket, doc, n, score) of buckets that hold several components, with each document's component."""
+    marked = rows.join(comps, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"), "n", "score")
+    several = marked.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("bucket").alias("_bucket"))
+    return marked.join(several, F.col("bucket") == F.col("_bucket"), "left_semi")
+
+
+def _apart(open_rows: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """All plausible pairs (a, b, j) of two components that share a large bucket, j the estimate.
+
+    Members outside the bucket's largest component meet all members, in cells of about CELL x CELL
+    that each lie in one task; only plausible pairs leave it, once each: in the first bucket they share.
+    If that one is small, its turn has compared the pair already.
+    """
+    large = open_rows.where(F.col("n") > SMALL_BUCKET)
+    sizes = large.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
+    blocks = lambda n: F.ceil(n / CELL).cast("int")
+    sizes = sizes.select(F.col("bucket").alias("_bucket"), F.col("m.comp").alias("main"), blocks(F.col("all") - F.col("m.c")).alias("across"), blocks(F.col("all")).alias("down"))
+    members = large.join(sizes, F.col("bucket") == F.col("_bucket")).join(reps.select(F.col("rep").alias("_rep"), "regs"), F.col("doc") == F.col("_rep"))
+    members = cut(members.select("bucket", "doc", "comp", (F.col("comp") != F.col("main")).alias("out"), "across", "down", "regs"), "members")
+    block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = members.where("out").select("bucket", block("across").alias("i"), every("down").alias("j"), F.lit(0).alias("role"), "doc", "comp", "out", "regs")
+    y = members.select("bucket", every("across").alias("i"), block("down").alias("j"), F.lit(1).alias("role"), "doc", "comp", "out", "regs")
+    rows = x.union(y).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    kind = rows.schema["doc"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("j", T.DoubleType())])
+
+    def compare(bucket: int, xs: list, ys: list) -> list[tuple]:
+        code: dict = {}
+        cx, cy = (np.array([code.setdefault(r[1], len(code)) for r in rs]) for rs in (xs, ys))
+        rx, ry = (np.frombuffer(b"".join(r[3] for r in rs), dtype=np.uint16).reshape(-1, REGISTERS) for rs in (xs, ys))
+        fx, fy = (np.packbits(r != _EMPTY, axis=1).view(np.uint64) for r in (rx, ry))
+        kx, ky = (band_keys(r).view(np.int64) for r in (rx, ry))
+        out = []
+        for i, (doc, *_) in enumerate(xs):
+            other = np.flatnonzero(cy != cx[i])
+            used = fx[i] | fy[other]
+            n = np.bitwise_count(used).sum(axis=1).astype(np.int64)
+            same = np.bitwise_count(np.packbits(ry[other] == rx[i], axis=1).view(np.uint64) & used).sum(axis=1).astype(np.int64)
+            j = _corrected(same, n)
+            keep = _room(j, n, similarity)
+            other, j = other[keep], j[keep]
+            shared = ky[other] == kx[i]
+            here = shared.any(axis=1) & (kx[i][shared.argmax(axis=1)] == bucket)
+            for r, e in zip(other[here].tolist(), j[here].tolist(), strict=True):
+                if not ys[r][2] or doc < ys[r][0]:
+                    out.append((max(doc, ys[r][0]), min(doc, ys[r][0]), e))
+        return out
+
+    def run(batches):
+        cell, sides, types = None, ([], []), None
+
+        def done():
+            if all(sides) and (out := compare(cell[0], *sides)):
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], ["a", "b", "j"])
+
+        for batch in batches:
+            types = (batch.column(4).type, batch.column(4).type, pa.float64())
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != cell:
+                    yield from done()
+                    cell, sides = r[:3], ([], [])
+                sides[r[3]].append(r[4:])
+        yield from done()
+
+    return rows.mapInArrow(run, schema).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: (key, n_shingles, component_id, kept).
 
@@ -278,13 +357,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     comps = cut(components(links), "components")
     for turn in range(TURNS):  # each over its share of the buckets
         mine = shared.where(F.pmod(F.col("bucket"), F.lit(TURNS)) == turn)
-        marked = mine.join(comps, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"), "n", "score")
-        several = marked.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("bucket").alias("_bucket"))
-        open_rows = marked.join(several, F.col("bucket") == F.col("_bucket"), "left_semi")
+        open_rows = _marked(mine, comps)
         pairs = plausible(_pairs(open_rows, turn), reps, percent / 100)
         fresh = cut(verified(pairs, texts, shingle, percent), "links")
         if not fresh.isEmpty():
             comps = cut(components(fresh.union(comps.select("node", "component"))), "components")
+    # the rest: likeliest pairs of two components first, as links found make others needless, then all
+    left = cut(_apart(_marked(shared, comps), reps, percent / 100), "apart")
+    for pick in range(PICKS + 1):
+        one, two = (comps.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+        both = left.join(one, F.col("a") == F.col("_a"), "left").join(two, F.col("b") == F.col("_b"), "left")
+        both = both.select("a", "b", "j", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+        left = cut(both, "apart")
+        if left.isEmpty():
+            break
+        pairs = left.select("a", "b")
+        if pick < PICKS:
+            best = left.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("j", "a", "b")).alias("best"))
+            pairs = cut(best.select("best.a", "best.b"), "picked")
+        fresh = cut(verified(pairs, texts, shingle, percent), "links")
+        left = left.select("a", "b", "j").join(pairs, ["a", "b"], "left_anti")
+        if not fresh.isEmpty():
+            comps = cut(components(fresh.union(comps.select("node", "component"))), "components")
     member = sig.join(classes, "digest", "left")
     node = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "key")).otherwise(F.col("key"))
     out = member.select("key", "n_shingles", node.alias("own")).join(comps, F.col("own") == F.col("node"), "left")
