@@ -8,27 +8,79 @@ Decoding joins the vocabulary's strings.
 
 from __future__ import annotations
 
-import heapq
 import json
+import re
 import unicodedata
 from functools import cache
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.frames import map_text, read
+from tracewell.llm.frames import col, map_text, read
 
 _SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: How the vocabulary cuts text (fixed by its file).  `regex` may know letters
-#: of a later Unicode version than the tokenizers library does; these alone differ.
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+SPACES = re.compile(rf"[{_SPACE}]+")
+#: What Python's split() takes for spaces, beyond those of the vocabulary.
+_INFORMATION = re.compile(r"[\x1c-\x1f]")
+
+#: Words up to this long are remembered, and twice as many of them at most, per worker.
+CACHE_WORD, CACHE_SIZE = 48, 100_000
+
+
+#: Letters and numbers that Unicode 16 added, which the tokenizers library knows and an older Python doesn't.
+ADDED_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+ADDED_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: Capitals of Unicode 16 and 17 (first, last, distance to the small letter).
+ADDED_CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+]
+_SMALL = {c: c + by for a, z, by in ADDED_CAPITALS for c in range(a, z + 1)}
+
+
+def _class(kind: str, added: list[tuple[int, int]]) -> str:
+    """The characters of a general category, as ranges of a character class."""
+    of = np.array([unicodedata.category(chr(c))[0] == kind for c in range(0x110000)])
+    for a, z in added:
+        of[a : z + 1] = True
+    edges = np.flatnonzero(np.diff(of, prepend=False, append=False))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
 
-#: Pieces up to this long are remembered, and as many of them, per task.
-CACHE_PIECE, CACHE_SIZE = 48, 200_000
+
+@cache
+def pieces(ascii_only: bool) -> re.Pattern:
+    """How the vocabulary cuts a word (fixed by its file): contractions, letters, single digits, others."""
+    letter, number = ("a-zA-Z", "0-9") if ascii_only else (_class("L", ADDED_LETTERS), _class("N", ADDED_NUMBERS))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+")
+
+
+class Remembered:
+    """What was last computed for short strings: two generations, of which the older is dropped when the younger is full."""
+
+    def __init__(self):
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def get(self, key: str) -> list[int] | None:
+        if (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, ids: list[int]) -> None:
+        if len(key) <= CACHE_WORD:
+            if len(self.young) >= CACHE_SIZE:
+                self.old = dict(self.young)
+                self.young.clear()  # in place: encode() holds it
+            self.young[key] = ids
 
 
 def byte_alphabet() -> list[str]:
@@ -57,66 +109,85 @@ class Vocabulary:
         self.strings = [""] * size
         for s, i in [*ids.items(), *self.special.items()]:
             self.strings[i] = s
-        self.merges = {}
+        self.ranks, self.left, self.right, self.made = {}, [], [], []
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.ranks[ids[a], ids[b]] = rank
+            self.left.append(ids[a])
+            self.right.append(ids[b])
+            self.made.append(ids[a + b])
         alphabet = byte_alphabet()
         self.inner = [ids[c] for c in alphabet]
         self.last = [ids[c + self.end] for c in alphabet]
-        found = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
-        self.cut = regex.compile(f"({found})") if found else None
-        self.known: dict[str, list[int]] = {}
+        found = "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))
+        self.cut = re.compile(f"({found})") if found else None
+        self.words, self.parts = Remembered(), Remembered()
 
     def merge(self, piece: str) -> list[int]:
-        """Token ids of one piece."""
+        """Token ids of one piece.  A queue entry is the rank of a pair and the place of its left symbol."""
         data = piece.encode("utf-8", "surrogatepass")
         ids = [self.inner[b] for b in data]
         ids[-1] = self.last[data[-1]]
         n = len(ids)
+        if n == 1:
+            return ids
+        ranks, left, right = self.ranks, self.left, self.right
+        heap = [r << 32 | i for i, pair in enumerate(pairwise(ids)) if (r := ranks.get(pair)) is not None]
+        heapify(heap)
         before = list(range(-1, n - 1))
         after = [*range(1, n), -1]
-        merges, heap = self.merges, []
-        for i in range(n - 1):
-            if (m := merges.get((ids[i], ids[i + 1]))) is not None:
-                heap.append((m[0], i, m[1], ids[i], ids[i + 1]))
-        heapq.heapify(heap)
         while heap:
-            _, i, made, a, b = heapq.heappop(heap)
+            entry = heappop(heap)
+            i, r = entry & 0xFFFFFFFF, entry >> 32
             j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            if ids[i] != left[r] or j < 0 or ids[j] != right[r]:
                 continue  # stale: one of the two has merged since
-            ids[i], ids[j] = made, -1
+            made = ids[i] = self.made[r]
+            ids[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if (m := merges.get((made, ids[k]))) is not None:
-                    heapq.heappush(heap, (m[0], i, m[1], made, ids[k]))
+                if (r := ranks.get((made, ids[k]))) is not None:
+                    heappush(heap, r << 32 | i)
             h = before[i]
-            if h >= 0 and (m := merges.get((ids[h], made))) is not None:
-                heapq.heappush(heap, (m[0], h, m[1], ids[h], made))
+            if h >= 0 and (r := ranks.get((ids[h], made))) is not None:
+                heappush(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> list[int]:
-        if (ids := self.known.get(piece)) is None:
-            ids = self.merge(piece)
-            if len(piece) <= CACHE_PIECE:
-                if len(self.known) >= CACHE_SIZE:
-                    self.known.clear()
-                self.known[piece] = ids
+    def word(self, word: str) -> list[int]:
+        """Token ids of a run of text without spaces or special tokens."""
+        if (ids := self.words.get(word)) is not None:
+            return ids
+        text = word
+        if not word.isascii():
+            text = unicodedata.normalize("NFC", word)
+        # lower case of each character alone: no rule for a last sigma
+        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        if not text.isascii():
+            text = text.translate(_SMALL)
+        ids, parts = [], self.parts
+        for piece in pieces(text.isascii()).findall(text):
+            got = parts.young.get(piece) or parts.get(piece)
+            if got is None:
+                got = self.merge(piece)
+                parts.put(piece, got)
+            ids += got
+        self.words.put(word, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
+        """Token ids of a whole text.
+
+        Pieces, lower case and canonical composition never reach across a
+        space, so words are encoded, and remembered, one by one.
+        """
         out: list[int] = []
-        known, piece = self.known, self.piece
+        known, word = self.words.young, self.word
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            part = unicodedata.normalize("NFC", part)
-            # lower case of each character alone: no rule for a last sigma
-            part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-            for w in PIECES.findall(part):
-                out += known.get(w) or piece(w)
+            for w in part.split() if not _INFORMATION.search(part) else SPACES.split(part):
+                out += known.get(w) or word(w)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -128,33 +199,38 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def _lists(rows: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))))
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """Add `ids` (array of int): the whole text's tokens, without added ones.
 
     Null and empty texts have no tokens.  A column called `ids` is replaced.
+    With `decoded` the text that the ids decode to is added under that name in
+    the same pass, so that they needn't travel to Python again.
     """
 
     def setup():
         words = vocabulary(path)
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            flat, ends = [], [0]
-            for t in texts.to_pylist():
-                if t:
-                    flat += words.encode(t)
-                ends.append(len(flat))
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, dtype=np.int32)))]
+            rows = [words.encode(t) if t else [] for t in texts.to_pylist()]
+            out = [_lists(rows)]
+            return out if decoded is None else [*out, pa.array(map(words.decode, rows), pa.string())]
 
         return work
 
-    return map_text(df, text, setup, [T.StructField(ids, T.ArrayType(T.IntegerType()))], keep, limit=1 << 20)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    return map_text(df, text, setup, fields, keep)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add `decoded`: the vocabulary strings of `ids`, joined as the file says
     (it names no decoder: by single spaces).  Null ids give an empty text."""
     kept = [c for c in df.columns if c != decoded]
-    source = df.select(*kept)
+    source = df.select(*[col(c) for c in kept])
     schema = T.StructType([*source.schema.fields, T.StructField(decoded, T.StringType())])
     at = kept.index(ids)
 
@@ -174,7 +250,7 @@ def op5_bpe(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = decode(encode(read(spark, sf_dir, "documents"), path, keep=["doc_id"]), path)
+    coded = encode(read(spark, sf_dir, "documents"), path, keep=["doc_id"], decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
