@@ -125,6 +125,24 @@ def test_near_duplicates_far_from_hubs(spark, monkeypatch):
     assert got == want
 
 
+def test_near_duplicates_of_repeated_keys(spark):
+    """All texts of a key count: 1 comes with two, each near another document."""
+    a, b = ([f"{x}{i}" for i in range(120)] for x in "ab")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, "quite another text of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df, shingle=4).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    names = df.selectExpr("concat('k', doc_id) AS doc_id", "text")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(names, shingle=4).collect()} == {("k1", "k1"), ("k2", "k1"), ("k3", "k1"), ("k4", "k4")}
+
+
+def test_roots(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 20), (50, 51)], "a long, b long")
+    got = {r.node: r.root for r in components.roots(links).collect()}
+    assert got == {**{i: 20 for i in range(20)}, 100: 20, 50: 51}
+    assert components.roots(links.limit(0)).count() == 0
+
+
 def test_near_duplicates_edges(spark, edges, nothing):
     rows = near_dedup.near_duplicates(edges).collect()
     assert len(rows) == len(EDGES)

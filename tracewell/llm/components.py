@@ -32,7 +32,21 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
     return nodes.where("up > 0 or out > 1 or (out = 1 and n > 1)").isEmpty()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
+def roots(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for each node a, where every a has one link, and following links never leads back.
+
+    Pointers double each round: a chain of n links ends after log2(n) of them.
+    """
+    state = cut(links.select(F.col(a).alias("node"), F.col(b).alias("root")), "roots")
+    while True:
+        further = state.select(F.col("node").alias("_node"), F.col("root").alias("next"))
+        if state.join(further, F.col("root") == F.col("_node"), "left_semi").isEmpty():
+            return state
+        old, state = state, cut(state.join(further, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        drop_cut(old)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node with a link to another, the smallest node it reaches.
 
     Two stars a round, until every node hangs on its smallest one; a node's minimum is a
@@ -40,11 +54,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     join.  Loops and null ends are left out; no edges give no rows.
     """
     state = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "cc")
-    for _ in range(most_rounds):
-        if _is_forest_of_stars(state):
-            break
+    while not _is_forest_of_stars(state):
         old, state = state, cut(_small_star(_large_star(state)), "cc")
         drop_cut(old)
-    else:
-        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select("v", "v").distinct())

@@ -5,41 +5,46 @@ bits name a bucket, and of the bucket's smallest remainder the number of
 leading zeros and a few mantissa bits are kept.  Bands of registers propose
 buckets of documents; the Jaccard similarity estimated from two documents'
 registers, corrected for chance collisions, drops hopeless pairs; the rest are
-verified on the full sets.
-
-Equal sets are one class from the start.  Inside a band bucket no pair list is
-built: members are compared with hubs.  A hub is a document whose buckets are
-large: of a group of edited copies the least edited one, to which whatever is
-linked with any of them is nearest.  Of buckets that then hold several
-components, half take part in each of two turns with other hubs, where buckets
-of few members are compared in full.  What is apart after that in a large bucket
-is compared with all others of the bucket, so hubs only set the order of the work.
+verified on the full sets of 64-bit shingle hashes.
+
+Equal sets are one class from the start, and everything below works on classes:
+
+1. stars: a bucket's hub is the member whose buckets are largest (of a group of
+   edited copies the least edited one).  Each class is verified against the best
+   hub of its buckets, and classes that hang together are contracted;
+2. the rest: in a bucket that still holds several components, the members outside
+   its largest one meet all members, in cells of bounded size that each lie in
+   one task.  A first pass over registers finds who has a plausible partner, a
+   second one verifies the pairs on these members' sets.  Pairs never leave a
+   task; links do.
+
+So every pair that shares a bucket is verified, found hopeless by its registers,
+or of one component already: no cap, no sample.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import kernels as K
-from tracewell.llm.components import components
-from tracewell.llm.frames import col, cut, map_text, read
+from tracewell.llm.components import components, roots
+from tracewell.llm.frames import col, cut, drop_cut, map_text, read
 
 P_BITS, MANTISSA = 7, 10
 REGISTERS = 1 << P_BITS
 BAND_ROWS = 4
 BANDS = REGISTERS // BAND_ROWS
-SMALL_BUCKET = 8
-HUBS = 16
-TURNS = 2
-CELL = 2048  # members of a bucket that meet as many others of it in a task
-PICKS = 2
+CELL, CELL_SHINGLES = 2048, 1 << 19  # members of a bucket, and shingles in them, on a side of a cell
+SET_BYTES = 1 << 20  # text bytes whose sets are made at once
+TESTS = 1 << 14  # register rows compared at once
 _EMPTY = np.uint16(0xFFFF)
 
 
@@ -129,57 +134,49 @@ def _room(j: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, n_shingles, digest of the set, registers) per row."""
+    """(key, hash of the text, n_shingles, digest of the set, registers) per row."""
 
     def setup():
         def work(texts: pa.Array) -> list[pa.Array]:
             h, borders = shingle_sets(texts, shingle)
             regs = registers(h, borders)
-            digest = [hashlib.blake2b(h[i:j].tobytes(), digest_size=16).digest() for i, j in zip(borders[:-1], borders[1:], strict=True)]
-            return [pa.array(np.diff(borders).astype(np.int64)), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())]
+            digest = [hashlib.blake2b(h[i:j], digest_size=16).digest() for i, j in zip(borders[:-1], borders[1:], strict=True)]
+            return [pa.array(np.diff(borders).astype(np.int64)), pa.array(digest, pa.binary()), _binary(regs)]
 
         return work
 
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("regs", T.BinaryType())]
-    return map_text(docs.select(col(key).alias("key"), col(text).alias("text")), "text", setup, fields, keep=["key"])
-
+    rows = docs.select(col(key).alias("key"), F.xxhash64(col(text)).alias("text_hash"), col(text).alias("text"))
+    return map_text(rows, "text", setup, fields, keep=["key", "text_hash"])
 
-def bands(reps: DataFrame) -> DataFrame:
-    """(bucket, doc): a row per band of every representative."""
 
-    def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                part = b.slice(i, 2048)
-                regs = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-                keys = band_keys(regs).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(len(regs)), BANDS)))], ["bucket", "doc"])
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Equally long rows as a binary column."""
+    size = rows.shape[1] * rows.itemsize
+    offsets = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(size))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
 
-    kind = reps.schema["rep"].dataType
-    return reps.select("rep", "regs").mapInArrow(run, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("doc", kind)]))
 
+def _registers(column: pa.Array) -> np.ndarray:
+    """A binary column of register rows, as numbers."""
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros((0, REGISTERS), dtype=np.uint16)
+    first = int(np.frombuffer(offsets, dtype=np.int32)[column.offset])
+    return np.frombuffer(data, dtype=np.uint16, count=len(column) * REGISTERS, offset=first).reshape(-1, REGISTERS)
 
-def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose registers leave room for the similarity.
 
-    A pair at exactly the similarity is dropped only if its estimate lies 4.5
-    standard deviations low.
-    """
-    one = reps.select(F.col("rep").alias("a"), F.col("regs").alias("ra"))
-    two = reps.select(F.col("rep").alias("b"), F.col("regs").alias("rb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb")
-    schema = T.StructType([both.schema["a"], both.schema["b"]])
+def bands(classes: DataFrame) -> DataFrame:
+    """(bucket, doc): a row per band of every class."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
-            j, n = estimate(a, b)
-            keep = _room(j, n, similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                keys = band_keys(_registers(part.column(1))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["bucket", "doc"])
 
-    return both.mapInArrow(run, schema)
+    return classes.select("node", "regs").mapInArrow(run, "bucket long, doc long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -188,10 +185,37 @@ def packed(docs: DataFrame) -> DataFrame:
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            z = [pack.compress(x.encode()) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], ["doc", "z"])
+            for i, n in K.slices(b.column(1)):
+                z = [pack.compress(x) for x in b.column(1).slice(i, n).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(z, pa.binary())], ["doc", "z"])
+
+    return docs.mapInArrow(run, "doc long, z binary")
+
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc"], T.StructField("z", T.BinaryType())]))
+def texts_of(classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, z): a packed text of each class (node, rep: its smallest key and that row's hash)."""
+    body = docs.select(col(key).alias("_key"), F.coalesce(col(text), F.lit("")).alias("text"))
+    wanted = classes.select("node", "rep.key", "rep.text_hash").hint("merge")
+    rows = body.join(wanted, (F.col("_key") == F.col("key")) & (F.xxhash64("text") == F.col("text_hash"))).select(F.col("node").alias("doc"), "text")
+    # rows may repeat key and text
+    return packed(rows).groupBy("doc").agg(F.first("z").alias("z"))
+
+
+def _unpacked(z: list[bytes], shingle: int):
+    """(first, number, hashes, borders) of packed texts, some SET_BYTES at a time."""
+    unpack = zstandard.ZstdDecompressor()
+    ends = np.cumsum([zstandard.frame_content_size(x) for x in z])
+    i = 0
+    while i < len(z):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SET_BYTES, side="right")))
+        yield i, j - i, *shingle_sets(pa.array([unpack.decompress(x) for x in z[i:j]], pa.binary()), shingle)
+        i = j
+
+
+def _linked(one: np.ndarray, h: np.ndarray, borders: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets laid end to end in h have percent of their union with `one` in common."""
+    common = K.per_text(one[np.minimum(np.searchsorted(one, h), len(one) - 1)] == h, borders)
+    return 100 * common >= percent * (len(one) + np.diff(borders) - common)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -203,121 +227,164 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     salts = max(16, min(1024, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     p = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
     # texts always move by their key: a plan that broadcasts pairs would change with their number
-    texts = texts.hint("merge")
+    texts = texts.select("doc", "z").hint("merge")
     hubs = p.select("b", "salt").distinct().join(texts, F.col("b") == F.col("doc")).select("b", "salt", F.lit(0).alias("role"), "doc", "z")
     members = p.join(texts, F.col("a") == F.col("doc")).select("b", "salt", F.lit(1).alias("role"), "doc", "z")
     rows = hubs.union(members).repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
-    schema = T.StructType([T.StructField("a", rows.schema["doc"].dataType), T.StructField("b", rows.schema["b"].dataType)])
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
         hub: np.ndarray | None = None
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                h, borders = shingle_sets(pa.array([unpack.decompress(z) for z in part.column(4).to_pylist()], pa.binary()), shingle)
+            b, role, doc = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            for i, n, h, borders in _unpacked(batch.column(4).to_pylist(), shingle):
+                # a hub comes before its partners: runs between hubs
+                at = np.flatnonzero(np.append(role[i : i + n] == 0, True))
                 links = []
-                for r, (b, role, doc) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    mine = h[borders[r] : borders[r + 1]]
-                    if role == 0:
-                        hub = mine
-                        continue
-                    at = np.minimum(np.searchsorted(hub, mine), len(hub) - 1)
-                    common = int((hub[at] == mine).sum())
-                    if 100 * common >= percent * (len(hub) + len(mine) - common):
-                        links.append((doc, b))
+                for x, y in zip(np.append(-1, at[:-1]), at, strict=True):
+                    if x >= 0:
+                        hub = h[borders[x] : borders[x + 1]].copy()
+                    if y > x + 1:
+                        part = borders[x + 1 : y + 1]
+                        links.append(i + x + 1 + np.flatnonzero(_linked(hub, h[part[0] : part[-1]], part - part[0], percent)))
                 if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, batch.column(k).type) for x, k in zip(zip(*links, strict=True), (3, 0), strict=True)], ["a", "b"])
+                    k = np.concatenate(links)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(b[k])], ["a", "b"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def _pairs(open_rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) to compare in buckets (bucket, doc, comp, n, score) that hold several components.
-
-    Documents fall into HUBS parts by a hash of this turn, and each member
-    meets the bucket's best hub of every part; in buckets of at most SMALL_BUCKET members everyone meets everyone.
-    Pairs of one component are left out.
-    """
-    large = open_rows.where(F.col("n") > SMALL_BUCKET)
-    who = F.struct("doc", "comp")
-    group = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(HUBS))
-    best = [F.max(F.when(group == i, F.struct("score", who.alias("w")))).alias(f"h{i}") for i in range(HUBS)]
-    hubs = large.groupBy("bucket").agg(*best).select(F.col("bucket").alias("_bucket"), F.array_compact(F.array(*[f"h{i}.w" for i in range(HUBS)])).alias("hubs"))
-    met = large.join(hubs, F.col("bucket") == F.col("_bucket")).select(who.alias("x"), F.explode("hubs").alias("y"))
-    small = open_rows.where(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(F.array_sort(F.collect_list(who)).alias("m"))
-    left = small.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL_BUCKET)).alias("y"))
-    pairs = met.union(left).where(F.col("x.comp") != F.col("y.comp"))
-    return pairs.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct()
-
-
-def _marked(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """The rows (bucket, doc, n, score) of buckets that hold several components, with each document's component."""
-    marked = rows.join(comps, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"), "n", "score")
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (bucket, doc) of buckets that hold several components, with each class's component."""
+    marked = shared.join(labels, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("root", "doc").alias("comp"))
     several = marked.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("bucket").alias("_bucket"))
     return marked.join(several, F.col("bucket") == F.col("_bucket"), "left_semi")
 
 
-def _apart(open_rows: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """All plausible pairs (a, b, j) of two components that share a large bucket, j the estimate.
+def _members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of open buckets with their registers, the numbers of cells (across, down), and whether
+    they lie outside (out) their bucket's largest component."""
+    side = classes.select(F.col("node").alias("_node"), "n_shingles", "regs")
+    sizes = rows.join(side.drop("regs"), F.col("doc") == F.col("_node")).groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("w"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp", "w")).alias("m"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    blocks = lambda c, w: F.greatest(F.ceil(c / CELL), F.ceil(w / CELL_SHINGLES)).cast("int")
+    sizes = sizes.select(
+        F.col("bucket").alias("_bucket"), F.col("m.comp").alias("main"), blocks(F.col("c") - F.col("m.c"), F.col("w") - F.col("m.w")).alias("across"), blocks(F.col("c"), F.col("w")).alias("down")
+    )
+    both = rows.join(sizes, F.col("bucket") == F.col("_bucket")).join(side, F.col("doc") == F.col("_node"))
+    return both.select("bucket", "doc", "comp", (F.col("comp") != F.col("main")).alias("out"), "across", "down", "regs")
 
-    Members outside the bucket's largest component meet all members, in cells of about CELL x CELL
-    that each lie in one task; only plausible pairs leave it, once each: in the first bucket they share.
-    If that one is small, its turn has compared the pair already.
-    """
-    large = open_rows.where(F.col("n") > SMALL_BUCKET)
-    sizes = large.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
-    blocks = lambda n: F.ceil(n / CELL).cast("int")
-    sizes = sizes.select(F.col("bucket").alias("_bucket"), F.col("m.comp").alias("main"), blocks(F.col("all") - F.col("m.c")).alias("across"), blocks(F.col("all")).alias("down"))
-    members = large.join(sizes, F.col("bucket") == F.col("_bucket")).join(reps.select(F.col("rep").alias("_rep"), "regs"), F.col("doc") == F.col("_rep"))
-    members = cut(members.select("bucket", "doc", "comp", (F.col("comp") != F.col("main")).alias("out"), "across", "down", "regs"), "members")
+
+def _cells(members: DataFrame, *more: str) -> DataFrame:
+    """Members dealt to the cells of their bucket: one outside the largest component (role 0) meets all (role 1)."""
     block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = members.where("out").select("bucket", block("across").alias("i"), every("down").alias("j"), F.lit(0).alias("role"), "doc", "comp", "out", "regs")
-    y = members.select("bucket", every("across").alias("i"), block("down").alias("j"), F.lit(1).alias("role"), "doc", "comp", "out", "regs")
-    rows = x.union(y).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    kind = rows.schema["doc"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("j", T.DoubleType())])
-
-    def compare(bucket: int, xs: list, ys: list) -> list[tuple]:
-        code: dict = {}
-        cx, cy = (np.array([code.setdefault(r[1], len(code)) for r in rs]) for rs in (xs, ys))
-        rx, ry = (np.frombuffer(b"".join(r[3] for r in rs), dtype=np.uint16).reshape(-1, REGISTERS) for rs in (xs, ys))
-        fx, fy = (np.packbits(r != _EMPTY, axis=1).view(np.uint64) for r in (rx, ry))
-        kx, ky = (band_keys(r).view(np.int64) for r in (rx, ry))
-        out = []
-        for i, (doc, *_) in enumerate(xs):
-            other = np.flatnonzero(cy != cx[i])
-            used = fx[i] | fy[other]
-            n = np.bitwise_count(used).sum(axis=1).astype(np.int64)
-            same = np.bitwise_count(np.packbits(ry[other] == rx[i], axis=1).view(np.uint64) & used).sum(axis=1).astype(np.int64)
-            j = _corrected(same, n)
-            keep = _room(j, n, similarity)
-            other, j = other[keep], j[keep]
-            shared = ky[other] == kx[i]
-            here = shared.any(axis=1) & (kx[i][shared.argmax(axis=1)] == bucket)
-            for r, e in zip(other[here].tolist(), j[here].tolist(), strict=True):
-                if not ys[r][2] or doc < ys[r][0]:
-                    out.append((max(doc, ys[r][0]), min(doc, ys[r][0]), e))
-        return out
+    names = ["doc", "comp", "out", "regs", *more]
+    x = members.where("out").select("bucket", block("across").alias("i"), every("down").alias("j"), F.lit(0).alias("role"), *names)
+    y = members.select("bucket", every("across").alias("i"), block("down").alias("j"), F.lit(1).alias("role"), *names)
+    return x.union(y).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role")
+
+
+def _by_cell(batches, most: int = 4 * CELL):
+    """Record batches that each hold whole cells (columns bucket, i, j first), of few rows where cells are small."""
+    held: list[pa.RecordBatch] = []
+
+    def joined():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, most)
+            at += part.num_rows
+            cell = np.column_stack([part.column(k).to_numpy() for k in range(3)])
+            edge = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
+            if held and any(held[-1].column(k)[-1].as_py() != int(cell[0, k]) for k in range(3)):
+                yield joined()
+                held = []
+            if len(edge):
+                held.append(part.slice(0, int(edge[-1])))
+                yield joined()
+                held = [part.slice(int(edge[-1]))]
+            else:
+                held.append(part)
+    if held:
+        yield joined()
+
+
+def _pairs_in(batch: pa.RecordBatch, similarity: float, keys_of: Callable):
+    """(rows x, rows y) of plausible pairs of two components, cell by cell; each pair in the first bucket that it shares only.
+
+    A pair at exactly the similarity is dropped only if its estimate lies 4.5 standard deviations low.
+    """
+    bucket, i, j, role, doc, comp = (batch.column(k).to_numpy() for k in range(6))
+    out = batch.column(6).to_numpy(zero_copy_only=False)
+    regs = _registers(batch.column(7))
+    keys = keys_of(regs).view(np.int64)
+    edge = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    for a, z in zip(np.append(0, edge), np.append(edge, len(doc)), strict=True):
+        mid = a + int(np.searchsorted(role[a:z], 1))
+        ys = np.arange(mid, z)
+        step = max(1, TESTS // max(1, len(ys)))
+        for first in range(a, mid, step):
+            xs = np.arange(first, min(first + step, mid))
+            apart = (comp[xs][:, None] != comp[ys]) & (~out[ys] | (doc[xs][:, None] < doc[ys]))
+            x, y = np.nonzero(apart)
+            x, y = xs[x], ys[y]
+            est, n = estimate(regs[x], regs[y])
+            keep = _room(est, n, similarity)
+            x, y = x[keep], y[keep]
+            same = keys[x] == keys[y]
+            here = np.take_along_axis(keys[x], same.argmax(axis=1)[:, None], 1)[:, 0] == bucket[a] if len(x) else np.zeros(0, dtype=bool)
+            if here.any():
+                yield x[here], y[here]
+
+
+def _plausible(cells: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, doc): members with a plausible partner."""
 
     def run(batches):
-        cell, sides, types = None, ([], []), None
+        for batch in _by_cell(batches):
+            rows = [k for pair in _pairs_in(batch, similarity, band_keys) for k in pair]
+            if rows:
+                at = pa.array(np.unique(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(4).take(at)], ["bucket", "doc"])
 
-        def done():
-            if all(sides) and (out := compare(cell[0], *sides)):
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], ["a", "b", "j"])
+    return cells.mapInArrow(run, "bucket long, doc long").distinct()
 
-        for batch in batches:
-            types = (batch.column(4).type, batch.column(4).type, pa.float64())
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != cell:
-                    yield from done()
-                    cell, sides = r[:3], ([], [])
-                sides[r[3]].append(r[4:])
-        yield from done()
 
-    return rows.mapInArrow(run, schema).distinct()
+def _verified_cells(cells: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between components: of a member's links with one component in a cell, one."""
+
+    def run(batches):
+        for batch in _by_cell(batches):
+            pairs = list(_pairs_in(batch, percent / 100, band_keys))
+            if not pairs:
+                continue
+            x, y = (np.concatenate(side) for side in zip(*pairs, strict=True))
+            doc, comp = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            # a class lies in many cells of the batch: its set is made once
+            who, place = np.unique(doc, return_index=True)
+            used = np.zeros(len(who), dtype=bool)
+            x, y = np.searchsorted(who, doc[x]), np.searchsorted(who, doc[y])
+            used[x] = used[y] = True
+            z = batch.column(8).take(pa.array(place[used])).to_pylist()
+            sets = [h[b[k] : b[k + 1]].copy() for _, n, h, b in _unpacked(z, shingle) for k in range(n)]
+            at = np.cumsum(used) - 1
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            edges = np.flatnonzero(np.diff(x, prepend=-1))
+            links = []
+            for a, b in zip(edges, np.append(edges[1:], len(x)), strict=True):
+                ys, one = y[a:b], sets[at[x[a]]]
+                for k in range(0, len(ys), 256):
+                    some = [sets[at[v]] for v in ys[k : k + 256]]
+                    good = ys[k : k + 256][_linked(one, np.concatenate(some), np.cumsum([0, *map(len, some)]), percent)]
+                    _, first = np.unique(comp[place[good]], return_index=True)
+                    links += [(who[x[a]], who[v]) for v in good[first]]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*links, strict=True)], ["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -327,62 +394,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     in common; component_id is the smallest key reachable, kept marks it.
     Empty, null and wordless texts are linked with nothing.  Rows that repeat a
     key are one document: all their texts' links count.  A null key has a null
-    component and is kept.
+    component and is kept.  Keys may be of any type that can be ordered.
     """
     sig = cut(signatures(docs, key, text, shingle), "signatures")
     full = sig.where(F.col("key").isNotNull() & (F.col("n_shingles") > 0))
-    classes = cut(full.groupBy("digest").agg(F.min("key").alias("rep")), "classes")
-    # the registers of one row per class: those of its smallest key
-    reps = cut(
-        full.join(classes, [full["digest"] == classes["digest"], full["key"] == classes["rep"]], "left_semi").select(F.col("key").alias("rep"), "regs", "digest").dropDuplicates(["rep", "digest"]).select("rep", "regs"),
-        "reps",
-    )
-    rows = bands(reps)
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("bucket", "_bucket")
-    # a document's score is the size of all its buckets: one with few edits has the largest of its group
-    score = F.sum("n").over(Window.partitionBy("doc"))
-    shared = cut(rows.join(counts, F.col("bucket") == F.col("_bucket")).select("bucket", "doc", "n", score.alias("score")), "buckets")
-
-    hubs = shared.groupBy("bucket").agg(F.max(F.struct("score", "doc")).alias("hub")).withColumnRenamed("bucket", "_bucket")
-    first = shared.join(hubs, F.col("bucket") == F.col("_bucket")).where(F.col("doc") != F.col("hub.doc"))
-    first = first.groupBy("doc").agg(F.max("hub").alias("hub")).select(F.col("doc").alias("a"), F.col("hub.doc").alias("b"))
-    first = plausible(first, reps, percent / 100)
-    wanted = shared.select("doc").distinct()
-    body = docs.select(col(key).alias("doc"), F.coalesce(col(text), F.lit("")).alias("text")).join(wanted.hint("merge"), "doc", "left_semi")
-    texts = cut(packed(body), "texts")
-
-    # keys that come with several sets link those sets' classes
-    ids = full.join(classes, "digest").groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
-    links = cut(verified(first, texts, shingle, percent).union(ids), "links")
-    comps = cut(components(links), "components")
-    for turn in range(TURNS):  # each over its share of the buckets
-        mine = shared.where(F.pmod(F.col("bucket"), F.lit(TURNS)) == turn)
-        open_rows = _marked(mine, comps)
-        pairs = plausible(_pairs(open_rows, turn), reps, percent / 100)
-        fresh = cut(verified(pairs, texts, shingle, percent), "links")
-        if not fresh.isEmpty():
-            comps = cut(components(fresh.union(comps.select("node", "component"))), "components")
-    # the rest: likeliest pairs of two components first, as links found make others needless, then all
-    left = cut(_apart(_marked(shared, comps), reps, percent / 100), "apart")
-    for pick in range(PICKS + 1):
-        one, two = (comps.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-        both = left.join(one, F.col("a") == F.col("_a"), "left").join(two, F.col("b") == F.col("_b"), "left")
-        both = both.select("a", "b", "j", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        left = cut(both, "apart")
-        if left.isEmpty():
-            break
-        pairs = left.select("a", "b")
-        if pick < PICKS:
-            best = left.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("j", "a", "b")).alias("best"))
-            pairs = cut(best.select("best.a", "best.b"), "picked")
-        fresh = cut(verified(pairs, texts, shingle, percent), "links")
-        left = left.select("a", "b", "j").join(pairs, ["a", "b"], "left_anti")
-        if not fresh.isEmpty():
-            comps = cut(components(fresh.union(comps.select("node", "component"))), "components")
-    member = sig.join(classes, "digest", "left")
-    node = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "key")).otherwise(F.col("key"))
-    out = member.select("key", "n_shingles", node.alias("own")).join(comps, F.col("own") == F.col("node"), "left")
-    out = out.withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component", "own")))
+    # numbers given once and written: a class of equal sets is its number from here on
+    classes = full.groupBy("digest").agg(F.min(F.struct("key", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    member = cut(sig.select("key", "n_shingles", F.when(F.col("key").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest")).join(classes.select("digest", "node"), "digest", "left").drop("digest"), "member")
+
+    spread = bands(classes)
+    counts = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("bucket", "_bucket")
+    shared = cut(spread.join(counts, F.col("bucket") == F.col("_bucket")).select("bucket", "doc", "n"), "buckets")
+    several = classes.select("node", "rep").join(shared.select(F.col("doc").alias("_doc")).distinct(), F.col("node") == F.col("_doc"), "left_semi")
+    texts = cut(texts_of(several, docs, key, text), "texts")
+
+    # a class's score is the size of all its buckets: one with few edits has the largest of its group
+    score = shared.groupBy("doc").agg(F.sum("n").alias("score")).withColumnRenamed("doc", "_doc")
+    scored = shared.join(score, F.col("doc") == F.col("_doc")).select("bucket", "doc", "score")
+    hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", "doc")).alias("hub")).withColumnRenamed("bucket", "_bucket")
+    stars = shared.join(hubs, F.col("bucket") == F.col("_bucket")).groupBy("doc").agg(F.max("hub").alias("hub"))
+    stars = stars.select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).where("a <> b")
+    stars = cut(verified(stars, texts, shingle, percent), "stars")
+    labels = roots(stars)
+
+    rows = cut(_open(shared, labels), "open")
+    members = cut(_members(rows, classes), "members")
+    wanted = _plausible(_cells(members), percent / 100).withColumnRenamed("bucket", "_bucket").withColumnRenamed("doc", "_doc")
+    wanted = cut(members.join(wanted, (F.col("bucket") == F.col("_bucket")) & (F.col("doc") == F.col("_doc")), "left_semi"), "wanted")
+    held = wanted.join(texts.select(F.col("doc").alias("_doc"), "z").hint("merge"), F.col("doc") == F.col("_doc")).drop("_doc")
+    links = cut(_verified_cells(_cells(held, "z"), shingle, percent), "links")
+
+    # rows of one key with several sets link these; all links lie between roots, to which the smallest key is joined at the end
+    sets = member.where("node is not null").groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select(F.col("key").alias("_key"), "low")
+    again = member.join(sets, F.col("key") == F.col("_key")).select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b")
+    every = links.union(again).distinct()
+    for side in "ab":
+        every = every.join(labels.select(F.col("node").alias("_node"), "root"), F.col(side) == F.col("_node"), "left").withColumn(side, F.coalesce("root", side)).select("a", "b")
+    comps = cut(components(every), "components")
+    ends = classes.select("node", F.col("rep.key").alias("rep")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = ends.join(comps.select(F.col("node").alias("_node"), "component"), F.col("root") == F.col("_node"), "left").select("node", "rep", F.coalesce("component", "root").alias("comp"))
+    ends = cut(ends, "ends")
+    for done in (sig, classes, shared, texts, stars, labels, rows, members, wanted, links, comps):
+        drop_cut(done)
+    least = ends.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")).where("n > 1").select(F.col("comp").alias("_comp"), "component_id")
+    ends = ends.join(least, F.col("comp") == F.col("_comp"), "left").select(F.col("node").alias("_node"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = member.join(ends, F.col("node") == F.col("_node"), "left").withColumn("component_id", F.coalesce("component_id", "key"))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
