@@ -85,18 +85,48 @@ def decode_attributes(probs: Name, labels: Sequence[str], choices: Mapping[str,
     return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"].isNotNull()))
 
 
-def age_category(young: Name, teenager: Name, old: Name, adult: Name) -> Column:
-    """Bucket by precedence young, teenager, old, adult: old is a senior; none is Unknown."""
+def age_category(young: Name, teenager: Name, old: Name, adult: Name, age: Name | None = None) -> Column:
+    """Bucket by precedence young, teenager, old, adult, then by the text `age`: old is a senior; nothing known is an adult."""
     yes = lambda x: F.coalesce(c(x), F.lit(False))
-    return F.when(yes(young), "young").when(yes(teenager), "teenager").when(yes(old), "senior").when(yes(adult), "adult").otherwise("Unknown")
+    out = F.when(yes(young), "young").when(yes(teenager), "teenager").when(yes(old), "senior").when(yes(adult), "adult")
+    if age is not None:
+        out = out.when(c(age).isin("young", "child"), "young").when(c(age) == "teenager", "teenager").when(c(age).isin("old", "senior"), "senior")
+    return out.otherwise("adult")
+
+
+#: The joints whose angles are told, each with the points before, at and behind it.
+JOINTS = {
+    "left_elbow": ("left_shoulder", "left_elbow", "left_wrist"),
+    "right_elbow": ("right_shoulder", "right_elbow", "right_wrist"),
+    "left_knee": ("left_hip", "left_knee", "left_ankle"),
+    "right_knee": ("right_hip", "right_knee", "right_ankle"),
+    "left_hip": ("left_shoulder", "left_hip", "left_knee"),
+    "right_hip": ("right_shoulder", "right_hip", "right_knee"),
+}
+
+
+def seen_point(points: Name, name: str, least: float) -> Column:
+    """A named point of a map<string, struct<x, y, conf>>, NULL below the confidence."""
+    p = F.try_element_at(c(points), F.lit(name))
+    return F.when(F.coalesce(p["conf"], F.lit(0.0)) >= least, p)
 
 
 def joint_angle(ax: Name, ay: Name, bx: Name, by: Name, cx: Name, cy: Name) -> Column:
-    """Angle at b in degrees, to one decimal; NULL for coinciding points."""
+    """Angle at b in degrees, to one decimal; coinciding points make a right angle, NULL ones none."""
     ux, uy, vx, vy = c(ax) - c(bx), c(ay) - c(by), c(cx) - c(bx), c(cy) - c(by)
-    n = F.sqrt((ux * ux + uy * uy) * (vx * vx + vy * vy)).cast("double")
-    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ux * vx + uy * vy) / F.nullif(n, F.lit(0.0))))
-    return F.bround(F.degrees(F.acos(cos)), 1)
+    n = F.sqrt((ux * ux + uy * uy).cast("double")) * F.sqrt((vx * vx + vy * vy).cast("double"))
+    cos = (ux * vx + uy * vy) / (n + F.lit(1e-6))
+    known = n.isNotNull()  # least and greatest would skip NULL
+    return F.when(known, F.bround(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))), 1))
+
+
+def joint_angles(points: Name, least: float = 0.5) -> Column:
+    """Map of the six joint angles whose three points are all seen with the confidence."""
+    pairs = []
+    for joint, names in JOINTS.items():
+        a, b, z = (seen_point(points, n, least) for n in names)
+        pairs.append(F.struct(F.lit(joint).alias("key"), joint_angle(a["x"], a["y"], b["x"], b["y"], z["x"], z["y"]).alias("value")))
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
 
 
 def posture(hip_y: Name, knee_y: Name, sitting: float = 0.2, crouching: float = 0.45) -> Column:
@@ -106,6 +136,12 @@ def posture(hip_y: Name, knee_y: Name, sitting: float = 0.2, crouching: float =
     return F.when(~known, "unknown").when(ratio < sitting, "sitting").when(ratio < crouching, "crouching").otherwise("standing")
 
 
+def posture_of(points: Name, least: float = 0.5) -> Column:
+    """Posture from both hips and both knees of a keypoint map."""
+    mid = lambda part: (seen_point(points, f"left_{part}", least)["y"] + seen_point(points, f"right_{part}", least)["y"]) / 2
+    return posture(mid("hip"), mid("knee"))
+
+
 def fire_smoke(fire: Name, smoke: Name, fire_least: float = 0.003, smoke_least: float = 0.04) -> Column:
     """fire, else smoke, else NULL, from ratios of a frame."""
     return F.when(c(fire) >= fire_least, "fire").when(c(smoke) >= smoke_least, "smoke")

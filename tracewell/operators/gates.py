@@ -1,4 +1,9 @@
-"""Folds whose next decision depends on the last one, run per key on few candidate rows."""
+"""Folds whose next decision depends on the last one.
+
+A key's rows are first cut into islands by built-in windows: after a silence
+that is long enough, what came before no longer matters, so each island is
+folded alone and a busy key is many small groups.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,27 +30,73 @@ def grouped_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold,
     return df.groupBy(*keys).applyInPandas(lambda pdf: fold(pdf.sort_values(list(order), kind="stable")), schema)
 
 
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float | Column) -> DataFrame:
+    """Adds `_island`: a number that grows where a key's row comes `gap` or more after the row before it."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    new = (F.col(order[0]) - F.lag(order[0]).over(w) >= gap).cast("long")
+    return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("_island", F.sum("_new").over(w)).drop("_new")
+
+
+def island_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float | Column, fold, schema) -> DataFrame:
+    """`fold` on the rows of each island of each key, in order; rows of an island must fit one task."""
+    return grouped_fold(islands(df, keys, order, gap), [*keys, "_island"], order, lambda pdf: fold(pdf.drop(columns="_island")), schema)
+
+
 def throttle(df: DataFrame, keys: Sequence[str], ts: str, gap: float, order: Sequence[str] = ()) -> DataFrame:
     """Rows at least `gap` after the last kept row of their key (the first is kept).
 
-    Rows of one key within one `gap` bucket can keep one row at most per start,
-    so only the first row per (key, time) takes part.
+    A row that comes `gap` after the row before it is always kept, so islands start there.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[keep_spaced(pdf[ts].to_numpy(), gap)]
 
-    return grouped_fold(df, keys, [ts, *order], fold, df.schema)
+    return island_fold(df, keys, [ts, *order], gap, fold, df.schema)
+
+
+def sorted_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, schema, end=None) -> DataFrame:
+    """A fold that never holds a key's rows: they stream through a task in order, with a small state.
+
+    step(state, rows) gets the next rows of a key (state None at its first ones) and gives the new
+    state and rows to return, or None; end(state) gives rows once the key is over, or None.
+    """
+
+    def run(batches):
+        key, state = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids = list(zip(*(pdf[k].astype(object).where(pdf[k].notna(), None) for k in keys), strict=True))
+            at = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+            for a, z in zip(at, [*at[1:], len(ids)], strict=True):
+                if ids[a] != key:
+                    if key is not None and end is not None and (out := end(state)) is not None:
+                        yield out
+                    key, state = ids[a], None
+                state, out = step(state, pdf.iloc[a:z])
+                if out is not None:
+                    yield out
+        if key is not None and end is not None and (out := end(state)) is not None:
+            yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def smooth(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], alpha: float = 0.35) -> DataFrame:
     """Exponential moving average per key, first row raw, cut to integers: adds <column>_smooth."""
     schema = T.StructType([*df.schema.fields, *(T.StructField(f"{c}_smooth", T.IntegerType()) for c in columns)])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(**{f"{c}_smooth": np.trunc(pdf[c].astype(float).ewm(alpha=alpha, adjust=False).mean()).astype("int32") for c in columns})
+    def step(last, pdf: pd.DataFrame):
+        out, new = {}, []
+        for i, c in enumerate(columns):
+            x = pdf[c].to_numpy(float)
+            x = x if last is None else np.append(last[i], x)
+            y = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+            new.append(y[-1])
+            out[f"{c}_smooth"] = np.trunc(y if last is None else y[1:]).astype("int32")
+        return new, pdf.assign(**out)
 
-    return grouped_fold(df, keys, order, fold, schema)
+    return sorted_scan(df, keys, order, step, schema)
 
 
 def gate_crossings(candidates: DataFrame, exit_cooldown: float = 8.0) -> DataFrame:
@@ -64,13 +115,14 @@ def gate_crossings(candidates: DataFrame, exit_cooldown: float = 8.0) -> DataFra
                 last = ts
         return pdf[keep]
 
-    return grouped_fold(candidates, ["camera_id", "track_id"], ["ts_us", "event_id"], fold, candidates.schema)
+    return island_fold(candidates, ["camera_id", "track_id"], ["ts_us", "event_id"], exit_cooldown * 1e6, fold, candidates.schema)
 
 
 def lockouts(attempts: DataFrame, most: int = 5, window: float = 300, lock: float = 900) -> DataFrame:
     """Lock intervals (ip, from_us, to_us): `most` failures within the window.
 
     A success or a lock resets the count; attempts during a lock don't count.
+    After a silence longer than both, neither failures nor locks are left.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +139,8 @@ def lockouts(attempts: DataFrame, most: int = 5, window: float = 300, lock: floa
                 out.append((pdf["ip"].iloc[0], ts, int(until)))
         return pd.DataFrame(out, columns=["ip", "from_us", "to_us"])
 
-    return grouped_fold(attempts, ["ip"], ["ts_us", "event_id"], fold, "ip string, from_us long, to_us long")
+    silence = max(window, lock) * 1e6 + 1
+    return island_fold(attempts, ["ip"], ["ts_us", "event_id"], silence, fold, "ip string, from_us long, to_us long")
 
 
 def apply_cooldown(candidates: DataFrame, cooldowns: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -101,4 +154,6 @@ def apply_cooldown(candidates: DataFrame, cooldowns: dict[str, float], keys: Seq
         gap = cooldowns.get(pdf["type"].iloc[0], 0.0) * 1e6
         return pdf.iloc[keep_spaced(pdf["ts_us"].to_numpy(), gap)]
 
-    return grouped_fold(first, [*keys, "type", "entity"], ["ts_us"], fold, first.schema)
+    kinds = F.create_map(*[F.lit(x) for kind, seconds in cooldowns.items() for x in (kind, seconds * 1e6)]) if cooldowns else F.create_map().cast("map<string,double>")
+    gap = F.coalesce(F.try_element_at(kinds, F.col("type")).cast("double"), F.lit(0.0))
+    return island_fold(first, [*keys, "type", "entity"], ["ts_us"], gap, fold, first.schema)

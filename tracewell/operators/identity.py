@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.gates import grouped_fold
+from tracewell.operators.gates import grouped_fold, sorted_scan
+from tracewell.operators.graph import components
 
 BLOCK_ROWS, PART_ROWS = 20_000, 5_000
 
@@ -21,39 +22,51 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _blocks(queries: DataFrame, items: DataFrame, block_rows: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(queries: DataFrame, items: DataFrame, block_rows: int, part_rows: int, group: str = "query_id") -> tuple[DataFrame, DataFrame]:
     blocks = max(1, -(-items.count() // block_rows))
     parts = max(1, -(-queries.count() // part_rows))
     # new names on both sides: they may come from one table
-    queries = queries.select(F.col("query_id").alias("qid"), F.col("embedding").alias("qe"))
+    queries = queries.select(F.col("query_id").alias("qid"), F.col(group).alias("qg"), F.col("embedding").alias("qe"))
     items = items.select(F.col("gid").alias("iid"), F.col("embedding").alias("ie"))
-    q = queries.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    q = queries.withColumn("part", F.pmod(F.xxhash64("qg"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     i = items.withColumn("block", F.pmod(F.xxhash64("iid"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
     return q, i
 
 
-def identity_scores(queries: DataFrame, anchors: DataFrame, k: int = 3, least: float | None = None, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+def _top_mean(s: np.ndarray, of: np.ndarray, k: int, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the k largest along an axis whose places belong, in order, to the ids `of`; and the ids."""
+    ids, first = np.unique(of, return_index=True)
+    means = []
+    for x, y in zip(first, np.append(first[1:], len(of)), strict=True):
+        part = np.sort(s.take(np.arange(x, y), axis=axis), axis=axis)
+        means.append(part.take(np.arange(max(0, y - x - k), y - x), axis=axis).mean(axis=axis))
+    return np.stack(means, axis=axis), ids
+
+
+def identity_scores(
+    queries: DataFrame, anchors: DataFrame, k: int = 3, least: float | None = None, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS, group: str | None = None
+) -> DataFrame:
     """(query_id, gid, score): mean of the k best similarities with the identity's anchors.
 
     queries: query_id, embedding; anchors: gid, embedding.  Pairs below `least`
-    are left out.  An identity's anchors lie in one block.
+    are left out in the task that scores them.  An identity's anchors lie in one
+    block.  With `group` (a column of the queries) query_id is the group, and the
+    score the mean of the k best of its queries' scores.
     """
 
     def score(q: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(a):
             return pd.DataFrame(columns=["query_id", "gid", "score"])
-        a = a.sort_values("iid", kind="stable")
+        a, q = a.sort_values("iid", kind="stable"), q.sort_values("qg", kind="stable")
         s = np.stack(q["qe"].to_numpy()) @ np.stack(a["ie"].to_numpy()).T
-        gids, first = np.unique(a["iid"].to_numpy(), return_index=True)
-        out = np.empty((len(q), len(gids)))
-        for n, (x, y) in enumerate(zip(first, np.append(first[1:], len(a)), strict=True)):
-            part = s[:, x:y]
-            top = min(k, y - x)
-            out[:, n] = np.sort(part, axis=1)[:, -top:].mean(axis=1)
+        out, gids = _top_mean(s, a["iid"].to_numpy(), k, 1)
+        ids = q["qid"].to_numpy()
+        if group is not None:
+            out, ids = _top_mean(out, q["qg"].to_numpy(), k, 0)
         r, c = np.nonzero(out >= least) if least is not None else np.nonzero(np.ones_like(out))
-        return pd.DataFrame({"query_id": q["qid"].to_numpy()[r], "gid": gids[c], "score": out[r, c]})
+        return pd.DataFrame({"query_id": ids[r], "gid": gids[c], "score": out[r, c]})
 
-    q, i = _blocks(queries, anchors, block_rows, part_rows)
+    q, i = _blocks(queries, anchors, block_rows, part_rows, group or "query_id")
     return q.groupBy("block", "part").cogroup(i.groupBy("block", "part")).applyInPandas(score, "query_id long, gid long, score double")
 
 
@@ -95,13 +108,13 @@ def best_match(scores: DataFrame, threshold: float = 0.42, margin: float = 0.03,
 
     scores: query_id, gid, score, recent, same_camera.  Recent identities get a
     bonus (up to 1.0); another camera needs 0.02 more; no decision where the
-    runner-up passes the threshold within the margin.
+    runner-up passes what the best one needs, within the margin.
     """
     s = scores.withColumn("score", F.least(F.lit(1.0), F.col("score") + F.when(F.col("recent"), bonus).otherwise(0.0)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "gid")
     top = s.withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("rank = 1")
     need = F.lit(threshold) + F.when(F.col("same_camera"), 0.0).otherwise(0.02)
-    unclear = F.coalesce((F.col("second") >= threshold) & (F.col("score") - F.col("second") < margin), F.lit(False))
+    unclear = F.coalesce((F.col("second") >= need) & (F.col("score") - F.col("second") < margin), F.lit(False))
     return top.where((F.col("score") >= need) & ~unclear).select("query_id", "gid", "score")
 
 
@@ -135,35 +148,60 @@ def anchor_bank(rows: DataFrame, max_anchors: int = 48, novelty: float = 0.72) -
     """Anchors (gid, ts, quality, embedding) kept in time order.
 
     A vector joins if it is less than `novelty` similar to all kept ones; a
-    full bank swaps its worst anchor for a better one.
+    full bank swaps its worst anchor for a better one.  A task holds one
+    identity's bank, not its rows.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        m, q = np.stack(pdf["embedding"].to_numpy()), pdf["quality"].to_numpy()
-        for i in range(len(m)):
-            if kept and (m[kept] @ m[i]).max() >= novelty:
+    def step(bank, pdf: pd.DataFrame):
+        bank = [] if bank is None else bank
+        for row in pdf.itertuples(index=False):
+            v = np.asarray(row.embedding)
+            if bank and max(float(b[3] @ v) for b in bank) >= novelty:
                 continue
-            if len(kept) < max_anchors:
-                kept.append(i)
-            elif q[i] > q[kept].min():
-                kept[int(np.argmin(q[kept]))] = i
-        return pdf.iloc[kept]
+            new = (row.gid, row.ts, row.quality, v)
+            if len(bank) < max_anchors:
+                bank.append(new)
+            else:
+                worst = min(range(len(bank)), key=lambda i: bank[i][2])
+                if row.quality > bank[worst][2]:
+                    bank[worst] = new
+        return bank, None
 
-    return grouped_fold(rows.select("gid", "ts", "quality", "embedding"), ["gid"], ["ts"], fold, "gid long, ts long, quality double, embedding array<double>")
+    names = ["gid", "ts", "quality", "embedding"]
+    return sorted_scan(rows.select(*names), ["gid"], ["ts"], step, "gid long, ts long, quality double, embedding array<double>", lambda bank: pd.DataFrame(bank, columns=names))
 
 
 def ema_profile(rows: DataFrame, keep: float = 0.95, column: str = "embedding") -> DataFrame:
-    """(gid, profile): running mean keep * old + (1 - keep) * new in time order."""
+    """(gid, profile): running mean keep * old + (1 - keep) * new in time order.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf[column].to_numpy())
-        v = m[0]
-        for x in m[1:]:
-            v = keep * v + (1 - keep) * x
-        return pd.DataFrame({"gid": [pdf["gid"].iloc[0]], "profile": [v]})
+    The n-th newest vector weighs (1 - keep) * keep^(n - 1), the oldest one the
+    rest: a weighted sum, added element by element, so no identity is gathered.
+    """
+    w = Window.partitionBy("gid").orderBy(F.desc("ts"))
+    last = F.row_number().over(w)
+    oldest = F.lead("ts").over(w).isNull()
+    weight = F.when(oldest, F.pow(F.lit(keep), last - 1)).otherwise((1 - keep) * F.pow(F.lit(keep), last - 1))
+    parts = rows.select("gid", weight.alias("w"), column).select("gid", "w", F.posexplode(column).alias("i", "x"))
+    sums = parts.groupBy("gid", "i").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    return sums.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("profile"))
+
+
+def colour_profile(rows: DataFrame, keep: float = 0.80, sharp: float = 8.0, column: str = "colour") -> DataFrame:
+    """(gid, profile): like ema_profile, but of sharp rows only (sharpness > `sharp`), and of length 1 again after each step."""
+
+    def step(v, pdf: pd.DataFrame):
+        for x in pdf[column]:
+            x = np.asarray(x)
+            if v is None:
+                v = (x, pdf["gid"].iloc[0])
+                continue
+            mixed = keep * v[0] + (1 - keep) * x
+            n = np.linalg.norm(mixed)
+            v = (mixed / n if n > 1e-8 else mixed, v[1])
+        return v, None
 
-    return grouped_fold(rows.select("gid", "ts", column), ["gid"], ["ts"], fold, "gid long, profile array<double>")
+    sharp_rows = rows.where((F.col("sharpness") > sharp) & F.col(column).isNotNull()).select("gid", "ts", column)
+    return sorted_scan(sharp_rows, ["gid"], ["ts"], step, "gid long, profile array<double>", lambda v: pd.DataFrame({"gid": [v[1]], "profile": [v[0]]}))
 
 
 def drift_reject(updates: DataFrame, anchors: DataFrame, least: float = 0.32, k: int = 3) -> DataFrame:
@@ -190,69 +228,95 @@ def closed_world_match(scores: DataFrame, queries: DataFrame, gallery: DataFrame
     """
     age = (F.lit(as_of) - F.col("last_us")) / 1e6
     pool = gallery.where(~F.col("assigned") & age.between(near, far)).select("gid", "camera_id")
-    c = queries.select("query_id", "camera_id").join(pool, "camera_id").join(scores, ["query_id", "gid"])
-    w = Window.partitionBy("query_id")
-    top = c.withColumn("n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), "gid"))).where("_r = 1")
+    n = pool.groupBy("camera_id").agg(F.count("*").alias("n"))
+    # scores may leave out pairs below `alone`: the pool is counted on its own
+    c = queries.select("query_id", "camera_id").join(n, "camera_id").join(scores, "query_id").join(pool, ["camera_id", "gid"], "left_semi")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "gid")
+    top = c.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     return top.where(F.col("score") >= F.when(F.col("n") == 1, alone).otherwise(several)).select("query_id", "gid", "score")
 
 
-def duplicate_pairs(anchors: DataFrame, threshold: float = 0.48, k: int = 3) -> DataFrame:
-    """(a, b, score), a < b: mean of the k best of a's anchors, each scored by its k best similarities with b's.
+def duplicate_pairs(anchors: DataFrame, gallery: DataFrame, as_of: int, threshold: float = 0.48, k: int = 3, active_s: int = 12) -> DataFrame:
+    """(a, b, score), a < b: identities whose fused score reaches the threshold.
 
-    anchors: vec_id, gid, embedding.  Activity and fusion with colours are
-    predicates on the result.
+    The embedding's part is the mean of the k best of a's anchors, each scored by
+    its k best similarities with b's prototype and anchors.  Two identities that
+    are both assigned, or both seen in the last `active_s` seconds, are never one.
+    anchors: vec_id, gid, embedding; gallery: gid, prototype, camera_id, last_us,
+    assigned, hits, colour, attributes (the last two may be NULL).
     """
-    q = anchors.select(F.col("vec_id").alias("query_id"), "gid", "embedding")
-    s = identity_scores(q, anchors, k).withColumnRenamed("gid", "b")
-    pairs = s.join(q.select("query_id", F.col("gid").alias("a")), "query_id").where("a < b")
-    w = Window.partitionBy("a", "b").orderBy(F.desc("score"))
-    best = pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-    return best.groupBy("a", "b").agg(F.avg("score").alias("score")).where(F.col("score") >= threshold)
+    pool = anchors.select("gid", "embedding").union(gallery.where("prototype is not null").select("gid", "prototype"))
+    q = anchors.select(F.col("vec_id").alias("query_id"), F.col("gid").alias("a"), "embedding")
+    # full marks for colour and attributes can't lift a lower score to the threshold
+    possible = min((threshold - 0.20) / 0.80, (threshold - 0.30) / 0.70)
+    pairs = identity_scores(q, pool, k, least=possible, group="a").toDF("a", "b", "s").where("a < b")
+    side = lambda x: gallery.select(*[F.col(c).alias(f"{x}_{c}") for c in ("gid", "camera_id", "last_us", "assigned", "colour", "attributes")])
+    p = pairs.join(side("a"), F.col("a") == F.col("a_gid")).join(side("b"), F.col("b") == F.col("b_gid"))
+    fresh = F.lit(as_of - active_s * 1_000_000)
+    p = p.where(~(F.col("a_assigned") & F.col("b_assigned")) & ~((F.col("a_last_us") > fresh) & (F.col("b_last_us") > fresh)))
+    cosine = F.try_divide(dot(F.col("a_attributes"), F.col("b_attributes")), F.sqrt(dot(F.col("a_attributes"), F.col("a_attributes")) * dot(F.col("b_attributes"), F.col("b_attributes"))))
+    fused = fused_score(F.col("s"), dot(F.col("a_colour"), F.col("b_colour")), cosine, F.col("a_camera_id") == F.col("b_camera_id"))
+    return p.select("a", "b", fused.alias("score")).where(F.col("score") >= threshold)
 
 
 def merge_identities(pairs: DataFrame, gallery: DataFrame) -> DataFrame:
-    """(gid, kept): identities dropped into others, pair by pair in order of score.
-
-    pairs: a, b, score; gallery: gid, hits.  The keeper has more hits (of
-    equals the smaller gid).  Pairs whose ends are gone already are skipped.
-    Chains of pairs are independent, so each is folded alone.
+    """(gid, kept, prototype): identities dropped into others, pair by pair in order of (a, b).
+
+    pairs: a, b, and `veto` where given (such pairs are no merges); gallery: gid,
+    hits, prototype.  The keeper has more hits (of equals a).  Pairs whose ends are
+    gone already are skipped.  A keeper's prototype becomes the mean of both, of
+    length 1.  Rows: every dropped identity with the last keeper (prototype NULL),
+    and every keeper with itself and its new prototype.  Groups of linked pairs are
+    independent, so each is folded alone.
     """
-    nodes = pairs.select(F.col("a").alias("gid"), F.col("a").alias("c")).union(pairs.select("b", "b")).distinct()
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("u", "v").distinct()
-    label = nodes
-    while True:  # smallest label of the neighbours; a chain of duplicates is short
-        step = edges.join(label, F.col("v") == F.col("gid")).groupBy("u").agg(F.min("c").alias("n"))
-        fresh = label.join(step, F.col("gid") == F.col("u")).select("gid", F.least("c", "n").alias("c")).persist()
-        moved = fresh.join(label.withColumnRenamed("c", "o"), "gid").where("c <> o").isEmpty()
-        label = fresh
-        if moved:
-            break
-    hits = gallery.select("gid", "hits")
-    p = pairs.join(label.withColumnRenamed("gid", "a"), "a")
-    p = p.join(hits.toDF("a", "ha"), "a").join(hits.toDF("b", "hb"), "b")
+    if "veto" in pairs.columns:
+        pairs = pairs.where(~F.coalesce("veto", F.lit(False)))
+    group = components(pairs.select("a", "b")).select(F.col("node").alias("_n"), F.col("component").alias("c"))
+    side = lambda x: gallery.select(F.col("gid").alias(x), F.col("hits").alias(f"h{x}"), F.col("prototype").alias(f"p{x}"))
+    p = pairs.select("a", "b").join(group, F.col("a") == F.col("_n")).drop("_n").join(side("a"), "a").join(side("b"), "b")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         gone: dict[int, int] = {}
-        size = dict(zip(pdf["a"], pdf["ha"], strict=True)) | dict(zip(pdf["b"], pdf["hb"], strict=True))
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            if a in gone or b in gone:
+        own: dict[int, np.ndarray] = {}
+        for r in pdf.itertuples():
+            own.setdefault(r.a, np.asarray(r.pa))
+            own.setdefault(r.b, np.asarray(r.pb))
+            keep, drop = (r.a, r.b) if r.ha >= r.hb else (r.b, r.a)
+            if keep in gone or drop in gone:
                 continue
-            keep, drop = (a, b) if size[a] >= size[b] else (b, a)
             gone[drop] = keep
-            size[keep] += size[drop]
+            mean = (own[keep] + own[drop]) / 2
+            n = np.linalg.norm(mean)
+            own[keep] = mean / n if n > 0 else mean
 
         def root(x: int) -> int:
             while x in gone:
                 x = gone[x]
             return x
 
-        return pd.DataFrame([(x, root(x)) for x in sorted(gone)], columns=["gid", "kept"])
+        keepers = sorted(set(gone.values()) - set(gone))
+        return pd.DataFrame([(x, root(x), None) for x in sorted(gone)] + [(x, x, own[x]) for x in keepers], columns=["gid", "kept", "prototype"])
 
-    return grouped_fold(p.withColumn("_s", -F.col("score")), ["c"], ["_s", "a", "b"], fold, "gid long, kept long")
+    return grouped_fold(p, ["c"], ["a", "b"], fold, "gid long, kept long, prototype array<double>")
+
+
+def merged_gallery(merges: DataFrame, gallery: DataFrame, anchors: DataFrame, tracks: DataFrame, max_anchors: int = 48) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gallery (gid, hits, prototype), anchors (their best `max_anchors` by quality) and tracks after the merges of merge_identities."""
+    m = merges.select(F.col("gid").alias("_g"), "kept", F.col("prototype").alias("_p"))
+    moved = lambda df: df.join(m.drop("_p"), F.col("gid") == F.col("_g"), "left").withColumn("from", F.col("gid")).withColumn("gid", F.coalesce("kept", "gid")).drop("_g", "kept")
+    hits = moved(gallery.select("gid", "hits")).groupBy("gid").agg(F.sum("hits").alias("hits"))
+    shape = gallery.select(F.col("gid").alias("_o"), F.col("prototype").alias("_old"))
+    g = hits.join(shape, F.col("gid") == F.col("_o")).join(m, F.col("gid") == F.col("_g"), "left").select("gid", "hits", F.coalesce("_p", "_old").alias("prototype"))
+    w = Window.partitionBy("gid").orderBy(F.desc("quality"), F.col("from") != F.col("gid"), "from", "ts")
+    best = moved(anchors).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_anchors).drop("_r", "from")
+    return g, best, moved(tracks).drop("from")
 
 
 def split_corrupted(anchors: DataFrame, least: float = 0.25) -> DataFrame:
-    """(gid, ts, part): anchors of identities that hold two people, by the nearer of the first pair below `least`."""
+    """(gid, ts, part): anchors of identities that hold two people, by the nearer of the first pair below `least`.
+
+    An identity has at most as many anchors as its bank.
+    """
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.stack(pdf["embedding"].to_numpy())
@@ -265,30 +329,100 @@ def split_corrupted(anchors: DataFrame, least: float = 0.25) -> DataFrame:
     return grouped_fold(anchors.select("gid", "ts", "embedding"), ["gid"], ["ts"], split, "gid long, ts long, part int")
 
 
+def split_gallery(anchors: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(anchors with their new gid as `to`, prototypes (gid, embedding) of both parts).
+
+    The moved part of each split identity gets a new id after the largest, in the order of the old ones.
+    """
+    parts = split.select(F.col("gid").alias("_g"), F.col("ts").alias("_t"), "part")
+    top = anchors.agg(F.max("gid").alias("top"))
+    fresh = numbered(split.select("gid").distinct(), F.pmod(F.xxhash64(F.lit(0)), F.lit(1)), ["gid"]).crossJoin(top).select(F.col("gid").alias("_n"), (F.col("top") + F.col("number")).alias("new"))
+    rows = anchors.join(parts, (F.col("gid") == F.col("_g")) & (F.col("ts") == F.col("_t"))).drop("_g", "_t").join(fresh, F.col("gid") == F.col("_n")).drop("_n")
+    rows = rows.withColumn("to", F.when(F.col("part") == 1, F.col("new")).otherwise(F.col("gid"))).drop("new")
+    return rows, mean_vector(rows.select(F.col("to").alias("gid"), "embedding"), "gid", F.lit(1.0))
+
+
+def numbered(df: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
+    """Adds `number`, from 1 without gaps: by bucket, then in order inside it (ranks per bucket, shifted by the counts before)."""
+    rows = df.withColumn("_b", bucket)
+    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    # a row per bucket
+    shift = counts.select(F.col("_b").alias("_c"), (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_shift"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    return rows.withColumn("_r", rank).join(shift, F.col("_b") == F.col("_c")).withColumn("number", F.col("_shift") + F.col("_r")).drop("_b", "_c", "_r", "_shift")
+
+
 def prune_expired(gallery: DataFrame, as_of: int, expiry_s: int = 7200) -> DataFrame:
     return gallery.where(F.lit(as_of) - F.col("last_us") <= expiry_s * 1_000_000)
 
 
-def assign_identities(tracks: DataFrame, anchors: DataFrame, threshold: float = 0.42, first: int = 7) -> DataFrame:
-    """(camera_id, track_id, gid, is_new): the identity of each track, from its first vectors.
+def active_gallery_size(gallery: DataFrame, as_of: int, expiry_s: int = 7200) -> DataFrame:
+    """One row: how many identities aren't expired."""
+    return prune_expired(gallery, as_of, expiry_s).agg(F.count("*").alias("identities"))
+
+
+def assign_identities(
+    tracks: DataFrame, anchors: DataFrame, gallery: DataFrame, assignments: DataFrame, recent: DataFrame, as_of: int, threshold: float = 0.42, first: int = 7, rescue: float = 0.36
+) -> DataFrame:
+    """(camera_id, track_id, gid, how): the identity of each track, from its first vectors, against the gallery as it is.
 
-    A track's vectors (up to `first`, by sharpness) are averaged and matched
-    with the gallery as it is; unmatched tracks get new ids after the largest,
-    in the order of camera and track.
+    Row by row of a track (up to `first`): the best match of any row so far and,
+    from three rows, of their mean by sharpness; the first row at which that match
+    isn't held by another active track of the camera decides (`match`).  Then, by
+    the sharpest row, recent identities from a lower score (`rescue`), those of a
+    closed world (`closed`), and at last a new id after the largest (`new`), in the
+    order of camera and track.
+
+    tracks: camera_id, track_id, ts, embedding, sharpness; anchors: gid, embedding
+    (prototypes too); gallery: gid, camera_id, last_us, assigned; assignments:
+    camera_id, gid, track_id, ts_us; recent: gid.
     """
     w = Window.partitionBy("camera_id", "track_id").orderBy("ts")
-    rows = tracks.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
-    rows = rows.withColumn("query_id", F.xxhash64("camera_id", "track_id"))
-    mean = track_embedding(rows, "query_id")
-    scores = identity_scores(mean, anchors, 3, least=threshold - 0.15).withColumn("recent", F.lit(False)).withColumn("same_camera", F.lit(True))
-    found = best_match(scores, threshold)
-    ids = rows.select("query_id", "camera_id", "track_id").distinct().join(found.select("query_id", "gid"), "query_id", "left")
+    rows = tracks.withColumn("n", F.row_number().over(w)).where(F.col("n") <= first)
+    rows = rows.withColumn("query_id", F.xxhash64("camera_id", "track_id", "n"))
+    # means of the first 3, 4, ... rows
+    upto = rows.select("camera_id", "track_id", F.explode(F.sequence(F.greatest("n", F.lit(3)), F.lit(first))).alias("m"), "embedding", "sharpness", "n")
+    longest = rows.groupBy("camera_id", "track_id").agg(F.max("n").alias("most"))
+    upto = upto.join(longest, ["camera_id", "track_id"]).where("m <= most").withColumn("query_id", F.xxhash64("camera_id", "track_id", F.lit("mean"), "m"))
+    means = track_embedding(upto, "query_id")
+    asked = rows.select("query_id", "camera_id", "track_id", "n", F.lit(False).alias("mean")).union(upto.select("query_id", "camera_id", "track_id", F.col("m").alias("n"), F.lit(True)).distinct())
+    queries = rows.select("query_id", "embedding").union(means.select("query_id", "embedding"))
+
+    home = gallery.select(F.col("gid").alias("_g"), F.col("camera_id").alias("_c"))
+    scores = identity_scores(queries, anchors, 3, least=(threshold - 0.30) / 0.70 - 0.12)
+    s = scores.join(asked, "query_id").join(home, F.col("gid") == F.col("_g")).join(recent.select(F.col("gid").alias("_r")).distinct(), F.col("gid") == F.col("_r"), "left")
+    same = F.col("camera_id") == F.col("_c")
+    lifted = F.least(F.lit(1.0), F.col("score") + F.when(F.col("_r").isNotNull(), 0.12).otherwise(0.0))
+    none = F.lit(None).cast("double")
+    s = s.select("query_id", "gid", fused_score(lifted, none, none, same).alias("score"), F.lit(False).alias("recent"), same.alias("same_camera"))
+    found = best_match(s, threshold).join(asked, "query_id")
+    frame = found.where(~F.col("mean")).select("camera_id", "track_id", "n", F.struct("score", (-F.col("n")).alias("i"), "gid").alias("f"))
+    mean = found.where("mean").select("camera_id", "track_id", "n", F.struct("score", "gid").alias("m"))
+    prefix = rows.select("camera_id", "track_id", "n").join(frame, ["camera_id", "track_id", "n"], "left").join(mean, ["camera_id", "track_id", "n"], "left")
+    so_far = Window.partitionBy("camera_id", "track_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    prefix = prefix.withColumn("f", F.max("f").over(so_far))
+    better = F.col("m").isNotNull() & (F.coalesce("f.score", F.lit(0.0)) < F.col("m.score"))
+    prefix = prefix.select("camera_id", "track_id", "n", F.when(better, F.col("m.gid")).otherwise(F.col("f.gid")).alias("gid")).where("gid is not null")
+    free = active_on_camera_guard(prefix, assignments, as_of)
+    matched = free.groupBy("camera_id", "track_id").agg(F.min_by("gid", "n").alias("gid")).withColumn("how", F.lit("match"))
+
+    # the rest is tried once its window is full
+    left = rows.join(matched, ["camera_id", "track_id"], "left_anti")
+    sharpest = left.groupBy("camera_id", "track_id").agg(F.max_by("query_id", F.struct("sharpness", (-F.col("n")).alias("i"))).alias("query_id"))
+    own = scores_of(sharpest, rows, anchors)
+    on_camera = lambda df: df.join(sharpest, "query_id").select("camera_id", "track_id", "gid")
+    saved = active_on_camera_guard(on_camera(rescue_match(own, recent, rescue)), assignments, as_of).withColumn("how", F.lit("rescue"))
+    rest = sharpest.join(saved, ["camera_id", "track_id"], "left_anti")
+    held = assignments.where(F.col("ts_us") > as_of - 15_000_000).select("camera_id", "gid")
+    closed = closed_world_match(own, rest.select("query_id", "camera_id"), gallery.join(held, ["camera_id", "gid"], "left_anti"), as_of)
+    closed = on_camera(closed).withColumn("how", F.lit("closed"))
+    known = matched.union(saved).union(closed)
     top = anchors.agg(F.coalesce(F.max("gid"), F.lit(-1)).alias("top"))
-    # new ids: ranks within ranges of cameras, shifted by the counts of the ranges before
-    fresh = ids.where("gid is null")
-    counts = fresh.groupBy("camera_id").agg(F.count("*").alias("n"))
-    shift = counts.select(F.col("camera_id").alias("_c"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("camera_id")) - F.col("n")).alias("shift"))
-    rank = F.row_number().over(Window.partitionBy("camera_id").orderBy("track_id"))
-    fresh = fresh.withColumn("_r", rank).join(F.broadcast(shift), F.col("camera_id") == F.col("_c")).crossJoin(F.broadcast(top))
-    fresh = fresh.select("camera_id", "track_id", (F.col("top") + F.col("shift") + F.col("_r")).alias("gid"), F.lit(True).alias("is_new"))
-    return ids.where("gid is not null").select("camera_id", "track_id", "gid", F.lit(False).alias("is_new")).union(fresh)
+    fresh = rows.select("camera_id", "track_id").distinct().join(known, ["camera_id", "track_id"], "left_anti")
+    fresh = numbered(fresh, F.col("camera_id"), ["track_id"]).crossJoin(top)
+    return known.union(fresh.select("camera_id", "track_id", (F.col("top") + F.col("number")).alias("gid"), F.lit("new").alias("how")))
+
+
+def scores_of(chosen: DataFrame, rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(query_id, gid, score) of the chosen rows, from what a closed world asks at least."""
+    return identity_scores(rows.join(chosen.select("query_id"), "query_id", "left_semi").select("query_id", "embedding"), anchors, 3, least=0.15)

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.gates import grouped_fold
+from tracewell.operators.graph import components
+
 
 def near_in_time(left: DataFrame, right: DataFrame, key: str, lts: str, rts: str, back: int, ahead: int) -> DataFrame:
     """Pairs of one key with right time in [left - back, left + ahead].
@@ -56,27 +59,39 @@ def stitch_candidates(segments: DataFrame, min_gap: float = 0.5, max_gap: float
 
 
 def stitch_tracks(segments: DataFrame, **limits) -> DataFrame:
-    """(seg, old_id): each new segment's predecessor, if any.
+    """(seg, old_id, root): each new segment's predecessor, if any, and the first segment of its chain, whose id it takes.
 
-    Segments that start on a camera at one instant claim in order; each takes
-    the first free candidate in the order in which the old ones appeared.
+    Segments are looked at in order of start; each takes the first candidate, in the order in which
+    the old ones appeared, whose id no track holds at that instant.  Segments linked by candidates
+    are folded together, all others apart.
     """
+    pairs = stitch_candidates(segments, **limits)
+    ends = segments.select(F.col("seg").alias("_s"), "end_us")
+    group = components(pairs.select("new_id", "old_id"), "new_id", "old_id").select(F.col("node").alias("_n"), F.col("component").alias("g"))
+    rows = pairs.join(ends, F.col("new_id") == F.col("_s")).join(group, F.col("new_id") == F.col("_n")).select("g", "start_us", "end_us", "new_id", "old_start", "old_id")
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for new, part in pdf.sort_values(["new_id", "old_start", "old_id"]).groupby("new_id", sort=True):
-            for old in part["old_id"]:
-                if old not in taken:
-                    taken.add(old)
-                    out.append((new, old))
-                    break
-        return pd.DataFrame(out, columns=["seg", "old_id"])
+        first: dict = {}
+        held: dict = {}
+        for r in pdf.itertuples():
+            if r.new_id in first:
+                continue
+            root = first.get(r.old_id, (None, r.old_id))[1]
+            if held.get(root, -1) < r.start_us:
+                first[r.new_id] = (r.old_id, root)
+                held[root] = r.end_us
+        return pd.DataFrame([(new, old, root) for new, (old, root) in first.items()], columns=["seg", "old_id", "root"])
 
     kind = segments.schema["seg"].dataType.simpleString()
-    links = stitch_candidates(segments, **limits).groupBy("camera_id", "start_us").applyInPandas(claim, f"seg {kind}, old_id {kind}")
-    # an ended segment may be claimed at several instants: the first claim holds
-    first = segments.select("seg", "start_us").join(links, "seg").groupBy("old_id").agg(F.min(F.struct("start_us", "seg")).alias("c"))
-    return first.select(F.col("c.seg").alias("seg"), "old_id")
+    return grouped_fold(rows, ["g"], ["start_us", "new_id", "old_start", "old_id"], claim, f"seg {kind}, old_id {kind}, root {kind}")
+
+
+def inherited(segments: DataFrame, stitched: DataFrame, flag: str = "has_entered") -> DataFrame:
+    """Segments with `track` (the first of their chain) and `flag`, true once an earlier or the own segment of the chain has it."""
+    s = stitched.select(F.col("seg").alias("_s"), "root")
+    rows = segments.join(s, F.col("seg") == F.col("_s"), "left").withColumn("track", F.coalesce("root", "seg")).drop("_s", "root")
+    so_far = Window.partitionBy("track").orderBy("start_us", "seg").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(flag, F.coalesce(F.max(flag).over(so_far), F.lit(False)))
 
 
 def camera_offline(cameras: DataFrame, pings: DataFrame, as_of: int, seconds: int = 45) -> DataFrame:

@@ -235,6 +235,12 @@ def fleet_health(heartbeats: DataFrame) -> DataFrame:
     return last.groupBy("device").agg(F.count(on).alias("cameras_active"), F.coalesce(F.bround(F.avg(on), 1), F.lit(0.0)).alias("fps_avg"))
 
 
+def camera_status(heartbeats: DataFrame) -> DataFrame:
+    """Latest row per device and camera: whether it is active (fps > 0), and its fps as text with one decimal."""
+    last = heartbeats.groupBy("device", "camera_id").agg(F.max_by("fps", "ts").alias("fps"))
+    return last.select("device", "camera_id", (F.col("fps") > 0).alias("active"), F.format_string("%.1f", F.col("fps").cast("double")).alias("fps"))
+
+
 def job_metrics(jobs: DataFrame, status: str = "status", ms: str = "inference_ms") -> DataFrame:
     zero = F.lit(0.0)
     return jobs.groupBy(status).agg(

@@ -69,7 +69,7 @@ def v4(spark, d):
 BEST = (
     ", b AS (SELECT query_id, gid, least(1.0, score + CASE WHEN gid % 3 = 0 THEN 0.12 ELSE 0 END) AS score, gid % 2 = 0 AS same FROM top3), "
     "o AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, gid)) "
-    "SELECT query_id, gid, round_even(score, 6) AS score FROM o WHERE n = 1 AND score >= CASE WHEN same THEN 0.42 ELSE 0.44 END AND NOT coalesce(second >= 0.42 AND score - second < 0.03, false)"
+    "SELECT query_id, gid, round_even(score, 6) AS score FROM o WHERE n = 1 AND score >= CASE WHEN same THEN 0.42 ELSE 0.44 END AND NOT coalesce(second >= CASE WHEN same THEN 0.42 ELSE 0.44 END AND score - second < 0.03, false)"
 )
 
 
@@ -105,9 +105,42 @@ def v8(spark, d):
     return V.anchor_bank(X.vectors(spark, d)).select("gid", "ts", "quality")
 
 
-@query("v10_ema_profile")
+@query(
+    "v10_ema_profile",
+    ", r AS (SELECT gid, embedding, row_number() OVER w AS n, count(*) OVER (PARTITION BY gid) AS m FROM vec WINDOW w AS (PARTITION BY gid ORDER BY ts DESC)), "
+    "x AS (SELECT gid, CASE WHEN n = m THEN pow(0.95::DOUBLE, n - 1) ELSE 0.05::DOUBLE * pow(0.95::DOUBLE, n - 1) END AS w, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM r), "
+    "s AS (SELECT gid, i, sum(w * x) AS x FROM x GROUP BY 1, 2) SELECT gid, list(round_even(x, 6) + 0.0 ORDER BY i) AS profile FROM s GROUP BY gid",
+)
 def v10(spark, d):
-    return V.ema_profile(X.vectors(spark, d)).select("gid", F.transform("profile", lambda x: F.bround(x, 6)).alias("profile"))
+    return V.ema_profile(X.vectors(spark, d)).select("gid", F.transform("profile", lambda x: F.bround(x, 6) + 0.0).alias("profile"))
+
+
+@query("v10_colour_profile")
+def v10_colour(spark, d):
+    v = X.vectors(spark, d).withColumn("sharpness", F.col("quality") / 5).withColumn("colour", colour(F.col("embedding")))
+    return V.colour_profile(v).select("gid", F.transform("profile", lambda x: F.bround(x, 6) + 0.0).alias("profile"))
+
+
+def colour(embedding):
+    """Eight values that stand for a colour signature."""
+    return F.transform(F.slice(embedding, 1, 8), F.abs)
+
+
+def gallery(spark, d):
+    """An entry per identity: mean of its three best anchors, camera of its first vector, time of its last one."""
+    v = X.vectors(spark, d)
+    own = v.groupBy("gid").agg(F.min_by("camera_id", "vec_id").alias("camera_id"), (F.max("ts") * 1_000_000).alias("last_us"), F.sum("quality").alias("hits"))
+    g = own.join(V.prototype(v, 3).select("gid", F.col("embedding").alias("prototype")), "gid")
+    return g.withColumn("assigned", F.col("gid") % 7 == 0).withColumn("colour", colour(F.col("prototype"))).withColumn("attributes", F.lit(None).cast("array<double>"))
+
+
+GALLERY = (
+    ", w0 AS (SELECT gid, embedding FROM vec QUALIFY row_number() OVER (PARTITION BY gid ORDER BY quality DESC, ts) <= 3), "
+    "pe AS (SELECT gid, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM w0), ps AS (SELECT gid, i, sum(x) AS x FROM pe GROUP BY 1, 2), pn AS (SELECT gid, sqrt(sum(x * x)) AS n FROM ps GROUP BY 1), "
+    "pr AS (SELECT gid, list(x / n ORDER BY i) AS prototype FROM ps JOIN pn USING (gid) GROUP BY gid), "
+    "ga AS (SELECT gid, prototype, min_by(camera_id, vec_id) AS camera_id, max(ts) * 1000000 AS last_us, sum(quality) AS hits, gid % 7 = 0 AS assigned, list_transform(prototype[1:8], lambda x: abs(x)) AS colour FROM vec JOIN pr USING (gid) GROUP BY ALL)"
+)
+NOW = 100_000_000
 
 
 @query("v11_drift_reject", "SELECT t.query_id, t.gid, round_even(score, 6) AS score FROM top3 t JOIN q ON q.query_id = t.query_id AND q.gid = t.gid WHERE score >= 0.32")
@@ -135,39 +168,105 @@ def v13(spark, d):
 
 @query(
     "v14_duplicate_pairs",
-    ", s AS (SELECT x.gid AS a, y.gid AS b, x.vec_id, list_dot_product(x.embedding, y.embedding) AS s FROM vec x JOIN vec y ON x.gid < y.gid), "
-    "t AS (SELECT a, b, vec_id, avg(s) AS s FROM (SELECT *, row_number() OVER (PARTITION BY a, b, vec_id ORDER BY s DESC) AS n FROM s) WHERE n <= 3 GROUP BY ALL), "
-    "u AS (SELECT a, b, avg(s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY s DESC) AS n FROM t) WHERE n <= 3 GROUP BY 1, 2) SELECT a, b, round_even(score, 6) AS score FROM u WHERE score >= 0.48",
+    GALLERY + ", pool AS (SELECT gid, embedding FROM vec UNION ALL SELECT gid, prototype FROM pr), "
+    "sp AS (SELECT x.gid AS a, y.gid AS b, x.vec_id, list_dot_product(x.embedding, y.embedding) AS s FROM vec x JOIN pool y ON x.gid < y.gid), "
+    "t AS (SELECT a, b, vec_id, avg(s) AS s FROM (SELECT *, row_number() OVER (PARTITION BY a, b, vec_id ORDER BY s DESC) AS n FROM sp) WHERE n <= 3 GROUP BY ALL), "
+    "u AS (SELECT a, b, avg(s) AS s FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY s DESC) AS n FROM t) WHERE n <= 3 GROUP BY 1, 2), "
+    "f AS (SELECT u.a, u.b, CASE WHEN x.camera_id = y.camera_id THEN 0.80::DOUBLE * s + 0.15::DOUBLE * greatest(0, least(1, list_dot_product(x.colour, y.colour))) + 0.025::DOUBLE "
+    "ELSE 0.70::DOUBLE * s + 0.25::DOUBLE * greatest(0, least(1, list_dot_product(x.colour, y.colour))) + 0.025::DOUBLE END AS score "
+    f"FROM u JOIN ga x ON x.gid = u.a JOIN ga y ON y.gid = u.b WHERE NOT (x.assigned AND y.assigned) AND NOT (x.last_us > {NOW} - 12000000 AND y.last_us > {NOW} - 12000000)) "
+    "SELECT a, b, round_even(score, 6) AS score FROM f WHERE score >= 0.48",
 )
 def v14(spark, d):
-    return V.duplicate_pairs(X.vectors(spark, d)).select("a", "b", r6("score"))
+    return V.duplicate_pairs(X.vectors(spark, d), gallery(spark, d), NOW).select("a", "b", r6("score"))
+
+
+def merges(spark, d):
+    """Duplicates less those whose colours speak against it, and the merges they lead to."""
+    g = gallery(spark, d)
+    c = lambda x: g.select(F.col("gid").alias(x), F.col("colour").alias(f"c{x}"))
+    pairs = V.duplicate_pairs(X.vectors(spark, d), g, NOW).join(c("a"), "a").join(c("b"), "b")
+    veto = V.clothing_veto(F.lit(0.0), F.lit(0.0), [(F.col("ca"), F.col("cb"))], strong=0.25, least=0.6)
+    return V.merge_identities(pairs.select("a", "b", "score", veto.alias("veto")), g)
 
 
 @query("v15_merge_identities")
 def v15(spark, d):
+    return merges(spark, d).select("gid", "kept", F.transform("prototype", lambda x: F.bround(x, 6) + 0.0).alias("prototype"))
+
+
+@query("v15_merged_gallery")
+def v15_gallery(spark, d):
     v = X.vectors(spark, d)
-    return V.merge_identities(V.duplicate_pairs(v), v.groupBy("gid").agg(F.sum("quality").alias("hits")))
+    g, anchors, tracks = V.merged_gallery(merges(spark, d), gallery(spark, d), v, v.select("camera_id", F.col("vec_id").alias("track_id"), "gid"), 6)
+    n = anchors.groupBy("gid").agg(F.count("*").alias("anchors"), F.sum("quality").alias("quality"))
+    m = tracks.groupBy("gid").agg(F.count("*").alias("tracks"))
+    return g.select("gid", "hits").join(n, "gid").join(m, "gid")
 
 
-@query("v16_split_corrupted")
+SPLIT = (
+    ", pq AS (SELECT x.gid, x.ts AS ti, y.ts AS tj FROM vec x JOIN vec y ON x.gid = y.gid AND x.ts < y.ts WHERE list_dot_product(x.embedding, y.embedding) < 0.25), "
+    "fp AS (SELECT * FROM pq QUALIFY row_number() OVER (PARTITION BY gid ORDER BY ti, tj) = 1), "
+    "sp AS (SELECT v.gid, v.ts, v.embedding, CASE WHEN list_dot_product(v.embedding, b.embedding) > list_dot_product(v.embedding, a.embedding) THEN 1 ELSE 0 END AS part "
+    "FROM fp JOIN vec v ON v.gid = fp.gid JOIN vec a ON a.gid = fp.gid AND a.ts = ti JOIN vec b ON b.gid = fp.gid AND b.ts = tj)"
+)
+
+
+@query("v16_split_corrupted", SPLIT + " SELECT gid, ts, CAST(part AS INT) AS part FROM sp")
 def v16(spark, d):
     return V.split_corrupted(X.vectors(spark, d))
 
 
+@query(
+    "v16_split_gallery",
+    SPLIT + ", nw AS (SELECT gid, (SELECT max(gid) FROM vec) + row_number() OVER (ORDER BY gid) AS new FROM (SELECT DISTINCT gid FROM sp)), "
+    "w0 AS (SELECT CASE WHEN part = 1 THEN new ELSE gid END AS gid, embedding, 1.0::DOUBLE AS w FROM sp JOIN nw USING (gid))" + MEAN,
+)
+def v16_gallery(spark, d):
+    v = X.vectors(spark, d)
+    _, prototypes = V.split_gallery(v, V.split_corrupted(v))
+    return prototypes.select("gid", F.transform("embedding", lambda x: F.bround(x, 6) + 0.0).alias("embedding"))
+
+
 @query("v17_prune_expired", "SELECT gid, max(ts) * 1000000 AS last_us FROM vec GROUP BY 1 HAVING 500000000 - max(ts) * 1000000 <= 200000000")
 def v17(spark, d):
     g = X.vectors(spark, d).groupBy("gid").agg((F.max("ts") * 1_000_000).alias("last_us"))
     return V.prune_expired(g, 500_000_000, 200)
 
 
+@query("v17_active_gallery_size", "SELECT count(*) AS identities FROM (SELECT gid FROM vec GROUP BY 1 HAVING 500000000 - max(ts) * 1000000 <= 200000000)")
+def v17_size(spark, d):
+    g = X.vectors(spark, d).groupBy("gid").agg((F.max("ts") * 1_000_000).alias("last_us"))
+    return V.active_gallery_size(g, 500_000_000, 200)
+
+
+def assignment_inputs(spark, d):
+    """Every vector takes part: two of an identity's five as a track's rows, the others as the gallery's
+    anchors, those of every third identity under a name of a far-off clone that no track resembles."""
+    v = X.vectors(spark, d)
+    seen = F.col("vec_id") % 5 < 2
+    tracks = v.where(seen).select("camera_id", F.col("gid").alias("track_id"), "ts", "embedding", (F.col("quality") / 50).alias("sharpness"))
+    tracks = tracks.withColumn("camera_id", F.concat(F.lit("camera_"), (F.col("track_id") % 6 + 1).cast("string")))
+    flip = F.when(F.col("gid") % 3 == 0, -1.0).otherwise(1.0)
+    anchors = v.where(~seen).withColumn("embedding", F.transform("embedding", lambda x: x * flip))
+    g = anchors.groupBy("gid").agg(F.min_by("camera_id", "vec_id").alias("camera_id"), (F.max("ts") * 1_000_000).alias("last_us")).withColumn("assigned", F.col("gid") % 7 == 0)
+    as_of = 300_000_000
+    held = anchors.where("gid % 11 = 0").select("camera_id", "gid", (F.col("gid") + 1).alias("track_id"), F.lit(as_of - 1_000_000).alias("ts_us"))
+    return tracks, anchors.select("gid", "embedding"), g, held, g.where("gid % 4 = 0").select("gid"), as_of
+
+
 @query("v18_assign_identities")
 def v18(spark, d):
-    v = X.vectors(spark, d)
-    tracks = v.where("vec_id % 5 < 2").select("camera_id", F.col("gid").alias("track_id"), "ts", "embedding", (F.col("quality") / 50).alias("sharpness"))
-    return V.assign_identities(tracks, v.where("vec_id % 5 >= 2 and gid % 3 <> 0"))
+    return V.assign_identities(*assignment_inputs(spark, d))
+
+
+def detections(spark, d):
+    """Boxes crowded into a small frame."""
+    t = X.trk(spark, d)
+    x, y = F.expr("px div 12"), F.expr("py div 12")
+    return t.select("camera_id", F.expr("fast_us div 60000000").alias("frame"), "event_id", x.alias("x1"), y.alias("y1"), (x + 80).alias("x2"), (y + 160).alias("y2"), ((F.col("event_id") % 101) / 101).alias("score"))
 
 
 @query("v19_nms")
 def v19(spark, d):
-    t = X.tracking(spark, d).withColumn("frame", F.expr("ts_us div 3600000000")).withColumn("score", (F.col("event_id") % 101) / 101)
-    return vision.nms(t.select("camera_id", "frame", "event_id", "x1", "y1", "x2", "y2", "score"))
+    return vision.nms(detections(spark, d))

@@ -107,9 +107,14 @@ def p14(spark, d):
     return crop_quality_gate(X.tracking(spark, d).withColumn("sharpness", (F.col("event_id") % 10).cast("double"))).select("event_id")
 
 
-@query("p12_age_category", "SELECT event_id, CASE WHEN k % 5 = 0 THEN 'young' WHEN k % 3 = 0 THEN 'teenager' WHEN j % 2 = 0 THEN 'senior' WHEN j % 3 = 0 THEN 'adult' ELSE 'Unknown' END AS age FROM trk")
+@query(
+    "p12_age_category",
+    "SELECT event_id, CASE WHEN k % 5 = 0 THEN 'young' WHEN k % 3 = 0 THEN 'teenager' WHEN j % 2 = 0 THEN 'senior' WHEN j % 3 = 0 THEN 'adult' "
+    "WHEN age = 'young' THEN 'young' WHEN age = 'teenager' THEN 'teenager' WHEN age = 'senior' THEN 'senior' ELSE 'adult' END AS age FROM trk",
+)
 def p12(spark, d):
-    return X.trk(spark, d).select("event_id", C.age_category(F.col("k") % 5 == 0, F.col("k") % 3 == 0, F.col("j") % 2 == 0, F.col("j") % 3 == 0).alias("age"))
+    k, j = F.col("k"), F.col("j")
+    return X.trk(spark, d).select("event_id", C.age_category(k % 5 == 0, k % 3 == 0, j % 2 == 0, j % 3 == 0, "age").alias("age"))
 
 
 @query(
@@ -129,15 +134,39 @@ def p10(spark, d):
     return M.normalise_zones(z, 1920, 1080).select("event_id", F.transform("vertices", lambda p: p["x"]).alias("xs"))
 
 
+POINTS = sorted({n for names in C.JOINTS.values() for n in names})
+
+
+def _xyc(name: str) -> tuple[str, str, str]:
+    """Place and confidence of a keypoint, in terms that both engines read alike."""
+    i = POINTS.index(name)
+    return f"((k * {i + 1} + {3 * i}) % 50)", f"((j * {2 * i + 1} + {7 * i}) % 50)", f"((k + j + {i}) % 10)"
+
+
+def _angle_sql(names) -> str:
+    (ax, ay, a), (bx, by, b), (cx, cy, c) = map(_xyc, names)
+    ux, uy, vx, vy = f"({ax} - {bx})", f"({ay} - {by})", f"({cx} - {bx})", f"({cy} - {by})"
+    cos = f"(({ux} * {vx} + {uy} * {vy}) / (sqrt({ux} * {ux} + {uy} * {uy}) * sqrt({vx} * {vx} + {vy} * {vy}) + 1e-6::DOUBLE))"
+    return f"CASE WHEN least({a}, {b}, {c}) >= 3 THEN round_even(degrees(acos(greatest(-1, least(1, {cos})))), 1) END"
+
+
+_MID = {part: "(" + " + ".join(_xyc(f"{side}_{part}")[1] for side in ("left", "right")) + ") / 2" for part in ("hip", "knee")}
+_SEEN = "least(" + ", ".join(_xyc(f"{side}_{part}")[2] for side in ("left", "right") for part in ("hip", "knee")) + ") >= 3"
+
+
+@query("p15_joint_angles", "SELECT event_id, " + ", ".join(f"{_angle_sql(n)} AS {joint}" for joint, n in C.JOINTS.items()) + " FROM trk")
+def p15(spark, d):
+    angles = X.keypoints(spark, d, {n: _xyc(n) for n in POINTS}).withColumn("angles", C.joint_angles("points", 0.3))
+    return angles.select("event_id", *[F.try_element_at("angles", F.lit(joint)).alias(joint) for joint in C.JOINTS])
+
+
 @query(
     "p15_posture",
-    "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'unknown' WHEN k / greatest(j, 0.01) < 0.2 THEN 'sitting' WHEN k / greatest(j, 0.01) < 0.45 THEN 'crouching' ELSE 'standing' END AS posture, "
-    "round_even(degrees(acos(greatest(-1, least(1, k / nullif(sqrt(k * k + j * j), 0))))), 1) AS angle FROM trk",
+    f"SELECT event_id, CASE WHEN NOT ({_SEEN}) THEN 'unknown' WHEN ({_MID['knee']} - {_MID['hip']}) / greatest({_MID['hip']}, 0.01) < 0.2 THEN 'sitting' "
+    f"WHEN ({_MID['knee']} - {_MID['hip']}) / greatest({_MID['hip']}, 0.01) < 0.45 THEN 'crouching' ELSE 'standing' END AS posture FROM trk",
 )
-def p15(spark, d):
-    hip = F.when(F.col("event_id") % 11 != 0, F.col("j"))
-    zero = F.lit(0)
-    return X.trk(spark, d).select("event_id", C.posture(hip, F.col("j") + F.col("k")).alias("posture"), C.joint_angle(F.lit(1), zero, zero, zero, F.col("k"), F.col("j")).alias("angle"))
+def p15_posture(spark, d):
+    return X.keypoints(spark, d, {n: _xyc(n) for n in POINTS}).select("event_id", C.posture_of("points", 0.3).alias("posture"))
 
 
 @query("p19_fire_smoke_flags", "SELECT event_id, CASE WHEN k / 10000 >= 0.003 THEN 'fire' WHEN j / 1000 >= 0.04 THEN 'smoke' END AS kind FROM trk")
@@ -190,6 +219,12 @@ def j3b(spark, d):
     return J.stitch_tracks(segments(spark, d), max_gap=5.0)
 
 
+@query("j3_inherited_entries")
+def j3c(spark, d):
+    s = segments(spark, d).withColumn("has_entered", F.pmod(F.xxhash64("seg"), F.lit(5)) == 0)
+    return J.inherited(s, J.stitch_tracks(s, max_gap=5.0)).select("seg", "track", "has_entered")
+
+
 @query("j4_camera_offline", f", p AS (SELECT camera_id, max(fast_us) AS last_us FROM trk WHERE NOT (camera_id = 'camera_2' AND fast_us > {AS_OF - 200_000_000}) AND fast_us <= {AS_OF} GROUP BY 1) SELECT camera_id, last_us FROM p JOIN {base.CAMERAS} c USING (camera_id) WHERE enabled AND {AS_OF} - last_us > 45000000")
 def j4(spark, d):
     pings = X.trk(spark, d).select("camera_id", F.col("fast_us").alias("ts_us")).where(F.col("ts_us") <= AS_OF)

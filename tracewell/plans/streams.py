@@ -79,16 +79,22 @@ def t4(spark, d):
     return T.run_available(T.crossings(tracking(spark, d), seq.lines(spark)))
 
 
-@query("t5_stream_zone_state", seq.STOPS + " SELECT person, zone, cam, entry_us, exit_us FROM stops WHERE exit_us IS NOT NULL")
+@query(
+    "t5_stream_zone_state",
+    seq.STOPS + " SELECT person, zone, cam, entry_us, exit_us, list(zone) OVER (PARTITION BY person ORDER BY stop ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS trail FROM stops WHERE exit_us IS NOT NULL",
+)
 def t5(spark, d):
     return T.run_available(T.zone_state(tracking(spark, d)))
 
 
 @query("t6_stream_alerts")
 def t6(spark, d):
-    t = tracking(spark, d)
-    c = t.where("zone = 'unknown'").select(F.lit("dwell").alias("type"), F.col("camera_id").alias("entity"), "time", "ts_us", "camera_id")
-    return T.run_available(T.alerts(c, E.COOLDOWNS))
+    log = timed(X.occupancy_log(_Stream(spark), d, "fast_us"))
+    dwell = T.run_available(T.dwell_alerts(tracking(spark, d), E.COOLDOWNS))
+    # a stream of candidates of its own, which the cooldown then reads as one
+    surge = T.run_available(T.surge_candidates(log))
+    again = spark.readStream.schema(surge.schema).parquet(T.folder_of(surge)) if surge.inputFiles() else None
+    return dwell if again is None else dwell.union(T.run_available(T.alerts(again, E.COOLDOWNS)))
 
 
 @query("t7_stream_camera_offline")
@@ -99,15 +105,30 @@ def t7(spark, d):
 
 @query("t8_stream_to_landing", "SELECT strftime(make_timestamp(us), '%Y-%m-%d') AS day, count(*) AS rows FROM trk GROUP BY 1")
 def t8(spark, d):
-    import uuid
-
-    path = f"{T.shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    path = T.new_folder(spark, "landing")
     log = timed(X.tracking(_Stream(spark), d)).withColumn("client_id", F.lit("c1")).withColumn("store_id", F.col("camera_id"))
     T.to_landing(log, f"{path}/rows", f"{path}/state", None, "time").awaitTermination()
     back = spark.read.parquet(f"{path}/rows")
     return back.groupBy(F.date_format(F.make_date("year", "month", "day"), "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("rows"))
 
 
-@query("t9_late_rows", ", d AS (SELECT us // 86400000000 AS day, us AS ts_us, max(us) OVER (PARTITION BY us // 86400000000 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM trk) SELECT day, count(*) AS rows, count(*) FILTER (ts_us < newest - 600000000) AS late FROM d GROUP BY 1")
+#: Rows arrive in eight files by event_id; every 97th comes one file and a half late.
+ARRIVAL = "least(7, (event_id * 8) // (SELECT max(event_id) + 1 FROM trk) + CASE WHEN event_id % 97 = 0 THEN 3 ELSE 0 END)"
+
+
+@query(
+    "t9_late_rows",
+    f", r AS (SELECT event_id, us // 1000 * 1000 AS us, {ARRIVAL} AS f FROM trk), m AS (SELECT f, max(us) AS top FROM r GROUP BY 1), "
+    "w AS (SELECT x.f, max(y.top) - 600000000 AS low FROM m x JOIN m y ON y.f < x.f - 1 GROUP BY 1) "
+    "SELECT us // 86400000000 AS day, count(*) AS rows, count(*) FILTER (coalesce(us <= low, false)) AS late FROM r LEFT JOIN w USING (f) GROUP BY 1",
+)
 def t9(spark, d):
-    return T.late_rows(X.trk(spark, d).select("event_id", F.col("us").alias("ts_us")))
+    rows = X.trk(spark, d).select("event_id", F.expr("us div 1000 * 1000").alias("ts_us"))
+    most = rows.agg((F.max("event_id") + 1).alias("most"))
+    at = F.least(F.lit(7), F.expr("event_id * 8 div most") + F.when(F.col("event_id") % 97 == 0, 3).otherwise(0))
+    rows = rows.crossJoin(most).withColumn("f", at).drop("most")
+    path = T.new_folder(spark, "arrivals")
+    for f in range(8):  # one after the other: a stream reads files by their time
+        rows.where(F.col("f") == f).drop("f").coalesce(1).write.mode("append").parquet(path)
+    stream = timed(spark.readStream.schema("event_id long, ts_us long").option("maxFilesPerTrigger", 1).parquet(path))
+    return T.late_rows(rows, T.run_available(T.on_time(stream)))

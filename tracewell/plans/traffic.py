@@ -219,6 +219,12 @@ def a16(spark, d):
     return A.fleet_health(t)
 
 
+@query("a16_camera_status", "SELECT user_id % 20 AS device, camera_id, max_by(k % 30, event_id) > 0 AS active, printf('%.1f', max_by(k % 30, event_id)::DOUBLE) AS fps FROM trk GROUP BY ALL")
+def a16_status(spark, d):
+    t = X.trk(spark, d).select((F.col("user_id") % 20).alias("device"), "camera_id", (F.col("k") % 30).cast("double").alias("fps"), F.col("event_id").alias("ts"))
+    return A.camera_status(t)
+
+
 @query("a17_job_metrics", "SELECT event_type AS status, count(*) AS jobs, round_even(avg(value), 2) AS avg_ms, max(value) AS max_ms, min(value) AS min_ms FROM trk GROUP BY 1")
 def a17(spark, d):
     return A.job_metrics(X.trk(spark, d).select(F.col("event_type").alias("status"), F.col("value").alias("inference_ms")))

@@ -73,6 +73,12 @@ def tracking(spark: SparkSession, sf_dir: str, clock: str = "us") -> DataFrame:
     )
 
 
+def keypoints(spark: SparkSession, sf_dir: str, places: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """One row per event with `points`, a map of name to struct<x, y, conf>: expressions of x, y and ten times the confidence."""
+    point = lambda x, y, n: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"), (F.expr(n).cast("double") / 10).alias("conf"))
+    return trk(spark, sf_dir).withColumn("points", F.create_map(*[v for name, (x, y, n) in places.items() for v in (F.lit(name), point(x, y, n))]))
+
+
 def occupancy_log(spark: SparkSession, sf_dir: str, clock: str = "us") -> DataFrame:
     kind = F.when(F.col("event_type").isin("signup", "view"), "entry").when(F.col("event_type") == "purchase", "exit")
     return trk(spark, sf_dir).select("event_id", F.col(clock).alias("ts_us"), kind.alias("event_type"), "track_id", "camera_id").where("event_type is not null")

@@ -7,30 +7,26 @@ watermark are dropped, which the batch jobs never do.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.functions.columns import person_id
+from tracewell.operators.alerts import CHECKOUT_ZONES, TICK_US
 from tracewell.sources.logs import LANDING, landing_columns
+from tracewell.sources.shared import folder_of, new_folder  # noqa: F401
 
 LATE = "10 minutes"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both write: spark.checkpoint.dir, or beside the warehouse where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-
-
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into Parquet, and read it back."""
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stream")
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
@@ -103,24 +99,92 @@ def crossings(tracking: DataFrame, lines: DataFrame, exit_cooldown: float = 8.0,
     )
 
 
-def zone_state(tracking: DataFrame, late: str = LATE) -> DataFrame:
-    """Closed stops (person, zone, cam, entry_us, exit_us) as they close; state: the open stop of each person."""
+SEP = "\x1f"
+
+
+def zone_state(tracking: DataFrame, keep: int = 10, silence: str = "1 day", late: str = LATE) -> DataFrame:
+    """Closed stops (person, zone, cam, entry_us, exit_us, trail) as they close; trail: the zones of the person's
+    last `keep` closed stops, this one last.
+
+    State: the open stop and the trail of each person, given up after `silence` without a row.
+    """
+    seconds = int(pd.Timedelta(silence).total_seconds())
     rows = tracking.withWatermark("time", late).select(person_id().alias("person"), "time", "ts_us", "event_id", "camera_id", F.coalesce("zone", F.lit("")).alias("zone"))
 
     def step(key, batches, state: GroupState):
-        zone, cam, entry = state.get if state.exists else (None, None, None)
-        out = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        zone, cam, entry, trail = state.get if state.exists else (None, None, None, "")
+        seen = trail.split(SEP) if trail else []
+        out, newest = [], 0
         for r in _sorted(batches).itertuples():
             if r.zone != zone:
                 if zone and r.zone:
-                    out.append((key[0], zone, cam, entry, r.ts_us))
+                    seen = [*seen, zone][-keep:]
+                    out.append((key[0], zone, cam, entry, r.ts_us, list(seen)))
+                zone, entry = r.zone, r.ts_us
+            cam, newest = r.camera_id, r.ts_us
+        state.update((zone, cam, int(entry), SEP.join(seen)))
+        state.setTimeoutTimestamp(max(newest // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["person", "zone", "cam", "entry_us", "exit_us", "trail"])
+
+    return rows.groupBy("person").applyInPandasWithState(
+        step, "person string, zone string, cam string, entry_us long, exit_us long, trail array<string>", "zone string, cam string, entry long, trail string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def dwell_alerts(tracking: DataFrame, cooldowns: dict[str, float], dwell_minutes: int = 5, loiter_minutes: int = 10, skip: tuple[str, ...] = CHECKOUT_ZONES, silence: str = "1 day", late: str = LATE) -> DataFrame:
+    """Dwell and loitering alerts (type, entity, ts_us, camera_id) that fire, from the open stop of each person.
+
+    A candidate is a tick at which the person has been in the zone long enough.  State: the open stop,
+    the last tick looked at, and the last alert of either type.
+    """
+    seconds = int(pd.Timedelta(silence).total_seconds())
+    rows = tracking.withWatermark("time", late).select(person_id().alias("person"), "time", "ts_us", "event_id", "camera_id", F.coalesce("zone", F.lit("")).alias("zone"))
+    kinds = (("dwell", "", dwell_minutes), ("loitering", "loiter_", loiter_minutes))
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        zone, entry, done, *last = state.get if state.exists else (None, 0, 0, -1, -1)
+        out, newest = [], 0
+        for r in _sorted(batches).itertuples():
+            until = (r.ts_us if r.zone == zone else r.ts_us - 1) // TICK_US
+            if zone:
+                for i, (kind, prefix, minutes) in enumerate(kinds):
+                    if kind == "loitering" and zone.lower() in skip:
+                        continue
+                    gap = int(cooldowns.get(kind, 0.0) * 1e6)
+                    tick = max(-(-(entry + minutes * 60_000_000) // TICK_US), done + 1)
+                    while tick <= until:
+                        if last[i] < 0 or tick * TICK_US - last[i] >= gap:
+                            last[i] = tick * TICK_US
+                            out.append((kind, f"{prefix}{key[0]}", last[i], r.camera_id))
+                        tick = max(tick + 1, -(-(last[i] + gap) // TICK_US))
+            if r.zone != zone:
                 zone, entry = r.zone, r.ts_us
-            cam = r.camera_id
-        state.update((zone, cam, entry))
+            done, newest = max(done, until), r.ts_us
+        state.update((zone, int(entry), int(done), int(last[0]), int(last[1])))
+        state.setTimeoutTimestamp(max(newest // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=["person", "zone", "cam", "entry_us", "exit_us"])
+            yield pd.DataFrame(out, columns=["type", "entity", "ts_us", "camera_id"])
+
+    return rows.groupBy("person").applyInPandasWithState(
+        step, "type string, entity string, ts_us long, camera_id string", "zone string, entry long, done long, dwell long, loitering long", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
-    return rows.groupBy("person").applyInPandasWithState(step, "person string, zone string, cam string, entry_us long, exit_us long", "zone string, cam string, entry long", "append", GroupStateTimeout.NoTimeout)
+
+def surge_candidates(log: DataFrame, window: int = 120, least: int = 12, late: str = LATE) -> DataFrame:
+    """(type, entity, time, ts_us, camera_id): ticks with at least `least` entries in the seconds before, the tick included."""
+    slot = F.timestamp_micros(F.expr(f"(ts_us + {TICK_US - 1}) div {TICK_US} * {TICK_US}"))
+    entries = log.where("event_type = 'entry'").select(slot.alias("time")).withWatermark("time", late)
+    step = TICK_US // 1_000_000
+    n = entries.groupBy(F.window("time", f"{window} seconds", f"{step} seconds").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    at = F.col("w.end") - F.expr(f"INTERVAL {step} SECONDS")
+    return n.select(F.lit("surge").alias("type"), F.lit("").alias("entity"), at.alias("time"), F.unix_micros(at).alias("ts_us"), F.lit("").alias("camera_id"))
 
 
 def alerts(candidates: DataFrame, cooldowns: dict[str, float], late: str = LATE) -> DataFrame:
@@ -171,13 +235,16 @@ def to_landing(log: DataFrame, path: str, checkpoint: str, every: str | None = "
     return (w.trigger(availableNow=True) if every is None else w.trigger(processingTime=every)).start()
 
 
-def late_rows(rows: DataFrame, late_seconds: int = 600) -> DataFrame:
-    """Batch count of rows that a watermark would drop, per day: those older than the newest earlier row by more than the delay."""
-    from pyspark.sql import Window
+def on_time(rows: DataFrame, late: str = LATE) -> DataFrame:
+    """(event_id, time) of rows that a watermark lets through, each once."""
+    return rows.withWatermark("time", late).select("event_id", "time").dropDuplicates(["event_id", "time"])
+
 
-    w = Window.partitionBy("day").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    d = rows.withColumn("day", F.expr("ts_us div 86400000000")).withColumn("newest", F.max("ts_us").over(w))
-    return d.groupBy("day").agg(F.count("*").alias("rows"), F.count(F.when(F.col("ts_us") < F.col("newest") - late_seconds * 1_000_000, 1)).alias("late"))
+def late_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """(day, rows, late): rows of a batch copy of the stream per day, and those that the stream dropped."""
+    k = kept.select(F.col("event_id").alias("_k")).distinct()
+    d = rows.withColumn("day", F.expr("ts_us div 86400000000")).join(k, F.col("event_id") == F.col("_k"), "left")
+    return d.groupBy("day").agg(F.count("*").alias("rows"), F.count(F.when(F.col("_k").isNull(), 1)).alias("late"))
 
 
 EVENTS = T.StructType(
