@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import kernels as K
-from tracewell.llm.frames import col, cut, drop_cut, release
+from tracewell.llm.frames import col, cut, drop_cut
 
-BLOCK_BYTES = 12 << 20
+BLOCK_ENTRIES = 250_000  # minimisers, and documents, that a task packs at once
 BLOCK_DOCS = 60_000
+CHUNK_BYTES = 1 << 18
 PART = 2_000  # strings of a minimiser per part of its bucket
-SHARD_BYTES = 1 << 19
-SEEN_BYTES = 24 << 20  # strings that a task remembers before it sends them
+SHARD_BYTES = 2 << 20  # strings, equal ones included, that a shard is made of
+SEEN_BYTES = 12 << 20  # strings that a task remembers before it sends them
 _LOW = (1 << 48) - 1
 
 
@@ -120,7 +121,7 @@ def text_id(text: bytes) -> int:
 _BLOBS = T.StructType(
     [T.StructField("r", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("z", T.BinaryType())]
 )
-_ENTRY, _ITEM, _DOC, _HOT = 0, 1, 2, 3
+_ENTRY, _ITEM, _HOT, _DOC = 0, 1, 2, 3
 
 
 def _blobs(docs: DataFrame, units: Units, ranges: int) -> DataFrame:
@@ -190,7 +191,7 @@ def _blobs(docs: DataFrame, units: Units, ranges: int) -> DataFrame:
         fresh()
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
-            for i, size in K.slices(b.column(1)):
+            for i, size in K.slices(b.column(1), CHUNK_BYTES):
                 c = K.chunk(b.column(1).slice(i, size))
                 h, of, start, n = minimiser_runs(c, units)
                 base = len(state["doc"])
@@ -207,8 +208,8 @@ def _blobs(docs: DataFrame, units: Units, ranges: int) -> DataFrame:
                         state["first"][digest] = base + j
                     state["doc"].append(key)
                     state["did"].append(text_id(text))
-                state["size"] += len(c.data)
-                if state["size"] >= BLOCK_BYTES or len(state["doc"]) >= BLOCK_DOCS:
+                state["size"] += len(h)
+                if state["size"] >= BLOCK_ENTRIES or len(state["doc"]) >= BLOCK_DOCS:
                     yield from flush()
                     fresh()
         yield from flush()
@@ -216,71 +217,108 @@ def _blobs(docs: DataFrame, units: Units, ranges: int) -> DataFrame:
     return docs.mapInArrow(run, _BLOBS)
 
 
-_FOUND = T.StructType(
-    [
-        T.StructField("kind", T.IntegerType()),
-        T.StructField("block", T.LongType()),
-        T.StructField("idx", T.IntegerType()),
-        T.StructField("h", T.LongType()),
-        T.StructField("start", T.IntegerType()),
-        T.StructField("n", T.IntegerType()),
-        T.StructField("doc", T.LongType()),
-        T.StructField("did", T.LongType()),
-    ]
-)
+_FOUND = "kind int, block long, r long, z binary"
 
 
-def _found(kind: int, **columns) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    zero = np.zeros(size, dtype=np.int64)
-    arrays = [pa.array(np.full(size, kind) if f.name == "kind" else columns.get(f.name, zero)).cast(pa.int32() if f.dataType == T.IntegerType() else pa.int64()) for f in _FOUND]
-    return pa.RecordBatch.from_arrays(arrays, _FOUND.names)
+def _found(kind: int, block: int, r: int, z: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([r], pa.int64()), pa.array([z], pa.binary())], [x.split()[0] for x in _FOUND.split(", ")])
 
 
 def _meet(blobs: DataFrame, partitions: int) -> DataFrame:
-    """Entries whose minimiser lies in several documents, those of blocks passed on,
-    documents of blocks, and minimisers with over PART entries."""
+    """By block: packed entries whose minimiser lies in several documents (those shared in the block are
+    passed on), its minimisers with over PART entries anywhere and the number of their parts, its documents."""
 
     def shared(r: int, parts: list[tuple[int, bytes]]):
-        cols = [(block, *_unpack(z)) for block, z in parts]
-        block = np.concatenate([np.full(len(x[1]), x[0]) for x in cols])
-        h, idx, start, n, count = (np.concatenate([x[i] for x in cols]) for i in range(1, 6))
-        order = np.lexsort((block, h))
-        block, h, idx, start, n, count = (x[order] for x in (block, h, idx, start, n, count))
-        at = np.flatnonzero(np.diff(h, prepend=-1))
-        several = block[at] != block[np.append(at[1:], len(h)) - 1]
-        group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
-        name = h | (np.int64(r) << 48)
-        out = several[group] & (count == 0)
-        if out.any():
-            yield _found(_ITEM, block=block[out], idx=idx[out], h=name[out], start=start[out], n=n[out])
-        total = np.add.reduceat(np.maximum(count, 1), at)
-        hot = total > PART
-        if hot.any():
-            yield _found(_HOT, h=name[at[hot]], n=np.minimum(total[hot] // PART + 1, 1 << 30))
+        cols = [_unpack(z) for _, z in parts]
+        at_block = np.repeat(np.arange(len(cols)), [len(x[0]) for x in cols])
+        h, count = (np.concatenate([x[i] for x in cols]) for i in (0, 4))
+        order = np.argsort(h, kind="stable")
+        sorted_h, of = h[order], at_block[order]
+        at = np.flatnonzero(np.diff(sorted_h, prepend=-1))
+        size = np.diff(np.append(at, len(h)))
+        several = np.empty(len(h), dtype=bool)
+        several[order] = np.repeat(of[at] != of[np.append(at[1:], len(h)) - 1], size)
+        total = np.add.reduceat(np.maximum(count[order], 1), at)
+        split = np.empty(len(h), dtype=np.int64)
+        split[order] = np.repeat(np.where(total > PART, np.minimum(total // PART + 1, 1 << 30), 1), size)
+        # entries that stand for some of their block are passed on by it
+        out = several & (count == 0)
+        first = 0
+        for (block, _), (own, idx, start, n, _) in zip(parts, cols, strict=True):
+            mine, hot = out[first : first + len(own)], split[first : first + len(own)]
+            first += len(own)
+            if mine.any():
+                z = _pack(own[mine].view(np.uint64), idx[mine], start[mine], n[mine], np.zeros(int(mine.sum()), dtype=np.int64))
+                yield _found(_ITEM, block, r, z)
+            if (hot > 1).any():
+                yield _found(_HOT, block, r, np.concatenate([own[hot > 1], hot[hot > 1]]).tobytes())
 
     def run(batches):
         r, parts = None, []
         for b in batches:
-            for now, kind, block, z in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if kind & 3 == _ITEM:
-                    h, idx, start, n, _ = _unpack(z)
-                    yield _found(_ITEM, block=np.full(len(h), block), idx=idx, h=h | (np.int64(kind >> 2) << 48), start=start, n=n)
-                elif kind == _DOC:
-                    idx, doc, did = np.frombuffer(z, dtype="<i8").reshape(3, -1)
-                    yield _found(_DOC, block=np.full(len(idx), block), idx=idx, doc=doc, did=did)
-                else:
-                    if now != r and parts:
-                        yield from shared(r, parts)
-                        parts = []
-                    r = now
-                    parts.append((block, z))
+            for i in range(0, b.num_rows, 256):
+                for now, kind, block, z in zip(*(x.to_pylist() for x in b.slice(i, 256).columns), strict=True):
+                    if kind & 3 == _ITEM:
+                        yield _found(_ITEM, block, kind >> 2, z)
+                    elif kind == _DOC:
+                        yield _found(_DOC, block, 0, z)
+                    else:
+                        if now != r and parts:
+                            yield from shared(r, parts)
+                            parts = []
+                        r = now
+                        parts.append((block, z))
         if parts:
             yield from shared(r, parts)
 
     return blobs.repartition(partitions, "r").sortWithinPartitions("r").mapInArrow(run, _FOUND)
 
 
+_OWNED = "doc long, did long, items binary"
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    """(doc, did, items): each document's entries (hash, first window, number of windows, parts: int64 columns), met by block."""
+    rows = found.select("block", "kind", "r", "z").repartition("block").sortWithinPartitions("block", "kind")
+
+    def owned(parts: list[tuple[int, bytes]], hot: list[tuple[int, bytes]], doc: bytes):
+        if not parts:
+            return
+        cols = [_unpack(z)[:4] for _, z in parts]
+        h = np.concatenate([x[0] | (np.int64(r) << 48) for (r, _), x in zip(parts, cols, strict=True)])
+        idx, start, n = (np.concatenate([x[i] for x in cols]) for i in (1, 2, 3))
+        split = np.ones(len(h), dtype=np.int64)
+        if hot:
+            both = [np.frombuffer(z, dtype="<i8").reshape(2, -1) for _, z in hot]
+            many = np.concatenate([x[0] | (np.int64(r) << 48) for (r, _), x in zip(hot, both, strict=True)])
+            many, at = np.unique(many, return_index=True)
+            at = np.concatenate([x[1] for x in both])[at]
+            k = np.minimum(np.searchsorted(many, h), len(many) - 1)
+            split = np.where(many[k] == h, at[k], 1)
+        order = np.lexsort((start, idx))
+        columns = [x[order] for x in (h, start, n, split)]
+        idx = idx[order]
+        at = np.flatnonzero(np.diff(idx, prepend=-1))
+        items = [np.concatenate([x[a:z] for x in columns]).tobytes() for a, z in zip(at, np.append(at[1:], len(idx)), strict=True)]
+        used, docs, dids = np.frombuffer(doc, dtype="<i8").reshape(3, -1)
+        k = np.searchsorted(used, idx[at])
+        yield pa.RecordBatch.from_arrays([pa.array(docs[k]), pa.array(dids[k]), pa.array(items, pa.binary())], ["doc", "did", "items"])
+
+    def run(batches):
+        block, parts, hot = None, [], []
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                for now, kind, r, z in zip(*(x.to_pylist() for x in b.slice(i, 256).columns), strict=True):
+                    if now != block:
+                        block, parts, hot = now, [], []
+                    if kind == _DOC:  # comes once, after the others
+                        yield from owned(parts, hot, z)
+                    else:
+                        (parts if kind == _ITEM else hot).append((r, z))
+
+    return rows.mapInArrow(run, _OWNED)
+
+
 def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, text): rows with a key; null texts are empty."""
     return docs.where(col(key).isNotNull()).select(col(key).cast("long").alias("doc"), F.coalesce(col(text), F.lit("")).alias("text"))
@@ -290,10 +328,11 @@ def _packed(rows: DataFrame) -> DataFrame:
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            texts = [x.encode() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([text_id(t) for t in texts], pa.int64()), pa.array([pack.compress(t) for t in texts], pa.binary())], ["doc", "did", "z"]
-            )
+            for i, n in K.slices(b.column(1)):
+                texts = b.column(1).slice(i, n).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, n), pa.array([text_id(t) for t in texts], pa.int64()), pa.array([pack.compress(t) for t in texts], pa.binary())], ["doc", "did", "z"]
+                )
 
     return rows.mapInArrow(run, "doc long, did long, z binary")
 
@@ -311,23 +350,22 @@ def _strings(candidates: DataFrame, units: Units) -> DataFrame:
         least: dict[tuple[int, bytes], int] = {}
         held = 0
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
                 runs = []
                 if held > SEEN_BYTES:
                     least.clear()
                     held = 0
                 for doc, did, z, items in zip(*(x.to_pylist() for x in part.columns), strict=True):
                     text = units.split(unpack.decompress(z))
-                    for x in items:
-                        a, n = x["start"], x["n"]
-                        runs.append((x["h"], units.join(text[a : a + n + units.k - 1]), doc, did, a, n, x["parts"]))
-                for h, s, doc, *_ in runs:
-                    known = least.get((h, s))
-                    if known is None:
-                        held += len(s) + 200
-                    if known is None or known > doc:
-                        least[h, s] = doc
+                    for h, a, n, parts in zip(*np.frombuffer(items, dtype="<i8").reshape(4, -1).tolist(), strict=True):
+                        s = units.join(text[a : a + n + units.k - 1])
+                        runs.append((h, s, doc, did, a, n, parts))
+                        known = least.get((h, s))
+                        if known is None:
+                            held += len(s) + 200
+                        if known is None or known > doc:
+                            least[h, s] = doc
                 rows = []
                 for h, s, doc, did, a, n, parts in runs:
                     if doc > least[h, s]:
@@ -337,7 +375,7 @@ def _strings(candidates: DataFrame, units: Units) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return candidates.mapInArrow(run, _STRINGS)
+    return candidates.select("doc", "did", "z", "items").mapInArrow(run, _STRINGS)
 
 
 #: From strings and their keys, in one shard: (row, first window, number of windows) that start in a
@@ -385,22 +423,25 @@ def _buckets(strings: DataFrame, units: Units, finder: Finder) -> DataFrame:
 
     def run(batches):
         held, size, last = [], 0, None
-        for b in batches:
-            out = []
-            for r in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if r[0] == 1:
-                    out.append((1, r[4], r[5], r[6], r[7], None))
-                    continue
-                if r[1:3] != last and size >= SHARD_BYTES:
-                    out += solve(held)
-                    held, size = [], 0
-                last = r[1:3]
-                held.append(r)
-                size += len(r[8])
+        def batch(out: list[tuple]):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-        if out := solve(held):
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                out = []
+                for r in zip(*(x.to_pylist() for x in b.slice(i, 2048).columns), strict=True):
+                    if r[0] == 1:
+                        out.append((1, r[4], r[5], r[6], r[7], None))
+                        continue
+                    if r[1:3] != last and size >= SHARD_BYTES:
+                        out += solve(held)
+                        held, size = [], 0
+                    last = r[1:3]
+                    held.append(r)
+                    size += len(r[8])
+                yield from batch(out)
+        yield from batch(solve(held))
 
     return strings.repartition("h", "part").sortWithinPartitions("h", "part", "doc").mapInArrow(run, _HITS)
 
@@ -423,13 +464,12 @@ def described(docs: DataFrame, units: Units, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for doc, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t = x.encode()
-                digest = K.sha256_hex(t)
-                body = units.split(t)
-                out.append((doc, text_id(t), digest, len(body), K.sha256_hex(b" ".join(body)) if units.words else digest))
-            if out:
+            for i, n in K.slices(b.column(1)):
+                out = []
+                for doc, t in zip(b.column(0).slice(i, n).to_pylist(), b.column(1).slice(i, n).cast(pa.binary()).to_pylist(), strict=True):
+                    digest = K.sha256_hex(t)
+                    body = units.split(t)
+                    out.append((doc, text_id(t), digest, len(body), K.sha256_hex(b" ".join(body)) if units.words else digest))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _META.split(", ")])
 
@@ -437,8 +477,8 @@ def described(docs: DataFrame, units: Units, key: str, text: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, meta: DataFrame, units: Units, finder: Finder, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, cuts): packed texts (doc, did, z), and the unit ranges [start, end) of each that are
-    covered by windows that also start in a document of a smaller key (doc, did, cuts).
+    """(texts, cuts): packed texts (doc, did, z), and the unit ranges of each that are
+    covered by windows that also start in a document of a smaller key (doc, did, cuts: start * 2^32 + length).
 
     meta: (doc, did, rep), rep the smallest key with an equal text; only
     representatives are looked into.
@@ -446,27 +486,19 @@ def repeats(docs: DataFrame, meta: DataFrame, units: Units, finder: Finder, key:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = identified(docs, key, text)
     found = cut(_meet(_blobs(rows, units, 4 * parts), parts), "minimisers")
-    items = found.where(F.col("kind") == _ITEM).select("block", "idx", "h", "start", "n")
-    owners = found.where(F.col("kind") == _DOC).select("block", "idx", "doc", "did")
-    owners = owners.join(meta.where("doc = rep").select("doc", "did").distinct(), ["doc", "did"])
-    # a table of its own, so that its size is known before the join is planned
-    hot = cut(found.where(F.col("kind") == _HOT).select("h", F.col("n").alias("parts")), "hot")
-    items = items.join(hot, "h", "left")
-    runs = F.collect_set(F.struct("h", "start", "n", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("items")
-    # a document's entries meet once, by the number it has in its block; only then its key comes in
-    grouped = items.groupBy("block", "idx").agg(runs).join(owners, ["block", "idx"]).select("doc", "did", "items")
-    release(docs.sparkSession)
-    texts = cut(_packed(rows).join(grouped, ["doc", "did"]).dropDuplicates(["doc", "did"]), "texts")
-    for done in (found, hot):
-        drop_cut(done)
-    release(docs.sparkSession)
-    hits = cut(_buckets(_strings(texts.select("doc", "did", "z", "items"), units), units, finder), "hits")
-    release(docs.sparkSession)
+    owned = _by_document(found).join(meta.where("doc = rep").select("doc", "did").distinct(), ["doc", "did"])
+    # rows may repeat key and text: their entries are the same
+    owned = owned.groupBy("doc", "did").agg(F.first("items").alias("items"))
+    texts = cut(_packed(rows).join(owned, ["doc", "did"]).dropDuplicates(["doc", "did"]), "texts")
+    drop_cut(found)
+    hits = cut(_buckets(_strings(texts, units), units, finder), "hits")
     parted = hits.where("kind = 2")
     least = parted.groupBy("digest").agg(F.min("doc").alias("least")).withColumnRenamed("digest", "_digest")
     across = parted.join(least, F.col("digest") == F.col("_digest")).where("doc > least").select("doc", "did", "start", "n")
     every = hits.where("kind = 1").select("doc", "did", "start", "n").union(across)
-    cuts = every.groupBy("doc", "did").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (units.k - 1)).alias("end"))).alias("cuts"))
+    # first unit and number of units as one number: start < 2^31
+    span = F.shiftleft(F.col("start").cast("long"), 32) + F.col("n") + (units.k - 1)
+    cuts = every.groupBy("doc", "did").agg(F.collect_list(span).alias("cuts"))
     return texts.select("doc", "did", "z"), cuts
 
 
@@ -506,11 +538,13 @@ def cut_texts(texts: DataFrame, cuts: DataFrame, units: Units) -> DataFrame:
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            for i in range(0, b.num_rows, 256):
+            for i in range(0, b.num_rows, 64):
                 out = []
-                for doc, did, z, spans in zip(*(x.to_pylist() for x in b.slice(i, 256).columns), strict=True):
+                part = b.slice(i, 64)
+                for r, (doc, did, z) in enumerate(zip(*(x.to_pylist() for x in part.columns[:3]), strict=True)):
                     body = units.split(unpack.decompress(z))
-                    mask = K.cover(len(body), np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans]))
+                    spans = part.column(3)[r].values.to_numpy()
+                    mask = K.cover(len(body), spans >> 32, (spans >> 32) + (spans & 0xFFFFFFFF))
                     first, last = K.runs(mask, np.array([0, len(mask)]))
                     kept, at = [], 0
                     for x, y in zip(first.tolist(), last.tolist(), strict=True):

@@ -1,146 +1,199 @@
 """Exact substring deduplication over bytes with suffix arrays.
 
-A shard's strings are laid end to end behind separators that occur once.  The
-suffix array comes from induced sorting: suffixes are classified as smaller or
-larger than their successor, the leftmost-smaller substrings are sorted (by
-recursion where they repeat), and all other suffixes are induced from them in
-two linear scans.  Common prefixes are computed in text order (permuted), and
-runs of suffixes that share k bytes or more are the repeats.  Strings none of
-whose window hashes recurs in the shard are left out of its suffix array.
+A shard's strings are laid end to end, a separator behind each.  The suffix
+array comes from induced sorting: suffixes are classified as smaller or larger
+than their successor, the leftmost-smaller substrings are sorted (by recursion
+where they repeat), and all other suffixes are induced from them in two linear
+scans.  Common prefixes are computed in text order (permuted), and runs of
+suffixes that share k bytes or more inside their strings are the repeats.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewell.llm import kernels as K
 from tracewell.llm.frames import read
 from tracewell.llm.shared_windows import Units, deduplicate, runs_of
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of non-negative integers whose last one is smallest and occurs once."""
+SMALL_ALPHABET = 1024  # up to here buckets are scanned as arrays
+
+
+def _types(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each suffix is smaller than its successor, and the leftmost-smaller positions."""
     n = len(s)
-    if n == 1:
-        return np.zeros(1, dtype=np.int64)
-    # smaller[i]: suffix i < suffix i + 1; equal neighbours have the type of the next different one
+    # equal neighbours have the type of the next different one
     differ = np.append(s[1:] != s[:-1], True)
     rises = np.append(s[:-1] < s[1:], True)
     nxt = np.flatnonzero(differ)
-    smaller = rises[nxt[np.searchsorted(nxt, np.arange(n))]]
-    leftmost = np.flatnonzero(smaller & ~np.append(True, smaller[:-1]))
-    counts = np.bincount(s)
-    tails = np.cumsum(counts)
-    heads = tails - counts
-    text, small = s.tolist(), smaller.tolist()
-
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = tails.tolist()
-        for i in reversed(order):
-            c = text[i]
+    smaller = np.repeat(rises[nxt], np.diff(nxt, prepend=-1))
+    return smaller, np.flatnonzero(smaller & ~np.append(True, smaller[:-1]))
+
+
+def _induced_by_buckets(s: np.ndarray, smaller: np.ndarray, order: np.ndarray, alphabet: int) -> np.ndarray:
+    """Suffix array from leftmost-smaller suffixes in `order`, a bucket of one first symbol at a time.
+
+    A bucket's larger suffixes come from those scanned before, its smaller ones from those scanned
+    after them; suffixes that a bucket induces in itself follow round by round.
+    """
+    by = order[np.argsort(s[order], kind="stable")]
+    edge = np.searchsorted(s[by], np.arange(alphabet + 1))
+    larger: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
+    small: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
+
+    def spread(found: list[np.ndarray], to: list[list[np.ndarray]]) -> None:
+        every = np.concatenate(found)
+        symbol = s[every]
+        at = np.argsort(symbol, kind="stable")
+        every, symbol = every[at], symbol[at]
+        cut = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
+        for a, z in zip(np.append(0, cut).tolist(), np.append(cut, len(every)).tolist(), strict=True):
+            to[symbol[a]].append(every[a:z])
+
+    def scan(c: int, start: list[np.ndarray], last: np.ndarray, kind: bool, to: list[list[np.ndarray]]) -> np.ndarray:
+        """Scan a bucket: what it got so far, what that induces in the bucket itself, then `last`."""
+        got, found = [], []
+        now = np.concatenate(start) if start else last[:0]
+        while len(now):
+            got.append(now)
+            before = now[now > 0] - 1
+            before = before[smaller[before] == kind]
+            own = s[before] == c
+            found.append(before[~own])
+            now = before[own]
+        before = last[last > 0] - 1
+        found.append(before[smaller[before] == kind])
+        if sum(map(len, found)):
+            spread(found, to)
+        return np.concatenate(got) if got else last[:0]
+
+    for c in range(alphabet):
+        larger[c] = [scan(c, larger[c], by[edge[c] : edge[c + 1]], False, larger)]
+    out = []
+    small[int(s[-1])].append(np.array([len(s) - 1]))
+    for c in range(alphabet - 1, -1, -1):
+        mine = scan(c, small[c], larger[c][0][::-1], True, small)
+        out += [mine[::-1], larger[c][0]]
+    return np.concatenate(out[::-1])
+
+
+def _induced_by_suffixes(s: np.ndarray, smaller: np.ndarray, order: np.ndarray, alphabet: int) -> np.ndarray:
+    """The same for large alphabets, whose buckets are small: one suffix at a time."""
+    n = len(s)
+    tails = np.cumsum(np.bincount(s, minlength=alphabet))
+    heads = np.append(0, tails[:-1])
+    # of the suffix before each one: its symbol, or -1 where it is of the other type (or there is none)
+    before_larger = np.append(-1, np.where(smaller[:-1], -1, s[:-1])).tolist()
+    before_smaller = np.append(-1, np.where(smaller[:-1], s[:-1], -1)).tolist()
+    sa = [-1] * n
+    tail = tails.tolist()
+    for i, c in zip(order[::-1].tolist(), s[order[::-1]].tolist(), strict=True):
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = heads.tolist()
+    for j in sa:  # grows behind the scan
+        if j > 0 and (c := before_larger[j]) >= 0:
+            sa[head[c]] = j - 1
+            head[c] += 1
+    tail = tails.tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i]
+        if j > 0 and (c := before_smaller[j]) >= 0:
             tail[c] -= 1
-            sa[tail[c]] = i
-        head = heads.tolist()
-        for j in sa:  # grows behind the scan
-            if j > 0 and not small[j - 1]:
-                c = text[j - 1]
-                sa[head[c]] = j - 1
-                head[c] += 1
-        tail = tails.tolist()
-        for i in range(n - 1, -1, -1):
-            j = sa[i]
-            if j > 0 and small[j - 1]:
-                c = text[j - 1]
-                tail[c] -= 1
-                sa[tail[c]] = j - 1
-        return sa
+            sa[tail[c]] = j - 1
+    return np.array(sa, dtype=np.int64)
+
 
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffix array of non-negative integers whose last one is smallest and occurs once."""
+    n, alphabet = len(s), int(s.max()) + 1
+    if n == 1:
+        return np.zeros(1, dtype=np.int64)
+    small = alphabet <= SMALL_ALPHABET
+    if small:
+        s = s.astype(np.int16)
+    induced = _induced_by_buckets if small else _induced_by_suffixes
+    smaller, leftmost = _types(s)
     if len(leftmost) <= 1:
-        return np.array(induce(leftmost.tolist()), dtype=np.int64)
-    is_leftmost = np.zeros(n, dtype=bool)
-    is_leftmost[leftmost] = True
-    sa = np.array(induce(leftmost.tolist()), dtype=np.int64)
-    order = sa[is_leftmost[sa]]
-    end = dict(zip(leftmost.tolist(), [*(leftmost[1:] + 1).tolist(), n], strict=True))
-    names, name, last = {}, -1, None
-    for i in order.tolist():
-        part = text[i : end[i]]
-        if part != last:
-            name, last = name + 1, part
-        names[i] = name
-    reduced = np.array([names[i] for i in leftmost.tolist()], dtype=np.int64)
-    if name + 1 < len(leftmost):
-        order = leftmost[suffix_array(reduced)]
-    else:
-        order = np.empty_like(leftmost)
-        order[reduced] = leftmost
-    return np.array(induce(order.tolist()), dtype=np.int64)
+        return induced(s, smaller, leftmost, alphabet)
+    place = np.full(n, -1, dtype=np.int64)
+    place[leftmost] = np.arange(len(leftmost))
+    order = place[induced(s, smaller, leftmost, alphabet)]
+    order = order[order >= 0]
+    # leftmost-smaller substrings, each up to the next one's first symbol, in order: equal neighbours get one name
+    length = np.diff(np.append(leftmost, n - 1)) + 1
+    a, b = order[:-1], order[1:]
+    same = length[a] == length[b]
+    left = np.flatnonzero(same)
+    step = 0
+    while len(left):
+        equal = s[leftmost[a[left]] + step] == s[leftmost[b[left]] + step]
+        same[left[~equal]] = False
+        step += 1
+        left = left[equal]
+        left = left[length[a[left]] > step]
+    name = np.append(0, np.cumsum(~same))
+    if name[-1] + 1 < len(leftmost):
+        reduced = np.empty(len(leftmost), dtype=np.int64)
+        reduced[order] = name
+        order = suffix_array(reduced)
+    return induced(s, smaller, leftmost[order], alphabet)
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For each position, the length it has in common with its predecessor in the suffix array."""
+    """For each position, in text order, the length it has in common with its predecessor in the suffix array.
+
+    A position whose symbol before it is the predecessor's too has one less
+    than the position before it; only the others are compared.
+    """
     n = len(s)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
-    text, out, h = s.tolist(), [0] * n, 0
-    for i, j in enumerate(before.tolist()):
-        if j < 0:
-            h = 0
-            continue
-        while text[i + h] == text[j + h]:
-            h += 1
-        out[i] = h
-        if h:
-            h -= 1
-    return np.array(out, dtype=np.int64)
+    at = np.arange(n)
+    known = (before < 1) | (at < 1)
+    known[~known] = s[at[~known] - 1] != s[before[~known] - 1]
+    start = np.flatnonzero(known)
+    length = np.zeros(len(start), dtype=np.int64)
+    live = np.flatnonzero(before[start] >= 0)
+    # eight symbols a step, then one by one
+    word = np.lib.stride_tricks.sliding_window_view(np.append(s, np.zeros(8, s.dtype)), 8)
+    while len(live):
+        x, y = start[live] + length[live], before[start[live]] + length[live]
+        ok = np.maximum(x, y) + 8 <= n
+        ok[ok] = (word[x[ok]] == word[y[ok]]).all(axis=1)
+        length[live[ok]] += 8
+        rest = live[~ok]
+        while len(rest):
+            rest = rest[s[start[rest] + length[rest]] == s[before[start[rest]] + length[rest]]]
+            length[rest] += 1
+        live = live[ok]
+    own = np.cumsum(known) - 1
+    return np.maximum(length[own] - (at - start[own]), 0)
 
 
 def repeated_substrings(k: int):
     """Finder: runs of suffixes with k bytes in common, from the shard's suffix array."""
 
     def find(strings: list[bytes], docs: list[int], hot: list[bool]):
-        rows = candidates(strings, docs, hot)
-        hits, firsts = exact([strings[i] for i in rows], [docs[i] for i in rows], [hot[i] for i in rows]) if rows else ([], [])
-        return [(rows[i], a, n) for i, a, n in hits], [(rows[i], a) for i, a in firsts]
-
-    def candidates(strings: list[bytes], docs: list[int], hot: list[bool]) -> list[int]:
-        """Strings with a window whose hash another document's string has too: no other can hold a repeat."""
-        c = K.chunk(pa.array(strings, pa.binary()))
-        at, h = K.windows(K._BYTE[c.data], c.offsets, k)
-        of = np.searchsorted(c.offsets, at, side="right") - 1
-        order = np.argsort(h)
-        h, doc = h[order], np.array(docs, dtype=np.int64)[of[order]]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        shared = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
-        mine = np.repeat(shared, np.diff(np.append(first, len(h))))
-        keep = np.array(hot, dtype=bool)
-        keep[of[order[mine]]] = True
-        return np.flatnonzero(keep).tolist()
-
-    def exact(strings: list[bytes], docs: list[int], hot: list[bool]):
         q = len(strings)
         sizes = np.array([len(x) for x in strings])
         starts = np.cumsum(sizes + 1) - sizes - 1
-        s = np.zeros(int(sizes.sum()) + q, dtype=np.int64)
-        of = np.repeat(np.arange(q), sizes + 1)
-        flat = np.frombuffer(b"\x00".join([*strings, b""]), dtype=np.uint8)
-        s[:] = flat
-        s += q
-        s[starts + sizes] = np.arange(q - 1, -1, -1)  # separators, the last one smallest
-        used, s = np.unique(s, return_inverse=True)
+        # bytes from 2, 1 behind each string, 0 behind all: what follows a separator never counts
+        s = np.ones(int(sizes.sum()) + q + 1, dtype=np.int16)
+        inside = np.ones(len(s), dtype=bool)
+        inside[starts + sizes] = inside[-1] = False
+        s[inside] = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.int16) + 2
+        s[-1] = 0
         sa = suffix_array(s)
         common = permuted_prefixes(s, sa)[sa]
-        left = (starts + sizes)[of[sa]] - sa  # bytes to the separator
-        whole = left >= k
-        sa, common = sa[whole], common[whole]
+        row = np.repeat(np.arange(q + 1), [*(sizes + 1), 1])[sa]
+        whole = np.append(starts + sizes, 0)[row] - sa >= k  # bytes to the separator
+        sa, common, row = sa[whole], common[whole], row[whole]
         # suffixes too short for a window never lie between two that share k bytes
         at = np.flatnonzero(common < k)
         if not len(at) or at[0] != 0:
             at = np.append(0, at)
-        row = of[sa]
         doc = np.array(docs, dtype=np.int64)[row]
         least = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(sa)))) if len(sa) else doc
         place = sa - starts[row]
