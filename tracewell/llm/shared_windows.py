@@ -277,8 +277,20 @@ def _meet(blobs: DataFrame, partitions: int) -> DataFrame:
 _OWNED = "doc long, did long, items binary"
 
 
+def _items(h: np.ndarray, start: np.ndarray, n: np.ndarray, parts: np.ndarray) -> bytes:
+    small = np.concatenate([np.diff(start, prepend=0), n, parts]).astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(h.astype("<i8").tobytes() + np.ascontiguousarray(small).tobytes())
+
+
+def _entries(items: bytes) -> tuple[list[int], list[int], list[int], list[int]]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(items), dtype=np.uint8)
+    size = len(data) // 20
+    start, n, parts = np.ascontiguousarray(data[8 * size :].reshape(4, -1).T).view("<i4").reshape(3, -1)
+    return data[: 8 * size].view("<i8").tolist(), np.cumsum(start).tolist(), n.tolist(), parts.tolist()
+
+
 def _by_document(found: DataFrame) -> DataFrame:
-    """(doc, did, items): each document's entries (hash, first window, number of windows, parts: int64 columns), met by block."""
+    """(doc, did, items): each document's entries (hash, first window, number of windows, parts), met by block."""
     rows = found.select("block", "kind", "r", "z").repartition("block").sortWithinPartitions("block", "kind")
 
     def owned(parts: list[tuple[int, bytes]], hot: list[tuple[int, bytes]], doc: bytes):
@@ -299,7 +311,7 @@ def _by_document(found: DataFrame) -> DataFrame:
         columns = [x[order] for x in (h, start, n, split)]
         idx = idx[order]
         at = np.flatnonzero(np.diff(idx, prepend=-1))
-        items = [np.concatenate([x[a:z] for x in columns]).tobytes() for a, z in zip(at, np.append(at[1:], len(idx)), strict=True)]
+        items = [_items(*(x[a:z] for x in columns)) for a, z in zip(at, np.append(at[1:], len(idx)), strict=True)]
         used, docs, dids = np.frombuffer(doc, dtype="<i8").reshape(3, -1)
         k = np.searchsorted(used, idx[at])
         yield pa.RecordBatch.from_arrays([pa.array(docs[k]), pa.array(dids[k]), pa.array(items, pa.binary())], ["doc", "did", "items"])
@@ -358,7 +370,7 @@ def _strings(candidates: DataFrame, units: Units) -> DataFrame:
                     held = 0
                 for doc, did, z, items in zip(*(x.to_pylist() for x in part.columns), strict=True):
                     text = units.split(unpack.decompress(z))
-                    for h, a, n, parts in zip(*np.frombuffer(items, dtype="<i8").reshape(4, -1).tolist(), strict=True):
+                    for h, a, n, parts in zip(*_entries(items), strict=True):
                         s = units.join(text[a : a + n + units.k - 1])
                         runs.append((h, s, doc, did, a, n, parts))
                         known = least.get((h, s))
@@ -369,7 +381,11 @@ def _strings(candidates: DataFrame, units: Units) -> DataFrame:
                 rows = []
                 for h, s, doc, did, a, n, parts in runs:
                     if doc > least[h, s]:
-                        rows.append((1, doc * 31 + a, 0, False, doc, did, a, n, None))
+                        # neighbouring runs of a document are one
+                        if rows and rows[-1][0] == 1 and rows[-1][4:6] == (doc, did) and rows[-1][6] + rows[-1][7] == a:
+                            rows[-1] = (*rows[-1][:7], rows[-1][7] + n, None)
+                        else:
+                            rows.append((1, doc * 31 + a, 0, False, doc, did, a, n, None))
                     else:
                         rows.append((0, h, hash((doc, did)) % parts, parts > 1, doc, did, a, n, s))
                 if rows:
