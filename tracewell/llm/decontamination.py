@@ -4,7 +4,8 @@ The n-grams of the benchmark are few; they go to every task as a sorted hash
 array.  Each task scans its texts' windows against it, confirms each hit on
 the bytes, and marks the words inside.  No shuffle, whatever the texts are.
 A benchmark with more n-grams than `block_ngrams` is scanned in blocks of
-bounded size, one pass of the same scan for each, so what is broadcast at
+bounded size, one pass of the same scan for each.  A pass is written before
+the next block is broadcast and the last one given up, so what is broadcast at
 once never grows with the tables.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import kernels as K
-from tracewell.llm.frames import col, lower_ascii, map_text, read
+from tracewell.llm.frames import col, cut, drop_cut, lower_ascii, map_text, read
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK_NGRAMS = 500_000
@@ -31,9 +32,9 @@ def benchmark_ngrams(benchmark: DataFrame, item: str = "item_id", text: str = "t
     """One row per (n-gram, item): item (string), gram (words joined by a space), n.
 
     An item of fewer than n words, but not none, is one n-gram.  Rows with a
-    null item or text give none.
+    null text give none; those of a null item mark words, but name no item.
     """
-    words = benchmark.where(col(item).isNotNull() & col(text).isNotNull()).select(
+    words = benchmark.where(col(text).isNotNull()).select(
         col(item).cast("string").alias("item"), F.regexp_extract_all(lower_ascii(col(text)), F.lit(WORD), 0).alias("w")
     )
     size = F.size("w")
@@ -48,7 +49,7 @@ def benchmark_ngrams(benchmark: DataFrame, item: str = "item_id", text: str = "t
 class _Grams:
     """A block of n-grams for the scan: hashes sorted by length, with the bytes and items behind each."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
+    def __init__(self, rows: list[tuple[str | None, str]]):
         items = defaultdict(set)
         for item, gram in rows:
             items[gram.encode()].add(item)
@@ -62,7 +63,7 @@ class _Grams:
             _, hashes = K.windows(K.spans_hash(c.bytes_prefix(), starts, ends), before, n)
             found = defaultdict(list)
             for h, g in zip(hashes.tolist(), grams, strict=True):
-                found[h].append((g, sorted(items[g])))
+                found[h].append((g, sorted(items[g] - {None})))
             self.by_length[n] = (np.unique(hashes), dict(found))
 
     def scan(self, texts: pa.Array):
@@ -101,7 +102,7 @@ def mark(
     Null and empty texts have no words.  Every row is judged alone, so
     repeated rows and ties all get the same marks.
     """
-    grams = benchmark_ngrams(benchmark, item, "text", n)
+    grams = cut(benchmark_ngrams(benchmark, item, "text", n), "ngrams")
     blocks = max(1, -(-grams.count() // block_ngrams))
     out = docs.select(*[col(c) for c in (docs.columns if keep is None else keep) if c not in ("n_words", "spans", "items")], *([] if keep is None or text in keep else [col(text)]))
     grams = grams.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks)))
@@ -129,6 +130,11 @@ def mark(
 
         fields = [T.StructField("n_words", T.LongType()), T.StructField(f"spans{b}", _SPAN), T.StructField(f"items{b}", T.ArrayType(T.StringType()))]
         out = map_text(out, text, setup, fields)
+        if b + 1 < blocks:
+            before, out = out, cut(out, "marked")
+            if b:
+                drop_cut(before)
+            sent.destroy()
     spans = [f"spans{b}" for b in range(blocks)]
     items = [f"items{b}" for b in range(blocks)]
     rest = [col(c) for c in out.columns if c not in (*spans, *items)]
@@ -169,23 +175,25 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            texts = batch.column(at)
-            spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-            c = K.chunk(texts)
-            starts, ends, before = c.words(K.ALNUM)
-            out = []
-            for i, cuts in enumerate(spans):
-                if not cuts:
-                    out.append(texts[i].as_py())
-                    continue
-                pos, parts = int(c.offsets[i]), []
-                for s in cuts:
-                    parts.append(c.data[pos : starts[before[i] + s["start"]]].tobytes())
-                    pos = int(ends[before[i] + s["end"] - 1])
-                parts.append(c.data[pos : c.offsets[i + 1]].tobytes())
-                out.append(b"".join(parts).decode())
-            columns = [pa.array(out, pa.string()) if k == at else x for k, x in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            for first, size in K.slices(batch.column(at)):
+                part = batch.slice(first, size)
+                texts = part.column(at)
+                spans = part.column(batch.schema.get_field_index("spans")).to_pylist()
+                c = K.chunk(texts)
+                starts, ends, before = c.words(K.ALNUM)
+                out = []
+                for i, cuts in enumerate(spans):
+                    if not cuts:
+                        out.append(texts[i].as_py())
+                        continue
+                    pos, parts = int(c.offsets[i]), []
+                    for s in cuts:
+                        parts.append(c.data[pos : starts[before[i] + s["start"]]].tobytes())
+                        pos = int(ends[before[i] + s["end"] - 1])
+                    parts.append(c.data[pos : c.offsets[i + 1]].tobytes())
+                    out.append(b"".join(parts).decode())
+                columns = [pa.array(out, pa.string()) if k == at else x for k, x in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return marked.mapInArrow(run, marked.schema).select(*[col(c) for c in docs.columns])
 
