@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.frames import col, read
+
 SEED = 0x5EED
 
 
@@ -57,18 +59,20 @@ def assign_shards(
     Slots need no task that holds a shard: each shard is split into
     sub-buckets by another hash, numbered locally, and shifted by the sizes of
     the earlier sub-buckets.  Their number follows the row count, so a task
-    numbers about `rows_per_group` rows at any scale.  Repeated rows and equal
-    texts go where their key says; an empty table gives no rows.
+    numbers about `rows_per_group` rows at any scale; only rows equal in key,
+    crc and size share a sub-bucket whatever their number (sorted there, of
+    these columns alone).  Repeated rows and equal texts go where their key
+    says; an empty table gives no rows.
     """
     more = [*weights, sum(weights) / len(weights)]
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(col(text), F.lit(""))
     placed = df.select(
-        F.col(key).alias("_key"),
+        col(key).alias("_key"),
         (F.octet_length(body) + F.lit(16)).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(F.col(key), weights).cast("int").alias("shard"),
-        shard_of(F.col(key), more).cast("int").alias("grown_shard"),
+        shard_of(col(key), weights).cast("int").alias("shard"),
+        shard_of(col(key), more).cast("int").alias("grown_shard"),
     )
     groups = max(4, -(-df.select(F.lit(1)).count() // (rows_per_group * len(weights))))
     placed = placed.withColumn("_sub", F.pmod(F.xxhash64("_key", "text_crc32", "size"), F.lit(groups)).cast("int"))
@@ -97,13 +101,11 @@ def assign_shards(
 
 def write_shards(df: DataFrame, key: str, weights: Sequence[float], path: str, files_per_shard: int = 8) -> None:
     """Write whole rows under shard=N folders, `files_per_shard` files each at least."""
-    placed = df.withColumn("shard", shard_of(F.col(key), weights))
-    spread = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(files_per_shard))
+    placed = df.withColumn("shard", shard_of(col(key), weights))
+    spread = F.pmod(F.xxhash64(col(key).cast("string")), F.lit(files_per_shard))
     placed.repartition(len(weights) * files_per_shard, "shard", spread).write.partitionBy("shard").parquet(path)
 
 
 def op10_rendezvous(spark, sf_dir):
     """All documents over 40 even shards, and where they go with 41."""
-    from tracewell.llm.frames import read
-
     return assign_shards(read(spark, sf_dir, "documents"), "doc_id", [1.0] * 40)
