@@ -29,7 +29,7 @@ SPACES = re.compile(rf"[{_SPACE}]+")
 _INFORMATION = re.compile(r"[\x1c-\x1f]")
 
 #: Words up to this long are remembered, and twice as many of them at most, per worker.
-CACHE_WORD, CACHE_SIZE = 48, 100_000
+CACHE_WORD, CACHE_SIZE = 48, 80_000
 
 
 #: Letters and numbers that Unicode 16 added, which the tokenizers library knows and an older Python doesn't.
@@ -67,15 +67,15 @@ class Remembered:
     """What was last computed for short strings: two generations, of which the older is dropped when the younger is full."""
 
     def __init__(self):
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def get(self, key: str) -> list[int] | None:
+    def get(self, key: str) -> tuple[int, ...] | None:
         if (found := self.old.get(key)) is not None:
             self.put(key, found)
         return found
 
-    def put(self, key: str, ids: list[int]) -> None:
+    def put(self, key: str, ids: tuple[int, ...]) -> None:
         if len(key) <= CACHE_WORD:
             if len(self.young) >= CACHE_SIZE:
                 self.old = dict(self.young)
@@ -122,14 +122,14 @@ class Vocabulary:
         self.cut = re.compile(f"({found})") if found else None
         self.words, self.parts = Remembered(), Remembered()
 
-    def merge(self, piece: str) -> list[int]:
+    def merge(self, piece: str) -> tuple[int, ...]:
         """Token ids of one piece.  A queue entry is the rank of a pair and the place of its left symbol."""
         data = piece.encode("utf-8", "surrogatepass")
         ids = [self.inner[b] for b in data]
         ids[-1] = self.last[data[-1]]
         n = len(ids)
         if n == 1:
-            return ids
+            return tuple(ids)
         ranks, left, right = self.ranks, self.left, self.right
         heap = [r << 32 | i for i, pair in enumerate(pairwise(ids)) if (r := ranks.get(pair)) is not None]
         heapify(heap)
@@ -151,9 +151,9 @@ class Vocabulary:
             h = before[i]
             if h >= 0 and (r := ranks.get((ids[h], made))) is not None:
                 heappush(heap, r << 32 | h)
-        return [x for x in ids if x >= 0]
+        return tuple(x for x in ids if x >= 0)
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         """Token ids of a run of text without spaces or special tokens."""
         if (ids := self.words.get(word)) is not None:
             return ids
@@ -171,6 +171,7 @@ class Vocabulary:
                 got = self.merge(piece)
                 parts.put(piece, got)
             ids += got
+        ids = tuple(ids)
         self.words.put(word, ids)
         return ids
 
