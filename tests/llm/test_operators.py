@@ -373,6 +373,13 @@ def test_blocks_find_the_same(spark):
     assert [(r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in one] == [(r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in many]
 
 
+def test_items_without_id_mark_words(spark):
+    d = spark.createDataFrame([(1, "one two three four"), (2, "beta gamma x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "two three"), ("b", "beta gamma")], "item_id string, text string")
+    got = {r.doc_id: ([tuple(s) for s in r.spans], r["items"]) for r in decontamination.mark(d, bench).collect()}
+    assert got == {1: ([(1, 3)], []), 2: ([(0, 2)], ["b"])}
+
+
 def test_spans_are_cut(spark, edges, nothing):
     bench = spark.createDataFrame([(1, "beta gamma"), (2, None), (None, "x"), (3, ""), (1, "beta gamma")], "item_id long, text string")
     clean = decontamination.remove_spans(edges, bench)
@@ -428,6 +435,34 @@ def test_forest_isolates():
     assert bad[~good].all() and bad[good].mean() <= 0.01
 
 
+def test_forest_paths_equal_a_walk():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5))
+    forest = quality_rules.IsolationForest.fit(x[:300], n_trees=20)
+    got = forest.score(x[300:340])
+    for row, s in zip(x[300:340], got, strict=True):
+        total = 0.0
+        for feature, cut, left, path in forest.trees:
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + (row[feature[node]] > cut[node])
+            total += path[node]
+        assert abs(s - 2.0 ** (-total / 20 / forest.scale)) < 1e-12
+
+
+def test_rules_catch_and_lose(spark):
+    """Verdicts of the query on labelled rows: few good ones lost, most bad ones caught."""
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in entries.queries()["op8_quality_rules"](spark, sf).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in rows}
+    assert all(not r.kept for r in rows.values() if r.base_failed)
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in rows.values())
+    rest = [(rows[i].kept, q) for i, q in labels.items() if not rows[i].base_failed]
+    lost = [not k for k, q in rest if q == 1]
+    caught = [not rows[i].kept for i, q in labels.items() if q == 0]
+    assert sum(lost) <= 0.03 * len(lost) and sum(caught) >= 0.9 * len(caught)
+
+
 def test_rules_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(5, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     for forest in (quality_rules.fit_forest(edges, labels), quality_rules.fit_forest(nothing, labels.limit(0))):
@@ -451,6 +486,24 @@ def test_sharding_law(spark):
     assert len(rows) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_have_the_highest_score(spark):
+    import struct
+
+    import xxhash
+
+    def best(key: int, n: int) -> int:
+        scores = []
+        for shard in range(n):
+            h = xxhash.xxh64(str(key).encode(), 42).intdigest()
+            for part in (shard, sharding.SEED):
+                h = xxhash.xxh64(struct.pack("<i", part), h).intdigest()
+            scores.append((h - (1 << 64) if h >> 63 else h, shard))
+        return max(scores)[1]
+
+    for r in entries.queries()["op10_rendezvous"](spark, SF).collect():
+        assert (r.shard, r.grown_shard) == (best(r.doc_id, 40), best(r.doc_id, 41))
+
+
 def test_weights_and_edges(spark, edges, nothing):
     big = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     n = {r.shard: r["count"] for r in sharding.assign_shards(big, "doc_id", [1.0, 3.0, 0.0]).groupBy("shard").count().collect()}
@@ -467,7 +520,7 @@ def test_weights_and_edges(spark, edges, nothing):
 
 
 def test_pipeline_stages(spark, edges, nothing):
-    import corpus_pipeline as p
+    from tracewell.llm import pipeline as p
 
     sf = SF
     for name, stage in p.STAGES[:-1]:
@@ -479,9 +532,58 @@ def test_pipeline_stages(spark, edges, nothing):
     assert last(spark, edges, sf).count() == len(EDGES)
 
 
-def test_pipeline_run(spark):
-    import corpus_pipeline as p
-
+def cut_benchmark(text: str, items: list) -> str:
+    lower = re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+    rx = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = list(re.finditer(rx, lower))
+    hit = [False] * len(words)
+    said = [m[0] for m in words]
+    for item in items:
+        w = re.findall(rx, re.sub("[A-Z]+", lambda m: m[0].lower(), item))
+        grams = {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+        n = min(10, len(w))
+        for i in range(len(said) - n + 1 if n else 0):
+            if tuple(said[i : i + n]) in grams:
+                hit[i : i + n] = [True] * n
+    out, pos = [], 0
+    for i, h in enumerate(hit):
+        if h and (i == 0 or not hit[i - 1]):
+            out.append(text[pos : words[i].start()])
+        if h:
+            pos = words[i].end()
+    return "".join(out) + text[pos:]
+
+
+def cut_secrets(text: str) -> str:
+    spans = [(a, z) for a, _, _, z in base_spans(text)] + [m.span() for m in re.finditer(secrets.RULES[3].pattern, text)]
+    out, at = "", 0
+    for a, z in sorted(spans):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, z)
+    return out + text[at:]
+
+
+def test_pipeline_equals_brute_force(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from tracewell.llm import pipeline as p
+
+    kept = {r.doc_id: r.text for r in p.quality(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
+    assert 100 < len(kept) < len(docs)
+    apart = {i for i, (_, c) in brute_components(kept, 5).items() if c == i}
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {}
+    for i in apart:
+        ids = t.encode(cut_secrets(cut_benchmark(kept[i] or "", items)), add_special_tokens=False).ids
+        want[i] = (len(ids), ids, t.decode(ids, skip_special_tokens=False))
     rows = p.run(spark, SF).collect()
-    ids = [r.doc_id for r in rows]
-    assert len(ids) == len(set(ids)) > 100 and all(r.n_tokens == len(r.ids) for r in rows)
+    assert len(rows) == len(want) and {r.doc_id: (r.n_tokens, list(r.ids), r.decoded) for r in rows} == want
+
+
+def test_last_stage_replaces_clashing_columns(spark, edges):
+    from tracewell.llm import pipeline as p
+
+    out = p.tokenize(spark, edges.withColumn("decoded", F.lit("clash")).withColumn("n_tokens", F.lit("clash")), SF)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.where("decoded = 'clash'").count() == 0

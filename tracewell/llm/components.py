@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars."""
+"""Components of links: the library's stars, and pointers where links form trees."""
 
 from __future__ import annotations
 
@@ -6,30 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.frames import cut, drop_cut
-
-
-def _lowest(edges: DataFrame) -> DataFrame:
-    """(u, v, m): every edge with the smallest node among u and its neighbours."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "_u")
-    return edges.join(least, F.col("u") == F.col("_u")).drop("_u")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    return _lowest(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _lowest(down)
-    return low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct()
-
-
-def _is_forest_of_stars(edges: DataFrame) -> bool:
-    """Whether every u has one edge, to a smaller v that is no u itself."""
-    sides = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), (F.col("u") < F.col("v")).cast("int").alias("up")).union(edges.select("v", F.lit(0), F.lit(0)))
-    nodes = sides.groupBy("x").agg(F.sum("out").alias("out"), F.count("*").alias("n"), F.sum("up").alias("up"))
-    return nodes.where("up > 0 or out > 1 or (out = 1 and n > 1)").isEmpty()
+from tracewell.operators.graph import components  # noqa: F401
 
 
 def roots(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -44,17 +21,3 @@ def roots(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return state
         old, state = state, cut(state.join(further, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
         drop_cut(old)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): for each node with a link to another, the smallest node it reaches.
-
-    Two stars a round, until every node hangs on its smallest one; a node's minimum is a
-    grouped minimum, and a node with very many edges is split by the skew
-    join.  Loops and null ends are left out; no edges give no rows.
-    """
-    state = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "cc")
-    while not _is_forest_of_stars(state):
-        old, state = state, cut(_small_star(_large_star(state)), "cc")
-        drop_cut(old)
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select("v", "v").distinct())

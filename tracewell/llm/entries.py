@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import sys
-
-from tracewell.llm import sql
-
-_REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-if _REPO not in sys.path:
-    sys.path.append(_REPO)
-
-import corpus_pipeline  # noqa: E402
-from tracewell.llm.bpe import op5_bpe  # noqa: E402
-from tracewell.llm.decontamination import op6_decontamination  # noqa: E402
-from tracewell.llm.near_dedup import op1_near_dedup  # noqa: E402
-from tracewell.llm.quality_classifier import op3_quality_classifier  # noqa: E402
-from tracewell.llm.quality_rules import op8_quality_rules  # noqa: E402
-from tracewell.llm.secrets import op2_secret_scan  # noqa: E402
-from tracewell.llm.sharding import op10_rendezvous  # noqa: E402
-from tracewell.llm.suffix_array import op9_suffix_array_dedup  # noqa: E402
-from tracewell.llm.super_kmers import op4_substring_dedup  # noqa: E402
-from tracewell.llm.warc import op7_warc  # noqa: E402
-
+from tracewell.llm import pipeline, sql
+from tracewell.llm.bpe import op5_bpe
+from tracewell.llm.decontamination import op6_decontamination
+from tracewell.llm.near_dedup import op1_near_dedup
+from tracewell.llm.quality_classifier import op3_quality_classifier
+from tracewell.llm.quality_rules import op8_quality_rules
+from tracewell.llm.secrets import op2_secret_scan
+from tracewell.llm.sharding import op10_rendezvous
+from tracewell.llm.suffix_array import op9_suffix_array_dedup
+from tracewell.llm.super_kmers import op4_substring_dedup
+from tracewell.llm.warc import op7_warc
 
 _OPERATORS = (
     op1_near_dedup,
@@ -39,7 +29,7 @@ _OPERATORS = (
 
 
 def queries():
-    return {**{f.__name__: f for f in _OPERATORS}, "pipeline": corpus_pipeline.run}
+    return {**{f.__name__: f for f in _OPERATORS}, "pipeline": pipeline.run}
 
 
 def oracle_sql():
