@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.sources.shared import join_dimension
+
 
 def _edges(vertices: Column) -> Column:
     turned = F.concat(F.slice(vertices, F.lit(2), F.size(vertices) - 1), F.slice(vertices, 1, 1))
@@ -39,7 +41,7 @@ def find_zone(df: DataFrame, zones: DataFrame, px: str = "px", py: str = "py", u
     lists = zones.groupBy(F.col("camera_id").alias("_c")).agg(F.array_sort(F.collect_list(F.struct("zone_idx", "zone", "vertices"))).alias("_zones"))
     x, y = F.col(px), F.col(py)
     hit = F.filter("_zones", lambda z: inside_polygon(x, y, z["vertices"]))
-    joined = df.join(lists, F.col("camera_id") == F.col("_c"), "left")
+    joined = join_dimension(df, lists, "camera_id", "_c")
     return joined.withColumn("zone", F.coalesce(F.try_element_at(hit, F.lit(1))["zone"], F.lit(unknown))).drop("_c", "_zones")
 
 
@@ -52,7 +54,7 @@ def normalise_zones(zones: DataFrame, width: int, height: int) -> DataFrame:
 def to_world(df: DataFrame, homographies: DataFrame, x: str = "fx", y: str = "fy") -> DataFrame:
     """Add world_x, world_y (two decimals); NULL for cameras without a matrix."""
     h = homographies.withColumnRenamed("camera_id", "_c")
-    j = df.join(h, F.col("camera_id") == F.col("_c"), "left")
+    j = join_dimension(df, h, "camera_id", "_c")
     row = lambda i: F.col(f"h{i}0") * F.col(x) + F.col(f"h{i}1") * F.col(y) + F.col(f"h{i}2")
     out = j.withColumn("world_x", F.bround(F.try_divide(row(0), row(2)), 2) + 0.0).withColumn("world_y", F.bround(F.try_divide(row(1), row(2)), 2) + 0.0)
     return out.drop(*h.columns)

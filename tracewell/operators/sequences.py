@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import crosses_line, foot_x, person_id, side_of_line
+from tracewell.sources.shared import join_dimension
 
 TRACK = ("camera_id", "track_id")
 
@@ -29,7 +30,7 @@ def line_crossings(tracking: DataFrame, lines: DataFrame) -> DataFrame:
     p = tracking.withColumn("fx", foot_x()).withColumn("fy", F.col("y2"))
     p = p.withColumn("px", F.lag("fx").over(w)).withColumn("py", F.lag("fy").over(w)).where("px is not null")
     line = lines.select(F.col("camera_id").alias("_c"), *[F.col(x).alias(f"l{x}") for x in ("x1", "y1", "x2", "y2")], "inside_direction")
-    j = p.join(F.broadcast(line), F.col("camera_id") == F.col("_c"))
+    j = join_dimension(p, line, "camera_id", "_c", "inner")
     side = lambda x, y: side_of_line(x, y, "lx1", "ly1", "lx2", "ly2") * F.when(F.col("inside_direction") == "right", -1).otherwise(1)
     before, now = side("px", "py") >= 0, side("fx", "fy") >= 0
     hit = crosses_line("px", "py", "fx", "fy", "lx1", "ly1", "lx2", "ly2") & (before != now)
@@ -72,13 +73,6 @@ def time_in_zone(tracking: DataFrame, as_of: int) -> DataFrame:
     return now.select("person", "zone", "entry_us", F.expr(f"({as_of} - entry_us) div 1000000").alias("seconds"))
 
 
-def _pick(points: Column, n: int) -> Column:
-    """n points at floor(i * len / n), or all of up to n."""
-    size = F.size(points)
-    some = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: points[F.floor(i * (size / n)).cast("int")])
-    return F.when(size <= n, points).otherwise(some)
-
-
 def common_paths(positions: DataFrame, camera: str | None = None, max_paths: int = 5, min_points: int = 6, waypoints: int = 10) -> DataFrame:
     """Representative paths of the largest (start cell, end cell) clusters: rank, size, path.
 
@@ -86,8 +80,9 @@ def common_paths(positions: DataFrame, camera: str | None = None, max_paths: int
     member in the middle, by track.
     """
     p = positions if camera is None else positions.where(F.col("camera_id") == camera)
-    tracks = p.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "cx", "cy"))).alias("p")).where(F.size("p") >= min_points)
-    tracks = tracks.withColumn("p", _pick(F.col("p"), waypoints))
+    # only the waypoints of a track are gathered, not its history
+    p = even_sample(p.withColumn("_all", F.count("*").over(Window.partitionBy("track_id"))).where(F.col("_all") >= min_points), ["track_id"], ["ts", "id"], waypoints)
+    tracks = p.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "cx", "cy"))).alias("p"))
     tracks = tracks.select("track_id", F.transform("p", lambda x: F.struct(F.bround(x["cx"], 3).alias("cx"), F.bround(x["cy"], 3).alias("cy"))).alias("path"), F.col("p")[0].alias("a"), F.element_at("p", -1).alias("z"))
     cell = lambda x: F.concat_ws(",", (F.col(f"{x}.cx") * 10).cast("int"), (F.col(f"{x}.cy") * 10).cast("int"))
     tracks = tracks.select("track_id", "path", F.concat_ws(">", cell("a"), cell("z")).alias("cluster"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A dimension of up to so many rows is broadcast; a larger one is dealt out.
+SMALL_ROWS, SALTS = 100_000, 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_dimension(df: DataFrame, dimension: DataFrame, key: str, own: str, how: str = "left") -> DataFrame:
+    """`df` joined with a dimension (its key column named `own`) on `key`.
+
+    A dimension of at most SMALL_ROWS rows is broadcast.  Of a larger one each row is copied to SALTS
+    parts of its key, over which the rows of `df` are spread by their content: a busy key is no hot task.
+    """
+    same = F.col(key) == F.col(own)
+    if dimension.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return df.join(F.broadcast(dimension), same, how)
+    salted = dimension.withColumn("_own_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    return spread.join(salted, same & (F.col("_salt") == F.col("_own_salt")), how).drop("_salt", "_own_salt")

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracewell.functions.columns import person_id
 from tracewell.operators.alerts import CHECKOUT_ZONES, TICK_US
 from tracewell.sources.logs import LANDING, landing_columns
-from tracewell.sources.shared import folder_of, new_folder  # noqa: F401
+from tracewell.sources.shared import folder_of, join_dimension, new_folder  # noqa: F401
 
 LATE = "10 minutes"
 
@@ -64,7 +64,7 @@ def crossings(tracking: DataFrame, lines: DataFrame, exit_cooldown: float = 8.0,
 
     line = lines.select(F.col("camera_id").alias("_c"), *[F.col(x).alias(f"l{x}") for x in ("x1", "y1", "x2", "y2")], "inside_direction")
     fx, fy = foot_x(), F.col("y2")
-    rows = tracking.withWatermark("time", late).join(F.broadcast(line), F.col("camera_id") == F.col("_c"))
+    rows = join_dimension(tracking.withWatermark("time", late), line, "camera_id", "_c", "inner")
     sign = F.when(F.col("inside_direction") == "right", -1).otherwise(1)
     rows = rows.select("camera_id", "track_id", "time", "ts_us", "event_id", fx.alias("fx"), fy.alias("fy"), "lx1", "ly1", "lx2", "ly2", (side_of_line(fx, fy, "lx1", "ly1", "lx2", "ly2") * sign).cast("double").alias("side"))
 
