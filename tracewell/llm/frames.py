@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 from collections.abc import Callable
@@ -37,13 +36,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no DataFrame refers to any more: it
-    does so when the driver's JVM collects garbage, which may be long after."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_cut(df: DataFrame) -> None:
     """Delete the folder that `cut` wrote, once nothing reads it any more."""
     files = df.inputFiles()

@@ -523,8 +523,8 @@ def deduplicate(docs: DataFrame, units: Units, finder: Finder, key: str, text: s
 
     kept (binary) is what is left, null where nothing was removed.  A row whose
     text equals that of a smaller key loses all of it, if it holds a window.
-    Null texts are empty.  Rows with a null key, and rows of the same key,
-    never count as smaller: nothing is removed on their account.
+    Keys are whole numbers.  Null texts are empty.  Rows with a null key, and rows
+    of the same key, never count as smaller: nothing is removed on their account.
     """
     meta = cut(described(docs, units, key, text), "meta")
     classes = meta.groupBy("digest").agg(F.min("doc").alias("rep")).withColumnRenamed("digest", "_digest")
