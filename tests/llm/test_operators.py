@@ -1,5 +1,6 @@
 """Each operator against SQL or brute force, on small tables and on edge cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tracewell.llm import bpe, components, decontamination, entries, near_dedup, quality_classifier, quality_rules, secrets, sharding, sql, super_kmers, suffix_array, warc
 from tracewell.llm.shared_windows import Units
@@ -411,6 +413,35 @@ def test_archives_are_checked(spark, tmp_path):
     assert warc.with_types(df.limit(0), "page_id", "url", "html").count() == 0
 
 
+def test_records_of_other_writers():
+    body = b"HTTP/1.1 404 Not Found\r\nServer: x\r\n\r\ngone"
+    digest = base64.b32encode(hashlib.sha1(b"gone").digest()).decode()
+
+    def made(kind: str, block: bytes, *more: str, version: str = "WARC/1.0") -> bytes:
+        head = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    r = warc.parse(made("response", body, f"WARC-Payload-Digest: sha1:{digest}"))
+    assert r == ("urn:uuid:1", None, 4, hashlib.sha256(b"gone").hexdigest(), "response", None, b"gone")
+    assert warc.parse(made("warcinfo", b"software: x\r\n")) is None and warc.parse(made("request", b"GET / HTTP/1.1\r\n\r\n")) is None
+    assert warc.parse(made("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <urn:uuid:0>"))[2:6] == (None, None, "revisit", "urn:uuid:0")
+    for broken in (made("response", body.replace(b"gone", b"gonf"), f"WARC-Payload-Digest: sha1:{digest}"), made("response", body, "WARC-Payload-Digest: md5:00"), made("response", b"no http")):
+        with pytest.raises(warc.WarcError):
+            warc.parse(broken)
+
+
+def test_frames_of_all_sizes():
+    import io
+
+    rng = random.Random(6)
+    bodies = [rng.randbytes(rng.choice([0, 1, 10, 5000, 40_000])) for _ in range(200)]
+    packed = b"".join(zstandard.ZstdCompressor().compress(b) for b in bodies)
+    for block in (1, 3, 1000, 1 << 20):
+        assert list(warc.frames(io.BytesIO(packed), block)) == bodies
+    with pytest.raises(warc.WarcError):
+        list(warc.frames(io.BytesIO(packed[:-1])))
+
+
 # ---- 8 quality rules ---------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from tracewell.llm.frames import col, read, shared_dir
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 LEAST_BYTES = 100
+STEP = 1 << 13
 SALTS = 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PREFIX = "urn:page:"
@@ -100,10 +102,15 @@ class WarcError(ValueError):
     """A record or frame that breaks the format."""
 
 
-def _headers(data: bytes, first: str) -> dict[str, str]:
+VERSION, STATUS = re.compile(r"WARC/1\.[01]"), re.compile(r"HTTP/\d(\.\d)? \d{3}( .*)?")
+#: Digests that payloads are checked against, and their sizes in bytes.
+DIGESTS = {"sha256": 32, "sha1": 20}
+
+
+def _headers(data: bytes, first: re.Pattern) -> dict[str, str]:
     lines = data.decode("utf-8").split("\r\n")
-    if lines[0] != first:
-        raise WarcError(f"not {first}: {lines[0][:40]!r}")
+    if not first.fullmatch(lines[0]):
+        raise WarcError(f"not {first.pattern}: {lines[0][:40]!r}")
     out = {}
     for x in lines[1:]:
         name, colon, value = x.partition(":")
@@ -113,37 +120,57 @@ def _headers(data: bytes, first: str) -> dict[str, str]:
     return out
 
 
-def parse(data: bytes) -> tuple[str, str | None, int, str, str, str | None, bytes]:
-    """key, url, payload bytes, digest, type, refers_to, payload of one record, all checked."""
+def _key(ident: str) -> str:
+    """What an id names: the key of our own records, the whole id of others."""
+    if not (ident.startswith("<") and ident.endswith(">")):
+        raise WarcError(f"not an id: {ident[:40]!r}")
+    return ident[1:-1].removeprefix(_PREFIX)
+
+
+def _digest(said: str) -> tuple[str, bytes]:
+    name, _, value = said.partition(":")
+    if name not in DIGESTS:
+        raise WarcError(f"unknown digest {name[:20]!r}")
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * DIGESTS[name] else base64.b32decode(value)
+    except ValueError as e:
+        raise WarcError(f"malformed digest: {e}") from e
+    return name, raw
+
+
+def parse(data: bytes) -> tuple[str, str | None, int | None, str | None, str, str | None, bytes] | None:
+    """key, url, payload bytes, sha256, type, refers_to, payload of one record, all checked.
+
+    None for records that are neither responses nor revisits (their headers and
+    length are checked).  Any HTTP status counts; ids of other writers come back
+    whole.  A revisit without its payload's length or sha256 has NULL there.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     if not gap:
         raise WarcError("no end of headers")
-    h = _headers(head, "WARC/1.1")
+    h = _headers(head, VERSION)
     try:
-        n, kind = int(h["content-length"]), h["warc-type"]
-        ident, digest = h["warc-record-id"], h["warc-payload-digest"]
+        n, kind, ident = int(h["content-length"]), h["warc-type"], _key(h["warc-record-id"])
     except (KeyError, ValueError) as e:
         raise WarcError(f"header missing or malformed: {e}") from e
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise WarcError(f"block of {len(rest) - 4} bytes, {n} declared")
+    if kind not in ("response", "revisit"):
+        return None
     http, gap, payload = rest[:n].partition(b"\r\n\r\n")
     if not gap:
         raise WarcError("no end of HTTP headers")
-    length = int(_headers(http, "HTTP/1.1 200 OK").get("content-length", "-1"))
-    if not ident.startswith(f"<{_PREFIX}") or not digest.startswith("sha256:"):
-        raise WarcError("unknown id or digest")
-    digest = base64.b32decode(digest[7:]).hex()
-    refers = None
-    if kind == "response":
-        if len(payload) != length or hashlib.sha256(payload).hexdigest() != digest:
-            raise WarcError(f"payload of {ident} differs from its length or digest")
-    elif kind == "revisit":
-        refers = h.get("warc-refers-to", "")[len(_PREFIX) + 1 : -1]
+    length = _headers(http, STATUS).get("content-length")
+    said = _digest(h["warc-payload-digest"]) if "warc-payload-digest" in h else None
+    if kind == "revisit":
+        refers = h.get("warc-refers-to", "")
         if not refers or payload:
             raise WarcError(f"revisit {ident} without what it refers to, or with a payload")
-    else:
-        raise WarcError(f"unknown type {kind!r}")
-    return ident[len(_PREFIX) + 1 : -1], h.get("warc-target-uri"), length, digest, kind, refers, payload
+        return ident, h.get("warc-target-uri"), int(length) if length else None, said[1].hex() if said and said[0] == "sha256" else None, kind, _key(refers), payload
+    if length is not None and len(payload) != int(length) or said and hashlib.new(said[0], payload).digest() != said[1]:
+        raise WarcError(f"payload of {ident} differs from its length or digest")
+    digest = said[1].hex() if said and said[0] == "sha256" else hashlib.sha256(payload).hexdigest()
+    return ident, h.get("warc-target-uri"), len(payload), digest, kind, None, payload
 
 
 # ---- archives -------------------------------------------------------------------
@@ -226,23 +253,29 @@ def frames(source, block: int = 1 << 20) -> Iterator[bytes]:
             raw = zstandard.ZstdDecompressor().decompress(raw)
         zdict = zstandard.ZstdCompressionDict(raw)
     unpack = zstandard.ZstdDecompressor(dict_data=zdict)
-    while data or (data := fill(block)):
-        if len(data) >= 4 and struct.unpack_from("<I", data)[0] != FRAME_MAGIC:
+    at = 0
+    while True:
+        while len(data) - at < 4 and (more := fill(block)):
+            data, at = data[at:] + more, 0
+        if at == len(data):
+            return
+        if len(data) - at < 4 or struct.unpack_from("<I", data, at)[0] != FRAME_MAGIC:
             raise WarcError("not a Zstandard frame")
         one = unpack.decompressobj()
         held.seek(0)
         held.truncate()
-        while True:
+        while not one.eof:
+            if at >= len(data):
+                data, at = fill(block), 0
+                if not data:
+                    raise WarcError("frame cut short")
+            # a little at a time: what a frame leaves over is given back, and copied
+            part = data[at : at + STEP]
             try:
-                held.write(one.decompress(data))
+                held.write(one.decompress(part))
             except zstandard.ZstdError as e:
                 raise WarcError(str(e)) from e
-            if one.eof:
-                data = one.unused_data
-                break
-            data = fill(block)
-            if not data:
-                raise WarcError("frame cut short")
+            at += len(part) - len(one.unused_data)
         yield held.getvalue()
 
 
@@ -260,7 +293,7 @@ RECORD = T.StructType(
 
 
 def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
-    """One RECORD row per record of the archives in column `path`.
+    """One RECORD row per response or revisit of the archives in column `path`.
 
     A null key comes back as an empty string.  Any broken frame, header,
     length or digest raises WarcError.  With `payloads` false the payload is
@@ -274,7 +307,8 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
                 rows, size = [], 0
                 with _source(path) as source:
                     for frame in frames(source):
-                        r = parse(frame)
+                        if (r := parse(frame)) is None:
+                            continue
                         rows.append(r if payloads else (*r[:6], None))
                         size += len(r[6]) if payloads else 64
                         if size > 4 << 20:
