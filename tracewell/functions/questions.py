@@ -51,6 +51,11 @@ TRAIL = [
 ]
 
 
+#: How a camera's and a person's number are told.
+CAMERA_NUMBER = r"(?U)\bcam(?:era|[aâ]ra|)[\s_-]?(\d+)\b"
+PERSON_NUMBER = r"(?U)\b(?:person|pessoa|id|gid|track|individual)[\s#_\-]?(\d+)\b"
+
+
 def any_of(text: Column, patterns: list[str]) -> Column:
     """Whether one of the patterns is found; words and boundaries are those of Unicode."""
     return text.rlike("(?U)" + "|".join(patterns))
@@ -65,10 +70,9 @@ def classify_questions(df: DataFrame, text: str, cameras: DataFrame) -> DataFram
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     known = cameras.agg(F.array_sort(F.collect_list(F.struct("idx", "camera_id", F.transform("names", F.lower).alias("names")))).alias("_cams"))
-    d = df.crossJoin(F.broadcast(known)).withColumn("_low", low)
+    d = df.crossJoin(known).withColumn("_low", low)  # one row
     hit = F.filter("_cams", lambda c: F.exists(c["names"], lambda n: (n != "") & F.contains(F.col("_low"), n)))
-    number = F.regexp_extract("_low", r"(?U)\bcam(?:era|[aâ]ra|)[\s_-]?(\d+)\b", 1)
-    person = F.regexp_extract("_low", r"(?U)\b(?:person|pessoa|id|gid|track|individual)[\s#_\-]?(\d+)\b", 1)
+    number, person = F.regexp_extract("_low", CAMERA_NUMBER, 1), F.regexp_extract("_low", PERSON_NUMBER, 1)
     d = d.withColumn("camera_id", F.when(number != "", F.concat(F.lit("camera_"), number)).otherwise(F.try_element_at(hit, F.lit(1))["camera_id"]))
     d = d.withColumn("person_id", F.when(person != "", person))
     d = d.withColumn("is_data", any_of(F.col("_low"), DATA + TEMPORAL)).withColumn("is_visual", any_of(F.col("_low"), VISUAL)).withColumn("is_temporal", any_of(F.col("_low"), TEMPORAL))
