@@ -28,7 +28,7 @@ SPACES = re.compile(rf"[{_SPACE}]+")
 #: What Python's split() takes for spaces, beyond those of the vocabulary.
 _INFORMATION = re.compile(r"[\x1c-\x1f]")
 
-#: Words up to this long are remembered, and twice as many of them at most, per worker.
+#: Words up to this long are remembered, and twice as many of them at most, per task.
 CACHE_WORD, CACHE_SIZE = 48, 80_000
 
 
@@ -120,7 +120,6 @@ class Vocabulary:
         self.last = [ids[c + self.end] for c in alphabet]
         found = "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.cut = re.compile(f"({found})") if found else None
-        self.words, self.parts = Remembered(), Remembered()
 
     def merge(self, piece: str) -> tuple[int, ...]:
         """Token ids of one piece.  A queue entry is the rank of a pair and the place of its left symbol."""
@@ -153,6 +152,17 @@ class Vocabulary:
                 heappush(heap, r << 32 | h)
         return tuple(x for x in ids if x >= 0)
 
+    def decode(self, ids: list[int]) -> str:
+        return " ".join(map(self.strings.__getitem__, ids))
+
+
+class Encoder:
+    """Encodes texts for one task, and remembers words and pieces as long."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.words, self.parts = Remembered(), Remembered()
+
     def word(self, word: str) -> tuple[int, ...]:
         """Token ids of a run of text without spaces or special tokens."""
         if (ids := self.words.get(word)) is not None:
@@ -168,7 +178,7 @@ class Vocabulary:
         for piece in pieces(text.isascii()).findall(text):
             got = parts.young.get(piece) or parts.get(piece)
             if got is None:
-                got = self.merge(piece)
+                got = self.vocabulary.merge(piece)
                 parts.put(piece, got)
             ids += got
         ids = tuple(ids)
@@ -183,17 +193,15 @@ class Vocabulary:
         """
         out: list[int] = []
         known, word = self.words.young, self.word
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.special:
-                out.append(self.special[part])
+        cut, special = self.vocabulary.cut, self.vocabulary.special
+        for part in cut.split(text) if cut else [text]:
+            if part in special:
+                out.append(special[part])
                 continue
             for w in part.split() if not _INFORMATION.search(part) else SPACES.split(part):
                 out += known.get(w) or word(w)
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.strings.__getitem__, ids))
-
 
 @cache
 def vocabulary(path: str) -> Vocabulary:
@@ -215,9 +223,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep:
 
     def setup():
         words = vocabulary(path)
+        coder = Encoder(words)
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            rows = [words.encode(t) if t else [] for t in texts.to_pylist()]
+            rows = [coder.encode(t) if t else [] for t in texts.to_pylist()]
             out = [_lists(rows)]
             return out if decoded is None else [*out, pa.array(map(words.decode, rows), pa.string())]
 
