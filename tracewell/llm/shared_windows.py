@@ -148,7 +148,8 @@ def _blobs(docs: DataFrame, units: Units, ranges: int) -> DataFrame:
             kept = np.zeros(len(doc), dtype=bool)
             kept[list(best.values())] = True
             keep = kept[idx]
-            h, idx, start, n = h[keep], idx[keep], start[keep], n[keep]
+            # minimisers are small hashes: mixed again, they fill all ranges alike
+            h, idx, start, n = K.mix(h[keep]), idx[keep], start[keep], n[keep]
             key = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             low = h & np.uint64(_LOW)
             order = np.lexsort((low, key))
