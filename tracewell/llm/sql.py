@@ -73,4 +73,81 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op4_substring_dedup": OP4, "op9_suffix_array_dedup": OP9, "op7_warc": OP7, "op6_decontamination": OP6}
+_WHOLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_WHOLE_NUMBERS = "list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment and means, written out one after the other."""
+    steps = [
+        f"""
+v AS (SELECT vec_id, label, {_WHOLE_NUMBERS.format(scale=4096)} AS e FROM embeddings WHERE {_WHOLE}),
+p AS (SELECT vec_id, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS x FROM v, range({parts}) AS r(part)),
+c0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS y
+  FROM p WHERE vec_id IN (SELECT DISTINCT vec_id FROM v ORDER BY vec_id LIMIT {entries})
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (
+  SELECT vec_id, part, any_value(x) AS x, min(struct_pack(d := d, entry := entry)) AS m
+  FROM (SELECT vec_id, part, x, entry, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{r} USING (part))
+  GROUP BY vec_id, part
+)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS (
+  SELECT part, entry, coalesce(z, y) AS y FROM c{r} LEFT JOIN (
+    SELECT part, entry, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY i) AS z FROM (
+      SELECT part, entry, i, sum(c) AS s, count(*) AS n
+      FROM (SELECT part, m.entry AS entry, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY part, entry, i
+    ) GROUP BY part, entry
+  ) USING (part, entry)
+)""")
+    return f"""
+WITH {",".join(steps)},
+coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error
+  FROM a{rounds} JOIN v USING (vec_id) GROUP BY vec_id
+),
+books AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+
+#: For pages whose article is one element without boilerplate, scripts or nested blocks inside: such are the test pages.
+OP12 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, unnest(string_split_regex(body, '</?(?:h1|p)>')) AS line, generate_subscripts(string_split_regex(body, '</?(?:h1|p)>'), 1) AS i FROM a),
+c AS (
+  SELECT page_id, i, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(line, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&quot;', '"', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS line
+  FROM (SELECT page_id, i, regexp_replace(line, '&amp(;|\b)', '&amp;', 'g') AS line FROM b)
+), t AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) AS text FROM c WHERE line <> '' GROUP BY page_id)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM a LEFT JOIN t USING (page_id)
+"""
+
+OP13 = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, {_WHOLE_NUMBERS.format(scale=256)} AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_WHOLE}
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), pos AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INT) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+ORACLES = {
+    "op4_substring_dedup": OP4,
+    "op9_suffix_array_dedup": OP9,
+    "op7_warc": OP7,
+    "op6_decontamination": OP6,
+    "op11_vector_codes": _op11(),
+    "op12_html_text": OP12,
+    "op13_hard_negatives": OP13,
+}
