@@ -11,6 +11,7 @@ once never grows with the tables.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -88,6 +89,41 @@ class _Grams:
         return c, starts, ends, before, mask, found
 
 
+_held: dict[str, _Grams] = {}
+
+
+def _built(name: str, sent) -> _Grams:
+    """The block's tables, built once in a worker and kept for its next tasks."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = _Grams(sent.value)
+    return _held[name]
+
+
+def _blocks(grams: DataFrame, most: int) -> tuple[list[tuple[int, int]], Column]:
+    """Ranges of shares with at most `most` rows in each, and the share of a row.
+
+    Rows are dealt by n-gram and item, so the items of an n-gram that stands in many of them spread
+    over the blocks: each block marks its words, and together they name all its items.
+    """
+    total = grams.count()
+    shares = max(1, 16 * -(-total // most)) if total > most else 1
+    while True:
+        share = F.pmod(F.xxhash64("gram", "item"), F.lit(shares))
+        # a row per share
+        sizes = {r["s"]: r["n"] for r in grams.groupBy(share.alias("s")).agg(F.count("*").alias("n")).collect()}
+        if max(sizes.values(), default=0) <= most:
+            break
+        shares *= 2
+    out, low, held = [], 0, 0
+    for s in range(shares):
+        if held + sizes.get(s, 0) > most:
+            out.append((low, s - 1))
+            low, held = s, 0
+        held += sizes.get(s, 0)
+    return [*out, (low, shares - 1)], share
+
+
 def mark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -103,16 +139,16 @@ def mark(
     repeated rows and ties all get the same marks.
     """
     grams = cut(benchmark_ngrams(benchmark, item, "text", n), "ngrams")
-    blocks = max(1, -(-grams.count() // block_ngrams))
+    limits, share = _blocks(grams, block_ngrams)
+    blocks = len(limits)
     out = docs.select(*[col(c) for c in (docs.columns if keep is None else keep) if c not in ("n_words", "spans", "items")], *([] if keep is None or text in keep else [col(text)]))
-    grams = grams.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks)))
-    for b in range(blocks):
-        # at most about block_ngrams rows of n words each
-        rows = [(r["item"], r["gram"]) for r in grams.where(F.col("block") == b).select("item", "gram").collect()]
+    for b, (low, high) in enumerate(limits):
+        # at most block_ngrams rows of n words each
+        rows = [(r["item"], r["gram"]) for r in grams.where(share.between(low, high)).select("item", "gram").collect()]
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
-        def setup(sent=sent):
-            block = _Grams(sent.value)
+        def setup(sent=sent, name=uuid.uuid4().hex):
+            block = _built(name, sent)
 
             def work(texts: pa.Array) -> list[pa.Array]:
                 _, _, _, before, mask, found = block.scan(texts)

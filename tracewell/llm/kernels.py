@@ -3,8 +3,9 @@
 Every kernel works on one *chunk*: the UTF-8 bytes of some texts laid end to
 end plus the offsets of the texts.  Words and windows never cross a text.
 Chunks hold about ``CHUNK_BYTES``; a text longer than that is a chunk alone.
-Hashes are 64-bit polynomials over mixed bytes: they select candidates, and
-callers confirm what must be exact on the bytes themselves.
+Hashes select candidates, and callers confirm what must be exact on the bytes
+themselves (`exact_ids`): a polynomial modulo 2^64 gives some pairs of long
+strings the same hash whatever its base, and any 64-bit hash some pair.
 """
 
 from __future__ import annotations
@@ -83,6 +84,67 @@ def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(8)] + [_MASK], dtype=_U)
+_LONG = 256  # bytes from which a word is hashed alone
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each word: eight bytes at a time, each block mixed with what came before."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype=_U, buffer=padded.data, strides=(1,))
+    length = ends - starts
+    out = mix(length.astype(_U) * _U(_P))
+    rows, at = np.flatnonzero(length <= _LONG), starts[length <= _LONG]
+    while len(rows):
+        left = ends[rows] - at
+        out[rows] = mix(out[rows] * _U(_P) ^ (eight[at] & _TAIL[np.minimum(left, 8)]))
+        more = left > 8
+        rows, at = rows[more], at[more] + 8
+    for i in np.flatnonzero(length > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the spans [a, a_end) and [b, b_end) hold the same bytes, for each pair."""
+    same = (a_end - a) == (b_end - b)
+    rows = np.flatnonzero(same & (a != b))
+    long = a_end[rows] - a[rows] > _LONG
+    for i in rows[long]:
+        same[i] = np.array_equal(data[a[i] : a_end[i]], data[b[i] : b_end[i]])
+    rows = rows[~long]
+    for first in range(0, len(rows), 1 << 14):
+        some = rows[first : first + (1 << 14)]
+        n = (a_end - a)[some]
+        differ = data[ragged(a[some], n)] != data[ragged(b[some], n)]
+        same[some] = per_text(differ, np.concatenate([[0], np.cumsum(n)])) == 0
+    return same
+
+
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number below len(starts) for each span, equal exactly where the bytes are: hashes only group the spans."""
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    lead = first[back]
+    odd = np.flatnonzero(~same_bytes(data, starts, ends, starts[lead], ends[lead]))
+    ids = lead.copy()
+    known: dict[bytes, int] = {}
+    for i in odd.tolist():  # other bytes than the first span of their hash
+        ids[i] = known.setdefault(data[starts[i] : ends[i]].tobytes(), i)
+    return ids
+
+
+def exact_windows(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """A number for each run of `sizes` (up to k) ids from `first`, equal exactly where the runs are."""
+    base = np.int64(ids.max(initial=0)) + 2
+    code = ids[first] if len(first) else np.zeros(0, dtype=np.int64)
+    for j in range(1, k):
+        here = j < sizes
+        step = np.where(here, ids[np.minimum(first + j, max(len(ids) - 1, 0))] + 1, 0) if len(first) else code
+        # both factors are below the number of words of a text
+        _, code = np.unique(code * base + step, return_inverse=True)
+    return code
+
+
 class Chunk:
     """Some whole texts as one byte buffer."""
 

@@ -5,9 +5,11 @@ bits name a bucket, and of the bucket's smallest remainder the number of
 leading zeros and a few mantissa bits are kept.  Bands of registers propose
 buckets of documents; the Jaccard similarity estimated from two documents'
 registers, corrected for chance collisions, drops hopeless pairs; the rest are
-verified on the full sets of 64-bit shingle hashes.
+verified on the full sets: of 64-bit shingle hashes first, which can only make
+sets look more alike, and every pair that passes on the words themselves.
 
-Equal sets are one class from the start, and everything below works on classes:
+Equal word sequences are one class from the start, and everything below works on
+classes:
 
 1. stars: a bucket's hub is the member whose buckets are largest (of a group of
    edited copies the least edited one).  Each class is verified against the best
@@ -48,26 +50,60 @@ TESTS = 1 << 14  # register rows compared at once
 _EMPTY = np.uint16(0xFFFF)
 
 
-def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text laid end to end, and their borders.
+class _Shingles:
+    """The shingles of some texts: words, and for each shingle its first word, number of words and text.
 
     Words are runs of non-space characters after A-Z became a-z; a text of
     fewer than n words is one shingle, one without words has none.
     """
-    c = K.chunk(texts)
-    starts, ends, before = c.words(K.SPACED)
-    word = K.spans_hash(c.bytes_prefix(K.LOWER[c.data]), starts, ends)
-    counts = np.diff(before)
-    size = np.where(counts >= n, n, counts)
-    first = K.ragged(before[:-1], np.maximum(counts - n + 1, (counts > 0).astype(np.int64)))
-    of = np.repeat(np.arange(len(texts)), np.maximum(counts - n + 1, (counts > 0).astype(np.int64)))
-    h = K.spans_hash(K.prefix(word), first, first + size[of])
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    h, of = h[new], of[new]
-    return h, np.searchsorted(of, np.arange(len(texts) + 1))
+
+    def __init__(self, texts: pa.Array, n: int):
+        c = K.chunk(texts)
+        self.n, self.data, self.n_texts = n, K.LOWER[c.data], len(texts)
+        self.starts, self.ends, self.before = c.words(K.SPACED)
+        counts = np.diff(self.before)
+        held = np.maximum(counts - n + 1, (counts > 0).astype(np.int64))
+        self.first, self.of = K.ragged(self.before[:-1], held), np.repeat(np.arange(len(texts)), held)
+        self.size = np.where(counts >= n, n, counts)[self.of]
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether shingles a and b of one text have the same words, for each pair."""
+        out = np.ones(len(a), dtype=bool)
+        for j in range(self.n):
+            rows = np.flatnonzero(out & (j < self.size[a]))
+            x, y = self.first[a[rows]] + j, self.first[b[rows]] + j
+            out[rows] = K.same_bytes(self.data, self.starts[x], self.ends[x], self.starts[y], self.ends[y])
+        return out
+
+    def _sets(self, h: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((h, self.of))
+        h, of = h[order], self.of[order]
+        again = np.flatnonzero((h[1:] == h[:-1]) & (of[1:] == of[:-1])) + 1
+        if not exact and len(again):
+            again = again[self.same(order[again], order[again - 1])]
+        new = np.ones(len(h), dtype=bool)
+        new[again] = False
+        h, of = h[new], of[new]
+        return h, np.searchsorted(of, np.arange(self.n_texts + 1))
+
+    def hashed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted shingle hashes of each text laid end to end, and their borders; a hash stands as often as it has different shingles."""
+        word = K.word_hash(self.data, self.starts, self.ends)
+        return self._sets(K.spans_hash(K.prefix(word), self.first, self.first + self.size), False)
+
+    def exact(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same with numbers that are equal exactly where the words are, among these texts."""
+        ids = K.exact_ids(self.data, self.starts, self.ends, K.word_hash(self.data, self.starts, self.ends))
+        return self._sets(K.exact_windows(ids, self.first, self.size, self.n), True)
+
+    def sequence(self, i: int) -> bytes:
+        """The words of a text, joined by one space."""
+        a, z = self.before[i], self.before[i + 1]
+        return b" ".join(self.data[self.starts[a] : self.ends[z - 1]].tobytes().split()) if z > a else b""
+
+
+def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _Shingles(texts, n).hashed()
 
 
 def registers(h: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -134,13 +170,14 @@ def _room(j: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, hash of the text, n_shingles, digest of the set, registers) per row."""
+    """(key, hash of the text, n_shingles, digest of the words, registers) per row."""
 
     def setup():
         def work(texts: pa.Array) -> list[pa.Array]:
-            h, borders = shingle_sets(texts, shingle)
+            found = _Shingles(texts, shingle)
+            h, borders = found.hashed()
             regs = registers(h, borders)
-            digest = [hashlib.blake2b(h[i:j], digest_size=16).digest() for i, j in zip(borders[:-1], borders[1:], strict=True)]
+            digest = [hashlib.blake2b(found.sequence(i), digest_size=16).digest() for i in range(len(texts))]
             return [pa.array(np.diff(borders).astype(np.int64)), pa.array(digest, pa.binary()), _binary(regs)]
 
         return work
@@ -212,6 +249,12 @@ def _unpacked(z: list[bytes], shingle: int):
         i = j
 
 
+def _confirmed(one: bytes, others: list[bytes], shingle: int, percent: int) -> np.ndarray:
+    """Which of the texts are linked with `one` by their words."""
+    h, borders = _Shingles(pa.array([one, *others], pa.binary()), shingle).exact()
+    return _linked(h[: borders[1]], h[borders[1] :], borders[1:] - borders[1], percent)
+
+
 def _linked(one: np.ndarray, h: np.ndarray, borders: np.ndarray, percent: int) -> np.ndarray:
     """Which of the sets laid end to end in h have percent of their union with `one` in common."""
     common = K.per_text(one[np.minimum(np.searchsorted(one, h), len(one) - 1)] == h, borders)
@@ -233,19 +276,22 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     rows = hubs.union(members).repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
 
     def run(batches):
-        hub: np.ndarray | None = None
+        hub, hub_z, unpack = np.zeros(0, dtype=np.uint64), b"", zstandard.ZstdDecompressor()
         for batch in batches:
             b, role, doc = (batch.column(i).to_numpy() for i in (0, 2, 3))
-            for i, n, h, borders in _unpacked(batch.column(4).to_pylist(), shingle):
+            z = batch.column(4).to_pylist()
+            for i, n, h, borders in _unpacked(z, shingle):
                 # a hub comes before its partners: runs between hubs
                 at = np.flatnonzero(np.append(role[i : i + n] == 0, True))
                 links = []
                 for x, y in zip(np.append(-1, at[:-1]), at, strict=True):
                     if x >= 0:
-                        hub = h[borders[x] : borders[x + 1]].copy()
+                        hub, hub_z = h[borders[x] : borders[x + 1]].copy(), z[i + x]
                     if y > x + 1:
                         part = borders[x + 1 : y + 1]
-                        links.append(i + x + 1 + np.flatnonzero(_linked(hub, h[part[0] : part[-1]], part - part[0], percent)))
+                        good = i + x + 1 + np.flatnonzero(_linked(hub, h[part[0] : part[-1]], part - part[0], percent))
+                        if len(good):
+                            links.append(good[_confirmed(unpack.decompress(hub_z), [unpack.decompress(z[k]) for k in good], shingle, percent)])
                 if links:
                     k = np.concatenate(links)
                     yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(b[k])], ["a", "b"])
@@ -368,6 +414,7 @@ def _verified_cells(cells: DataFrame, shingle: int, percent: int) -> DataFrame:
             x, y = np.searchsorted(who, doc[x]), np.searchsorted(who, doc[y])
             used[x] = used[y] = True
             z = batch.column(8).take(pa.array(place[used])).to_pylist()
+            unpack = zstandard.ZstdDecompressor()
             sets = [h[b[k] : b[k + 1]].copy() for _, n, h, b in _unpacked(z, shingle) for k in range(n)]
             at = np.cumsum(used) - 1
             order = np.argsort(x, kind="stable")
@@ -379,6 +426,8 @@ def _verified_cells(cells: DataFrame, shingle: int, percent: int) -> DataFrame:
                 for k in range(0, len(ys), 256):
                     some = [sets[at[v]] for v in ys[k : k + 256]]
                     good = ys[k : k + 256][_linked(one, np.concatenate(some), np.cumsum([0, *map(len, some)]), percent)]
+                    if len(good):
+                        good = good[_confirmed(unpack.decompress(z[at[x[a]]]), [unpack.decompress(z[at[v]]) for v in good], shingle, percent)]
                     _, first = np.unique(comp[place[good]], return_index=True)
                     links += [(who[x[a]], who[v]) for v in good[first]]
             if links:
@@ -398,7 +447,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     sig = cut(signatures(docs, key, text, shingle), "signatures")
     full = sig.where(F.col("key").isNotNull() & (F.col("n_shingles") > 0))
-    # numbers given once and written: a class of equal sets is its number from here on
+    # numbers given once and written: a class of equal words is its number from here on
     classes = full.groupBy("digest").agg(F.min(F.struct("key", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     member = cut(sig.select("key", "n_shingles", F.when(F.col("key").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest")).join(classes.select("digest", "node"), "digest", "left").drop("digest"), "member")
