@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import alerts as E
 from tracewell.plans import sequences as seq
 from tracewell.sources import adapters as X
+from tracewell.streaming import gallery as G
 from tracewell.streaming import jobs as T
 
 Q, S = {}, {}
@@ -132,3 +133,36 @@ def t9(spark, d):
         rows.where(F.col("f") == f).drop("f").coalesce(1).write.mode("append").parquet(path)
     stream = timed(spark.readStream.schema("event_id long, ts_us long").option("maxFilesPerTrigger", 1).parquet(path))
     return T.late_rows(rows, T.run_available(T.on_time(stream)))
+
+
+LABELS = ("gender", "upred", "upblue", "downred", "downblue", "hat")
+GALLERY_RULES = G.labelled(G.Rules(window=5), LABELS)
+
+
+def visits(spark, d):
+    """Three visits of every identity to one of four stores: its five vectors, less alike each time,
+    a minute after the first one and three hours later."""
+    v = X.vectors(spark, d).withColumn("visit", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    mixed = F.zip_with("embedding", F.reverse("embedding"), lambda a, b: a + 0.9 * F.col("visit") * b)
+    v = v.withColumn("m", mixed).withColumn("n", F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, x: a + x * x)))
+    start = F.element_at(F.array(F.lit(0), F.lit(60_000_000), F.lit(10_800_000_000)), F.col("visit") + 1)
+    return v.select(
+        F.concat(F.lit("store_"), F.expr("gid % 4")).alias("store"),
+        F.concat(F.lit("camera_"), F.expr("(gid + visit % 2) % 3")).alias("camera_id"),
+        F.expr("gid * 3 + visit").alias("track_id"),
+        (X.START_US + start + F.col("gid") * 1_500_000 + (F.col("vec_id") % 5) * 400_000).alias("ts_us"),
+        F.transform("m", lambda x: x / F.col("n")).alias("embedding"),
+        (F.col("quality") / 5).alias("sharpness"),
+        F.when(F.col("vec_id") % 7 > 0, F.transform(F.slice("embedding", 1, len(LABELS)), lambda x: F.least(F.lit(1.0), 2 * F.abs(x)))).alias("attributes"),
+        F.when(F.col("gid") % 5 > 0, F.transform(F.slice("embedding", 9, 8), lambda x: F.abs(x))).alias("colour"),
+    )
+
+
+@query("v18_online_gallery")
+def v18_online(spark, d):
+    G.use_rocks(spark)
+    path = T.new_folder(spark, "visits")
+    rows = visits(spark, d)
+    rows.write.parquet(path)
+    stream = timed(spark.readStream.schema(rows.schema).parquet(path))
+    return T.run_available(G.online_assignment(stream, GALLERY_RULES))
