@@ -45,7 +45,7 @@ def test_smooth(spark):
     assert names and got == want
 
 
-def test_islands_keep_what_a_whole_fold_keeps(spark):
+def test_scans_keep_what_a_whole_fold_keeps(spark):
     rng = np.random.default_rng(3)
     times = np.cumsum(rng.choice([1, 2, 9, 40], 300)).tolist()
     d = spark.createDataFrame([(i % 2, t, i) for i, t in enumerate(times)], "key long, ts long, id long")
@@ -296,28 +296,31 @@ def test_nms(spark):
 # ---- streams -----------------------------------------------------------------------
 
 
-def test_stream_occupancy_is_near_the_exact_count(spark):
-    exact = defaultdict(set)
-    newest = 0
-    for r in rows(X.tracking(spark, SF, "fast_us")):
-        newest = max(newest, r["ts_us"])
-        person = r["global_id"] or f"{r['camera_id']}_{r['track_id']}"
-        second = r["ts_us"] // 1_000_000
-        for end in range(second + 1, second + 9):
-            exact[end, r["camera_id"]].add(person)
-    got = {(int(r["at"].timestamp()), r["camera_id"]): r["persons"] for r in rows(QUERIES["t2_stream_occupancy"](spark, SF))}
-    closed = {k: len(v) for k, v in exact.items() if k[0] * 1_000_000 <= newest - 600_000_000 - 1_000_000}
-    assert set(closed) <= set(got) and all(abs(got[k] - n) <= 1 + 0.1 * n for k, n in closed.items())
+def test_stream_occupancy_is_exact_at_every_tick(spark):
+    t = X.in_stores(X.tracking(spark, SF, "fast_us")).cache()
+    newest = max(r["ts_us"] for r in rows(t)) // 1000 * 1000 - 600_000_000
+    got = defaultdict(list)
+    for r in rows(QUERIES["t2_stream_occupancy"](spark, SF)):
+        got[r["store"], r["camera_id"]].append((r["at_us"], r["persons"]))
+    for now in range(X.START_US + 7_000_000, newest, 397_000_000):
+        want = {(r["store_id"], r["camera_id"]): r["persons"] for r in rows(A.live_occupancy(t, now, 8, by=["store_id"]))}
+        assert want == {k: n for k, v in got.items() if (n := max((x for x in v if x[0] <= now), default=(0, 0))[1])}
+    t.unpersist()
 
 
 def test_stream_alerts_equal_batch_alerts(spark):
-    t = X.tracking(spark, SF, "fast_us")
-    dwell = G.apply_cooldown(E.dwell_alerts(t).union(E.loitering_alerts(t)), E.COOLDOWNS)
-    surge = rows(G.apply_cooldown(E.surge_alerts(X.occupancy_log(spark, SF, "fast_us")), E.COOLDOWNS))
-    got = {(r["type"], r["entity"], r["ts_us"]) for r in rows(QUERIES["t6_stream_alerts"](spark, SF))}
-    assert {x for x in got if x[0] != "surge"} == {(r["type"], r["entity"], r["ts_us"]) for r in rows(dwell)}
-    # windows still open when the stream ends give no surge yet
-    assert {x for x in got if x[0] == "surge"} <= {(r["type"], r["entity"], r["ts_us"]) for r in surge}
+    """All rules and the cooldown in one plan, against the batch rules and the batch cooldown."""
+    t, by = X.in_stores(X.tracking(spark, SF, "fast_us")), ["store_id"]
+    log = X.in_stores(X.occupancy_log(spark, SF, "fast_us"))
+    every = [E.queue_alerts(t, by=by), E.capacity_alerts(t, 20, by), E.dwell_alerts(t, by=by), E.loitering_alerts(t, by=by), E.surge_alerts(log, least=8, by=by)]
+    both = every[0]
+    for x in every[1:]:
+        both = both.unionByName(x)
+    newest = max(r["ts_us"] for r in rows(t)) // 1000 * 1000 - 600_000_000
+    want = {(r["store_id"], r["type"], r["entity"], r["ts_us"], r["camera_id"]) for r in rows(G.apply_cooldown(both.drop("value"), E.COOLDOWNS, by)) if r["ts_us"] <= newest}
+    got = {(r["store"], r["type"], r["entity"], r["ts_us"], r["camera_id"]) for r in rows(QUERIES["t6_stream_alerts"](spark, SF))}
+    assert got == want
+    assert {"dwell", "loitering", "surge"} <= {x[1] for x in got} and len({x[0] for x in got}) == 2
 
 
 def test_stream_camera_offline(spark):

@@ -1,15 +1,19 @@
-"""Flagged events and alert candidates; the cooldown is gates.apply_cooldown."""
+"""Flagged events and alert candidates; the cooldown is gates.apply_cooldown.
+
+`by` holds the key columns (client, store) that keep stores apart: persons,
+counts and thresholds are those of one store.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import person_id
 from tracewell.operators.joins import camera_offline
-from tracewell.operators.sequences import zone_stops
+from tracewell.operators.sequences import zone_runs
 
 TICK_US = 5_000_000
 
@@ -60,68 +64,72 @@ def dismiss(alerts: DataFrame, ids: DataFrame) -> DataFrame:
     return alerts.join(gone, F.col("id") == F.col("_id"), "left").withColumn("dismissed", F.coalesce("dismissed", F.lit(False)) | F.col("_id").isNotNull()).drop("_id")
 
 
-def _present(tracking: DataFrame, seconds: int = 12) -> DataFrame:
+def _present(tracking: DataFrame, seconds: int = 12, by: Sequence[str] = ()) -> DataFrame:
     """(tick, person, camera_id): every person at every tick that one of their rows covers, on the newest row's camera."""
     first = F.expr(f"(ts_us + {TICK_US - 1}) div {TICK_US}")
     last = F.expr(f"(ts_us + {seconds * 1_000_000 - 1}) div {TICK_US}")
-    rows = tracking.select(person_id().alias("person"), "camera_id", "ts_us", "event_id").withColumn("tick", F.explode(F.sequence(first, F.greatest(first, last))))
+    rows = tracking.select(*by, person_id().alias("person"), "camera_id", "ts_us", "event_id").withColumn("tick", F.explode(F.sequence(first, F.greatest(first, last))))
     rows = rows.where(F.col("tick") * TICK_US - F.col("ts_us") < seconds * 1_000_000)
-    return rows.groupBy("tick", "person").agg(F.max_by("camera_id", F.struct("ts_us", "event_id")).alias("camera_id"))
+    return rows.groupBy(*by, "tick", "person").agg(F.max_by("camera_id", F.struct("ts_us", "event_id")).alias("camera_id"))
 
 
-def _alert(df: DataFrame, kind: str, entity: Column, camera: Column, value: Column, ts: Column) -> DataFrame:
-    return df.select(F.lit(kind).alias("type"), entity.alias("entity"), ts.cast("long").alias("ts_us"), camera.alias("camera_id"), value.alias("value"))
+def _alert(df: DataFrame, kind: str, entity: Column, camera: Column, value: Column, ts: Column, by: Sequence[str] = ()) -> DataFrame:
+    return df.select(*by, F.lit(kind).alias("type"), entity.alias("entity"), ts.cast("long").alias("ts_us"), camera.alias("camera_id"), value.alias("value"))
 
 
-def queue_alerts(tracking: DataFrame, threshold: int = 6) -> DataFrame:
-    """Cameras with at least `threshold` persons at a tick.  All share one cooldown: the entity is empty."""
-    n = _present(tracking).groupBy("tick", "camera_id").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
-    return _alert(n, "queue", F.lit(""), F.col("camera_id"), F.col("n"), F.col("tick") * TICK_US)
+def queue_alerts(tracking: DataFrame, threshold: int = 6, by: Sequence[str] = ()) -> DataFrame:
+    """Cameras with at least `threshold` persons at a tick.  All of a store share one cooldown: the entity is empty."""
+    n = _present(tracking, by=by).groupBy(*by, "tick", "camera_id").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+    return _alert(n, "queue", F.lit(""), F.col("camera_id"), F.col("n"), F.col("tick") * TICK_US, by)
 
 
 def queue_threshold(capacity: int | None) -> int:
     return 6 if capacity is None else max(4, capacity // 4)
 
 
-def capacity_alerts(tracking: DataFrame, capacity: int = 85) -> DataFrame:
-    n = _present(tracking).groupBy("tick").agg(F.count("*").alias("n")).where(F.col("n") >= capacity)
-    return _alert(n, "capacity", F.lit(""), F.lit(""), F.col("n"), F.col("tick") * TICK_US)
+def capacity_alerts(tracking: DataFrame, capacity: int = 85, by: Sequence[str] = ()) -> DataFrame:
+    n = _present(tracking, by=by).groupBy(*by, "tick").agg(F.count("*").alias("n")).where(F.col("n") >= capacity)
+    return _alert(n, "capacity", F.lit(""), F.lit(""), F.col("n"), F.col("tick") * TICK_US, by)
 
 
-def dwell_alerts(tracking: DataFrame, minutes: int = 5, kind: str = "dwell", skip: Sequence[str] = ()) -> DataFrame:
-    """A row per tick at which a person has been in one zone for the minutes or longer.
+def dwell_alerts(tracking: DataFrame, minutes: int = 5, kind: str = "dwell", skip: Sequence[str] = (), by: Sequence[str] = (), seconds: int = 12) -> DataFrame:
+    """A row per tick at which a person is present and has been in one zone for the minutes or longer.
 
-    The last stop of a person counts up to their last row.
+    Present means that the newest row is less than `seconds` old; time in the
+    zone runs from its first row, over gaps too.  Blank zones alert nobody.
     """
-    stops = zone_stops(tracking)
-    seen = tracking.groupBy(person_id().alias("person")).agg(F.max("ts_us").alias("seen_us"))
-    s = stops.join(seen, "person").withColumn("until", F.coalesce(F.col("exit_us") - 1, F.col("seen_us")))
+    rows = zone_runs(tracking, by)
+    run, own = Window.partitionBy(*by, "person", "stop"), Window.partitionBy(*by, "person").orderBy("ts_us", "event_id")
+    rows = rows.withColumn("entry_us", F.min("ts_us").over(run)).withColumn("_next", F.lead("ts_us").over(own)).where("zone <> ''")
     if skip:
-        s = s.where(~F.lower("zone").isin(*skip))
-    low = F.expr(f"(entry_us + {minutes * 60_000_000 + TICK_US - 1}) div {TICK_US}")
-    s = s.withColumn("low", low).withColumn("high", F.expr(f"until div {TICK_US}")).where("low <= high")
-    s = s.withColumn("tick", F.explode(F.sequence("low", "high")))
+        rows = rows.where(~F.lower("zone").isin(*skip))
+    # a row stands for the person until the next one
+    until = F.least(F.coalesce(F.col("_next") - 1, F.col("ts_us") + seconds * 1_000_000 - 1), F.col("ts_us") + seconds * 1_000_000 - 1)
+    since = F.greatest(F.col("ts_us"), F.col("entry_us") + minutes * 60_000_000)
+    rows = rows.withColumn("_since", since).withColumn("_until", until)
+    rows = rows.withColumn("low", F.expr(f"(_since + {TICK_US - 1}) div {TICK_US}")).withColumn("high", F.expr(f"_until div {TICK_US}")).where("low <= high")
+    rows = rows.withColumn("tick", F.explode(F.sequence("low", "high")))
     entity = F.concat(F.lit("loiter_"), F.col("person")) if kind == "loitering" else F.col("person")
-    return _alert(s, kind, entity, F.col("cam"), F.expr(f"(tick * {TICK_US} - entry_us) div 60000000"), F.col("tick") * TICK_US)
+    return _alert(rows, kind, entity, F.col("camera_id"), F.expr(f"(tick * {TICK_US} - entry_us) div 60000000"), F.col("tick") * TICK_US, by)
 
 
-def loitering_alerts(tracking: DataFrame, minutes: int = 10) -> DataFrame:
-    return dwell_alerts(tracking, minutes, "loitering", CHECKOUT_ZONES)
+def loitering_alerts(tracking: DataFrame, minutes: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    return dwell_alerts(tracking, minutes, "loitering", CHECKOUT_ZONES, by)
 
 
 def surge_threshold(capacity: int = 85) -> int:
     return max(5, int(0.15 * capacity))
 
 
-def surge_alerts(log: DataFrame, window: int = 120, least: int | None = None) -> DataFrame:
+def surge_alerts(log: DataFrame, window: int = 120, least: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Ticks with at least `least` entries in the seconds before, the tick included.
 
     Entries are counted per tick first; each count then reaches the ticks whose window holds it.
     """
-    slots = log.where("event_type = 'entry'").groupBy(F.expr(f"(ts_us + {TICK_US - 1}) div {TICK_US}").alias("slot")).agg(F.count("*").alias("n"))
+    slots = log.where("event_type = 'entry'").groupBy(*by, F.expr(f"(ts_us + {TICK_US - 1}) div {TICK_US}").alias("slot")).agg(F.count("*").alias("n"))
     reach = slots.withColumn("tick", F.explode(F.sequence(F.col("slot"), F.col("slot") + window * 1_000_000 // TICK_US - 1)))
-    n = reach.groupBy("tick").agg(F.sum("n").alias("n")).where(F.col("n") >= (surge_threshold() if least is None else least))
-    return _alert(n, "surge", F.lit(""), F.lit(""), F.col("n"), F.col("tick") * TICK_US)
+    n = reach.groupBy(*by, "tick").agg(F.sum("n").alias("n")).where(F.col("n") >= (surge_threshold() if least is None else least))
+    return _alert(n, "surge", F.lit(""), F.lit(""), F.col("n"), F.col("tick") * TICK_US, by)
 
 
 def offline_alerts(cameras: DataFrame, pings: DataFrame, as_of: int, seconds: int = 45) -> DataFrame:

@@ -1,8 +1,8 @@
 """Folds whose next decision depends on the last one.
 
-A key's rows are first cut into islands by built-in windows: after a silence
-that is long enough, what came before no longer matters, so each island is
-folded alone and a busy key is many small groups.
+A key's rows stream through a task in order, with a state of a few values
+(`sorted_scan`): the shuffle sorts and spills them, no task holds a key's rows,
+however busy or unbroken it is.
 """
 
 from __future__ import annotations
@@ -11,17 +11,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def keep_spaced(ts: np.ndarray, gap: float, strict: bool = False) -> np.ndarray:
-    """Indexes kept of sorted times: each at least (or more than) `gap` after the last kept one."""
-    kept, i = [], 0
+def keep_spaced(ts: np.ndarray, gap: float, last: float | None = None) -> np.ndarray:
+    """Indexes kept of sorted times: each at least `gap` after the last kept one, and after `last`."""
+    kept, i = [], 0 if last is None else int(np.searchsorted(ts, last + gap, side="left"))
     while i < len(ts):
         kept.append(i)
-        i = max(i + 1, int(np.searchsorted(ts, ts[i] + gap, side="right" if strict else "left")))
+        i = max(i + 1, int(np.searchsorted(ts, ts[i] + gap, side="left")))
     return np.array(kept, dtype=np.int64)
 
 
@@ -30,30 +30,6 @@ def grouped_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold,
     return df.groupBy(*keys).applyInPandas(lambda pdf: fold(pdf.sort_values(list(order), kind="stable")), schema)
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float | Column) -> DataFrame:
-    """Adds `_island`: a number that grows where a key's row comes `gap` or more after the row before it."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    new = (F.col(order[0]) - F.lag(order[0]).over(w) >= gap).cast("long")
-    return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("_island", F.sum("_new").over(w)).drop("_new")
-
-
-def island_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float | Column, fold, schema) -> DataFrame:
-    """`fold` on the rows of each island of each key, in order; rows of an island must fit one task."""
-    return grouped_fold(islands(df, keys, order, gap), [*keys, "_island"], order, lambda pdf: fold(pdf.drop(columns="_island")), schema)
-
-
-def throttle(df: DataFrame, keys: Sequence[str], ts: str, gap: float, order: Sequence[str] = ()) -> DataFrame:
-    """Rows at least `gap` after the last kept row of their key (the first is kept).
-
-    A row that comes `gap` after the row before it is always kept, so islands start there.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[keep_spaced(pdf[ts].to_numpy(), gap)]
-
-    return island_fold(df, keys, [ts, *order], gap, fold, df.schema)
-
-
 def sorted_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, schema, end=None) -> DataFrame:
     """A fold that never holds a key's rows: they stream through a task in order, with a small state.
 
@@ -82,6 +58,16 @@ def sorted_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step,
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def throttle(df: DataFrame, keys: Sequence[str], ts: str, gap: float, order: Sequence[str] = ()) -> DataFrame:
+    """Rows at least `gap` after the last kept row of their key (the first is kept)."""
+
+    def step(last, pdf: pd.DataFrame):
+        kept = keep_spaced(pdf[ts].to_numpy(), gap, last)
+        return (pdf[ts].iloc[kept[-1]] if len(kept) else last), pdf.iloc[kept]
+
+    return sorted_scan(df, keys, [ts, *order], step, df.schema)
+
+
 def smooth(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], alpha: float = 0.35) -> DataFrame:
     """Exponential moving average per key, first row raw, cut to integers: adds <column>_smooth."""
     schema = T.StructType([*df.schema.fields, *(T.StructField(f"{c}_smooth", T.IntegerType()) for c in columns)])
@@ -99,34 +85,35 @@ def smooth(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Se
     return sorted_scan(df, keys, order, step, schema)
 
 
-def gate_crossings(candidates: DataFrame, exit_cooldown: float = 8.0) -> DataFrame:
+def gate_crossings(candidates: DataFrame, exit_cooldown: float = 8.0, by: Sequence[str] = ()) -> DataFrame:
     """Crossings that count, of candidate rows (camera_id, track_id, ts_us, event_id, kind).
 
     An entry always counts and restarts the clock; an exit within the cooldown
     of the last crossing does not.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
+    def step(last, pdf: pd.DataFrame):
+        keep = []
         for ts, kind in zip(pdf["ts_us"], pdf["kind"], strict=True):
             ok = kind == "entry" or last is None or ts - last >= exit_cooldown * 1e6
             keep.append(ok)
             if ok:
                 last = ts
-        return pdf[keep]
+        return last, pdf[keep]
 
-    return island_fold(candidates, ["camera_id", "track_id"], ["ts_us", "event_id"], exit_cooldown * 1e6, fold, candidates.schema)
+    return sorted_scan(candidates, [*by, "camera_id", "track_id"], ["ts_us", "event_id"], step, candidates.schema)
 
 
 def lockouts(attempts: DataFrame, most: int = 5, window: float = 300, lock: float = 900) -> DataFrame:
     """Lock intervals (ip, from_us, to_us): `most` failures within the window.
 
     A success or a lock resets the count; attempts during a lock don't count.
-    After a silence longer than both, neither failures nor locks are left.
+    The state is the end of the last lock and at most `most` failures.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        fails, until, out = [], -1.0, []
+    def step(state, pdf: pd.DataFrame):
+        fails, until = state or ([], -1.0)
+        out = []
         for ts, ok in zip(pdf["ts_us"], pdf["ok"], strict=True):
             if ts < until:
                 continue
@@ -137,23 +124,22 @@ def lockouts(attempts: DataFrame, most: int = 5, window: float = 300, lock: floa
             if len(fails) >= most:
                 until, fails = ts + lock * 1e6, []
                 out.append((pdf["ip"].iloc[0], ts, int(until)))
-        return pd.DataFrame(out, columns=["ip", "from_us", "to_us"])
+        return (fails, until), pd.DataFrame(out, columns=["ip", "from_us", "to_us"])
 
-    silence = max(window, lock) * 1e6 + 1
-    return island_fold(attempts, ["ip"], ["ts_us", "event_id"], silence, fold, "ip string, from_us long, to_us long")
+    return sorted_scan(attempts.select("ip", "ts_us", "event_id", "ok"), ["ip"], ["ts_us", "event_id"], step, "ip string, from_us long, to_us long")
 
 
-def apply_cooldown(candidates: DataFrame, cooldowns: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+def apply_cooldown(candidates: DataFrame, cooldowns: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Alerts that fire, of candidates (type, entity, ts_us, camera_id): at most one per (type, entity) and cooldown.
 
     Of several candidates of one key and tick, the lowest camera_id takes part.
+    Alerts of a store without an entity share one key: their candidates, one a
+    tick, stream through a task.
     """
-    first = candidates.groupBy(*keys, "type", "entity", "ts_us").agg(F.min("camera_id").alias("camera_id"))
+    first = candidates.groupBy(*by, "type", "entity", "ts_us").agg(F.min("camera_id").alias("camera_id"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        gap = cooldowns.get(pdf["type"].iloc[0], 0.0) * 1e6
-        return pdf.iloc[keep_spaced(pdf["ts_us"].to_numpy(), gap)]
+    def step(last, pdf: pd.DataFrame):
+        kept = keep_spaced(pdf["ts_us"].to_numpy(), cooldowns.get(pdf["type"].iloc[0], 0.0) * 1e6, last)
+        return (pdf["ts_us"].iloc[kept[-1]] if len(kept) else last), pdf.iloc[kept]
 
-    kinds = F.create_map(*[F.lit(x) for kind, seconds in cooldowns.items() for x in (kind, seconds * 1e6)]) if cooldowns else F.create_map().cast("map<string,double>")
-    gap = F.coalesce(F.try_element_at(kinds, F.col("type")).cast("double"), F.lit(0.0))
-    return island_fold(first, [*keys, "type", "entity"], ["ts_us"], gap, fold, first.schema)
+    return sorted_scan(first, [*by, "type", "entity"], ["ts_us"], step, first.schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.gates import grouped_fold
-from tracewell.operators.graph import components
+from tracewell.functions.columns import person_id
+from tracewell.operators.gates import sorted_scan
+from tracewell.sources.shared import join_dimension
 
 
 def near_in_time(left: DataFrame, right: DataFrame, key: str, lts: str, rts: str, back: int, ahead: int) -> DataFrame:
@@ -25,12 +28,32 @@ def near_in_time(left: DataFrame, right: DataFrame, key: str, lts: str, rts: str
     return a.join(b, (F.col(key) == F.col("_rk")) & (F.col("_b") == F.col("_rb"))).where(F.col(rts).between(lo, hi)).drop("_b", "_rb", "_rk")
 
 
-def nearest_frame(events: DataFrame, frames: DataFrame, window: int = 300) -> DataFrame:
-    """events (id, camera_id, ts seconds) with the closest frame inside the window; ties: the earlier."""
-    f = frames.select("camera_id", F.col("ts").alias("frame_ts"), "path")
-    pairs = near_in_time(events, f, "camera_id", "ts", "frame_ts", window, window)
-    best = pairs.groupBy("id", "camera_id", "ts").agg(F.min(F.struct(F.abs(F.col("frame_ts") - F.col("ts")).alias("d"), "frame_ts", "path")).alias("b"))
-    return best.select("id", "camera_id", "ts", "b.frame_ts", "b.path")
+def nearest_frame(events: DataFrame, frames: DataFrame, window: int = 300, by: Sequence[str] = (), span: int = 8) -> DataFrame:
+    """events (id, camera_id, ts seconds) with the closest frame inside the window; ties: the earlier.
+
+    An as-of merge: both sides are laid into time buckets of `span` windows,
+    frames near a border in the next bucket too, and sorted once each way; the
+    last frame seen before and after a row is carried along.  One row an event
+    comes out, no pairs are made, and a busy camera is as many groups as buckets.
+    """
+    size = span * window
+    bucket = lambda c: F.floor(c / size).cast("long")
+    t = F.col("ts")
+    reach = F.array_distinct(F.array(bucket(t - window), bucket(t), bucket(t + window)))
+    none = F.lit(None)
+    kind = {f.name: f.dataType for f in events.schema}
+    at = F.struct(F.col("ts").alias("frame_ts"), "path")
+    f = frames.select(*by, "camera_id", "ts", F.explode(reach).alias("_b"), none.cast(kind["id"]).alias("id"), at.alias("_f"))
+    e = events.select(*by, "camera_id", F.col("ts").cast(frames.schema["ts"].dataType).alias("ts"), bucket(t).alias("_b"), "id", none.cast(f.schema["_f"].dataType).alias("_f"))
+    rows = e.withColumn("_event", F.lit(1)).unionByName(f.withColumn("_event", F.lit(0)))
+    # at one moment frames come first both ways; of several with one time that of the smallest path is the last seen
+    group = [*by, "camera_id", "_b"]
+    before = Window.partitionBy(*group).orderBy("ts", "_event", F.col("_f.path").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*group).orderBy(F.desc("ts"), "_event", F.col("_f.path").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_p", F.last("_f", True).over(before)).withColumn("_n", F.last("_f", True).over(after)).where("_event = 1")
+    near = lambda c: F.when(F.abs(F.col(f"{c}.frame_ts") - t) <= window, F.struct(F.abs(F.col(f"{c}.frame_ts") - t).alias("d"), F.col(f"{c}.frame_ts").alias("frame_ts"), F.col(f"{c}.path").alias("path")))
+    best = rows.withColumn("b", F.least(near("_p"), near("_n"))).where("b is not null")
+    return best.select("id", *by, "camera_id", F.col("ts").cast(kind["ts"]).alias("ts"), "b.frame_ts", "b.path")
 
 
 def clip_frames(events: DataFrame, frames: DataFrame, seconds: int, n: int | None = None) -> DataFrame:
@@ -58,32 +81,44 @@ def stitch_candidates(segments: DataFrame, min_gap: float = 0.5, max_gap: float
     return pairs.where(ok).select("camera_id", "start_us", "new_id", "old_id", "old_start")
 
 
-def stitch_tracks(segments: DataFrame, **limits) -> DataFrame:
+def stitch_tracks(segments: DataFrame, min_gap: float = 0.5, max_gap: float = 45.0, max_dist: float = 500.0, by: Sequence[str] = ()) -> DataFrame:
     """(seg, old_id, root): each new segment's predecessor, if any, and the first segment of its chain, whose id it takes.
 
-    Segments are looked at in order of start; each takes the first candidate, in the order in which
-    the old ones appeared, whose id no track holds at that instant.  Segments linked by candidates
-    are folded together, all others apart.
-    """
-    pairs = stitch_candidates(segments, **limits)
-    ends = segments.select(F.col("seg").alias("_s"), "end_us")
-    group = components(pairs.select("new_id", "old_id"), "new_id", "old_id").select(F.col("node").alias("_n"), F.col("component").alias("g"))
-    rows = pairs.join(ends, F.col("new_id") == F.col("_s")).join(group, F.col("new_id") == F.col("_n")).select("g", "start_us", "end_us", "new_id", "old_start", "old_id")
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        first: dict = {}
-        held: dict = {}
-        for r in pdf.itertuples():
-            if r.new_id in first:
-                continue
-            root = first.get(r.old_id, (None, r.old_id))[1]
-            if held.get(root, -1) < r.start_us:
-                first[r.new_id] = (r.old_id, root)
-                held[root] = r.end_us
-        return pd.DataFrame([(new, old, root) for new, (old, root) in first.items()], columns=["seg", "old_id", "root"])
+    A sweep over each camera's segments in order of start.  The state holds what
+    can still matter: segments that run or ended less than `max_gap` before, and
+    the ids that run.  Each new segment takes the first candidate (it ended
+    min_gap..max_gap before and close by), in the order in which the old ones
+    appeared, whose id no track holds at that instant.  State and work are
+    bounded by the tracks alive at once, however long they chain.
 
+    segments: seg, camera_id, start_us, end_us, sx, sy, ex, ey.
+    """
     kind = segments.schema["seg"].dataType.simpleString()
-    return grouped_fold(rows, ["g"], ["start_us", "new_id", "old_start", "old_id"], claim, f"seg {kind}, old_id {kind}, root {kind}")
+    names = [*by, "camera_id", "start_us", "seg", "end_us", "sx", "sy", "ex", "ey"]
+
+    def step(state, pdf: pd.DataFrame):
+        old, held = state or ([], {})  # (start, seg, end, x, y, root) in order of appearance; root -> end of its last segment
+        out = []
+        for r in pdf[names[len(by) :]].itertuples(index=False):
+            old = [o for o in old if r.start_us - o[2] < max_gap * 1e6]
+            live = {o[5] for o in old}
+            held = {root: end for root, end in held.items() if end >= r.start_us or root in live}
+            root = r.seg
+            for _, seg, end, x, y, first in old:
+                gap = r.start_us - end
+                if gap > min_gap * 1e6 and (r.sx - x) ** 2 + (r.sy - y) ** 2 < max_dist**2 and held.get(first, -1) < r.start_us:
+                    out.append((seg, r.seg, first))
+                    root = first
+                    break
+            held[root] = max(held.get(root, r.end_us), r.end_us)
+            old.append((r.start_us, r.seg, r.end_us, r.ex, r.ey, root))
+        made = pd.DataFrame(out, columns=["old_id", "seg", "root"])[["seg", "old_id", "root"]]
+        for i, k in enumerate(by):
+            made.insert(i, k, pdf[k].iloc[0])
+        return (old, held), made
+
+    head = "".join(f"{k} {segments.schema[k].dataType.simpleString()}, " for k in by)
+    return sorted_scan(segments.select(*names), [*by, "camera_id"], ["start_us", "seg"], step, f"{head}seg {kind}, old_id {kind}, root {kind}")
 
 
 def inherited(segments: DataFrame, stitched: DataFrame, flag: str = "has_entered") -> DataFrame:
@@ -105,31 +140,32 @@ def never_seen(cameras: DataFrame, pings: DataFrame) -> DataFrame:
     return cameras.where(F.coalesce("enabled", F.lit(True))).select("camera_id").join(pings, "camera_id", "left_anti")
 
 
-def close_pairs(snapshots: DataFrame, dist: float = 100.0) -> DataFrame:
+def close_pairs(snapshots: DataFrame, dist: float = 100.0, by: Sequence[str] = ()) -> DataFrame:
     """Pairs (snap, a, b) of persons closer than `dist` in one snapshot.
 
     A cell is as wide as the distance: a person meets those of the nine cells
     around, by an equi-join.
     """
     cell = lambda x: F.floor(F.col(x) / dist).cast("long")
-    a = snapshots.select("snap", F.col("person").alias("a"), F.col("world_x").alias("ax"), F.col("world_y").alias("ay"), cell("world_x").alias("gx"), cell("world_y").alias("gy"))
+    keys = [*by, "snap"]
+    a = snapshots.select(*keys, F.col("person").alias("a"), F.col("world_x").alias("ax"), F.col("world_y").alias("ay"), cell("world_x").alias("gx"), cell("world_y").alias("gy"))
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = snapshots.select("snap", F.col("person").alias("b"), F.col("world_x").alias("bx"), F.col("world_y").alias("by"), cell("world_x").alias("cx"), cell("world_y").alias("cy"), F.explode(near).alias("o"))
-    b = b.select("snap", "b", "bx", "by", (F.col("cx") + F.col("o.i")).alias("gx"), (F.col("cy") + F.col("o.j")).alias("gy"))
-    pairs = a.join(b, ["snap", "gx", "gy"]).where("a < b")
-    return pairs.where((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 < dist * dist).select("snap", "a", "b")
+    b = snapshots.select(*keys, F.col("person").alias("b"), F.col("world_x").alias("bx"), F.col("world_y").alias("by"), cell("world_x").alias("cx"), cell("world_y").alias("cy"), F.explode(near).alias("o"))
+    b = b.select(*keys, "b", "bx", "by", (F.col("cx") + F.col("o.i")).alias("gx"), (F.col("cy") + F.col("o.j")).alias("gy"))
+    pairs = a.join(b, [*keys, "gx", "gy"]).where("a < b")
+    return pairs.where((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 < dist * dist).select(*keys, "a", "b")
 
 
-def lasting_pairs(pairs: DataFrame, step_s: float = 5.0, min_seconds: float = 5.0) -> DataFrame:
+def lasting_pairs(pairs: DataFrame, step_s: float = 5.0, min_seconds: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
     """Pairs (snap, a, b) that have been close in every snapshot for longer than min_seconds."""
-    w = Window.partitionBy("a", "b").orderBy("snap")
+    w = Window.partitionBy(*by, "a", "b").orderBy("snap")
     runs = pairs.withColumn("_run", F.col("snap") - F.row_number().over(w))
-    since = F.min("snap").over(Window.partitionBy("a", "b", "_run"))
-    return runs.withColumn("_since", since).where((F.col("snap") - F.col("_since")) * step_s > min_seconds).select("snap", "a", "b")
+    since = F.min("snap").over(Window.partitionBy(*by, "a", "b", "_run"))
+    return runs.withColumn("_since", since).where((F.col("snap") - F.col("_since")) * step_s > min_seconds).select(*by, "snap", "a", "b")
 
 
-def groups(snapshots: DataFrame, dist: float = 100.0, step_s: float = 5.0, min_seconds: float = 5.0) -> DataFrame:
-    """Groups (snap, group, size, members) of persons linked by lasting pairs; a snapshot's pairs fit a task."""
+def groups(snapshots: DataFrame, dist: float = 100.0, step_s: float = 5.0, min_seconds: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
+    """Groups (snap, group, size, members) of persons linked by lasting pairs; a store's pairs of one snapshot fit a task."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         parent: dict = {}
@@ -145,23 +181,27 @@ def groups(snapshots: DataFrame, dist: float = 100.0, step_s: float = 5.0, min_s
         found: dict = {}
         for x in list(parent):
             found.setdefault(root(x), []).append(x)
-        return pd.DataFrame([(pdf["snap"].iloc[0], g, len(m), sorted(m)) for g, m in sorted(found.items())], columns=["snap", "group", "size", "members"])
+        own = [pdf[k].iloc[0] for k in (*by, "snap")]
+        return pd.DataFrame([(*own, g, len(m), sorted(m)) for g, m in sorted(found.items())], columns=[*by, "snap", "group", "size", "members"])
 
-    pairs = lasting_pairs(close_pairs(snapshots, dist), step_s, min_seconds)
-    return pairs.groupBy("snap").applyInPandas(join, "snap long, group long, size int, members array<long>")
+    pairs = lasting_pairs(close_pairs(snapshots, dist, by), step_s, min_seconds, by)
+    head = "".join(f"{k} {snapshots.schema[k].dataType.simpleString()}, " for k in by)
+    return pairs.groupBy(*by, "snap").applyInPandas(join, f"{head}snap long, group long, size int, members array<long>")
 
 
-def recently_active(tracking: DataFrame, as_of: int, seconds: int = 90) -> DataFrame:
+def recently_active(tracking: DataFrame, as_of: int, seconds: int = 90, by: Sequence[str] = ()) -> DataFrame:
     """Persons last seen on a camera within the seconds before as_of."""
-    from tracewell.functions.columns import person_id
-
-    seen = tracking.where(F.col("ts_us") <= as_of).groupBy("camera_id", person_id().alias("person")).agg(F.max("ts_us").alias("last_us"))
+    seen = tracking.where(F.col("ts_us") <= as_of).groupBy(*by, "camera_id", person_id().alias("person")).agg(F.max("ts_us").alias("last_us"))
     return seen.where(F.col("last_us") >= as_of - seconds * 1_000_000)
 
 
-def join_dimensions(tracking: DataFrame, cameras: DataFrame, zones: DataFrame) -> DataFrame:
-    """Tracking rows with the camera's name and the zone's place in its configuration."""
-    c = cameras.select(F.col("camera_id").alias("_c"), F.col("name").alias("camera_name"))
-    z = zones.select(F.col("camera_id").alias("_zc"), F.col("zone").alias("_z"), "zone_idx")
-    out = tracking.join(c, F.col("camera_id") == F.col("_c"), "left").join(z, (F.col("camera_id") == F.col("_zc")) & (F.col("zone") == F.col("_z")), "left")
-    return out.drop("_c", "_zc", "_z")
+def join_dimensions(tracking: DataFrame, cameras: DataFrame, zones: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tracking rows with the camera's name and the zone's place in its configuration.
+
+    Both dimensions are broadcast only under a checked size and salted beyond it.  With `by` they hold these columns too.
+    """
+    place, spot = F.struct(*by, "camera_id"), F.struct(*by, "camera_id", "zone")
+    c = cameras.select(place.alias("_c"), F.col("name").alias("camera_name"))
+    z = zones.select(spot.alias("_zc"), "zone_idx")
+    out = join_dimension(tracking.withColumn("_place", place), c, "_place", "_c").drop("_c", "_place")
+    return join_dimension(out.withColumn("_spot", spot), z, "_spot", "_zc").drop("_zc", "_spot")

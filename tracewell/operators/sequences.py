@@ -1,4 +1,8 @@
-"""Order-dependent jobs per track, person or session, with built-in windows."""
+"""Order-dependent jobs per track, person or session, with built-in windows.
+
+`by` holds the key columns (client, store) that keep stores apart: ids of tracks
+and persons are only told apart within one.
+"""
 
 from __future__ import annotations
 
@@ -20,57 +24,62 @@ def segment_tracks(df: DataFrame, gap: float = 30.0, keys: Sequence[str] = TRACK
     return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("segment_id", F.sum("_new").over(w)).drop("_new")
 
 
-def line_crossings(tracking: DataFrame, lines: DataFrame) -> DataFrame:
+def line_crossings(tracking: DataFrame, lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Candidate crossings: previous to current foot point of a track meets the camera's entrance line.
 
     kind is entry (outside to inside) or exit; the gate that drops hasty exits
-    is gates.gate_crossings.
+    is gates.gate_crossings.  With `by`, lines hold these columns too.
     """
-    w = Window.partitionBy(*TRACK).orderBy("ts_us", "event_id")
+    w = Window.partitionBy(*by, *TRACK).orderBy("ts_us", "event_id")
     p = tracking.withColumn("fx", foot_x()).withColumn("fy", F.col("y2"))
     p = p.withColumn("px", F.lag("fx").over(w)).withColumn("py", F.lag("fy").over(w)).where("px is not null")
-    line = lines.select(F.col("camera_id").alias("_c"), *[F.col(x).alias(f"l{x}") for x in ("x1", "y1", "x2", "y2")], "inside_direction")
-    j = join_dimension(p, line, "camera_id", "_c", "inner")
+    place = F.struct(*by, "camera_id")
+    line = lines.select(place.alias("_c"), *[F.col(x).alias(f"l{x}") for x in ("x1", "y1", "x2", "y2")], "inside_direction")
+    j = join_dimension(p.withColumn("_place", place), line, "_place", "_c", "inner")
     side = lambda x, y: side_of_line(x, y, "lx1", "ly1", "lx2", "ly2") * F.when(F.col("inside_direction") == "right", -1).otherwise(1)
     before, now = side("px", "py") >= 0, side("fx", "fy") >= 0
     hit = crosses_line("px", "py", "fx", "fy", "lx1", "ly1", "lx2", "ly2") & (before != now)
-    return j.where(hit).select("camera_id", "track_id", "ts_us", "event_id", F.when(now, "entry").otherwise("exit").alias("kind"))
+    return j.where(hit).select(*by, "camera_id", "track_id", "ts_us", "event_id", F.when(now, "entry").otherwise("exit").alias("kind"))
 
 
-def sample_positions(tracking: DataFrame, every: int = 5, width: int = 1920, height: int = 1080) -> DataFrame:
+def sample_positions(tracking: DataFrame, every: int = 5, width: int = 1920, height: int = 1080, by: Sequence[str] = ()) -> DataFrame:
     """Every 5th detection of a track, as shares of the frame."""
-    w = Window.partitionBy(*TRACK).orderBy("ts_us", "event_id")
+    w = Window.partitionBy(*by, *TRACK).orderBy("ts_us", "event_id")
     rows = tracking.withColumn("_n", F.row_number().over(w)).where(F.col("_n") % every == 0)
-    return rows.select("camera_id", "track_id", "ts_us", (foot_x() / width).alias("cx"), (F.col("y2") / height).alias("cy"))
+    return rows.select(*by, "camera_id", "track_id", "ts_us", (foot_x() / width).alias("cx"), (F.col("y2") / height).alias("cy"))
+
 
+def zone_runs(tracking: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tracking rows with `person`, `zone` (blank for none), and `stop`: a number that grows where a person's zone changes."""
+    w = Window.partitionBy(*by, "person").orderBy("ts_us", "event_id")
+    rows = tracking.withColumn("person", person_id()).withColumn("zone", F.coalesce("zone", F.lit("")))
+    return rows.withColumn("_new", (F.coalesce(F.lag("zone").over(w), F.lit("\0")) != F.col("zone")).cast("int")).withColumn("stop", F.sum("_new").over(w)).drop("_new")
 
-def zone_stops(tracking: DataFrame) -> DataFrame:
+
+def zone_stops(tracking: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Stops (person, zone, cam, entry_us, exit_us) of every person; the last one is open.
 
     A stop lasts while the zone stays the same, whatever the camera; its camera
     is that of its last row, its end the first row of the next zone.  Blank
     zones are no stops: the stop before one is dropped, as it is never closed.
     """
-    w = Window.partitionBy("person").orderBy("ts_us", "event_id")
-    rows = tracking.withColumn("person", person_id()).withColumn("zone", F.coalesce("zone", F.lit("")))
-    rows = rows.withColumn("_new", (F.coalesce(F.lag("zone").over(w), F.lit("\0")) != F.col("zone")).cast("int")).withColumn("stop", F.sum("_new").over(w))
-    stops = rows.groupBy("person", "stop", "zone").agg(F.min("ts_us").alias("entry_us"), F.max_by("camera_id", F.struct("ts_us", "event_id")).alias("cam"))
-    s = Window.partitionBy("person").orderBy("stop")
+    stops = zone_runs(tracking, by).groupBy(*by, "person", "stop", "zone").agg(F.min("ts_us").alias("entry_us"), F.max_by("camera_id", F.struct("ts_us", "event_id")).alias("cam"))
+    s = Window.partitionBy(*by, "person").orderBy("stop")
     stops = stops.withColumn("exit_us", F.lead("entry_us").over(s)).withColumn("_next", F.lead("zone").over(s))
-    return stops.where("zone <> '' and coalesce(_next, '-') <> ''").select("person", "stop", "zone", "cam", "entry_us", "exit_us")
+    return stops.where("zone <> '' and coalesce(_next, '-') <> ''").select(*by, "person", "stop", "zone", "cam", "entry_us", "exit_us")
 
 
-def zone_trail(tracking: DataFrame, keep: int = 10) -> DataFrame:
+def zone_trail(tracking: DataFrame, keep: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """The last `keep` closed stops per person, and the open one."""
-    stops = zone_stops(tracking)
-    w = Window.partitionBy("person", F.col("exit_us").isNull()).orderBy(F.desc("stop"))
+    stops = zone_stops(tracking, by)
+    w = Window.partitionBy(*by, "person", F.col("exit_us").isNull()).orderBy(F.desc("stop"))
     return stops.withColumn("_n", F.row_number().over(w)).where(F.col("exit_us").isNull() | (F.col("_n") <= keep)).drop("_n", "stop")
 
 
-def time_in_zone(tracking: DataFrame, as_of: int) -> DataFrame:
+def time_in_zone(tracking: DataFrame, as_of: int, by: Sequence[str] = ()) -> DataFrame:
     """Current zone of each person, and whole seconds since its entry."""
-    now = zone_stops(tracking.where(F.col("ts_us") <= as_of)).where("exit_us is null")
-    return now.select("person", "zone", "entry_us", F.expr(f"({as_of} - entry_us) div 1000000").alias("seconds"))
+    now = zone_stops(tracking.where(F.col("ts_us") <= as_of), by).where("exit_us is null")
+    return now.select(*by, "person", "zone", "entry_us", F.expr(f"({as_of} - entry_us) div 1000000").alias("seconds"))
 
 
 def common_paths(positions: DataFrame, camera: str | None = None, max_paths: int = 5, min_points: int = 6, waypoints: int = 10) -> DataFrame:
@@ -112,30 +121,30 @@ def keyframes(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int =
     return rows.where((F.col("_n") <= n) | F.array_contains(wanted, F.col("_i").cast("long"))).drop("_i", "_n")
 
 
-def dedupe_live_tracks(df: DataFrame, as_of: int, seconds: float = 5.0) -> DataFrame:
+def dedupe_live_tracks(df: DataFrame, as_of: int, seconds: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
     """Per global_id of the last seconds the row with most detections, the first of equals."""
     rows = df.where((F.col("ts_us") > as_of - seconds * 1e6) & (F.col("ts_us") <= as_of) & F.col("global_id").isNotNull())
-    w = Window.partitionBy("global_id").orderBy(F.desc("detection_count"), "ts_us", "event_id")
+    w = Window.partitionBy(*by, "global_id").orderBy(F.desc("detection_count"), "ts_us", "event_id")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def people_gallery(tracking: DataFrame, as_of: int, seconds: int = 120, active: int = 5) -> DataFrame:
+def people_gallery(tracking: DataFrame, as_of: int, seconds: int = 120, active: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """Latest row per person of the window: active ones first, then newest."""
     from tracewell.operators.traffic import latest
 
-    rows = latest(tracking, as_of, seconds * 1_000_000)
-    return rows.select("person", "camera_id", "zone", "ts_us", (as_of - F.col("ts_us") < active * 1_000_000).alias("active")).orderBy(F.desc("active"), F.desc("ts_us"), "person")
+    rows = latest(tracking, as_of, seconds * 1_000_000, by)
+    return rows.select(*by, "person", "camera_id", "zone", "ts_us", (as_of - F.col("ts_us") < active * 1_000_000).alias("active")).orderBy(*by, F.desc("active"), F.desc("ts_us"), "person")
 
 
-def best_crops(crops: DataFrame, k: int = 3, gap: float = 3.0) -> DataFrame:
+def best_crops(crops: DataFrame, k: int = 3, gap: float = 3.0, by: Sequence[str] = ()) -> DataFrame:
     """Sharpest k rows of each person's current presence; a gap of over 3 seconds starts a new one.
 
     crops: person, ts_us, event_id, sharpness.
     """
-    w = Window.partitionBy("person").orderBy("ts_us", "event_id")
+    w = Window.partitionBy(*by, "person").orderBy("ts_us", "event_id")
     rows = crops.withColumn("_new", F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) > gap * 1e6).cast("int"), F.lit(0))).withColumn("_s", F.sum("_new").over(w))
-    last = F.max("_s").over(Window.partitionBy("person"))
-    best = Window.partitionBy("person").orderBy(F.desc("sharpness"), "ts_us", "event_id")
+    last = F.max("_s").over(Window.partitionBy(*by, "person"))
+    best = Window.partitionBy(*by, "person").orderBy(F.desc("sharpness"), "ts_us", "event_id")
     return rows.withColumn("_last", last).where("_s = _last").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("_new", "_s", "_last")
 
 

@@ -116,20 +116,53 @@ def top_zone(tracking: DataFrame, date: str, by: Sequence[str] = (), tz: str = "
     return best.select(*by, F.col("b.zone").alias("zone"), (-F.col("b.n")).alias("visitors"))
 
 
+_DIGITS = (16, 0)  # bits below each step of the selection: buckets of 65 milliseconds, then of a microsecond
+
+
+def upper_median(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, median): the element at place n // 2 of each key's sorted values (whole numbers, not negative).
+
+    A selection by digits: the values of a key are counted per bucket of their
+    highest bits, the bucket that holds the place is found in these counts, and
+    only its values are counted by their next bits.  No sort or window holds a
+    key's values, and partial counts are made before each shuffle.
+    """
+    rows = values.select(*keys, F.col(value).alias("_v"), F.lit(0).cast("long").alias("_upper"))
+    place = values.groupBy(*keys).agg(F.expr("count(*) div 2").alias("_place"))
+    found = place.withColumn("_prefix", F.lit(0).cast("long"))
+    for bits in _DIGITS:
+        # a count per bucket; at most 2^16 buckets a key below 2^32
+        counts = rows.groupBy(*keys, F.shiftright("_v", bits).alias("_d")).agg(F.count("*").alias("_n"))
+        lists = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_d", "_n"))).alias("_counts"))
+        start = F.struct(F.lit(None).cast("long").alias("d"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("upto"))
+        step = lambda a, x: F.when(a["upto"] > F.col("_place"), a).otherwise(F.struct(x["_d"].alias("d"), a["upto"].alias("below"), (a["upto"] + x["_n"]).alias("upto")))
+        told = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+        at = lists.join(found.select(*told, "_place"), _same(keys)).select(*keys, "_place", F.aggregate("_counts", start, step).alias("_a"))
+        found = at.select(*keys, (F.col("_place") - F.col("_a.below")).alias("_place"), F.col("_a.d").alias("_prefix"))
+        if bits:
+            inside = _same(keys) & (F.shiftright("_v", bits) == F.col("_only"))
+            rows = rows.join(found.select(*told, F.col("_prefix").alias("_only")), inside).select(*keys, "_v")
+    return found.select(*keys, F.col("_prefix").alias("median"))
+
+
+def _same(keys: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return same
+
+
 def dwell_by_zone(tracking: DataFrame, date: str, least: float = 0.17, most: float = 90.0, by: Sequence[str] = (), tz: str = "UTC") -> DataFrame:
     """Average and upper median of minutes per zone, over visits of `least`..`most` minutes.
 
-    A visit is a person's first to last row in a zone, two rows at least.  The
-    median comes from ranks, so no zone's visits are gathered in an array.
+    A visit is a person's first to last row in a zone, two rows at least.
     """
-    visits = _zones(tracking, date, tz).groupBy(*by, "zone", "person").agg(F.count("*").alias("n"), ((F.max("ts_us") - F.min("ts_us")) / 60_000_000).alias("minutes"))
-    visits = visits.where((F.col("n") >= 2) & F.col("minutes").between(least, most))
+    visits = _zones(tracking, date, tz).groupBy(*by, "zone", "person").agg(F.count("*").alias("n"), (F.max("ts_us") - F.min("ts_us")).alias("us"))
+    visits = visits.withColumn("minutes", F.col("us") / 60_000_000).where((F.col("n") >= 2) & F.col("minutes").between(least, most))
     sizes = visits.groupBy(*by, "zone").agg(F.avg("minutes").alias("mean"), F.count("*").alias("visits"))
-    # equal stays are one row with a count: the ranked table is small even for busy zones
-    stays = visits.groupBy(*by, "zone", "minutes").agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*by, "zone").orderBy("minutes")
-    ranked = stays.withColumn("upto", F.sum("k").over(w)).join(sizes, [*by, "zone"]).where((F.col("upto") > F.expr("visits div 2")) & (F.col("upto") - F.col("k") <= F.expr("visits div 2")))
-    return ranked.select(*by, "zone", F.bround("mean", 1).alias("avg_minutes"), F.bround("minutes", 1).alias("median_minutes"), "visits").orderBy(F.desc("avg_minutes"), "zone")
+    middle = upper_median(visits, [*by, "zone"], "us").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate((*by, "zone"))], "median")
+    both = sizes.join(middle, _same((*by, "zone")))
+    return both.select(*by, "zone", F.bround("mean", 1).alias("avg_minutes"), F.bround(F.col("median") / 60_000_000, 1).alias("median_minutes"), "visits").orderBy(F.desc("avg_minutes"), "zone")
 
 
 def split(df: DataFrame, date: str, column: str, by: Sequence[str] = (), tz: str = "UTC") -> DataFrame:
@@ -163,10 +196,10 @@ def entry_peak_hour(log: DataFrame, date: str, by: Sequence[str] = (), tz: str =
     return best.select(*by, F.concat(h, F.lit(":00–"), after, F.lit(":00")).alias("label"), (-F.col("b.n")).alias("entries"))
 
 
-def recent_entries(log: DataFrame, as_of: int, minutes: int = 2) -> DataFrame:
-    """Entries of the last minutes, newest first."""
+def recent_entries(log: DataFrame, as_of: int, minutes: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """Entries of the last minutes, newest first, per store."""
     rows = log.where((F.col("event_type") == "entry") & (F.col("ts_us") >= as_of - minutes * 60_000_000) & (F.col("ts_us") <= as_of))
-    return rows.select("track_id", "camera_id", "ts_us").orderBy(F.desc("ts_us"), "camera_id", "track_id")
+    return rows.select(*by, "track_id", "camera_id", "ts_us").orderBy(*by, F.desc("ts_us"), "camera_id", "track_id")
 
 
 def compare_days(df: DataFrame, date: str, by: Sequence[str] = (), tz: str = "UTC") -> DataFrame:
@@ -217,12 +250,13 @@ def live_occupancy(tracking: DataFrame, as_of: int, seconds: int = 8, level: str
     return zones.withColumn("pct", F.bround(100 * F.col("persons") / total, 0).cast("int"))
 
 
-def store_overview(tracking: DataFrame, cameras: DataFrame, as_of: int, seconds: int = 12) -> DataFrame:
-    """Enabled cameras with their counts (0 when absent) and the total."""
-    n = live_occupancy(tracking, as_of, seconds)
-    on = cameras.where(F.coalesce("enabled", F.lit(True))).select("camera_id")
-    rows = on.join(n, "camera_id", "left").select("camera_id", F.coalesce("persons", F.lit(0).cast("long")).alias("persons"))
-    return rows.unionByName(rows.agg(F.lit("total").alias("camera_id"), F.coalesce(F.sum("persons"), F.lit(0).cast("long")).alias("persons")))
+def store_overview(tracking: DataFrame, cameras: DataFrame, as_of: int, seconds: int = 12, by: Sequence[str] = ()) -> DataFrame:
+    """Enabled cameras with their counts (0 when absent) and the total, per store."""
+    n = live_occupancy(tracking, as_of, seconds, by=by)
+    on = cameras.where(F.coalesce("enabled", F.lit(True))).select(*by, "camera_id")
+    zero = F.lit(0).cast("long")
+    rows = on.join(n, [*by, "camera_id"], "left").select(*by, "camera_id", F.coalesce("persons", zero).alias("persons"))
+    return rows.unionByName(rows.groupBy(*by).agg(F.lit("total").alias("camera_id"), F.coalesce(F.sum("persons"), zero).alias("persons")))
 
 
 def fleet_health(heartbeats: DataFrame) -> DataFrame:
@@ -258,14 +292,15 @@ def clip_summary(frames: DataFrame, key: str = "track_id", ts: str = "ts_us") ->
     return clips.agg(F.count("*").alias("tracks"), F.coalesce(F.sum("frames"), F.lit(0)).alias("frames"), F.coalesce(F.bround(F.avg("seconds"), 2), F.lit(0.0)).alias("avg_seconds"))
 
 
-def first_zone(tracking: DataFrame, entries: DataFrame) -> DataFrame:
+def first_zone(tracking: DataFrame, entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """First known zone per track, and whole seconds since the last entry before it (0 without one)."""
+    track = [*by, "camera_id", "track_id"]
     zoned = tracking.withColumn("zone", clean_zone()).where("zone is not null")
-    first = zoned.groupBy("camera_id", "track_id").agg(F.min_by(F.struct("zone", "ts_us", "gender", "age_category"), F.struct("ts_us", "event_id")).alias("f"))
-    first = first.select("camera_id", "track_id", "f.*")
-    e = entries.where("event_type = 'entry'").select(F.col("camera_id").alias("_c"), F.col("track_id").alias("_t"), F.col("ts_us").alias("entry_us"))
-    joined = first.join(e, (F.col("camera_id") == F.col("_c")) & (F.col("track_id") == F.col("_t")) & (F.col("entry_us") <= F.col("ts_us")), "left")
-    keys = ["camera_id", "track_id", "zone", "ts_us", "gender", "age_category"]
+    first = zoned.groupBy(*track).agg(F.min_by(F.struct("zone", "ts_us", "gender", "age_category"), F.struct("ts_us", "event_id")).alias("f"))
+    first = first.select(*track, "f.*")
+    e = entries.where("event_type = 'entry'").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(track)], F.col("ts_us").alias("entry_us"))
+    joined = first.join(e, _same(track) & (F.col("entry_us") <= F.col("ts_us")), "left")
+    keys = [*track, "zone", "ts_us", "gender", "age_category"]
     return joined.groupBy(*keys).agg(F.coalesce(F.expr("(ts_us - max(entry_us)) div 1000000"), F.lit(0).cast("long")).alias("seconds"))
 
 

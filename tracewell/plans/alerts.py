@@ -84,9 +84,10 @@ def al2(spark, d):
 
 def dwell_sql(kind: str, minutes: int, entity: str) -> str:
     return STOPS + (
-        f", s AS (SELECT *, coalesce(exit_us - 1, seen_us) AS until FROM stops JOIN (SELECT person, max(fast_us) AS seen_us FROM tr GROUP BY 1) USING (person)), "
-        f"t AS (SELECT *, unnest(generate_series((entry_us + {minutes * 60_000_000 + 4_999_999}) // 5000000, until // 5000000)) AS tick FROM s WHERE until // 5000000 >= (entry_us + {minutes * 60_000_000 + 4_999_999}) // 5000000) "
-        f"SELECT '{kind}' AS type, {entity} AS entity, tick * 5000000 AS ts_us, cam AS camera_id, (tick * 5000000 - entry_us) // 60000000 AS value FROM t"
+        ", x AS (SELECT person, camera_id, fast_us, min(fast_us) OVER (PARTITION BY person, stop) AS entry_us, "
+        "least(coalesce(lead(fast_us) OVER (PARTITION BY person ORDER BY fast_us, event_id) - 1, fast_us + 11999999), fast_us + 11999999) AS until FROM i), "
+        f"t AS (SELECT *, unnest(generate_series((greatest(fast_us, entry_us + {minutes * 60_000_000}) + 4999999) // 5000000, until // 5000000)) AS tick FROM x) "
+        f"SELECT '{kind}' AS type, {entity} AS entity, tick * 5000000 AS ts_us, camera_id, (tick * 5000000 - entry_us) // 60000000 AS value FROM t"
     )
 
 

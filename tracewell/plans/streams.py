@@ -10,6 +10,7 @@ from tracewell.plans import sequences as seq
 from tracewell.sources import adapters as X
 from tracewell.streaming import gallery as G
 from tracewell.streaming import jobs as T
+from tracewell.streaming import live as L
 
 Q, S = {}, {}
 
@@ -59,9 +60,20 @@ def t1(spark, d):
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "visitors")
 
 
-@query("t2_stream_occupancy")
+#: What the watermark has passed once all rows are read.
+PASSED = "(SELECT max(fast_us) // 1000 * 1000 - 600000000 FROM trk)"
+
+
+@query(
+    "t2_stream_occupancy",
+    f", r AS (SELECT {X.STORE_SQL} AS store, person, camera_id, fast_us AS ts, lead(fast_us) OVER (PARTITION BY {X.STORE_SQL}, person ORDER BY fast_us, event_id) AS next FROM tr), "
+    "d AS (SELECT store, camera_id, ts AS at_us, 1 AS delta FROM r UNION ALL SELECT store, camera_id, least(coalesce(next, ts + 8000001), ts + 8000001), -1 FROM r), "
+    f"s AS (SELECT store, camera_id, at_us, sum(delta) AS delta FROM d WHERE at_us <= {PASSED} GROUP BY ALL HAVING sum(delta) <> 0) "
+    "SELECT store, camera_id, at_us, CAST(sum(delta) OVER (PARTITION BY store, camera_id ORDER BY at_us) AS BIGINT) AS persons FROM s",
+)
 def t2(spark, d):
-    return T.run_available(T.occupancy(tracking(spark, d)))
+    G.use_rocks(spark)
+    return T.run_available(L.live_occupancy(X.in_stores(tracking(spark, d))))
 
 
 @query(
@@ -90,12 +102,9 @@ def t5(spark, d):
 
 @query("t6_stream_alerts")
 def t6(spark, d):
+    G.use_rocks(spark)
     log = timed(X.occupancy_log(_Stream(spark), d, "fast_us"))
-    dwell = T.run_available(T.dwell_alerts(tracking(spark, d), E.COOLDOWNS))
-    # a stream of candidates of its own, which the cooldown then reads as one
-    surge = T.run_available(T.surge_candidates(log))
-    again = spark.readStream.schema(surge.schema).parquet(T.folder_of(surge)) if surge.inputFiles() else None
-    return dwell if again is None else dwell.union(T.run_available(T.alerts(again, E.COOLDOWNS)))
+    return T.run_available(L.alerts(X.in_stores(tracking(spark, d)), X.in_stores(log), E.COOLDOWNS, capacity=20, surge=8))
 
 
 @query("t7_stream_camera_offline")
@@ -117,13 +126,14 @@ def t8(spark, d):
 ARRIVAL = "least(7, (event_id * 8) // (SELECT max(event_id) + 1 FROM trk) + CASE WHEN event_id % 97 = 0 THEN 3 ELSE 0 END)"
 
 
-@query(
-    "t9_late_rows",
+LATE_SQL = (
     f", r AS (SELECT event_id, us // 1000 * 1000 AS us, {ARRIVAL} AS f FROM trk), m AS (SELECT f, max(us) AS top FROM r GROUP BY 1), "
     "w AS (SELECT x.f, max(y.top) - 600000000 AS low FROM m x JOIN m y ON y.f < x.f - 1 GROUP BY 1) "
-    "SELECT us // 86400000000 AS day, count(*) AS rows, count(*) FILTER (coalesce(us <= low, false)) AS late FROM r LEFT JOIN w USING (f) GROUP BY 1",
 )
-def t9(spark, d):
+
+
+def arrivals(spark, d):
+    """The rows, and a stream of them in the order of ARRIVAL."""
     rows = X.trk(spark, d).select("event_id", F.expr("us div 1000 * 1000").alias("ts_us"))
     most = rows.agg((F.max("event_id") + 1).alias("most"))
     at = F.least(F.lit(7), F.expr("event_id * 8 div most") + F.when(F.col("event_id") % 97 == 0, 3).otherwise(0))
@@ -131,10 +141,22 @@ def t9(spark, d):
     path = T.new_folder(spark, "arrivals")
     for f in range(8):  # one after the other: a stream reads files by their time
         rows.where(F.col("f") == f).drop("f").coalesce(1).write.mode("append").parquet(path)
-    stream = timed(spark.readStream.schema("event_id long, ts_us long").option("maxFilesPerTrigger", 1).parquet(path))
+    return rows, timed(spark.readStream.schema("event_id long, ts_us long").option("maxFilesPerTrigger", 1).parquet(path))
+
+
+@query("t9_late_rows", LATE_SQL + "SELECT us // 86400000000 AS day, count(*) AS rows, count(*) FILTER (coalesce(us <= low, false)) AS late FROM r LEFT JOIN w USING (f) GROUP BY 1")
+def t9(spark, d):
+    rows, stream = arrivals(spark, d)
     return T.late_rows(rows, T.run_available(T.on_time(stream)))
 
 
+@query("t9_dropped_rows", LATE_SQL + "SELECT count(*) AS arrived, count(*) FILTER (coalesce(us <= low, false)) AS dropped, count(*) FILTER (NOT coalesce(us <= low, false)) AS kept FROM r LEFT JOIN w USING (f)")
+def t9_dropped(spark, d):
+    _, stream = arrivals(spark, d)
+    kept, batches = T.counted(stream, T.on_time)
+    return batches.agg(F.sum("arrived").alias("arrived"), F.sum("dropped").alias("dropped")).crossJoin(kept.agg(F.count("*").alias("kept")))
+
+
 LABELS = ("gender", "upred", "upblue", "downred", "downblue", "hat")
 GALLERY_RULES = G.labelled(G.Rules(window=5), LABELS)
 

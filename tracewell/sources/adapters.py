@@ -79,6 +79,11 @@ def keypoints(spark: SparkSession, sf_dir: str, places: dict[str, tuple[str, str
     return trk(spark, sf_dir).withColumn("points", F.create_map(*[v for name, (x, y, n) in places.items() for v in (F.lit(name), point(x, y, n))]))
 
 
+def in_stores(df: DataFrame) -> DataFrame:
+    """The rows dealt to two stores, whose persons, tracks and cameras have the same ids."""
+    return df.withColumn("store_id", F.concat(F.lit("store_"), F.expr("event_id div 3 % 2")))
+
+
 def occupancy_log(spark: SparkSession, sf_dir: str, clock: str = "us") -> DataFrame:
     kind = F.when(F.col("event_type").isin("signup", "view"), "entry").when(F.col("event_type") == "purchase", "exit")
     return trk(spark, sf_dir).select("event_id", F.col(clock).alias("ts_us"), kind.alias("event_type"), "track_id", "camera_id").where("event_type is not null")
@@ -170,6 +175,9 @@ e AS (
 )
 """
 
+#: Store of a row, as in `in_stores`.
+STORE_SQL = "'store_' || (event_id // 3 % 2)"
+
 #: The clustered vectors, as a table expression of its own.
 VECTORS_SQL = """
 v0 AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(vec_id // 5 AS BIGINT) AS gid FROM embeddings),

@@ -7,7 +7,7 @@ watermark are dropped, which the batch jobs never do.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.functions.columns import person_id
-from tracewell.operators.alerts import CHECKOUT_ZONES, TICK_US
 from tracewell.sources.logs import LANDING, landing_columns
 from tracewell.sources.shared import folder_of, join_dimension, new_folder  # noqa: F401
 
@@ -38,35 +37,33 @@ def hourly_traffic(positions: DataFrame, late: str = LATE) -> DataFrame:
     return w.dropDuplicates(["w", "track_id"]).groupBy("w").agg(F.count("*").alias("visitors")).select(F.col("w.start").alias("hour"), "visitors")
 
 
-def occupancy(tracking: DataFrame, window: str = "8 seconds", step: str = "1 second", late: str = LATE) -> DataFrame:
-    """Persons per camera in sliding windows (approximate distinct count)."""
-    w = F.window("time", window, step)
-    n = tracking.withWatermark("time", late).groupBy(w.alias("w"), "camera_id").agg(F.approx_count_distinct(person_id()).alias("persons"))
-    return n.select(F.col("w.end").alias("at"), "camera_id", "persons")
-
-
-def presence(tracking: DataFrame, gap: str = "60 seconds", late: str = LATE) -> DataFrame:
+def presence(tracking: DataFrame, gap: str = "60 seconds", late: str = LATE, by: Sequence[str] = ()) -> DataFrame:
     """Presence sessions per person: (person, start, end, rows); a session ends after `gap` without a row."""
-    s = tracking.withWatermark("time", late).groupBy(F.session_window("time", gap).alias("s"), person_id().alias("person")).agg(F.count("*").alias("rows"))
-    return s.select("person", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "rows")
+    s = tracking.withWatermark("time", late).groupBy(F.session_window("time", gap).alias("s"), *by, person_id().alias("person")).agg(F.count("*").alias("rows"))
+    return s.select(*by, "person", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "rows")
 
 
 def _sorted(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["ts_us", "event_id"], kind="stable")
 
 
-def crossings(tracking: DataFrame, lines: DataFrame, exit_cooldown: float = 8.0, late: str = LATE) -> DataFrame:
+def _head(df: DataFrame, by: Sequence[str]) -> str:
+    return "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in by)
+
+
+def crossings(tracking: DataFrame, lines: DataFrame, exit_cooldown: float = 8.0, late: str = LATE, by: Sequence[str] = ()) -> DataFrame:
     """Entries and gated exits per track, with its last point and crossing as state (dropped after a minute of silence).
 
-    lines is static: camera_id, x1, y1, x2, y2, inside_direction.
+    lines is static: `by`, camera_id, x1, y1, x2, y2, inside_direction.
     """
     from tracewell.functions.columns import foot_x, side_of_line
 
-    line = lines.select(F.col("camera_id").alias("_c"), *[F.col(x).alias(f"l{x}") for x in ("x1", "y1", "x2", "y2")], "inside_direction")
+    place = F.struct(*by, "camera_id")
+    line = lines.select(place.alias("_c"), *[F.col(x).alias(f"l{x}") for x in ("x1", "y1", "x2", "y2")], "inside_direction")
     fx, fy = foot_x(), F.col("y2")
-    rows = join_dimension(tracking.withWatermark("time", late), line, "camera_id", "_c", "inner")
+    rows = join_dimension(tracking.withWatermark("time", late).withColumn("_place", place), line, "_place", "_c", "inner")
     sign = F.when(F.col("inside_direction") == "right", -1).otherwise(1)
-    rows = rows.select("camera_id", "track_id", "time", "ts_us", "event_id", fx.alias("fx"), fy.alias("fy"), "lx1", "ly1", "lx2", "ly2", (side_of_line(fx, fy, "lx1", "ly1", "lx2", "ly2") * sign).cast("double").alias("side"))
+    rows = rows.select(*by, "camera_id", "track_id", "time", "ts_us", "event_id", fx.alias("fx"), fy.alias("fy"), "lx1", "ly1", "lx2", "ly2", (side_of_line(fx, fy, "lx1", "ly1", "lx2", "ly2") * sign).cast("double").alias("side"))
 
     def meets(ax, ay, bx, by, r) -> bool:
         d = (bx - ax) * (r.ly2 - r.ly1) - (by - ay) * (r.lx2 - r.lx1)
@@ -92,24 +89,24 @@ def crossings(tracking: DataFrame, lines: DataFrame, exit_cooldown: float = 8.0,
         state.update((int(x), int(y), float(side), last))
         state.setTimeoutTimestamp(max(newest // 1000 + 60_000, state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=["camera_id", "track_id", "ts_us", "event_id", "kind"])
+            yield pd.DataFrame(out, columns=[*by, "camera_id", "track_id", "ts_us", "event_id", "kind"])
 
-    return rows.groupBy("camera_id", "track_id").applyInPandasWithState(
-        step, "camera_id string, track_id long, ts_us long, event_id long, kind string", "x int, y int, side double, last long", "append", GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(*by, "camera_id", "track_id").applyInPandasWithState(
+        step, _head(tracking, by) + "camera_id string, track_id long, ts_us long, event_id long, kind string", "x int, y int, side double, last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 SEP = "\x1f"
 
 
-def zone_state(tracking: DataFrame, keep: int = 10, silence: str = "1 day", late: str = LATE) -> DataFrame:
+def zone_state(tracking: DataFrame, keep: int = 10, silence: str = "1 day", late: str = LATE, by: Sequence[str] = ()) -> DataFrame:
     """Closed stops (person, zone, cam, entry_us, exit_us, trail) as they close; trail: the zones of the person's
     last `keep` closed stops, this one last.
 
     State: the open stop and the trail of each person, given up after `silence` without a row.
     """
     seconds = int(pd.Timedelta(silence).total_seconds())
-    rows = tracking.withWatermark("time", late).select(person_id().alias("person"), "time", "ts_us", "event_id", "camera_id", F.coalesce("zone", F.lit("")).alias("zone"))
+    rows = tracking.withWatermark("time", late).select(*by, person_id().alias("person"), "time", "ts_us", "event_id", "camera_id", F.coalesce("zone", F.lit("")).alias("zone"))
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -122,94 +119,20 @@ def zone_state(tracking: DataFrame, keep: int = 10, silence: str = "1 day", late
             if r.zone != zone:
                 if zone and r.zone:
                     seen = [*seen, zone][-keep:]
-                    out.append((key[0], zone, cam, entry, r.ts_us, list(seen)))
+                    out.append((*key, zone, cam, entry, r.ts_us, list(seen)))
                 zone, entry = r.zone, r.ts_us
             cam, newest = r.camera_id, r.ts_us
         state.update((zone, cam, int(entry), SEP.join(seen)))
         state.setTimeoutTimestamp(max(newest // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=["person", "zone", "cam", "entry_us", "exit_us", "trail"])
+            yield pd.DataFrame(out, columns=[*by, "person", "zone", "cam", "entry_us", "exit_us", "trail"])
 
-    return rows.groupBy("person").applyInPandasWithState(
-        step, "person string, zone string, cam string, entry_us long, exit_us long, trail array<string>", "zone string, cam string, entry long, trail string", "append", GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(*by, "person").applyInPandasWithState(
+        step, _head(tracking, by) + "person string, zone string, cam string, entry_us long, exit_us long, trail array<string>", "zone string, cam string, entry long, trail string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def dwell_alerts(tracking: DataFrame, cooldowns: dict[str, float], dwell_minutes: int = 5, loiter_minutes: int = 10, skip: tuple[str, ...] = CHECKOUT_ZONES, silence: str = "1 day", late: str = LATE) -> DataFrame:
-    """Dwell and loitering alerts (type, entity, ts_us, camera_id) that fire, from the open stop of each person.
-
-    A candidate is a tick at which the person has been in the zone long enough.  State: the open stop,
-    the last tick looked at, and the last alert of either type.
-    """
-    seconds = int(pd.Timedelta(silence).total_seconds())
-    rows = tracking.withWatermark("time", late).select(person_id().alias("person"), "time", "ts_us", "event_id", "camera_id", F.coalesce("zone", F.lit("")).alias("zone"))
-    kinds = (("dwell", "", dwell_minutes), ("loitering", "loiter_", loiter_minutes))
-
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        zone, entry, done, *last = state.get if state.exists else (None, 0, 0, -1, -1)
-        out, newest = [], 0
-        for r in _sorted(batches).itertuples():
-            until = (r.ts_us if r.zone == zone else r.ts_us - 1) // TICK_US
-            if zone:
-                for i, (kind, prefix, minutes) in enumerate(kinds):
-                    if kind == "loitering" and zone.lower() in skip:
-                        continue
-                    gap = int(cooldowns.get(kind, 0.0) * 1e6)
-                    tick = max(-(-(entry + minutes * 60_000_000) // TICK_US), done + 1)
-                    while tick <= until:
-                        if last[i] < 0 or tick * TICK_US - last[i] >= gap:
-                            last[i] = tick * TICK_US
-                            out.append((kind, f"{prefix}{key[0]}", last[i], r.camera_id))
-                        tick = max(tick + 1, -(-(last[i] + gap) // TICK_US))
-            if r.zone != zone:
-                zone, entry = r.zone, r.ts_us
-            done, newest = max(done, until), r.ts_us
-        state.update((zone, int(entry), int(done), int(last[0]), int(last[1])))
-        state.setTimeoutTimestamp(max(newest // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["type", "entity", "ts_us", "camera_id"])
-
-    return rows.groupBy("person").applyInPandasWithState(
-        step, "type string, entity string, ts_us long, camera_id string", "zone string, entry long, done long, dwell long, loitering long", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def surge_candidates(log: DataFrame, window: int = 120, least: int = 12, late: str = LATE) -> DataFrame:
-    """(type, entity, time, ts_us, camera_id): ticks with at least `least` entries in the seconds before, the tick included."""
-    slot = F.timestamp_micros(F.expr(f"(ts_us + {TICK_US - 1}) div {TICK_US} * {TICK_US}"))
-    entries = log.where("event_type = 'entry'").select(slot.alias("time")).withWatermark("time", late)
-    step = TICK_US // 1_000_000
-    n = entries.groupBy(F.window("time", f"{window} seconds", f"{step} seconds").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    at = F.col("w.end") - F.expr(f"INTERVAL {step} SECONDS")
-    return n.select(F.lit("surge").alias("type"), F.lit("").alias("entity"), at.alias("time"), F.unix_micros(at).alias("ts_us"), F.lit("").alias("camera_id"))
-
-
-def alerts(candidates: DataFrame, cooldowns: dict[str, float], late: str = LATE) -> DataFrame:
-    """Candidates (type, entity, time, ts_us, camera_id) that fire: state holds the last one of each (type, entity)."""
-
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        gap, out = cooldowns.get(key[0], 0.0) * 1e6, []
-        for r in pd.concat(list(batches)).sort_values(["ts_us", "camera_id"]).itertuples():
-            if last is None or r.ts_us - last >= gap and r.ts_us > last:
-                out.append((*key, r.ts_us, r.camera_id))
-                last = r.ts_us
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(int(last + gap) // 1000 + 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["type", "entity", "ts_us", "camera_id"])
-
-    rows = candidates.withWatermark("time", late).select("type", "entity", "time", "ts_us", "camera_id")
-    return rows.groupBy("type", "entity").applyInPandasWithState(step, "type string, entity string, ts_us long, camera_id string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def camera_offline(pings: DataFrame, seconds: int = 45, again: int = 900, late: str = "0 seconds") -> DataFrame:
+def camera_offline(pings: DataFrame, seconds: int = 45, again: int = 900, late: str = "0 seconds", by: Sequence[str] = ()) -> DataFrame:
     """(camera_id, last_us, at_us): cameras silent for `seconds`, alerted once, then every `again` seconds of event time."""
 
     def step(key, batches, state: GroupState):
@@ -218,15 +141,15 @@ def camera_offline(pings: DataFrame, seconds: int = 45, again: int = 900, late:
             at = at if at else last + seconds * 1_000_000
             state.update((last, at + again * 1_000_000))
             state.setTimeoutTimestamp(max((at + again * 1_000_000) // 1000, state.getCurrentWatermarkMs() + 1))
-            yield pd.DataFrame([(key[0], last, at)], columns=["camera_id", "last_us", "at_us"])
+            yield pd.DataFrame([(*key, last, at)], columns=[*by, "camera_id", "last_us", "at_us"])
             return
         newest = max(int(b["ts_us"].max()) for b in batches)
         last = max(newest, state.get[0]) if state.exists else newest
         state.update((last, 0))
         state.setTimeoutTimestamp(max((last + seconds * 1_000_000) // 1000, state.getCurrentWatermarkMs() + 1))
 
-    rows = pings.withWatermark("time", late).select("camera_id", "time", "ts_us")
-    return rows.groupBy("camera_id").applyInPandasWithState(step, "camera_id string, last_us long, at_us long", "last long, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = pings.withWatermark("time", late).select(*by, "camera_id", "time", "ts_us")
+    return rows.groupBy(*by, "camera_id").applyInPandasWithState(step, _head(pings, by) + "camera_id string, last_us long, at_us long", "last long, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def to_landing(log: DataFrame, path: str, checkpoint: str, every: str | None = "5 minutes", ts: str = "timestamp"):
@@ -240,6 +163,30 @@ def on_time(rows: DataFrame, late: str = LATE) -> DataFrame:
     return rows.withWatermark("time", late).select("event_id", "time").dropDuplicates(["event_id", "time"])
 
 
+def counted(stream: DataFrame, work, mode: str = "append") -> tuple[DataFrame, DataFrame]:
+    """Run `work(stream)` over what is there: its result, and (batch, arrived, dropped) as the query itself reports them.
+
+    arrived counts the rows that a batch read; dropped those that its stateful
+    operators left out because the watermark had passed them.
+    """
+    spark = stream.sparkSession
+    path = new_folder(spark, "stream")
+    out = work(stream.observe("arrivals", F.count("*").alias("arrived")))
+    query = out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    told: dict[int, tuple[int, int]] = {}
+    while True:
+        over = query.awaitTermination(1)
+        for p in query.recentProgress:
+            arrived = p.observedMetrics.get("arrivals")
+            old = told.get(p.batchId, (0, 0))
+            # a batch that only moves time has no rows of its own
+            told[p.batchId] = max(old[0], int(arrived["arrived"]) if arrived else 0), max(old[1], sum(o.numRowsDroppedByWatermark for o in p.stateOperators))
+        if over:
+            break
+    batches = spark.createDataFrame([(b, *n) for b, n in sorted(told.items())], "batch long, arrived long, dropped long")
+    return spark.read.schema(out.schema).parquet(f"{path}/out"), batches
+
+
 def late_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """(day, rows, late): rows of a batch copy of the stream per day, and those that the stream dropped."""
     k = kept.select(F.col("event_id").alias("_k")).distinct()
