@@ -217,14 +217,31 @@ def replayed_assignment(spark):
     blocked = lambda gid, cam, t: any(b["gid"] == gid and b["camera_id"] == cam and b["track_id"] != t for b in busy)
     sim = lambda v, gid: np.mean(sorted((float(v @ a) for a in pool[gid]), reverse=True)[:3])
 
-    def best(v, cam):
+    arr = lambda x: None if x is None else np.array(x)
+    worn = {x: (arr(g[x]["attributes"]), arr(g[x]["colour"])) for x in g}
+
+    def veto(a, gid):
+        b = worn[gid][0]
+        if a is None or b is None:
+            return False
+        x, y = a[1:], b[1:]
+        return abs(a[0] - b[0]) > 0.6 or max(x) >= 0.25 and max(y) >= 0.25 and x @ y / np.sqrt((x @ x) * (y @ y)) < 0.6
+
+    def best(v, cam, attrs, colour):
         s = []
         for gid in sorted(g):
+            if veto(attrs, gid):
+                continue
             e = sim(v, gid)
             e = min(1.0, e + 0.12) if gid in lately else e
             same = g[gid]["camera_id"] == cam
-            s.append((0.8 * e + 0.1 if same else 0.7 * e + 0.15, -gid))
+            a, c = worn[gid]
+            t = 0.5 if attrs is None or a is None else attrs @ a / np.sqrt((attrs @ attrs) * (a @ a))
+            c = 0.5 if colour is None or c is None else min(1.0, max(0.0, colour @ c))
+            s.append((0.8 * e + 0.15 * c + 0.05 * t if same else 0.7 * e + 0.25 * c + 0.05 * t, -gid))
         s.sort(reverse=True)
+        if not s:
+            return None, 0.0
         gid = -s[0][1]
         need = 0.42 if g[gid]["camera_id"] == cam else 0.44
         if s[0][0] < need or len(s) > 1 and s[1][0] >= need and s[0][0] - s[1][0] < 0.03:
@@ -233,29 +250,30 @@ def replayed_assignment(spark):
 
     by = defaultdict(list)
     for r in sorted(rows(tracks), key=lambda r: r["ts"]):
-        by[r["camera_id"], r["track_id"]].append((np.array(r["embedding"]), r["sharpness"]))
+        by[r["camera_id"], r["track_id"]].append((np.array(r["embedding"]), r["sharpness"], arr(r["attributes"]), arr(r["colour"])))
     out, left = {}, []
     for (cam, t), buf in sorted(by.items()):
         got = None
         for n in range(1, min(7, len(buf)) + 1):
             top = (None, 0.0)
-            for v, _ in buf[:n]:
-                m = best(v, cam)
+            colour = buf[n - 1][3]
+            for v, _, attrs, _ in buf[:n]:
+                m = best(v, cam, attrs, colour)
                 top = m if m[0] is not None and m[1] > top[1] else top
             if n >= 3:
-                m = best(unit(sum(v * max(q, 0.1) for v, q in buf[:n])), cam)
+                m = best(unit(sum(b[0] * max(b[1], 0.1) for b in buf[:n])), cam, max(buf[:n], key=lambda x: x[1])[2], colour)
                 top = m if m[0] is not None and m[1] > top[1] else top
             if top[0] is not None and not blocked(top[0], cam, t):
                 got = (top[0], "match")
                 break
-        v = max(buf[:7], key=lambda x: x[1])[0]
+        v, attrs = max(buf[:7], key=lambda x: x[1])[0], buf[:7][-1][2]
         if got is None:
-            s = sorted(((sim(v, x), -x) for x in lately), reverse=True)
+            s = sorted(((sim(v, x), -x) for x in lately if not veto(attrs, x)), reverse=True)
             if s and s[0][0] >= 0.36 and not blocked(-s[0][1], cam, t):
                 got = (-s[0][1], "rescue")
         if got is None:
             free = {b["gid"] for b in busy if b["camera_id"] == cam}
-            c = [x for x in g if g[x]["camera_id"] == cam and not g[x]["assigned"] and 5 <= (as_of - g[x]["last_us"]) / 1e6 <= 120 and x not in free]
+            c = [x for x in g if g[x]["camera_id"] == cam and not g[x]["assigned"] and 5 <= (as_of - g[x]["last_us"]) / 1e6 <= 120 and x not in free and not veto(attrs, x)]
             s = sorted(((sim(v, x), -x) for x in c), reverse=True)
             if s and s[0][0] >= (0.15 if len(c) == 1 else 0.25):
                 got = (-s[0][1], "closed")

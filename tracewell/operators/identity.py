@@ -7,6 +7,9 @@ multiplies one part by one block.  Neither side is ever whole in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,77 +17,135 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.gates import grouped_fold, sorted_scan
 from tracewell.operators.graph import components
+from tracewell.sources.shared import written
 
 BLOCK_ROWS, PART_ROWS = 20_000, 5_000
+TILE = 1 << 23  # scores (64 MB) that a task holds at once
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _blocks(queries: DataFrame, items: DataFrame, block_rows: int, part_rows: int, group: str = "query_id") -> tuple[DataFrame, DataFrame]:
+def _blocks(queries: DataFrame, items: DataFrame, block_rows: int, part_rows: int, group: str = "query_id", own: str | None = None) -> tuple[DataFrame, DataFrame]:
     blocks = max(1, -(-items.count() // block_rows))
     parts = max(1, -(-queries.count() // part_rows))
+    name = F.col(own) if own else F.lit(None)
     # new names on both sides: they may come from one table
-    queries = queries.select(F.col("query_id").alias("qid"), F.col(group).alias("qg"), F.col("embedding").alias("qe"))
-    items = items.select(F.col("gid").alias("iid"), F.col("embedding").alias("ie"))
+    queries = queries.select(F.col("query_id").alias("qid"), F.col(group).alias("qg"), F.col("embedding").alias("qe"), name.cast("long").alias("qo"))
+    items = items.select(F.col("gid").alias("iid"), F.col("embedding").alias("ie"), name.cast("long").alias("io"))
     q = queries.withColumn("part", F.pmod(F.xxhash64("qg"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     i = items.withColumn("block", F.pmod(F.xxhash64("iid"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
     return q, i
 
 
+def _tiles(q: pd.DataFrame, a: pd.DataFrame, whole: bool, own: str | None) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Queries in tiles of bounded size with their similarities; with `whole` a query group stays together.
+
+    A row that is named like the query itself (`own`) is no item of it: its similarity is -inf.
+    """
+    items = np.stack(a["ie"].to_numpy()).T
+    ids = q["qg"].to_numpy()
+    step, at = max(1, TILE // items.shape[1]), 0
+    while at < len(q):
+        end = min(at + step, len(q))
+        if whole and end < len(q):
+            start = int(np.searchsorted(ids, ids[end]))
+            end = start if start > at else int(np.searchsorted(ids, ids[end], side="right"))
+        part = q.iloc[at:end]
+        s = np.stack(part["qe"].to_numpy()) @ items
+        if own is not None:
+            s[part["qo"].to_numpy()[:, None] == a["io"].to_numpy()] = -np.inf
+        yield part, s
+        at = end
+
+
 def _top_mean(s: np.ndarray, of: np.ndarray, k: int, axis: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means of the k largest along an axis whose places belong, in order, to the ids `of`; and the ids."""
+    """Means of the k largest finite values along an axis whose places belong, in order, to the ids `of`; and the ids."""
     ids, first = np.unique(of, return_index=True)
     means = []
     for x, y in zip(first, np.append(first[1:], len(of)), strict=True):
         part = np.sort(s.take(np.arange(x, y), axis=axis), axis=axis)
-        means.append(part.take(np.arange(max(0, y - x - k), y - x), axis=axis).mean(axis=axis))
+        best = part.take(np.arange(max(0, y - x - k), y - x), axis=axis)
+        held = np.isfinite(best)
+        n = held.sum(axis=axis)
+        means.append(np.where(n > 0, np.where(held, best, 0.0).sum(axis=axis) / np.maximum(n, 1), -np.inf))
     return np.stack(means, axis=axis), ids
 
 
 def identity_scores(
-    queries: DataFrame, anchors: DataFrame, k: int = 3, least: float | None = None, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS, group: str | None = None
+    queries: DataFrame,
+    anchors: DataFrame,
+    k: int = 3,
+    least: float | None = None,
+    block_rows: int = BLOCK_ROWS,
+    part_rows: int = PART_ROWS,
+    group: str | None = None,
+    own: str | None = None,
 ) -> DataFrame:
     """(query_id, gid, score): mean of the k best similarities with the identity's anchors.
 
     queries: query_id, embedding; anchors: gid, embedding.  Pairs below `least`
     are left out in the task that scores them.  An identity's anchors lie in one
     block.  With `group` (a column of the queries) query_id is the group, and the
-    score the mean of the k best of its queries' scores.
+    score the mean of the k best of its queries' scores.  With `own` (a whole
+    number column of both) an anchor that is the query itself doesn't count.
     """
 
     def score(q: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(a):
             return pd.DataFrame(columns=["query_id", "gid", "score"])
         a, q = a.sort_values("iid", kind="stable"), q.sort_values("qg", kind="stable")
-        s = np.stack(q["qe"].to_numpy()) @ np.stack(a["ie"].to_numpy()).T
-        out, gids = _top_mean(s, a["iid"].to_numpy(), k, 1)
-        ids = q["qid"].to_numpy()
-        if group is not None:
-            out, ids = _top_mean(out, q["qg"].to_numpy(), k, 0)
-        r, c = np.nonzero(out >= least) if least is not None else np.nonzero(np.ones_like(out))
-        return pd.DataFrame({"query_id": ids[r], "gid": gids[c], "score": out[r, c]})
-
-    q, i = _blocks(queries, anchors, block_rows, part_rows, group or "query_id")
+        found = []
+        for part, s in _tiles(q, a, group is not None, own):
+            out, gids = _top_mean(s, a["iid"].to_numpy(), k, 1)
+            ids = part["qid"].to_numpy()
+            if group is not None:
+                out, ids = _top_mean(out, part["qg"].to_numpy(), k, 0)
+            r, c = np.nonzero(out >= least if least is not None else np.isfinite(out))
+            found.append(pd.DataFrame({"query_id": ids[r], "gid": gids[c], "score": out[r, c]}))
+        return pd.concat(found)
+
+    q, i = _blocks(queries, anchors, block_rows, part_rows, group or "query_id", own)
     return q.groupBy("block", "part").cogroup(i.groupBy("block", "part")).applyInPandas(score, "query_id long, gid long, score double")
 
 
-def cosine_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
-    """(query_id, gid, score, rank): the k items nearest to each query; ties by item."""
+def best_of(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row, largest first, equal ones by column."""
+    if s.shape[1] <= k:
+        return np.argsort(-s, axis=1, kind="stable")
+    # all that reach the k-th value, so that ties are settled by column
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    out = np.empty((len(s), k), dtype=np.int64)
+    for i, row in enumerate(s):
+        at = np.flatnonzero(row >= least[i])
+        out[i] = at[np.argsort(-row[at], kind="stable")[:k]]
+    return out
+
+
+def cosine_topk(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS, own: str | None = None) -> DataFrame:
+    """(query_id, gid, score, rank): the k items nearest to each query; ties by item.  `own` as in identity_scores."""
 
     def best(q: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(a):
             return pd.DataFrame(columns=["query_id", "gid", "score"])
         a = a.sort_values("iid", kind="stable")
-        s = np.stack(q["qe"].to_numpy()) @ np.stack(a["ie"].to_numpy()).T
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(q["qid"].to_numpy(), top.shape[1]), "gid": a["iid"].to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
-
-    q, i = _blocks(queries, items, block_rows, part_rows)
+        found = []
+        for part, s in _tiles(q, a, False, own):
+            top = best_of(s, k)
+            score = np.take_along_axis(s, top, 1)
+            rows = pd.DataFrame({"query_id": np.repeat(part["qid"].to_numpy(), top.shape[1]), "gid": a["iid"].to_numpy()[top].ravel(), "score": score.ravel()})
+            found.append(rows[np.isfinite(rows["score"])])
+        return pd.concat(found)
+
+    q, i = _blocks(queries, items, block_rows, part_rows, own=own)
     local = q.groupBy("block", "part").cogroup(i.groupBy("block", "part")).applyInPandas(best, "query_id long, gid long, score double")
+    return ranked(local, k)
+
+
+def ranked(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "gid")
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fused_score(embedding: Column, colour: Column, attributes: Column, same_camera: Column) -> Column:
@@ -103,14 +164,56 @@ def clothing_veto(gender_a: Column, gender_b: Column, colours: list[tuple[Column
     return F.coalesce(veto, F.lit(False))
 
 
+@dataclass(frozen=True)
+class Look:
+    """Places in the attribute probabilities: gender, and the colours of each part of the clothes; and what the veto asks."""
+
+    gender: int | None = None
+    parts: tuple[tuple[int, ...], ...] = ()
+    gender_gap: float = 0.60
+    strong: float = 0.45
+    least: float = 0.35
+
+    def veto(self, a: Column, b: Column) -> Column:
+        """True where both have probabilities that can't be one person's."""
+        g = lambda x: x[self.gender] if self.gender is not None else F.lit(0.0)
+        part = lambda x, p: F.array(*[x[i] for i in p])
+        veto = clothing_veto(g(a), g(b), [(part(a, p), part(b, p)) for p in self.parts], self.gender_gap, self.strong, self.least)
+        return a.isNotNull() & b.isNotNull() & veto
+
+
+def cosine(a: Column, b: Column) -> Column:
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+
+
+def with_appearance(scores: DataFrame, queries: DataFrame, gallery: DataFrame, look: Look) -> DataFrame:
+    """Scores (query_id, gid, ...) with veto, and the similarities of colour and attributes (NULL where a side has none).
+
+    queries: query_id, attributes, colour; gallery: gid, attributes, colour.
+    """
+    q = queries.select(F.col("query_id").alias("_q"), F.col("attributes").alias("_qa"), F.col("colour").alias("_qc"))
+    g = gallery.select(F.col("gid").alias("_g"), F.col("attributes").alias("_ga"), F.col("colour").alias("_gc"))
+    both = scores.join(q, F.col("query_id") == F.col("_q")).join(g, F.col("gid") == F.col("_g"))
+    told = both.withColumn("veto", look.veto(F.col("_qa"), F.col("_ga"))).withColumn("colour", dot(F.col("_qc"), F.col("_gc"))).withColumn("attributes", cosine(F.col("_qa"), F.col("_ga")))
+    return told.drop("_q", "_qa", "_qc", "_g", "_ga", "_gc")
+
+
+def _no_veto(scores: DataFrame) -> DataFrame:
+    return scores.where(~F.coalesce("veto", F.lit(False))) if "veto" in scores.columns else scores
+
+
 def best_match(scores: DataFrame, threshold: float = 0.42, margin: float = 0.03, bonus: float = 0.12) -> DataFrame:
     """(query_id, gid, score) of queries with a clear best identity.
 
-    scores: query_id, gid, score, recent, same_camera.  Recent identities get a
-    bonus (up to 1.0); another camera needs 0.02 more; no decision where the
+    scores: query_id, gid, score, recent, same_camera, and what with_appearance
+    adds.  Vetoed identities are no candidates.  Recent ones get a bonus (up to
+    1.0), then embedding, colour and attributes make the fused score (a missing
+    part is neutral).  Another camera needs 0.02 more; no decision where the
     runner-up passes what the best one needs, within the margin.
     """
-    s = scores.withColumn("score", F.least(F.lit(1.0), F.col("score") + F.when(F.col("recent"), bonus).otherwise(0.0)))
+    part = lambda c: F.col(c) if c in scores.columns else F.lit(None)
+    lifted = F.least(F.lit(1.0), F.col("score") + F.when(F.col("recent"), bonus).otherwise(0.0))
+    s = _no_veto(scores).withColumn("score", fused_score(lifted, part("colour"), part("attributes"), F.col("same_camera")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "gid")
     top = s.withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("rank = 1")
     need = F.lit(threshold) + F.when(F.col("same_camera"), 0.0).otherwise(0.02)
@@ -118,6 +221,11 @@ def best_match(scores: DataFrame, threshold: float = 0.42, margin: float = 0.03,
     return top.where((F.col("score") >= need) & ~unclear).select("query_id", "gid", "score")
 
 
+def least_similarity(threshold: float = 0.42, bonus: float = 0.12) -> float:
+    """Below this no similarity can reach the threshold, whatever bonus, colour and attributes add."""
+    return min((threshold - 0.20) / 0.80, (threshold - 0.30) / 0.70) - bonus
+
+
 def active_on_camera_guard(matches: DataFrame, assignments: DataFrame, as_of: int, seconds: int = 15) -> DataFrame:
     """Matches (track_id, camera_id, gid) less those whose identity another track of the camera held within the seconds."""
     held = assignments.where(F.col("ts_us") > as_of - seconds * 1_000_000).select(F.col("camera_id").alias("_c"), F.col("gid").alias("_g"), F.col("track_id").alias("_t"))
@@ -204,33 +312,43 @@ def colour_profile(rows: DataFrame, keep: float = 0.80, sharp: float = 8.0, colu
     return sorted_scan(sharp_rows, ["gid"], ["ts"], step, "gid long, profile array<double>", lambda v: pd.DataFrame({"gid": [v[1]], "profile": [v[0]]}))
 
 
-def drift_reject(updates: DataFrame, anchors: DataFrame, least: float = 0.32, k: int = 3) -> DataFrame:
-    """Updates (query_id, gid, embedding) that are like their own identity: mean of the k best similarities."""
-    a = anchors.select(F.col("gid").alias("_g"), F.col("embedding").alias("_e"))
-    sims = updates.join(a, F.col("gid") == F.col("_g")).select("query_id", "gid", dot(F.col("embedding"), F.col("_e")).alias("s"))
+def drift_reject(updates: DataFrame, anchors: DataFrame, least: float = 0.32, k: int = 3, own: str | None = None) -> DataFrame:
+    """Updates (query_id, gid, embedding) that are like their own identity: mean of the k best similarities.
+
+    With `own` (a column of both) an anchor that is the update itself doesn't count.
+    """
+    a = anchors.select(F.col("gid").alias("_g"), F.col("embedding").alias("_e"), (F.col(own) if own else F.lit(None)).alias("_o"))
+    same = F.col("gid") == F.col("_g")
+    sims = updates.join(a, same & (F.col(own) != F.col("_o")) if own else same).select("query_id", "gid", dot(F.col("embedding"), F.col("_e")).alias("s"))
     w = Window.partitionBy("query_id").orderBy(F.desc("s"))
     top = sims.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).groupBy("query_id", "gid").agg(F.avg("s").alias("score"))
     return top.where(F.col("score") >= least)
 
 
 def rescue_match(scores: DataFrame, recent: DataFrame, threshold: float = 0.36) -> DataFrame:
-    """Best recently active identity of each query, from a lower threshold."""
+    """Best recently active identity of each query, from a lower threshold; vetoed ones don't count."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "gid")
-    s = scores.join(recent.select("gid"), "gid", "left_semi").where(F.col("score") >= threshold)
+    s = _no_veto(scores).join(recent.select("gid"), "gid", "left_semi").where(F.col("score") >= threshold)
     return s.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("query_id", "gid", "score")
 
 
-def closed_world_match(scores: DataFrame, queries: DataFrame, gallery: DataFrame, as_of: int, near: int = 5, far: int = 120, alone: float = 0.15, several: float = 0.25) -> DataFrame:
+def closed_world_match(
+    scores: DataFrame, queries: DataFrame, gallery: DataFrame, as_of: int, near: int = 5, far: int = 120, alone: float = 0.15, several: float = 0.25, look: Look | None = None
+) -> DataFrame:
     """Identities of the query's camera, unassigned and last seen near..far seconds ago: the only one
     needs `alone`, the best of several needs `several`.
 
     queries: query_id, camera_id; gallery: gid, camera_id, last_us, assigned.
+    With `look`, both have attributes and colour, and vetoed identities are no candidates.
     """
     age = (F.lit(as_of) - F.col("last_us")) / 1e6
     pool = gallery.where(~F.col("assigned") & age.between(near, far)).select("gid", "camera_id")
-    n = pool.groupBy("camera_id").agg(F.count("*").alias("n"))
-    # scores may leave out pairs below `alone`: the pool is counted on its own
-    c = queries.select("query_id", "camera_id").join(n, "camera_id").join(scores, "query_id").join(pool, ["camera_id", "gid"], "left_semi")
+    # scores may leave out pairs below `alone`: candidates are counted on their own
+    c = queries.select("query_id", "camera_id").join(pool, "camera_id").select("query_id", "gid")
+    if look is not None:
+        c = _no_veto(with_appearance(c, queries, gallery, look)).select("query_id", "gid")
+    n = c.groupBy(F.col("query_id").alias("_q")).agg(F.count("*").alias("n"))
+    c = c.join(scores.select("query_id", "gid", "score"), ["query_id", "gid"]).join(n, F.col("query_id") == F.col("_q"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "gid")
     top = c.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     return top.where(F.col("score") >= F.when(F.col("n") == 1, alone).otherwise(several)).select("query_id", "gid", "score")
@@ -254,8 +372,7 @@ def duplicate_pairs(anchors: DataFrame, gallery: DataFrame, as_of: int, threshol
     p = pairs.join(side("a"), F.col("a") == F.col("a_gid")).join(side("b"), F.col("b") == F.col("b_gid"))
     fresh = F.lit(as_of - active_s * 1_000_000)
     p = p.where(~(F.col("a_assigned") & F.col("b_assigned")) & ~((F.col("a_last_us") > fresh) & (F.col("b_last_us") > fresh)))
-    cosine = F.try_divide(dot(F.col("a_attributes"), F.col("b_attributes")), F.sqrt(dot(F.col("a_attributes"), F.col("a_attributes")) * dot(F.col("b_attributes"), F.col("b_attributes"))))
-    fused = fused_score(F.col("s"), dot(F.col("a_colour"), F.col("b_colour")), cosine, F.col("a_camera_id") == F.col("b_camera_id"))
+    fused = fused_score(F.col("s"), dot(F.col("a_colour"), F.col("b_colour")), cosine(F.col("a_attributes"), F.col("b_attributes")), F.col("a_camera_id") == F.col("b_camera_id"))
     return p.select("a", "b", fused.alias("score")).where(F.col("score") >= threshold)
 
 
@@ -336,7 +453,7 @@ def split_gallery(anchors: DataFrame, split: DataFrame) -> tuple[DataFrame, Data
     """
     parts = split.select(F.col("gid").alias("_g"), F.col("ts").alias("_t"), "part")
     top = anchors.agg(F.max("gid").alias("top"))
-    fresh = numbered(split.select("gid").distinct(), F.pmod(F.xxhash64(F.lit(0)), F.lit(1)), ["gid"]).crossJoin(top).select(F.col("gid").alias("_n"), (F.col("top") + F.col("number")).alias("new"))
+    fresh = numbered(split.select("gid").distinct(), F.expr("gid div 4096"), ["gid"]).crossJoin(top).select(F.col("gid").alias("_n"), (F.col("top") + F.col("number")).alias("new"))
     rows = anchors.join(parts, (F.col("gid") == F.col("_g")) & (F.col("ts") == F.col("_t"))).drop("_g", "_t").join(fresh, F.col("gid") == F.col("_n")).drop("_n")
     rows = rows.withColumn("to", F.when(F.col("part") == 1, F.col("new")).otherwise(F.col("gid"))).drop("new")
     return rows, mean_vector(rows.select(F.col("to").alias("gid"), "embedding"), "gid", F.lit(1.0))
@@ -362,65 +479,82 @@ def active_gallery_size(gallery: DataFrame, as_of: int, expiry_s: int = 7200) ->
 
 
 def assign_identities(
-    tracks: DataFrame, anchors: DataFrame, gallery: DataFrame, assignments: DataFrame, recent: DataFrame, as_of: int, threshold: float = 0.42, first: int = 7, rescue: float = 0.36
+    tracks: DataFrame,
+    anchors: DataFrame,
+    gallery: DataFrame,
+    assignments: DataFrame,
+    recent: DataFrame,
+    as_of: int,
+    look: Look | None = None,
+    threshold: float = 0.42,
+    first: int = 7,
+    rescue: float = 0.36,
 ) -> DataFrame:
     """(camera_id, track_id, gid, how): the identity of each track, from its first vectors, against the gallery as it is.
 
     Row by row of a track (up to `first`): the best match of any row so far and,
-    from three rows, of their mean by sharpness; the first row at which that match
-    isn't held by another active track of the camera decides (`match`).  Then, by
-    the sharpest row, recent identities from a lower score (`rescue`), those of a
-    closed world (`closed`), and at last a new id after the largest (`new`), in the
-    order of camera and track.
-
-    tracks: camera_id, track_id, ts, embedding, sharpness; anchors: gid, embedding
-    (prototypes too); gallery: gid, camera_id, last_us, assigned; assignments:
-    camera_id, gid, track_id, ts_us; recent: gid.
+    from three rows, of their mean by sharpness, each with its veto and fused
+    score (colours are those of the newest row, a mean has the attributes of its
+    sharpest one); the first row at which that match isn't held by another active
+    track of the camera decides (`match`).  Then, by the sharpest row and the
+    newest one's veto, recent identities from a lower score (`rescue`), those of a
+    closed world (`closed`), and at last a new id after the largest (`new`), in
+    the order of camera and track.
+
+    tracks: camera_id, track_id, ts, embedding, sharpness, attributes, colour (the
+    last two may be NULL); anchors: gid, embedding (prototypes too); gallery: gid,
+    camera_id, last_us, assigned, attributes, colour; assignments: camera_id, gid,
+    track_id, ts_us; recent: gid.  A gallery that changes with every match is
+    streaming.gallery.
     """
-    w = Window.partitionBy("camera_id", "track_id").orderBy("ts")
+    look = look or Look()
+    track = ["camera_id", "track_id"]
+    w = Window.partitionBy(*track).orderBy("ts")
     rows = tracks.withColumn("n", F.row_number().over(w)).where(F.col("n") <= first)
-    rows = rows.withColumn("query_id", F.xxhash64("camera_id", "track_id", "n"))
-    # means of the first 3, 4, ... rows
-    upto = rows.select("camera_id", "track_id", F.explode(F.sequence(F.greatest("n", F.lit(3)), F.lit(first))).alias("m"), "embedding", "sharpness", "n")
-    longest = rows.groupBy("camera_id", "track_id").agg(F.max("n").alias("most"))
-    upto = upto.join(longest, ["camera_id", "track_id"]).where("m <= most").withColumn("query_id", F.xxhash64("camera_id", "track_id", F.lit("mean"), "m"))
+    rows = rows.withColumn("query_id", F.xxhash64(*track, "n"))
+    # the first 3, 4, ... rows: their mean, and the attributes of the sharpest
+    upto = rows.select(*track, F.explode(F.sequence(F.greatest("n", F.lit(3)), F.lit(first))).alias("m"), "embedding", "sharpness", "n", "attributes")
+    longest = rows.groupBy(*track).agg(F.max("n").alias("most"))
+    upto = upto.join(longest, track).where("m <= most").withColumn("query_id", F.xxhash64(*track, F.lit("mean"), "m"))
     means = track_embedding(upto, "query_id")
-    asked = rows.select("query_id", "camera_id", "track_id", "n", F.lit(False).alias("mean")).union(upto.select("query_id", "camera_id", "track_id", F.col("m").alias("n"), F.lit(True)).distinct())
+    sharpest = lambda value: F.max_by(value, F.struct("sharpness", (-F.col("n")).alias("i")))
+    worn = upto.groupBy(*track, "m", "query_id").agg(sharpest("attributes").alias("attributes"))
     queries = rows.select("query_id", "embedding").union(means.select("query_id", "embedding"))
 
+    # a row is asked again with each newer row's colours
+    newer = rows.select(*track, F.col("n").alias("now"), F.col("colour"))
+    asked = rows.select(*track, "n", "query_id", "attributes").join(newer, track).where("n <= now").select(*track, F.col("now").alias("n"), F.lit(False).alias("mean"), F.col("n").alias("i"), "query_id", "attributes", "colour")
+    of_mean = worn.join(newer, track).where("m = now").select(*track, F.col("m").alias("n"), F.lit(True).alias("mean"), F.lit(0).alias("i"), "query_id", "attributes", "colour")
+    # what several later steps read is written once
+    asked = written(asked.union(of_mean).withColumn("ask_id", F.xxhash64("query_id", "n")), "asked")
+
     home = gallery.select(F.col("gid").alias("_g"), F.col("camera_id").alias("_c"))
-    scores = identity_scores(queries, anchors, 3, least=(threshold - 0.30) / 0.70 - 0.12)
-    s = scores.join(asked, "query_id").join(home, F.col("gid") == F.col("_g")).join(recent.select(F.col("gid").alias("_r")).distinct(), F.col("gid") == F.col("_r"), "left")
-    same = F.col("camera_id") == F.col("_c")
-    lifted = F.least(F.lit(1.0), F.col("score") + F.when(F.col("_r").isNotNull(), 0.12).otherwise(0.0))
-    none = F.lit(None).cast("double")
-    s = s.select("query_id", "gid", fused_score(lifted, none, none, same).alias("score"), F.lit(False).alias("recent"), same.alias("same_camera"))
-    found = best_match(s, threshold).join(asked, "query_id")
-    frame = found.where(~F.col("mean")).select("camera_id", "track_id", "n", F.struct("score", (-F.col("n")).alias("i"), "gid").alias("f"))
-    mean = found.where("mean").select("camera_id", "track_id", "n", F.struct("score", "gid").alias("m"))
-    prefix = rows.select("camera_id", "track_id", "n").join(frame, ["camera_id", "track_id", "n"], "left").join(mean, ["camera_id", "track_id", "n"], "left")
-    so_far = Window.partitionBy("camera_id", "track_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    prefix = prefix.withColumn("f", F.max("f").over(so_far))
-    better = F.col("m").isNotNull() & (F.coalesce("f.score", F.lit(0.0)) < F.col("m.score"))
-    prefix = prefix.select("camera_id", "track_id", "n", F.when(better, F.col("m.gid")).otherwise(F.col("f.gid")).alias("gid")).where("gid is not null")
-    free = active_on_camera_guard(prefix, assignments, as_of)
-    matched = free.groupBy("camera_id", "track_id").agg(F.min_by("gid", "n").alias("gid")).withColumn("how", F.lit("match"))
+    s = identity_scores(written(queries, "queries"), anchors, 3, least=least_similarity(threshold))
+    s = s.join(asked.select("query_id", "ask_id", "camera_id"), "query_id").join(home, F.col("gid") == F.col("_g"))
+    s = s.join(recent.select(F.col("gid").alias("_r")).distinct(), F.col("gid") == F.col("_r"), "left")
+    s = s.select(F.col("ask_id").alias("query_id"), "gid", "score", F.col("_r").isNotNull().alias("recent"), (F.col("camera_id") == F.col("_c")).alias("same_camera"))
+    s = with_appearance(s, asked.select(F.col("ask_id").alias("query_id"), "attributes", "colour"), gallery, look)
+    found = best_match(s, threshold).withColumnRenamed("query_id", "ask_id").join(asked.select("ask_id", *track, "n", "mean", "i"), "ask_id")
+    # the earliest of equals, a row before the mean
+    best = found.groupBy(*track, "n").agg(F.max(F.struct("score", (~F.col("mean")).alias("row"), (-F.col("i")).alias("i"), "gid")).alias("b"))
+    free = active_on_camera_guard(best.select(*track, "n", "b.gid"), assignments, as_of)
+    matched = written(free.groupBy(*track).agg(F.min_by("gid", "n").alias("gid")).withColumn("how", F.lit("match")), "matched")
 
     # the rest is tried once its window is full
-    left = rows.join(matched, ["camera_id", "track_id"], "left_anti")
-    sharpest = left.groupBy("camera_id", "track_id").agg(F.max_by("query_id", F.struct("sharpness", (-F.col("n")).alias("i"))).alias("query_id"))
-    own = scores_of(sharpest, rows, anchors)
-    on_camera = lambda df: df.join(sharpest, "query_id").select("camera_id", "track_id", "gid")
-    saved = active_on_camera_guard(on_camera(rescue_match(own, recent, rescue)), assignments, as_of).withColumn("how", F.lit("rescue"))
-    rest = sharpest.join(saved, ["camera_id", "track_id"], "left_anti")
+    left = rows.join(matched, track, "left_anti")
+    last = written(left.groupBy(*track).agg(sharpest("query_id").alias("query_id"), F.max_by("attributes", "n").alias("attributes"), F.max_by("colour", "n").alias("colour")), "last")
+    own = written(with_appearance(scores_of(last, rows, anchors), last, gallery, look), "scores")
+    on_camera = lambda df: df.join(last, "query_id").select(*track, "gid")
+    saved = written(active_on_camera_guard(on_camera(rescue_match(own, recent, rescue)), assignments, as_of).withColumn("how", F.lit("rescue")), "saved")
+    rest = last.join(saved, track, "left_anti")
     held = assignments.where(F.col("ts_us") > as_of - 15_000_000).select("camera_id", "gid")
-    closed = closed_world_match(own, rest.select("query_id", "camera_id"), gallery.join(held, ["camera_id", "gid"], "left_anti"), as_of)
+    closed = closed_world_match(own, rest, gallery.join(held, ["camera_id", "gid"], "left_anti"), as_of, look=look)
     closed = on_camera(closed).withColumn("how", F.lit("closed"))
-    known = matched.union(saved).union(closed)
+    known = written(matched.union(saved).union(closed), "known")
     top = anchors.agg(F.coalesce(F.max("gid"), F.lit(-1)).alias("top"))
-    fresh = rows.select("camera_id", "track_id").distinct().join(known, ["camera_id", "track_id"], "left_anti")
+    fresh = rows.select(*track).distinct().join(known, track, "left_anti")
     fresh = numbered(fresh, F.col("camera_id"), ["track_id"]).crossJoin(top)
-    return known.union(fresh.select("camera_id", "track_id", (F.col("top") + F.col("number")).alias("gid"), F.lit("new").alias("how")))
+    return known.union(fresh.select(*track, (F.col("top") + F.col("number")).alias("gid"), F.lit("new").alias("how")))
 
 
 def scores_of(chosen: DataFrame, rows: DataFrame, anchors: DataFrame) -> DataFrame:

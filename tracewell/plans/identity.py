@@ -10,8 +10,8 @@ from tracewell.sources import adapters as X
 
 Q, S = {}, {}
 HEAD = X.VECTORS_SQL + """,
-a AS (SELECT * FROM vec WHERE vec_id % 20 <> 0), q AS (SELECT vec_id AS query_id, * FROM vec WHERE vec_id % 20 = 0),
-sim AS (SELECT q.query_id, a.gid, a.vec_id, list_dot_product(q.embedding, a.embedding) AS s FROM q, a),
+a AS (SELECT * FROM vec), q AS (SELECT vec_id AS query_id, * FROM vec WHERE vec_id % 20 = 0),
+sim AS (SELECT q.query_id, a.gid, a.vec_id, list_dot_product(q.embedding, a.embedding) AS s FROM q, a WHERE a.vec_id <> q.query_id),
 top3 AS (SELECT query_id, gid, avg(s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, gid ORDER BY s DESC) AS n FROM sim) WHERE n <= 3 GROUP BY 1, 2)
 """
 
@@ -27,8 +27,9 @@ def query(name, sql=None):
 
 
 def parts(spark, d):
+    """Queries, and all rows as items: a query's own row is told apart by its vec_id."""
     v = X.vectors(spark, d)
-    return v.where("vec_id % 20 = 0").withColumn("query_id", F.col("vec_id")), v.where("vec_id % 20 <> 0")
+    return v.where("vec_id % 20 = 0").withColumn("query_id", F.col("vec_id")), v
 
 
 def r6(c):
@@ -38,17 +39,17 @@ def r6(c):
 @query("v1_cosine_topk", "SELECT query_id, gid, round_even(s, 6) AS score, n AS rank FROM (SELECT query_id, vec_id AS gid, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM sim) WHERE n <= 5")
 def v1(spark, d):
     q, a = parts(spark, d)
-    return V.cosine_topk(q, a.withColumn("gid", F.col("vec_id")), 5).select("query_id", "gid", r6("score"), "rank")
+    return V.cosine_topk(q, a.withColumn("gid", F.col("vec_id")), 5, own="vec_id").select("query_id", "gid", r6("score"), "rank")
 
 
 @query("v2_topk_mean_similarity", "SELECT query_id, gid, round_even(score, 6) AS score FROM top3")
 def v2(spark, d):
-    return V.identity_scores(*parts(spark, d)).select("query_id", "gid", r6("score"))
+    return V.identity_scores(*parts(spark, d), own="vec_id").select("query_id", "gid", r6("score"))
 
 
 @query("v3_fused_score", "SELECT query_id, gid, round_even(CASE WHEN gid % 2 = 0 THEN 0.80::DOUBLE * score + 0.15::DOUBLE * least(1, gid / 50) + 0.05::DOUBLE * 0.5 ELSE 0.70::DOUBLE * score + 0.25::DOUBLE * least(1, gid / 50) + 0.05::DOUBLE * 0.5 END, 6) AS fused FROM top3")
 def v3(spark, d):
-    s = V.identity_scores(*parts(spark, d))
+    s = V.identity_scores(*parts(spark, d), own="vec_id")
     fused = V.fused_score(F.col("score"), F.col("gid") / 50, F.lit(None), F.col("gid") % 2 == 0)
     return s.select("query_id", "gid", F.bround(fused, 6).alias("fused"))
 
@@ -61,27 +62,13 @@ def v3(spark, d):
 )
 def v4(spark, d):
     q, a = parts(spark, d)
-    near = V.cosine_topk(q, a.withColumn("gid", F.col("vec_id")), 10).select("query_id", F.col("gid").alias("vec_id"))
+    near = V.cosine_topk(q, a.withColumn("gid", F.col("vec_id")), 10, own="vec_id").select("query_id", F.col("gid").alias("vec_id"))
     p = near.join(q.select("query_id", F.col("embedding").alias("qe")), "query_id").join(a.select("vec_id", "embedding"), "vec_id")
     up = lambda c: F.transform(F.slice(c, 1, 8), F.abs)
     veto = V.clothing_veto((F.col("query_id") % 10) / 10, (F.col("vec_id") % 10) / 10, [(up("qe"), up("embedding"))], strong=0.25, least=0.6)
     return p.select("query_id", "vec_id", veto.alias("veto"))
 
 
-BEST = (
-    ", b AS (SELECT query_id, gid, least(1.0, score + CASE WHEN gid % 3 = 0 THEN 0.12 ELSE 0 END) AS score, gid % 2 = 0 AS same FROM top3), "
-    "o AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, gid)) "
-    "SELECT query_id, gid, round_even(score, 6) AS score FROM o WHERE n = 1 AND score >= CASE WHEN same THEN 0.42 ELSE 0.44 END AND NOT coalesce(second >= CASE WHEN same THEN 0.42 ELSE 0.44 END AND score - second < 0.03, false)"
-)
-
-
-@query("v5_best_match", BEST)
-def v5(spark, d):
-    # with its bonus a lower score stays below the threshold, as a runner-up too
-    s = V.identity_scores(*parts(spark, d), least=0.42 - 0.12).withColumn("recent", F.col("gid") % 3 == 0).withColumn("same_camera", F.col("gid") % 2 == 0)
-    return V.best_match(s).select("query_id", "gid", r6("score"))
-
-
 @query("v6_active_on_camera_guard", "SELECT m.query_id AS track_id, m.camera_id, m.gid FROM q m WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.camera_id = m.camera_id AND a.gid = m.gid AND a.ts * 1000000 > 200000000 - 15000000 AND a.vec_id <> m.query_id)")
 def v6(spark, d):
     q, a = parts(spark, d)
@@ -146,27 +133,59 @@ GALLERY = (
 NOW = 100_000_000
 
 
+#: Attributes of the tests: a gender and eight colours.
+LOOK = V.Look(0, (tuple(range(1, 9)),), strong=0.25, least=0.6)
+LOOKS = (
+    GALLERY + ", lk AS (SELECT q.query_id, ga.gid, [(q.query_id % 10) / 10] || list_transform(q.embedding[1:8], lambda x: abs(x)) AS qa, [(ga.gid % 10) / 10] || ga.colour AS ga, list_transform(q.embedding[1:8], lambda x: abs(x)) AS qc, ga.colour AS gc FROM q, ga), "
+    "ap AS (SELECT query_id, gid, list_dot_product(qc, gc) AS colour, list_dot_product(qa, ga) / sqrt(list_dot_product(qa, qa) * list_dot_product(ga, ga)) AS attributes, "
+    "abs(qa[1] - ga[1]) > 0.6 OR (list_max(qc) >= 0.25 AND list_max(gc) >= 0.25 AND list_dot_product(qc, gc) / sqrt(list_dot_product(qc, qc) * list_dot_product(gc, gc)) < 0.6) AS veto FROM lk)"
+)
+
+
+def looks(df, key):
+    """Rows with the attributes and colours that LOOK reads."""
+    c = colour(F.col("embedding")) if "embedding" in df.columns else F.col("colour")
+    return df.withColumn("colour", c).withColumn("attributes", F.concat(F.array((F.col(key) % 10) / 10), F.col("colour")))
+
+
+BEST = (
+    LOOKS + ", l AS (SELECT query_id, gid, least(1.0, score + CASE WHEN gid % 3 = 0 THEN 0.12 ELSE 0 END) AS e, gid % 2 = 0 AS same, greatest(0, least(1, colour)) AS c, attributes AS t FROM top3 JOIN ap USING (query_id, gid) WHERE NOT veto), "
+    "b AS (SELECT query_id, gid, same, CASE WHEN same THEN 0.80::DOUBLE * e + 0.15::DOUBLE * c + 0.05::DOUBLE * t ELSE 0.70::DOUBLE * e + 0.25::DOUBLE * c + 0.05::DOUBLE * t END AS score FROM l), "
+    "o AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, gid)) "
+    "SELECT query_id, gid, round_even(score, 6) AS score FROM o WHERE n = 1 AND score >= CASE WHEN same THEN 0.42 ELSE 0.44 END AND NOT coalesce(second >= CASE WHEN same THEN 0.42 ELSE 0.44 END AND score - second < 0.03, false)"
+)
+
+
+@query("v5_best_match", BEST)
+def v5(spark, d):
+    q, a = parts(spark, d)
+    s = V.identity_scores(q, a, least=V.least_similarity(), own="vec_id").withColumn("recent", F.col("gid") % 3 == 0).withColumn("same_camera", F.col("gid") % 2 == 0)
+    return V.best_match(V.with_appearance(s, looks(q, "query_id"), looks(gallery(spark, d), "gid"), LOOK)).select("query_id", "gid", r6("score"))
+
+
 @query("v11_drift_reject", "SELECT t.query_id, t.gid, round_even(score, 6) AS score FROM top3 t JOIN q ON q.query_id = t.query_id AND q.gid = t.gid WHERE score >= 0.32")
 def v11(spark, d):
-    return V.drift_reject(*parts(spark, d)).select("query_id", "gid", r6("score"))
+    return V.drift_reject(*parts(spark, d), own="vec_id").select("query_id", "gid", r6("score"))
 
 
-@query("v12_rescue_match", "SELECT query_id, gid, round_even(score, 6) AS score FROM top3 WHERE score >= 0.36 AND gid % 4 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) = 1")
+@query("v12_rescue_match", LOOKS + " SELECT query_id, gid, round_even(score, 6) AS score FROM top3 JOIN ap USING (query_id, gid) WHERE NOT veto AND score >= 0.36 AND gid % 4 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) = 1")
 def v12(spark, d):
     q, a = parts(spark, d)
-    return V.rescue_match(V.identity_scores(q, a, least=0.36), a.where("gid % 4 = 0")).select("query_id", "gid", r6("score"))
+    s = V.with_appearance(V.identity_scores(q, a, least=0.36, own="vec_id"), looks(q, "query_id"), looks(gallery(spark, d), "gid"), LOOK)
+    return V.rescue_match(s, a.where("gid % 4 = 0")).select("query_id", "gid", r6("score"))
 
 
 @query(
     "v13_closed_world_match",
-    ", g AS (SELECT gid, min_by(camera_id, vec_id) AS camera_id, max(ts) * 1000000 AS last_us FROM a GROUP BY 1), p AS (SELECT * FROM g WHERE gid % 5 <> 0 AND (300000000 - last_us) / 1e6 BETWEEN 5 AND 120), "
-    "c AS (SELECT q.query_id, p.gid, score, count(*) OVER (PARTITION BY q.query_id) AS n FROM q JOIN p ON p.camera_id = q.camera_id JOIN top3 t ON t.query_id = q.query_id AND t.gid = p.gid) "
-    "SELECT query_id, gid, round_even(score, 6) AS score FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) = 1) WHERE score >= CASE WHEN n = 1 THEN 0.15 ELSE 0.25 END",
+    LOOKS + ", g AS (SELECT gid, camera_id, last_us FROM ga WHERE gid % 5 <> 0 AND (300000000 - last_us) / 1e6 BETWEEN 5 AND 120), "
+    "c AS (SELECT q.query_id, g.gid, count(*) OVER (PARTITION BY q.query_id) AS n FROM q JOIN g ON g.camera_id = q.camera_id JOIN ap ON ap.query_id = q.query_id AND ap.gid = g.gid WHERE NOT veto), "
+    "b AS (SELECT * FROM c JOIN top3 USING (query_id, gid) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gid) = 1) "
+    "SELECT query_id, gid, round_even(score, 6) AS score FROM b WHERE score >= CASE WHEN n = 1 THEN 0.15 ELSE 0.25 END",
 )
 def v13(spark, d):
     q, a = parts(spark, d)
-    g = a.groupBy("gid").agg(F.min_by("camera_id", "vec_id").alias("camera_id"), (F.max("ts") * 1_000_000).alias("last_us")).withColumn("assigned", F.col("gid") % 5 == 0)
-    return V.closed_world_match(V.identity_scores(q, a, least=0.15), q, g, 300_000_000).select("query_id", "gid", r6("score"))
+    g = looks(gallery(spark, d).withColumn("assigned", F.col("gid") % 5 == 0), "gid")
+    return V.closed_world_match(V.identity_scores(q, a, least=0.15, own="vec_id"), looks(q, "query_id"), g, 300_000_000, look=LOOK).select("query_id", "gid", r6("score"))
 
 
 @query(
@@ -248,11 +267,14 @@ def assignment_inputs(spark, d):
     anchors, those of every third identity under a name of a far-off clone that no track resembles."""
     v = X.vectors(spark, d)
     seen = F.col("vec_id") % 5 < 2
-    tracks = v.where(seen).select("camera_id", F.col("gid").alias("track_id"), "ts", "embedding", (F.col("quality") / 50).alias("sharpness"))
+    tracks = v.where(seen).select("camera_id", F.col("gid").alias("track_id"), "ts", "embedding", (F.col("quality") / 50).alias("sharpness"), F.col("vec_id").alias("_v"))
+    tracks = looks(tracks, "_v").withColumn("attributes", F.when(F.col("_v") % 4 > 0, F.col("attributes"))).drop("_v")
     tracks = tracks.withColumn("camera_id", F.concat(F.lit("camera_"), (F.col("track_id") % 6 + 1).cast("string")))
     flip = F.when(F.col("gid") % 3 == 0, -1.0).otherwise(1.0)
     anchors = v.where(~seen).withColumn("embedding", F.transform("embedding", lambda x: x * flip))
     g = anchors.groupBy("gid").agg(F.min_by("camera_id", "vec_id").alias("camera_id"), (F.max("ts") * 1_000_000).alias("last_us")).withColumn("assigned", F.col("gid") % 7 == 0)
+    worn = looks(anchors.groupBy("gid").agg(F.min_by("embedding", "vec_id").alias("embedding")), "gid").select("gid", F.when(F.col("gid") % 5 > 0, F.col("attributes")).alias("attributes"), F.when(F.col("gid") % 6 > 0, F.col("colour")).alias("colour"))
+    g = g.join(worn, "gid")
     as_of = 300_000_000
     held = anchors.where("gid % 11 = 0").select("camera_id", "gid", (F.col("gid") + 1).alias("track_id"), F.lit(as_of - 1_000_000).alias("ts_us"))
     return tracks, anchors.select("gid", "embedding"), g, held, g.where("gid % 4 = 0").select("gid"), as_of
@@ -260,7 +282,7 @@ def assignment_inputs(spark, d):
 
 @query("v18_assign_identities")
 def v18(spark, d):
-    return V.assign_identities(*assignment_inputs(spark, d))
+    return V.assign_identities(*assignment_inputs(spark, d), LOOK)
 
 
 def detections(spark, d):

@@ -100,6 +100,15 @@ def t5(spark, d):
     return T.run_available(T.zone_state(tracking(spark, d)))
 
 
+@query(
+    "t5_fleet_zone_state",
+    seq.STOPS.replace("PARTITION BY person", f"PARTITION BY {X.STORE_SQL}, person").replace("SELECT person, stop", f"SELECT {X.STORE_SQL} AS store_id, person, stop").replace("lead(entry_us) OVER (PARTITION BY " + X.STORE_SQL, "lead(entry_us) OVER (PARTITION BY store_id")
+    + " SELECT store_id, person, zone, cam, entry_us, exit_us, list(zone) OVER (PARTITION BY store_id, person ORDER BY stop ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS trail FROM stops WHERE exit_us IS NOT NULL",
+)
+def t5_fleet(spark, d):
+    return T.run_available(T.zone_state(X.in_stores(tracking(spark, d)), by=["store_id"]))
+
+
 @query("t6_stream_alerts")
 def t6(spark, d):
     G.use_rocks(spark)
