@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import identity as V
+from tracewell.operators import vector_index as N
 from tracewell.operators import vision
 from tracewell.sources import adapters as X
 
@@ -295,3 +296,18 @@ def detections(spark, d):
 @query("v19_nms")
 def v19(spark, d):
     return vision.nms(detections(spark, d))
+
+
+@query("v1_indexed_topk", S["v1_cosine_topk"].partition(f"WITH {HEAD} ")[2])
+def v1_indexed(spark, d):
+    q, a = parts(spark, d)
+    index = N.build(a.withColumn("gid", F.col("vec_id")), own="vec_id")
+    return N.topk(q, index, 5, own="vec_id")[0].select("query_id", "gid", r6("score"), "rank")
+
+
+@query("v5_indexed_match", BEST)
+def v5_indexed(spark, d):
+    q, a = parts(spark, d)
+    s = N.identity_scores(q, a, N.build(a, own="vec_id"), V.least_similarity(), own="vec_id")
+    s = s.withColumn("recent", F.col("gid") % 3 == 0).withColumn("same_camera", F.col("gid") % 2 == 0)
+    return V.best_match(V.with_appearance(s, looks(q, "query_id"), looks(gallery(spark, d), "gid"), LOOK)).select("query_id", "gid", r6("score"))

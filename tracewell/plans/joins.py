@@ -56,6 +56,11 @@ def p6(spark, d):
     return M.find_zone(X.trk(spark, d), zones(spark)).select("event_id", "zone")
 
 
+@query("p6_zones_by_cell", S["p6_find_zone"].partition(f"WITH {X.SQL} ")[2])
+def p6_cells(spark, d):
+    return M.find_zone_by_cell(X.trk(spark, d), M.zone_cells(zones(spark))).select("event_id", "zone")
+
+
 def matrices(spark):
     rows = [(f"camera_{c}", 0.05 * c, 0.001, 3.0, 0.002, 0.04 * c, -2.0, 0.00001, 0.00002, 1.0) for c in range(1, 6)]
     return spark.createDataFrame(rows, "camera_id string, " + ", ".join(f"h{i}{k} double" for i in range(3) for k in range(3)))

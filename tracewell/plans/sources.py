@@ -22,12 +22,12 @@ def query(name, sql=None):
     return keep
 
 
-def tracking_log(spark, d):
-    """The tracking table in the log's 17 columns."""
+def tracking_log(spark, d, *more):
+    """The tracking table in the log's 17 columns, and more of its own."""
     t = X.tracking(spark, d)
     third = F.col("event_id") % 3
     return t.select(
-        F.lit("c1").alias("client_id"), F.concat(F.lit("s"), (F.col("event_id") % 2).cast("string")).alias("store_id"), "camera_id", F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        *more, F.lit("c1").alias("client_id"), F.concat(F.lit("s"), (F.col("event_id") % 2).cast("string")).alias("store_id"), "camera_id", F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         "track_id", "global_id", "x1", "y1", "x2", "y2", "zone", "gender", "age_category", (F.col("event_id") % 7).cast("int").alias("store_occupancy"),
         F.when(third > 0, third == 1).alias("has_entered"), F.when(third == 1, F.col("zone")).alias("first_zone_after_entry"), F.when(third == 1, "entered").otherwise("none").alias("crossing_status"),
     )
@@ -60,6 +60,34 @@ def io1(spark, d):
     return _log_columns(L.read_tracking_log(spark, written_log(spark, d)))
 
 
+@query(
+    "io1_rejected_lines",
+    "SELECT 'read' AS reason, count(*) AS lines, count(*) FILTER (event_id % 13 <> 0) AS whole FROM trk WHERE event_id % 11 <> 0 "
+    "UNION ALL SELECT CASE WHEN event_id % 13 = 0 THEN 'malformed' ELSE 'no time' END, count(*), 0 FROM trk WHERE event_id % 11 = 0 GROUP BY 1 UNION ALL SELECT 'header', count(*), 0 FROM trk WHERE event_id < 3",
+)
+def io1_rejected(spark, d):
+    """A log in which some rows have no time, some a broken cell, some both, and three lines repeat the header."""
+    names, e = L.TRACKING.names, F.col("event_id")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names]
+    log = tracking_log(spark, d, "event_id").select("event_id", *cells)
+    log = log.withColumn("timestamp", F.when(e % 11 == 0, F.concat(F.lit("at some time "), e)).otherwise(F.col("timestamp"))).withColumn("x1", F.when(e % 13 == 0, "far left").otherwise(F.col("x1")))
+    path = new_folder(spark, "rejects")
+    log.select(*names).union(log.where("event_id < 3").select(*[F.lit(c) for c in names])).write.csv(path)
+    rows, rejected = L.read_log(spark, path)
+    read = rows.agg(F.lit("read").alias("reason"), F.count("*").alias("lines"), F.count("x1").alias("whole"))
+    return read.union(rejected.where("file is not null").groupBy("reason").agg(F.count("line").alias("lines"), F.lit(0).cast("long").alias("whole")))
+
+
+@query("io2_read_positions", "SELECT id, ts, camera_id, track_id, greatest(0, least(1, 2 * cx - 0.5)) AS cx, greatest(0, least(1, 2 * cy - 0.5)) AS cy, gender, age_group FROM positions")
+def io2_read(spark, d):
+    """Half of the rows come back from Parquet, half from CSV; points outside the frame are clamped."""
+    wide = X.positions(spark, d).withColumn("cx", 2 * F.col("cx") - 0.5).withColumn("cy", 2 * F.col("cy") - 0.5)
+    path = new_folder(spark, "positions")
+    wide.where("id % 2 = 0").write.parquet(f"{path}/a")
+    wide.where("id % 2 = 1").write.csv(f"{path}/b.csv", header=True)
+    return L.read_positions(spark, f"{path}/a").unionByName(L.read_positions(spark, f"{path}/b.csv"))
+
+
 @query("io3_read_occupancy_log", "SELECT us, event_type, track_id, camera_id FROM occ")
 def io3(spark, d):
     path = new_folder(spark, "occupancy")

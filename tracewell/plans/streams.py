@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import alerts as E
+from tracewell.plans import alerts as al
 from tracewell.plans import sequences as seq
 from tracewell.sources import adapters as X
 from tracewell.streaming import gallery as G
 from tracewell.streaming import jobs as T
 from tracewell.streaming import live as L
+from tracewell.streaming import upsert as U
 
 Q, S = {}, {}
 
@@ -197,3 +199,20 @@ def v18_online(spark, d):
     rows.write.parquet(path)
     stream = timed(spark.readStream.schema(rows.schema).parquet(path))
     return T.run_available(G.online_assignment(stream, GALLERY_RULES))
+
+
+EVENTS = "id string, ts long, camera_id string, reviewed int"
+
+
+@query("e3_stream_upsert", al.S["e2_event_state"].partition(f"WITH {X.SQL} ")[2])
+def e3_stream(spark, d):
+    """The change log, a file per sixth of it, through the stream into the table."""
+    path = T.new_folder(spark, "events")
+    c = al.changes(spark, d)
+    most = c.agg(F.max("seq")).first()[0] + 1
+    for part in range(6):  # in order: a stream reads files by their time
+        c.where(F.expr(f"least(5, seq * 6 div {most}) = {part}")).coalesce(1).write.mode("append").parquet(f"{path}/changes")
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/changes")
+    schema = spark.createDataFrame([], EVENTS).schema
+    U.upsert_stream(stream, f"{path}/table", f"{path}/state", schema).awaitTermination()
+    return U.read_events(spark, f"{path}/table", schema)

@@ -35,6 +35,22 @@ def _typed(df: DataFrame) -> DataFrame:
     return df
 
 
+def read_log(spark: SparkSession, path: str, schema: T.StructType = TRACKING) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of a log's CSV parts: every line is in one of them.
+
+    rejected: file, reason, line.  A line whose time is no time is rejected: as
+    `header` where it repeats the column names, as `malformed` where its cells
+    don't fit the columns, else as `no time`.  A line with a time is kept; a cell
+    of it that doesn't fit its column is NULL.
+    """
+    raw = spark.read.schema(T.StructType([*schema.fields, T.StructField("_line", _S)])).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_line")
+    raw = raw.select(*schema.names, "_line", F.col("_metadata.file_path").alias("_file"))
+    timeless = F.try_to_timestamp("timestamp").isNull()
+    reason = F.when(F.col("timestamp") == "timestamp", "header").when(F.col("_line").isNotNull(), "malformed").otherwise("no time")
+    rejected = raw.where(timeless).select(F.col("_file").alias("file"), reason.alias("reason"), F.coalesce("_line", F.to_csv(F.struct(*schema.names))).alias("line"))
+    return _typed(raw.drop("_line", "_file")), rejected
+
+
 def read_tracking_log(spark: SparkSession, path: str) -> DataFrame:
     """CSV parts with the fixed 17 columns; header lines and malformed rows are tolerated."""
     return _typed(spark.read.schema(TRACKING).csv(path, mode="PERMISSIVE"))
