@@ -6,6 +6,11 @@ a posting (trigram, record) for the trigrams that the rules ask for.  Postings
 of a clause are intersected per record, and only records that satisfy a query
 are searched with the rule's expression.  Rules without a mandatory trigram
 search every record.  Built-in functions only.
+
+No text is shuffled: postings hold ids, and the ids that satisfy a query set bits
+of a bitmap of fixed size, which is broadcast.  A text whose bit is set is
+verified where it is read.  Bits that ids share make more texts be verified, but
+a text that holds no rule's trigrams matches none, so they change no result.
 """
 
 from __future__ import annotations
@@ -106,13 +111,6 @@ def _keys(df: DataFrame, key: str, text: str) -> DataFrame:
 _ID = ["key", "h", "size"]
 
 
-def _match(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on the record's id; a null key is a key like any other."""
-    right = right.withColumnsRenamed({c: f"_{c}" for c in _ID})
-    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h")) & (F.col("size") == F.col("_size"))
-    return left.join(right, same, how).drop(*[f"_{c}" for c in _ID])
-
-
 def build_index(records: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings (trigram, key, h, size) for the trigrams that the rules ask for."""
     grams = sorted({g for r in rules for c in trigram_query(r.pattern) or [] for g in c})
@@ -170,29 +168,43 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.pattern), folded).otherwise(none)
 
 
+BITS = 1 << 24  # 2 MB: the size of what is broadcast, whatever the number of records
+_MAP_BITS = 1 << 15  # bits of one row
+
+
+def marks(chosen: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap of the chosen ids in rows of 4 kB, BITS / 2^15 rows at most."""
+    place = F.pmod(F.xxhash64(*_ID), F.lit(BITS))
+    return chosen.select(place.alias("p")).select(F.shiftright("p", 15).alias("bucket"), (F.col("p") % _MAP_BITS).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def _with_spans(df: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row, spans): every row of `df` as a struct, with the spans of its text."""
+    asked = [(i, r) for i, r in enumerate(rules) if trigram_query(r.pattern)]
+    free = [(i, r) for i, r in enumerate(rules) if not trigram_query(r.pattern)]
+    body, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast(_SPANS)
+    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), col(key).alias("key"), col(text).alias("text"))
+    found = [rule_spans(body, r, i) for i, r in free]
+    if asked:
+        place = F.pmod(F.xxhash64("key", F.xxhash64(body), F.octet_length(body)), F.lit(BITS))
+        bits = marks(candidates(build_index(_keys(df, key, text), rules), rules)).withColumnRenamed("bucket", "_bucket")
+        rows = rows.withColumn("p", place).join(F.broadcast(bits), F.shiftright("p", 15) == F.col("_bucket"), "left")
+        at = F.col("p") % _MAP_BITS
+        byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        marked = F.col("bits").isNotNull() & (F.expr("shiftright(_byte, cast(p % 8 as int)) & 1") == 1)
+        rows = rows.withColumn("_byte", byte).withColumn("marked", F.coalesce(marked, F.lit(False)))
+        found += [F.when(F.col("marked"), rule_spans(body, r, i)).otherwise(none) for i, r in asked]
+    return rows.select("row", F.array_sort(F.concat(none, *found)).alias("spans"))
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of `df`: its key (under its name) and `spans`, by start, then rule.
 
     Null and empty texts have no spans.  Repeated rows each get theirs; rows
     with a null key count like others.
     """
-    return _scan(_keys(df, key, text), rules).select(F.col("key").alias(key), "spans")
-
-
-def _scan(records: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    asked = [(i, r) for i, r in enumerate(rules) if trigram_query(r.pattern)]
-    free = [(i, r) for i, r in enumerate(rules) if not trigram_query(r.pattern)]
-    none = F.array().cast(_SPANS)
-    found = records.select(*_ID, (F.concat(none, *[rule_spans(F.col("text"), r, i) for i, r in free])).alias("free"))
-    if not asked:
-        return found.select(*_ID, F.array_sort("free").alias("spans"))
-    chosen = candidates(build_index(records, rules), rules)
-    verify = F.concat(none, *[F.when(F.array_contains("kinds", r.kind), rule_spans(F.col("text"), r, i)).otherwise(none) for i, r in asked])
-    verified = _match(records, chosen, "inner").select(*_ID, verify.alias("asked"))
-    verified = verified.groupBy(*_ID).agg(F.first("asked").alias("asked"))
-    return _match(found, verified, "left").select(
-        *_ID, F.array_sort(F.concat("free", F.coalesce("asked", none))).alias("spans")
-    )
+    own = "`" + key.replace("`", "``") + "`"
+    return _with_spans(df.select(col(key), col(text)), key, text, rules).select(F.col(f"row.{own}").alias(key), "spans")
 
 
 def written(spans: Column) -> Column:
@@ -203,25 +215,20 @@ def written(spans: Column) -> Column:
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """The rows of `df` with every found span replaced by `mark` (overlapping spans by one).
 
-    Rows without a find keep their text, a null text included.
+    Rows without a find keep their text, a null text included; repeated rows are
+    redacted alike.
     """
-    found = _scan(_keys(df, key, text), rules).where(F.size("spans") > 0).groupBy(*_ID).agg(F.first("spans").alias("__spans"))
-    body = F.coalesce(col(text), F.lit(""))
-    same = col(key).eqNullSafe(F.col("__found.key")) & (F.xxhash64(body) == F.col("__found.h")) & (F.octet_length(body) == F.col("__found.size"))
-    found = found.select(F.struct(*_ID).alias("__found"), "__spans")
-    joined = df.join(found, same, "left")
+    quoted = lambda c: F.col("row.`" + c.replace("`", "``") + "`")
+    body = quoted(text)
 
     def step(done, s):
-        gap = F.substring(col(text), done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
+        gap = F.substring(body, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
         fresh = s["start"] >= done["at"]
-        return F.struct(
-            F.when(fresh, F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at")
-        )
+        return F.struct(F.when(fresh, F.concat(done["out"], gap, F.lit(mark))).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate(
-        "__spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda d: F.concat(d["out"], F.substring(col(text), d["at"] + 1, F.length(col(text))))
-    )
-    return joined.select(*[F.when(F.col("__spans").isNull(), col(c)).otherwise(clean).alias(c) if c == text else col(c) for c in df.columns])
+    clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda d: F.concat(d["out"], F.substring(body, d["at"] + 1, F.length(body))))
+    told = _with_spans(df, key, text, rules)
+    return told.select(*[F.when(F.size("spans") > 0, clean).otherwise(quoted(c)).alias(c) if c == text else quoted(c).alias(c) for c in df.columns])
 
 
 def op2_secret_scan(spark, sf_dir):

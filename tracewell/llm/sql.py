@@ -2,6 +2,33 @@
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: kind, expression, group whose length counts, and that length.
+_SECRETS = [
+    ("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 8),
+    ("access", r"AKIA[A-Z0-9]+", 0, 16),
+    ("hex", r"[0-9a-f]+", 0, 32),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
+]
+_FOUND = " UNION ALL ".join(
+    f"SELECT r, {i} AS rank, '{kind}' AS kind, {least} AS least, regexp_extract_all(x, '{rx}', 0) AS m, regexp_extract_all(x, '{rx}', {group}) AS c, string_split_regex(x, '{rx}') AS g FROM t"
+    for i, (kind, rx, group, least) in enumerate(_SECRETS)
+)
+
+OP2 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+f AS ({_FOUND}),
+p AS (SELECT r, rank, kind, least, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(c) AS c, unnest(g[1 : len(m)]) AS g FROM f WHERE len(m) > 0),
+q AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY r, rank ORDER BY i) AS z FROM p),
+s AS (SELECT r, kind, z - length(m) AS a, rank, concat_ws(':', kind, CAST(z - length(m) AS BIGINT), CAST(z AS BIGINT)) AS span FROM q WHERE length(c) >= least),
+w AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY a, rank) FILTER (kind <> 'pem') AS base, string_agg(span, ',' ORDER BY a, rank) AS spans
+  FROM s GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN w USING (r)
+"""
+
 OP6 = rf"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -143,6 +170,7 @@ QUALIFY rank <= 3
 """
 
 ORACLES = {
+    "op2_secret_scan": OP2,
     "op4_substring_dedup": OP4,
     "op9_suffix_array_dedup": OP9,
     "op7_warc": OP7,
