@@ -176,3 +176,18 @@ def test_tiles_keep_groups_together(spark, monkeypatch):
     monkeypatch.undo()
     whole = V.identity_scores(q.withColumn("g", F.col("query_id") % 7), a, group="g", own="vec_id")
     assert got == {(r.query_id, r.gid): round(r.score, 9) for r in whole.collect()}
+
+
+def test_tables_between_jobs_are_deleted(spark, tmp_path):
+    import glob
+
+    from tracewell.sources import shared
+
+    left = lambda: len(glob.glob(shared.shared_folder(spark).removeprefix("file://") + "/*"))
+    before = left()
+    with shared.scratch(spark) as s:
+        one = s.keep(shared.written(spark.range(5), "one"))
+        shared.written(one.where("id > 1"), "two").write.parquet(f"{tmp_path}/out")
+        assert left() == before + 2
+    assert left() == before + 1 and one.count() == 5
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +14,55 @@ from pyspark.sql import functions as F
 SMALL_ROWS, SALTS = 100_000, 32
 
 
+_made: list[str] = []  # folders given out by this driver
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests on one machine) a folder beside the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """``spark.checkpoint.dir``; where it is unset, on one machine only, a folder beside the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+class Scratch:
+    """The folders of tables between jobs since it was made."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._from, self._kept = spark, len(_made), set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Spare the folder that `df` reads."""
+        self._kept |= {f.rpartition("/")[0].split(":")[-1].lstrip("/") for f in df.inputFiles()}
+        return df
+
+    def clear(self) -> None:
+        for path in _made[self._from :]:
+            if path.split(":")[-1].lstrip("/") not in self._kept:
+                drop_folder(self._spark, path)
+                _made.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Inside, results are made and written; at the end all tables between jobs that this took are deleted."""
+    held = Scratch(spark)
+    try:
+        yield held
+    finally:
+        held.clear()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def folder_of(df: DataFrame) -> str:
