@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,26 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import kernels
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset (tests on one machine) a folder under the
-    warehouse is chosen and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from tracewell.sources.shared import drop_folder, new_folder
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage
     ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{re.sub(r'[^A-Za-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
+    path = new_folder(spark, re.sub(r"[^A-Za-z0-9_]", "_", name))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,9 +27,7 @@ def drop_cut(df: DataFrame) -> None:
     """Delete the folder that `cut` wrote, once nothing reads it any more."""
     files = df.inputFiles()
     if files:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(df.sparkSession, files[0].rpartition("/")[0])
 
 
 def lower_ascii(column: Column) -> Column:

@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of `docs`.  Rows with null ids or texts pass every
-stage unless its own decision removes them.
+stage unless its own decision removes them.  Repeated rows are judged alike (as
+near duplicates they share an id and stay or go together), an empty table gives
+an empty one, and a text is taken whole, however long; it must fit a task.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontamination, near_dedup, quality_classifier, secrets
 from tracewell.llm.frames import cut, drop_cut, read
+from tracewell.sources.shared import scratch
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -77,7 +80,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each result written to the shared folder and read back."""
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        before, docs = docs, cut(stage(spark, docs, sf_dir), f"stage_{name}")
+        before = docs
+        with scratch(spark) as tables:  # what a stage writes on its way goes once its result is written
+            docs = tables.keep(cut(stage(spark, docs, sf_dir), f"stage_{name}"))
         if i:
             drop_cut(before)
     return docs

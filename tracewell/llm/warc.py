@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.frames import col, read, shared_dir
+from tracewell.llm.frames import col, read
+from tracewell.sources.shared import new_folder
 
 #: skippable frame that holds the dictionary of the archive
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -337,7 +338,7 @@ def op7_warc(spark, sf_dir):
     # a compression aid only: at most 64 pages of at most 64 kB
     few = pages.where((F.octet_length("html") < 1 << 16) & (F.octet_length("html") > 0)).select("page_id", "url", "html").limit(64).collect()
     dictionary = train_dictionary([record(r.page_id, r.url, b := r.html.encode(), hashlib.sha256(b).hexdigest(), "response", None) for r in few])
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     written = write_archives(typed, f"{folder}/archives", dictionary)
     # the paths of the attempts that count; one row per file
     written.write.parquet(f"{folder}/paths")
