@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from tracewell.llm import kernels as K
 from tracewell.llm.frames import col, cut, drop_cut
+from tracewell.sources.shared import SALTS
 
 BLOCK_ENTRIES = 250_000  # minimisers, and documents, that a task packs at once
 BLOCK_DOCS = 60_000
@@ -527,9 +528,14 @@ def deduplicate(docs: DataFrame, units: Units, finder: Finder, key: str, text: s
     Keys are whole numbers.  Null texts are empty.  Rows with a null key, and rows
     of the same key, never count as smaller: nothing is removed on their account.
     """
-    meta = cut(described(docs, units, key, text), "meta")
-    classes = meta.groupBy("digest").agg(F.min("doc").alias("rep")).withColumnRenamed("digest", "_digest")
-    meta = cut(meta.join(classes, F.col("digest") == F.col("_digest"), "left").select("doc", "did", "n_units", "sha256", "rep"), "meta")
+    told = cut(described(docs, units, key, text), "told")
+    # only texts that repeat have a class to look up; its row goes to every salt, over which the equal texts are spread
+    classes = told.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    classes = classes.select(F.col("digest").alias("_digest"), "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64("doc", "did"), F.lit(SALTS)).cast("int")
+    both = told.withColumn("salt", salt).join(classes, (F.col("digest") == F.col("_digest")) & (F.col("salt") == F.col("_salt")), "left")
+    meta = cut(both.select("doc", "did", "n_units", "sha256", F.coalesce("rep", "doc").alias("rep")), "meta")
+    drop_cut(told)
     left = cut_texts(*repeats(docs, meta, units, finder, key, text), units)
     left = left.select(F.col("doc").alias("_doc"), F.col("did").alias("_did"), "n_removed", "n_spans", F.col("sha256").alias("_sha256"), "kept")
     out = meta.join(left, (F.col("doc") == F.col("_doc")) & (F.col("did") == F.col("_did")), "left")
