@@ -21,6 +21,11 @@ PAGES = {
     ),
     "comments as articles": (f"<body><article><p>{A}</p></article><div class='commentList'><article class='comment'><p>{A} {A} {A}</p></article></div>", A),
     "no article": (f"<body><div id=menu><a href=/>Home</a></div><div class='has-sidebar content'><h1>Head</h1><p>{A}</p><p>{B}</p><p>End.</p></div><div><a href=/1>More</a> <a href=/2>Even more</a></div>", f"Head\n{A}\n{B_TEXT}\nEnd."),
+    "boxes named by class": (
+        f"<body><div class='site-header'>Site name and motto</div><div id='topBanner'>Sale today</div><div class='content-with-sidebar'><div class='entry-header'><h1>Head</h1></div><p>{A}</p><p>{B}</p>"
+        f"<div class='alert'>Read our new terms.</div><div class='comment-list'><p>{A} {A}</p></div></div><div class='search'>Find</div></body>",
+        f"Head\n{A}\n{B_TEXT}",
+    ),
     "form around": (f"<body><form id=aspnet><nav>Home</nav><article><p>{A}</p></article></form>", A),
     "menu never closed": (f"<body><nav><a href=/>Home</a><article><p>{A}</p></article>", A),
     "two teasers": (f"<body><main><article><h1>Head</h1><p>{A}</p></article><article><a href=/1>Next one</a></article></main>", f"Head\n{A}\nNext one"),

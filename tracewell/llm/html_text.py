@@ -47,11 +47,13 @@ SILENT = frozenset("script style noscript template svg math iframe object embed
 #: Roles and words of class names and ids that mark such elements.
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 WORDS = frozenset(
-    "ad ads adslot adsense advert advertisement adverts advertising breadcrumb breadcrumbs captcha cookie cookies consent copyright disclaimer disqus footer gdpr legal login masthead menu modal nav "
-    "navbar navigation newsletter notice notices notification notifications pager pagination popup promo promoted promotion recommended related share sharing sidebar sidebars signup skip social sponsor "
+    "ad ads adslot adsense advert advertisement adverts advertising alert banner breadcrumb breadcrumbs captcha cookie cookies consent copyright disclaimer disqus footer gdpr legal login masthead menu modal nav "
+    "navbar navigation newsletter notice notices notification notifications pager pagination popup promo promoted promotion recommended related search searchbox searchform share sharing sidebar sidebars signup skip social sponsor "
     "sponsored subscribe subscription teaser toolbar widget".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond discussion".split())
+#: Class names of a page's header; an article's own header has other words beside it.
+PAGE_HEADERS = frozenset({("header",), ("site", "header"), ("top", "header"), ("global", "header")})
 _NOT_ITS_OWN = frozenset("has is no not with without".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _OPEN = re.compile(r"<[A-Za-z/!?]")
@@ -64,7 +66,8 @@ def _marked(attrs: list[tuple[str, str | None]], words: frozenset[str]) -> bool:
         if value and name in ("class", "id"):
             for one in value.split():
                 said = [w.lower() for w in _WORD.findall(one)]
-                if said and said[0] not in _NOT_ITS_OWN and not words.isdisjoint(said):
+                # a box "with-sidebar" holds more than one
+                if _NOT_ITS_OWN.isdisjoint(said) and (not words.isdisjoint(said) or words is WORDS and tuple(said) in PAGE_HEADERS):
                     return True
         elif value and name == "role" and words is WORDS and value.strip().lower() in ROLES:
             return True
@@ -251,12 +254,14 @@ def extract(html: str) -> str:
     first, last = np.flatnonzero(content & inside)[[0, -1]]
     own = {page.parent[n] for n in of[content & inside]}
     links = np.array([linked for _, _, _, linked in lines])
-    # at the ends, what stands beside content lines in one element belongs to them, unless it is mostly links
-    beside = np.array([page.parent[n] in own for n in of]) & (2 * links < chars)
+    # at the ends, headings before them and what stands beside content lines in one element belong to them, unless mostly links
+    heads = np.array([page.tags[n] in _HEADINGS for n in of]) & (np.arange(len(lines)) < first)
+    beside = (heads | np.array([page.parent[n] in own for n in of])) & (2 * links < chars)
     at = np.arange(len(lines))
     return "\n".join(lines[i][1] for i in at[inside & (beside | (at >= first) & (at <= last))])
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt pre blockquote".split())
 
 
