@@ -11,7 +11,11 @@ def test_query_equals_sql(spark, name):
     same_rows(spark, QUERIES[name], ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+#: Run, and compared row by row, by test_replays and test_online_gallery.
+REPLAYED = {"v15_merge_identities", "v15_merged_gallery", "v18_assign_identities", "v18_online_gallery", "t6_stream_alerts", "j3_stitch_tracks"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - REPLAYED))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).columns
     QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
