@@ -12,7 +12,7 @@ def test_query_equals_sql(spark, name):
 
 
 #: Run, and compared row by row, by test_replays and test_online_gallery.
-REPLAYED = {"v15_merge_identities", "v15_merged_gallery", "v18_assign_identities", "v18_online_gallery", "t6_stream_alerts", "j3_stitch_tracks"}
+REPLAYED = {"v15_merge_identities", "v15_merged_gallery", "v18_assign_identities", "v18_online_gallery", "t6_stream_alerts"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - REPLAYED))
