@@ -114,9 +114,9 @@ _ID = ["key", "h", "size"]
 def build_index(records: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings (trigram, key, h, size) for the trigrams that the rules ask for."""
     grams = sorted({g for r in rules for c in trigram_query(r.pattern) or [] for g in c})
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams])) if grams else F.array().cast("array<string>")
-    return records.select(F.explode(held).alias("trigram"), *_ID)
+    held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in grams])) if grams else F.array().cast("array<string>")
+    # lower-cased once: a generator's expression shares nothing between the trigrams
+    return records.select(F.lower("text").alias("low"), *_ID).select(F.explode(held).alias("trigram"), *_ID)
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
