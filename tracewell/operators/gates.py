@@ -8,6 +8,7 @@ however busy or unbroken it is.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -75,11 +76,11 @@ def smooth(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Se
     def step(last, pdf: pd.DataFrame):
         out, new = {}, []
         for i, c in enumerate(columns):
-            x = pdf[c].to_numpy(float)
-            x = x if last is None else np.append(last[i], x)
-            y = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+            x = pdf[c].to_numpy(float).tolist()
+            # value by value: other forms of the sum differ in the last bit, which the cut to integers shows
+            y = list(accumulate(x, lambda s, v: alpha * v + (1 - alpha) * s, initial=None if last is None else last[i]))
             new.append(y[-1])
-            out[f"{c}_smooth"] = np.trunc(y if last is None else y[1:]).astype("int32")
+            out[f"{c}_smooth"] = np.trunc(y[len(y) - len(x) :]).astype("int32")
         return new, pdf.assign(**out)
 
     return sorted_scan(df, keys, order, step, schema)
