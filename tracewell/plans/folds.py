@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from tracewell.functions.questions import DATA, TEMPORAL, TRAIL, VISUAL
 from tracewell.operators.alerts import COOLDOWNS
-from tracewell.plans import alerts, fleet, sequences, traffic
+from tracewell.plans import alerts, fleet, joins, sequences, traffic
 from tracewell.sources import adapters as X
 
 Q, S = {}, {}
@@ -76,6 +76,48 @@ S["v19_nms"] = (
 )
 
 
+#: `reach`: whom each person is linked to over lasting pairs, themselves included.
+S["j6_groups"] = (
+    f"WITH RECURSIVE l AS MATERIALIZED ({joins.S['j6_lasting_pairs']}), both_ways AS MATERIALIZED (SELECT snap, a, b FROM l UNION SELECT snap, b, a FROM l), "
+    "reach AS (SELECT snap, a, a AS b FROM both_ways UNION SELECT r.snap, r.a, w.b FROM reach r JOIN both_ways w ON r.snap = w.snap AND r.b = w.a), "
+    'g AS (SELECT snap, a, min(b) AS "group" FROM reach GROUP BY ALL) SELECT snap, "group", CAST(count(*) AS INT) AS size, list(a ORDER BY a) AS members FROM g GROUP BY snap, "group"'
+)
+
+#: old: segments that may be taken up; held: the last instant at which each id is in use.
+STITCHED = (
+    f"WITH RECURSIVE {X.SQL} {joins.SEG}, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY start_us, seg) AS n FROM seg), "
+    "s AS (SELECT DISTINCT camera_id, 0::BIGINT AS n, 0::BIGINT AS seg, 0::BIGINT AS root, NULL::BIGINT AS old_id, []::STRUCT(seg BIGINT, ends BIGINT, x BIGINT, y BIGINT, root BIGINT)[] AS old, []::STRUCT(root BIGINT, ends BIGINT)[] AS held FROM r "
+    "UNION ALL SELECT camera_id, n, seg, own, found.seg, list_append(old, {'seg': seg, 'ends': end_us, 'x': ex, 'y': ey, 'root': own}), "
+    "list_append(list_filter(held, lambda h: h.root <> own), {'root': own, 'ends': greatest(coalesce(list_filter(held, lambda h: h.root = own)[1].ends, end_us), end_us)}) "
+    "FROM (SELECT *, coalesce(found.root, seg) AS own FROM ("
+    "SELECT *, list_filter(old, lambda o: start_us - o.ends > 500000 AND (sx - o.x) ** 2 + (sy - o.y) ** 2 < 500 * 500 AND NOT list_contains(list_transform(list_filter(held, lambda h: h.ends >= start_us), lambda h: h.root), o.root))[1] AS found FROM ("
+    "SELECT * REPLACE (list_filter(held, lambda h: h.ends >= start_us OR list_contains(list_transform(old, lambda o: o.root), h.root)) AS held) FROM ("
+    "SELECT r.*, list_filter(s.old, lambda o: r.start_us - o.ends < 5000000) AS old, s.held FROM s JOIN r ON r.camera_id = s.camera_id AND r.n = s.n + 1))))) "
+)
+S["j3_stitch_tracks"] = STITCHED + "SELECT seg, old_id, root FROM s WHERE old_id IS NOT NULL"
+S["j3_inherited_entries"] = (
+    STITCHED + ", t AS (SELECT seg.seg, start_us, coalesce(s.root, seg.seg) AS track, seg.seg % 5 = 0 AS own FROM seg JOIN (SELECT * FROM s WHERE n > 0) s USING (camera_id, seg)) "
+    "SELECT seg, track, bool_or(own) OVER (PARTITION BY track ORDER BY start_us, seg) AS has_entered FROM t"
+)
+
+#: Five vectors an identity never fill a bank, so none is swapped here.
+S["v8_anchor_bank"] = (
+    f"WITH RECURSIVE {X.VECTORS_SQL}, r AS MATERIALIZED (SELECT gid, ts, quality, embedding, row_number() OVER (PARTITION BY gid ORDER BY ts) AS n, count(*) OVER (PARTITION BY gid) AS most FROM vec), "
+    "s AS (SELECT gid, n, most, [{'ts': ts, 'quality': quality, 'v': embedding}] AS bank FROM r WHERE n = 1 "
+    "UNION ALL SELECT r.gid, r.n, r.most, CASE WHEN list_max(list_transform(s.bank, lambda b: list_dot_product(b.v, r.embedding))) >= 0.72 THEN s.bank ELSE list_append(s.bank, {'ts': r.ts, 'quality': r.quality, 'v': r.embedding}) END "
+    "FROM s JOIN r ON r.gid = s.gid AND r.n = s.n + 1) SELECT gid, b.ts AS ts, b.quality AS quality FROM (SELECT gid, unnest(bank) AS b FROM s WHERE n = most)"
+)
+
+NORM = "sqrt(list_sum(list_transform(m, lambda x: x * x)))"
+S["v10_colour_profile"] = (
+    f"WITH RECURSIVE {X.VECTORS_SQL}, r AS MATERIALIZED (SELECT gid, list_transform(embedding[1:8], lambda x: abs(x)) AS c, row_number() OVER (PARTITION BY gid ORDER BY ts) AS n, count(*) OVER (PARTITION BY gid) AS most FROM vec WHERE quality / 5 > 8), "
+    "s AS (SELECT gid, n, most, c AS p FROM r WHERE n = 1 "
+    f"UNION ALL SELECT gid, n, most, CASE WHEN {NORM} > 1e-8 THEN list_transform(m, lambda x: x / {NORM}) ELSE m END FROM "
+    "(SELECT r.gid, r.n, r.most, list_transform(list_zip(s.p, r.c), lambda z: 0.8::DOUBLE * z[1] + 0.2::DOUBLE * z[2]) AS m FROM s JOIN r ON r.gid = s.gid AND r.n = s.n + 1)) "
+    "SELECT gid, list_transform(p, lambda x: round_even(x, 6) + 0.0) AS profile FROM s WHERE n = most"
+)
+
+
 def reflected(size: int, name: str) -> str:
     """(cell, source, w): what each cell of an axis takes from others; beyond the edge the axis is mirrored."""
     sigma = 0.3 * ((25 - 1) * 0.5 - 1) + 0.8
