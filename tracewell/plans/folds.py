@@ -50,7 +50,7 @@ S["w2_gated_crossings"] = (
 S["t4_stream_crossings"] = S["w2_gated_crossings"]
 
 S["w3_smooth_positions"] = (
-    f"WITH RECURSIVE {X.SQL}, c AS MATERIALIZED (SELECT camera_id, track_id, fast_us AS ts_us, event_id, (x1 + x2) // 2 AS fx, y2, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY fast_us, event_id) AS n FROM tr), "
+    f"WITH RECURSIVE {X.SQL}, c AS MATERIALIZED (SELECT camera_id, track_id, fast_us AS ts_us, event_id, CAST((x1 + x2) // 2 AS BIGINT) AS fx, y2, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY fast_us, event_id) AS n FROM tr), "
     "s AS (SELECT *, fx::DOUBLE AS a, y2::DOUBLE AS b FROM c WHERE n = 1 "
     "UNION ALL SELECT c.*, 0.65::DOUBLE * s.a + 0.35::DOUBLE * c.fx, 0.65::DOUBLE * s.b + 0.35::DOUBLE * c.y2 FROM s JOIN c ON c.camera_id = s.camera_id AND c.track_id = s.track_id AND c.n = s.n + 1) "
     "SELECT camera_id, track_id, ts_us, event_id, fx, y2, CAST(trunc(a) AS INT) AS fx_smooth, CAST(trunc(b) AS INT) AS y2_smooth FROM s"
@@ -66,7 +66,7 @@ S["al10_lockouts"] = (
 
 #: `rest`: boxes of a frame, best first, that no kept box covers; its first one is kept next.
 S["v19_nms"] = (
-    f"WITH RECURSIVE {X.SQL}, b AS (SELECT camera_id, fast_us // 60000000 AS frame, event_id, px // 12 AS x1, py // 12 AS y1, px // 12 + 80 AS x2, py // 12 + 160 AS y2, (event_id % 101) / 101 AS score FROM trk), "
+    f"WITH RECURSIVE {X.SQL}, b AS (SELECT camera_id, fast_us // 60000000 AS frame, event_id, CAST(px // 12 AS BIGINT) AS x1, CAST(py // 12 AS BIGINT) AS y1, CAST(px // 12 + 80 AS BIGINT) AS x2, CAST(py // 12 + 160 AS BIGINT) AS y2, (event_id % 101) / 101 AS score FROM trk), "
     "s AS (SELECT camera_id, frame, list({'event_id': event_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'score': score} ORDER BY score DESC, event_id) AS rest FROM b GROUP BY ALL "
     "UNION ALL SELECT camera_id, frame, list_filter(rest[2:], lambda o: "
     "greatest(least(k.x2, o.x2) - greatest(k.x1, o.x1), 0) * greatest(least(k.y2, o.y2) - greatest(k.y1, o.y1), 0) <= 0.45::DOUBLE * "
