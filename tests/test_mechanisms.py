@@ -1,5 +1,6 @@
 """Selections, indexes and tables against brute force, and after a crash."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -191,3 +192,29 @@ def test_tables_between_jobs_are_deleted(spark, tmp_path):
         assert left() == before + 2
     assert left() == before + 1 and one.count() == 5
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_lasting_pairs_shuffle_no_pairs(spark):
+    """Where pairs meet in ever more ways the shuffle still carries persons only: no window over pairs, and groups link clumps."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    rows = [(s, p, rng.uniform(0, 60), rng.uniform(0, 60)) for s in range(6) for p in range(40) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "snap long, person long, world_x double, world_y double")
+    at = {(s, p): (x, y) for s, p, x, y in rows}
+    near = lambda s, a, b: (s, a) in at and (s, b) in at and math.dist(at[s, a], at[s, b]) < 25
+    for min_seconds, back in ((4, 1), (5, 2), (0, 1), (10, 3)):
+        lasting = {(s, a, b) for s in range(6) for a, b in itertools.combinations(range(40), 2) if all(near(s - i, a, b) for i in range(back + 1))}
+        got = [tuple(r) for r in J.lasting_pairs(df, 25, min_seconds=min_seconds).collect()]
+        assert len(got) == len(set(got)) and set(got) == lasting
+        groups = set()
+        for s in range(6):
+            left = {frozenset(p for t, a, b in lasting if t == s for p in (a, b) if x in (a, b)) for t, *ab in lasting if t == s for x in ab}
+            while any(a & b for a, b in itertools.combinations(left, 2)):
+                a, b = next((a, b) for a, b in itertools.combinations(left, 2) if a & b)
+                left = (left - {a, b}) | {a | b}
+            groups |= {(s, min(g), len(g), tuple(sorted(g))) for g in left}
+        assert {(r.snap, r.group, r.size, tuple(r.members)) for r in J.groups(df, 25, min_seconds=min_seconds).collect()} == groups
+    plan = J.lasting_pairs(df, 25)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # nothing above the join sorts pairs

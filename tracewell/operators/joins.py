@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.columns import person_id
 from tracewell.operators.gates import sorted_scan
-from tracewell.sources.shared import join_dimension
+from tracewell.sources.shared import join_dimension, written
 
 
 def near_in_time(left: DataFrame, right: DataFrame, key: str, lts: str, rts: str, back: int, ahead: int) -> DataFrame:
@@ -140,53 +140,95 @@ def never_seen(cameras: DataFrame, pings: DataFrame) -> DataFrame:
     return cameras.where(F.coalesce("enabled", F.lit(True))).select("camera_id").join(pings, "camera_id", "left_anti")
 
 
-def close_pairs(snapshots: DataFrame, dist: float = 100.0, by: Sequence[str] = ()) -> DataFrame:
-    """Pairs (snap, a, b) of persons closer than `dist` in one snapshot.
+def _near(points: DataFrame, keys: Sequence[str], dist: float, at: int = 0) -> DataFrame:
+    """Pairs (keys, l, r) of points closer than `dist` at each of their places; each pair once, its sides in any order.
 
-    A cell is as wide as the distance: a person meets those of the nine cells
-    around, by an equi-join.
+    points: keys, `p` (whatever names the point) and the places x0, y0, x1, y1, ... up to number `at`.  A cell is as
+    wide as the distance: a point meets those of its own cell and of four of the cells around (the others meet it),
+    by an equi-join on the cells of the first place.
     """
     cell = lambda x: F.floor(F.col(x) / dist).cast("long")
+    places = [f"{c}{i}" for i in range(at + 1) for c in "xy"]
+    l = points.select(*keys, F.col("p").alias("l"), *[F.col(c).alias(f"l{c}") for c in places], cell("x0").alias("gx"), cell("y0").alias("gy"))
+    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    r = points.select(*keys, F.col("p").alias("r"), *[F.col(c).alias(f"r{c}") for c in places], cell("x0").alias("cx"), cell("y0").alias("cy"), F.explode(ahead).alias("o"))
+    own = (F.col("o.i") == 0) & (F.col("o.j") == 0)
+    r = r.select(*keys, "r", *[f"r{c}" for c in places], (F.col("cx") + F.col("o.i")).alias("gx"), (F.col("cy") + F.col("o.j")).alias("gy"), own.alias("own"))
+    pairs = l.join(r, [*keys, "gx", "gy"]).where("if(own, l < r, l <> r)")
+    for i in range(at + 1):
+        pairs = pairs.where((F.col(f"lx{i}") - F.col(f"rx{i}")) ** 2 + (F.col(f"ly{i}") - F.col(f"ry{i}")) ** 2 < dist * dist)
+    return pairs.select(*keys, "l", "r")
+
+
+def close_pairs(snapshots: DataFrame, dist: float = 100.0, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs (snap, a, b), a < b, of persons closer than `dist` in one snapshot; a person has one row a snapshot."""
     keys = [*by, "snap"]
-    a = snapshots.select(*keys, F.col("person").alias("a"), F.col("world_x").alias("ax"), F.col("world_y").alias("ay"), cell("world_x").alias("gx"), cell("world_y").alias("gy"))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = snapshots.select(*keys, F.col("person").alias("b"), F.col("world_x").alias("bx"), F.col("world_y").alias("by"), cell("world_x").alias("cx"), cell("world_y").alias("cy"), F.explode(near).alias("o"))
-    b = b.select(*keys, "b", "bx", "by", (F.col("cx") + F.col("o.i")).alias("gx"), (F.col("cy") + F.col("o.j")).alias("gy"))
-    pairs = a.join(b, [*keys, "gx", "gy"]).where("a < b")
-    return pairs.where((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 < dist * dist).select(*keys, "a", "b")
+    points = snapshots.select(*keys, F.col("person").alias("p"), F.col("world_x").alias("x0"), F.col("world_y").alias("y0"))
+    return _near(points, keys, dist).select(*keys, F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
+
+
+def _steps(step_s: float, min_seconds: float) -> int:
+    """How many snapshots before a pair must have been close for longer than min_seconds."""
+    m = max(0, int(min_seconds // step_s))
+    return m if m * step_s > min_seconds else m + 1
 
 
-def lasting_pairs(pairs: DataFrame, step_s: float = 5.0, min_seconds: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
-    """Pairs (snap, a, b) that have been close in every snapshot for longer than min_seconds."""
-    w = Window.partitionBy(*by, "a", "b").orderBy("snap")
-    runs = pairs.withColumn("_run", F.col("snap") - F.row_number().over(w))
-    since = F.min("snap").over(Window.partitionBy(*by, "a", "b", "_run"))
-    return runs.withColumn("_since", since).where((F.col("snap") - F.col("_since")) * step_s > min_seconds).select(*by, "snap", "a", "b")
+def _chains(snapshots: DataFrame, steps: int, by: Sequence[str] = ()) -> DataFrame:
+    """(snap, p, x0, y0, ..., x<steps>, y<steps>): persons seen in each of the last steps + 1 snapshots, with their places, newest first."""
+    w = Window.partitionBy(*by, "person").orderBy("snap")
+    rows = snapshots.where("snap is not null and person is not null")
+    at = F.struct("snap", "world_x", "world_y")
+    rows = rows.select(*by, "snap", F.col("person").alias("p"), at.alias("_0"), *[F.lag(at, i).over(w).alias(f"_{i}") for i in range(1, steps + 1)])
+    rows = rows.where(F.col(f"_{steps}.snap") == F.col("snap") - steps)
+    return rows.select(*by, "snap", "p", *[F.col(f"_{i}.world_{c}").alias(f"{c}{i}") for i in range(steps + 1) for c in "xy"])
+
+
+def lasting_pairs(snapshots: DataFrame, dist: float = 100.0, step_s: float = 5.0, min_seconds: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs (snap, a, b), a < b, that have been close in every snapshot for longer than min_seconds.
+
+    Only persons seen in that many snapshots on end meet, with all their places; no pair is
+    shuffled or sorted.  A person has one row a snapshot.
+    """
+    keys, steps = [*by, "snap"], _steps(step_s, min_seconds)
+    return _near(_chains(snapshots, steps, by), keys, dist, steps).select(*keys, F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
 
 
 def groups(snapshots: DataFrame, dist: float = 100.0, step_s: float = 5.0, min_seconds: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
-    """Groups (snap, group, size, members) of persons linked by lasting pairs; a store's pairs of one snapshot fit a task."""
+    """Groups (snap, group, size, members) of persons linked by lasting pairs.
+
+    Persons who were in the same small square (narrower than dist / sqrt 2) each time are all linked, so they form a clump
+    named by its smallest person.  Links between clumps are made distinct in the task that finds them: what is shuffled,
+    and folded for each snapshot, are clumps and not pairs.
+    """
+    keys, steps = [*by, "snap"], _steps(step_s, min_seconds)
+    places = [f"{c}{i}" for i in range(steps + 1) for c in "xy"]
+    seen = _chains(snapshots, steps, by).dropna(subset=places)
+    square = F.array(*[F.floor(F.col(c) * 1.5 / dist).cast("long") for c in places])
+    seen = written(seen.withColumn("clump", F.min("p").over(Window.partitionBy(*keys, square))), "clumps")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         parent: dict = {}
 
         def root(x):
             while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+        for a, b in zip(pdf["l"], pdf["r"], strict=True):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
-        found: dict = {}
-        for x in list(parent):
-            found.setdefault(root(x), []).append(x)
-        own = [pdf[k].iloc[0] for k in (*by, "snap")]
-        return pd.DataFrame([(*own, g, len(m), sorted(m)) for g, m in sorted(found.items())], columns=[*by, "snap", "group", "size", "members"])
+        own = [pdf[k].iloc[0] for k in keys]
+        return pd.DataFrame([(*own, x, root(x)) for x in list(parent)], columns=[*keys, "clump", "group"])
 
-    pairs = lasting_pairs(close_pairs(snapshots, dist, by), step_s, min_seconds, by)
+    # persons of one clump at the same places meet others once
+    links = _near(seen.select(*keys, F.col("clump").alias("p"), *places).distinct(), keys, dist, steps)
+    links = links.select(*keys, F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct()
     head = "".join(f"{k} {snapshots.schema[k].dataType.simpleString()}, " for k in by)
-    return pairs.groupBy(*by, "snap").applyInPandas(join, f"{head}snap long, group long, size int, members array<long>")
+    linked = links.groupBy(*keys).applyInPandas(join, f"{head}snap long, clump long, group long")
+    whole = seen.select(*keys, "clump", "p").join(linked, [*keys, "clump"], "left").groupBy(*keys, F.coalesce("group", "clump").alias("group"))
+    found = whole.agg(F.count("*").cast("int").alias("size"), F.array_sort(F.collect_list("p")).alias("members"))
+    return found.where("size > 1").select(*keys, "group", "size", "members")
 
 
 def recently_active(tracking: DataFrame, as_of: int, seconds: int = 90, by: Sequence[str] = ()) -> DataFrame:

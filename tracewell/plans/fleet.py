@@ -184,7 +184,7 @@ def j5(spark, d):
     "SELECT store_id, snap, a, b FROM m WHERE (snap - since) * 5 >= 5",
 )
 def j6(spark, d):
-    return J.lasting_pairs(J.close_pairs(snapshots(spark, d), 30, BY), min_seconds=4.9, by=BY)
+    return J.lasting_pairs(snapshots(spark, d), 30, min_seconds=4.9, by=BY)
 
 
 @query("j7_fleet_active", f"SELECT store_id, camera_id, person, max(fast_us) AS last_us FROM ft WHERE fast_us <= {AS_OF} GROUP BY ALL HAVING max(fast_us) >= {AS_OF} - 90000000")

@@ -252,7 +252,7 @@ def j5(spark, d):
 
 @query("j6_lasting_pairs", PAIRS + ", r AS (SELECT *, snap - row_number() OVER (PARTITION BY a, b ORDER BY snap) AS run FROM pairs) SELECT snap, a, b FROM (SELECT *, min(snap) OVER (PARTITION BY a, b, run) AS s FROM r) WHERE (snap - s) * 5 > 4")
 def j6(spark, d):
-    return J.lasting_pairs(J.close_pairs(X.snapshots(spark, d), 40), min_seconds=4)
+    return J.lasting_pairs(X.snapshots(spark, d), 40, min_seconds=4)
 
 
 @query("j6_groups")
