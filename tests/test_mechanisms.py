@@ -218,3 +218,12 @@ def test_lasting_pairs_shuffle_no_pairs(spark):
         assert {(r.snap, r.group, r.size, tuple(r.members)) for r in J.groups(df, 25, min_seconds=min_seconds).collect()} == groups
     plan = J.lasting_pairs(df, 25)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Window")  # nothing above the join sorts pairs
+
+
+def test_never_seen_joins_a_row_per_camera(spark):
+    pings = spark.range(50_000).selectExpr("concat('c', id % 3) AS camera_id", "id AS ts_us")
+    cameras = spark.createDataFrame([("c1", True), ("c7", True), ("c8", None), ("c9", False)], "camera_id string, enabled boolean")
+    gone = J.never_seen(cameras, pings)
+    assert sorted(r.camera_id for r in gone.collect()) == ["c7", "c8"]
+    plan = gone._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :]

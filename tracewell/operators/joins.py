@@ -137,7 +137,9 @@ def camera_offline(cameras: DataFrame, pings: DataFrame, as_of: int, seconds: in
 
 
 def never_seen(cameras: DataFrame, pings: DataFrame) -> DataFrame:
-    return cameras.where(F.coalesce("enabled", F.lit(True))).select("camera_id").join(pings, "camera_id", "left_anti")
+    """Enabled cameras without a ping; pings become a row per camera before they are joined."""
+    seen = pings.select("camera_id").distinct()
+    return cameras.where(F.coalesce("enabled", F.lit(True))).select("camera_id").join(seen, "camera_id", "left_anti")
 
 
 def _near(points: DataFrame, keys: Sequence[str], dist: float, at: int = 0) -> DataFrame:
