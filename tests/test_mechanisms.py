@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tracewell.functions import geometry as M
@@ -227,3 +228,36 @@ def test_never_seen_joins_a_row_per_camera(spark):
     assert sorted(r.camera_id for r in gone.collect()) == ["c7", "c8"]
     plan = gone._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Join") :]
+
+
+def test_scores_leave_a_task_in_tiles(spark, monkeypatch):
+    """A group of block and part returns bounded batches, and is the same in any order of batches and with rows that repeat."""
+    monkeypatch.setattr(V, "TILE", 400)
+    rng = np.random.default_rng(2)
+    e = rng.normal(size=(60, 4))
+    items = pd.DataFrame({"query": False, "id": np.arange(60) % 7, "g": np.arange(60) % 7, "o": np.arange(60), "e": list(e)})
+    asked = pd.DataFrame({"query": True, "id": np.arange(30), "g": np.arange(30), "o": np.arange(30), "e": list(e[:30])})
+    q, a = V.sides(iter([asked.iloc[:9], pd.concat([items, asked.iloc[9:]])]))
+    places = V.Places(a.g)
+    got = {}
+    for part, s in V._tiles(q, a.take(places.order), False, "o"):
+        assert s.size <= 400
+        got |= {(i, g): x for i, row in zip(part.id, places.best_mean(s, 3), strict=True) for g, x in zip(places.ids, row, strict=True)}
+    for i in range(30):
+        for g in range(7):
+            best = sorted((float(e[i] @ e[j]) for j in range(60) if j % 7 == g and j != i), reverse=True)[:3]
+            assert got[i, g] == pytest.approx(sum(best) / 3)
+    assert V._best_mean(iter([np.array([[-np.inf, 1.0]]), np.array([[-np.inf, -np.inf]])]), 3).tolist() == [[-np.inf, 1.0]]
+
+
+def test_index_tasks_meet_shelves(spark, monkeypatch):
+    """Queries go to shelves of lists and not to each list; an identity of several anchors stays in one list."""
+    x = clustered(400, 9)
+    items = spark.createDataFrame([(i, i // 8, v.tolist()) for i, v in enumerate(x)], "vec_id long, gid long, embedding array<double>")
+    monkeypatch.setattr(N, "SHELF_ROWS", 150)
+    index = N.build(items, own="vec_id")
+    assert 2 <= index.shelves <= 4
+    assert index.items.groupBy("iid").agg(F.countDistinct("list", "part", "shelf").alias("n")).agg(F.max("n")).first()[0] == 1
+    queries = items.where("vec_id % 10 = 0").withColumn("query_id", F.col("vec_id"))
+    scores = lambda df: {(r.query_id, r.gid): round(r.score, 9) for r in df.collect()}
+    assert scores(N.identity_scores(queries, items, index, 0.3, own="vec_id")) == scores(V.identity_scores(queries, items, least=0.3, own="vec_id"))
