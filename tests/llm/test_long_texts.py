@@ -91,3 +91,19 @@ def test_stages(spark, docs, texts):
     for name, stage in pipeline.STAGES:
         out = stage(spark, few, SF)
         assert 1 <= out.count() <= 3, name
+
+
+def test_a_task_gives_its_memory_back():
+    """What a task no longer uses doesn't stay with its worker."""
+    import numpy as np
+    from tracewell.llm.frames import give_back
+
+    resident = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) // 1024
+    give_back()
+    before = resident()
+    held = [np.ones(12_000) for _ in range(1500)]  # pieces of 96 KB, which no free() alone returns
+    last = np.ones(10)
+    assert resident() > before + 100
+    del held
+    give_back()
+    assert resident() < before + 40 and len(last) == 10

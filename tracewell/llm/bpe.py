@@ -30,6 +30,8 @@ _INFORMATION = re.compile(r"[\x1c-\x1f]")
 
 #: Words up to this long are remembered, and twice as many of them at most, per task.
 CACHE_WORD, CACHE_SIZE = 48, 80_000
+#: Texts that are encoded at once, in bytes: a task holds their ids and what they decode to.
+SLICE_BYTES = 1 << 18
 
 
 #: Letters and numbers that Unicode 16 added, which the tokenizers library knows and an older Python doesn't.
@@ -233,7 +235,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep:
         return work
 
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
-    return map_text(df, text, setup, fields, keep)
+    return map_text(df, text, setup, fields, keep, SLICE_BYTES)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

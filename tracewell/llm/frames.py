@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable
 
@@ -49,6 +50,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def give_back() -> None:
+    """At the end of a task: a worker waits for later tasks and stages, so what it no longer uses goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def map_text(
     df: DataFrame,
     text: str,
@@ -77,5 +86,9 @@ def map_text(
                 part = batch.slice(first, n)
                 made = work(texts.slice(first, n))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], [f.name for f in schema])
+                del part, made
+            del batch, texts
+        del work
+        give_back()
 
     return source.mapInArrow(run, schema)
