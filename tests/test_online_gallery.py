@@ -160,3 +160,24 @@ def test_batches_and_a_restart_give_the_same_ids(spark, want):
     got = spark.read.parquet(f"{path}/out").select("store", "camera_id", "track_id", "ts_us", "gid", "how").collect()
     assert sorted(tuple(r) for r in got) == want
     table.unpersist()
+
+
+def test_pools_are_kept_up():
+    """Vectors of identities that come, grow, shrink and go, against each identity's own pool; work is one product a question."""
+    rng = np.random.default_rng(8)
+    held, pools = {}, G.Pools({})
+    assert not len(pools.like(rng.normal(size=6))[0])
+    for step in range(400):
+        gid = int(rng.integers(1, 60))
+        if gid in held and rng.random() < 0.3:
+            del held[gid]
+            pools.drop(gid)
+        else:
+            anchors = [rng.normal(size=6) for _ in range(int(rng.integers(1, 9)))]
+            held[gid] = G.Entry("c", 0, 1, rng.normal(size=6), anchors, [1.0] * len(anchors), None, None)
+            pools.put(gid, held[gid])
+        if step % 20 == 0:
+            v = rng.normal(size=6)
+            gids, s = pools.like(v)
+            assert dict(zip(gids.tolist(), s.tolist(), strict=True)) == pytest.approx({g: np.sort(e.pool() @ v)[-3:].mean() for g, e in held.items()})
+    assert len(pools.rows) < 1100
