@@ -7,6 +7,7 @@ watermark are dropped, which the batch jobs never do.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -96,39 +97,48 @@ def crossings(tracking: DataFrame, lines: DataFrame, exit_cooldown: float = 8.0,
     )
 
 
-SEP = "\x1f"
+#: Parts that the persons of `zone_state` are dealt to; a checkpoint keeps to the number that it began with.  No result depends on it.
+PARTS = 64
 
 
 def zone_state(tracking: DataFrame, keep: int = 10, silence: str = "1 day", late: str = LATE, by: Sequence[str] = ()) -> DataFrame:
     """Closed stops (person, zone, cam, entry_us, exit_us, trail) as they close; trail: the zones of the person's
     last `keep` closed stops, this one last.
 
-    State: the open stop and the trail of each person, given up after `silence` without a row.
+    State: the open stop and the trail of each person, given up after `silence` without a row.  A group is a part of the
+    persons: one for each person would cost more than its rows.
     """
-    seconds = int(pd.Timedelta(silence).total_seconds())
+    silence_ms = int(pd.Timedelta(silence).total_seconds()) * 1000
     rows = tracking.withWatermark("time", late).select(*by, person_id().alias("person"), "time", "ts_us", "event_id", "camera_id", F.coalesce("zone", F.lit("")).alias("zone"))
+    rows = rows.withColumn("part", F.expr(f"pmod(xxhash64(person), {PARTS})"))
+    columns = [*by, "person", "zone", "cam", "entry_us", "exit_us", "trail"]
 
     def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
+        known = {p: (zone, cam, entry, trail, newest) for p, zone, cam, entry, trail, newest in json.loads(state.get[0])} if state.exists else {}
+        seen, out = set(), []
+        if not state.hasTimedOut:
+            for r in _sorted(batches)[["person", "ts_us", "camera_id", "zone"]].itertuples(index=False, name=None):
+                person, ts, camera, at = r
+                zone, cam, entry, trail, _ = known.get(person, (None, None, None, [], None))
+                if at != zone:
+                    if zone and at:
+                        trail = [*trail, zone][-keep:]
+                        out.append((*key[:-1], person, zone, cam, entry, ts, trail))
+                    zone, entry = at, ts
+                known[person] = (zone, camera, entry, trail, ts)
+                seen.add(person)
+        now = state.getCurrentWatermarkMs()
+        left = {p: x for p, x in known.items() if p in seen or x[4] // 1000 + silence_ms >= now}
+        if left:
+            state.update((json.dumps([(p, *x) for p, x in left.items()]),))
+            state.setTimeoutTimestamp(max(min(x[4] for x in left.values()) // 1000 + silence_ms, now + 1))
+        else:
             state.remove()
-            return
-        zone, cam, entry, trail = state.get if state.exists else (None, None, None, "")
-        seen = trail.split(SEP) if trail else []
-        out, newest = [], 0
-        for r in _sorted(batches).itertuples():
-            if r.zone != zone:
-                if zone and r.zone:
-                    seen = [*seen, zone][-keep:]
-                    out.append((*key, zone, cam, entry, r.ts_us, list(seen)))
-                zone, entry = r.zone, r.ts_us
-            cam, newest = r.camera_id, r.ts_us
-        state.update((zone, cam, int(entry), SEP.join(seen)))
-        state.setTimeoutTimestamp(max(newest // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=[*by, "person", "zone", "cam", "entry_us", "exit_us", "trail"])
+        for i in range(0, len(out), 10_000):
+            yield pd.DataFrame(out[i : i + 10_000], columns=columns)
 
-    return rows.groupBy(*by, "person").applyInPandasWithState(
-        step, _head(tracking, by) + "person string, zone string, cam string, entry_us long, exit_us long, trail array<string>", "zone string, cam string, entry long, trail string", "append", GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(*by, "part").applyInPandasWithState(
+        step, _head(tracking, by) + "person string, zone string, cam string, entry_us long, exit_us long, trail array<string>", "people string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
