@@ -107,7 +107,7 @@ JOINTS = {
 
 def seen_point(points: Name, name: str, least: float) -> Column:
     """A named point of a map<string, struct<x, y, conf>>, NULL below the confidence."""
-    p = F.try_element_at(c(points), F.lit(name))
+    p = c(points)[name]
     return F.when(F.coalesce(p["conf"], F.lit(0.0)) >= least, p)
 
 
@@ -120,12 +120,18 @@ def joint_angle(ax: Name, ay: Name, bx: Name, by: Name, cx: Name, cy: Name) -> C
     return F.when(known, F.bround(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))), 1))
 
 
+def angle_of(points: Name, joint: str, least: float = 0.5) -> Column:
+    """Angle of one of JOINTS, NULL unless its three points are seen with the confidence."""
+    a, b, z = (seen_point(points, n, least) for n in JOINTS[joint])
+    return joint_angle(a["x"], a["y"], b["x"], b["y"], z["x"], z["y"])
+
+
 def joint_angles(points: Name, least: float = 0.5) -> Column:
-    """Map of the six joint angles whose three points are all seen with the confidence."""
-    pairs = []
-    for joint, names in JOINTS.items():
-        a, b, z = (seen_point(points, n, least) for n in names)
-        pairs.append(F.struct(F.lit(joint).alias("key"), joint_angle(a["x"], a["y"], b["x"], b["y"], z["x"], z["y"]).alias("value")))
+    """Map of the six joint angles whose three points are all seen with the confidence.
+
+    Who wants columns takes `angle_of` each: entries taken from the map would make the whole map once per entry.
+    """
+    pairs = [F.struct(F.lit(joint).alias("key"), angle_of(points, joint, least).alias("value")) for joint in JOINTS]
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
 
 

@@ -161,8 +161,7 @@ _SEEN = "least(" + ", ".join(_xyc(f"{side}_{part}")[2] for side in ("left", "rig
 
 @query("p15_joint_angles", "SELECT event_id, " + ", ".join(f"{_angle_sql(n)} AS {joint}" for joint, n in C.JOINTS.items()) + " FROM trk")
 def p15(spark, d):
-    angles = X.keypoints(spark, d, {n: _xyc(n) for n in POINTS}).withColumn("angles", C.joint_angles("points", 0.3))
-    return angles.select("event_id", *[F.try_element_at("angles", F.lit(joint)).alias(joint) for joint in C.JOINTS])
+    return X.keypoints(spark, d, {n: _xyc(n) for n in POINTS}).select("event_id", *[C.angle_of("points", joint, 0.3).alias(joint) for joint in C.JOINTS])
 
 
 @query(
