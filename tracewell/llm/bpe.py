@@ -11,9 +11,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import cache
 from heapq import heapify, heappop, heappush
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ ADDED_CAPITALS = [
     (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
 ]
 _SMALL = {c: c + by for a, z, by in ADDED_CAPITALS for c in range(a, z + 1)}
+_CAPITAL = re.compile("[" + "".join(map(chr, _SMALL)) + "]")
 
 
 def _class(kind: str, added: list[tuple[int, int]]) -> str:
@@ -66,18 +68,21 @@ def pieces(ascii_only: bool) -> re.Pattern:
 
 
 class Remembered:
-    """What was last computed for short strings: two generations, of which the older is dropped when the younger is full."""
+    """What was last computed for short strings: two generations, of which the older is dropped when the younger is full.
+
+    Ids are four bytes each: smaller than tuples, and the garbage collector needn't walk through them.
+    """
 
     def __init__(self):
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def get(self, key: str) -> tuple[int, ...] | None:
+    def get(self, key: str) -> bytes | None:
         if (found := self.old.get(key)) is not None:
             self.put(key, found)
         return found
 
-    def put(self, key: str, ids: tuple[int, ...]) -> None:
+    def put(self, key: str, ids: bytes) -> None:
         if len(key) <= CACHE_WORD:
             if len(self.young) >= CACHE_SIZE:
                 self.old = dict(self.young)
@@ -131,28 +136,29 @@ class Vocabulary:
         n = len(ids)
         if n == 1:
             return tuple(ids)
-        ranks, left, right = self.ranks, self.left, self.right
-        heap = [r << 32 | i for i, pair in enumerate(pairwise(ids)) if (r := ranks.get(pair)) is not None]
+        rank, left, right, made_of = self.ranks.get, self.left, self.right, self.made
+        heap = [r * n + i for i, r in enumerate(map(rank, pairwise(ids))) if r is not None]
+        if not heap:
+            return tuple(ids)
         heapify(heap)
         before = list(range(-1, n - 1))
         after = [*range(1, n), -1]
         while heap:
-            entry = heappop(heap)
-            i, r = entry & 0xFFFFFFFF, entry >> 32
+            r, i = divmod(heappop(heap), n)
             j = after[i]
             if ids[i] != left[r] or j < 0 or ids[j] != right[r]:
                 continue  # stale: one of the two has merged since
-            made = ids[i] = self.made[r]
+            made = ids[i] = made_of[r]
             ids[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := ranks.get((made, ids[k]))) is not None:
-                    heappush(heap, r << 32 | i)
+                if (r := rank((made, ids[k]))) is not None:
+                    heappush(heap, r * n + i)
             h = before[i]
-            if h >= 0 and (r := ranks.get((ids[h], made))) is not None:
-                heappush(heap, r << 32 | h)
-        return tuple(x for x in ids if x >= 0)
+            if h >= 0 and (r := rank((ids[h], made))) is not None:
+                heappush(heap, r * n + h)
+        return tuple([x for x in ids if x >= 0])
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
@@ -165,44 +171,49 @@ class Encoder:
         self.vocabulary = vocabulary
         self.words, self.parts = Remembered(), Remembered()
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         """Token ids of a run of text without spaces or special tokens."""
         if (ids := self.words.get(word)) is not None:
             return ids
-        text = word
-        if not word.isascii():
+        if word.isascii():
+            text = word.lower()
+        else:
             text = unicodedata.normalize("NFC", word)
-        # lower case of each character alone: no rule for a last sigma
-        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        if not text.isascii():
-            text = text.translate(_SMALL)
-        ids, parts = [], self.parts
+            # lower case of each character alone: no rule for a last sigma
+            text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+            if _CAPITAL.search(text):
+                text = text.translate(_SMALL)
+        found, parts = [], self.parts
+        known = parts.young
         for piece in pieces(text.isascii()).findall(text):
-            got = parts.young.get(piece) or parts.get(piece)
+            got = known.get(piece) or parts.get(piece)
             if got is None:
-                got = self.vocabulary.merge(piece)
+                got = array("i", self.vocabulary.merge(piece)).tobytes()
                 parts.put(piece, got)
-            ids += got
-        ids = tuple(ids)
+            found.append(got)
+        ids = b"".join(found)
         self.words.put(word, ids)
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """Token ids of a whole text.
+    def encoded(self, text: str) -> bytes:
+        """Token ids of a whole text, four bytes each.
 
         Pieces, lower case and canonical composition never reach across a
         space, so words are encoded, and remembered, one by one.
         """
-        out: list[int] = []
-        known, word = self.words.young, self.word
+        out: list[bytes] = []
+        known, word = self.words.young.get, self.word
         cut, special = self.vocabulary.cut, self.vocabulary.special
         for part in cut.split(text) if cut else [text]:
             if part in special:
-                out.append(special[part])
+                out.append(array("i", [special[part]]).tobytes())
                 continue
-            for w in part.split() if not _INFORMATION.search(part) else SPACES.split(part):
-                out += known.get(w) or word(w)
-        return out
+            out += [known(w) or word(w) for w in (part.split() if not _INFORMATION.search(part) else SPACES.split(part))]
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        """Token ids of a whole text."""
+        return np.frombuffer(self.encoded(text), np.intc).tolist()
 
 
 @cache
@@ -210,9 +221,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))))
+def _lists(rows: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int64) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.intc)))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
@@ -228,9 +239,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep:
         coder = Encoder(words)
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            rows = [coder.encode(t) if t else [] for t in texts.to_pylist()]
+            rows = [coder.encoded(t) if t else b"" for t in texts.to_pylist()]
             out = [_lists(rows)]
-            return out if decoded is None else [*out, pa.array(map(words.decode, rows), pa.string())]
+            return out if decoded is None else [*out, pa.array((words.decode(np.frombuffer(r, np.intc).tolist()) for r in rows), pa.string())]
 
         return work
 
