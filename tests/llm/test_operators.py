@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import zstandard
@@ -494,6 +495,25 @@ def test_rules_catch_and_lose(spark):
     assert sum(lost) <= 0.03 * len(lost) and sum(caught) >= 0.9 * len(caught)
 
 
+def test_every_labelled_row_takes_part(spark, monkeypatch):
+    """More labelled rows than a bounded sample would hold: all reach a tree or the threshold."""
+    n, seen, split = 24_000, [], quality_rules.Growing.split
+    monkeypatch.setattr(quality_rules.Growing, "split", lambda self, node, count, low, high: seen.append(int(count.sum())) or split(self, node, count, low, high))
+    rng = np.random.default_rng(3)
+    bad = np.arange(n) % 7 == 0
+    stats = {"doc_id": np.arange(n), **{s: rng.integers(100, 200, n) + 900 * (s == "n_symbols") * (bad & (rng.random(n) < 0.8)) for s in quality_rules.STATS}}
+    stats["n_repeat_words"] = np.zeros(n, dtype=np.int64)
+    df = spark.createDataFrame(pd.DataFrame(stats))
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "quality": (~bad).astype(int)}))
+    forest = quality_rules.forest_of(df, labels)
+    fit = range(0, n, 2)
+    copies = -(-quality_rules.N_TREES * quality_rules.TREE_ROWS // len(fit))
+    assert len(fit) > 10_000 and seen[0] == copies * len(fit)
+    threshold, rest = forest.threshold, np.arange(n) % 2 == 1
+    x = quality_rules.features(np.column_stack([stats[s] for s in quality_rules.STATS]))[rest]
+    assert np.isfinite(threshold) and forest.calibrate(x, ~bad[rest], 0.01).threshold == threshold
+
+
 def test_rules_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(5, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     for forest in (quality_rules.fit_forest(edges, labels), quality_rules.fit_forest(nothing, labels.limit(0))):
