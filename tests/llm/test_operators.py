@@ -341,6 +341,16 @@ def test_suffix_array():
         assert suffix_array.suffix_array(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_array_of_many_symbols():
+    """Large alphabets, with repeats of many symbols: no suffix is looked at alone."""
+    rng = np.random.default_rng(5)
+    part = rng.integers(1, 3000, 400)
+    for body in (rng.integers(1, 5000, 3000), np.concatenate([part, part, rng.integers(1, 3000, 50), part]), np.append(np.tile([7, 9], 300), 2000)):
+        s = [*body.tolist(), 0]
+        assert suffix_array._by_doubling(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+
 # ---- 5 BPE -------------------------------------------------------------------------
 
 

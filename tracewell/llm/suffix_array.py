@@ -2,9 +2,9 @@
 
 A shard's strings are laid end to end, a separator behind each.  The suffix
 array comes from induced sorting: suffixes are classified as smaller or larger
-than their successor, the leftmost-smaller substrings are sorted (by recursion
-where they repeat), and all other suffixes are induced from them in two linear
-scans.  Common prefixes are computed in text order (permuted), and runs of
+than their successor, the leftmost-smaller substrings are sorted (where they
+repeat, by recursion or, if they have many names, by doubling), and all other
+suffixes are induced from them in two linear scans.  Common prefixes are computed in text order (permuted), and runs of
 suffixes that share k bytes or more inside their strings are the repeats.
 """
 
@@ -17,7 +17,7 @@ from tracewell.llm.frames import read
 from tracewell.llm.shared_windows import Units, deduplicate, runs_of
 
 
-SMALL_ALPHABET = 1024  # up to here buckets are scanned as arrays
+SMALL_ALPHABET = 1024  # up to here suffixes are induced
 
 
 def _types(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +31,7 @@ def _types(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return smaller, np.flatnonzero(smaller & ~np.append(True, smaller[:-1]))
 
 
-def _induced_by_buckets(s: np.ndarray, smaller: np.ndarray, order: np.ndarray, alphabet: int) -> np.ndarray:
+def _induced(s: np.ndarray, smaller: np.ndarray, order: np.ndarray, alphabet: int) -> np.ndarray:
     """Suffix array from leftmost-smaller suffixes in `order`, a bucket of one first symbol at a time.
 
     A bucket's larger suffixes come from those scanned before, its smaller ones from those scanned
@@ -78,31 +78,31 @@ def _induced_by_buckets(s: np.ndarray, smaller: np.ndarray, order: np.ndarray, a
     return np.concatenate(out[::-1])
 
 
-def _induced_by_suffixes(s: np.ndarray, smaller: np.ndarray, order: np.ndarray, alphabet: int) -> np.ndarray:
-    """The same for large alphabets, whose buckets are small: one suffix at a time."""
+def _by_doubling(s: np.ndarray) -> np.ndarray:
+    """Suffix array for large alphabets: sorted by 1, 2, 4, ... symbols, of which only suffixes still equal are sorted again.
+
+    The rank of a suffix is the place of the first one that equals it so far.
+    """
     n = len(s)
-    tails = np.cumsum(np.bincount(s, minlength=alphabet))
-    heads = np.append(0, tails[:-1])
-    # of the suffix before each one: its symbol, or -1 where it is of the other type (or there is none)
-    before_larger = np.append(-1, np.where(smaller[:-1], -1, s[:-1])).tolist()
-    before_smaller = np.append(-1, np.where(smaller[:-1], s[:-1], -1)).tolist()
-    sa = [-1] * n
-    tail = tails.tolist()
-    for i, c in zip(order[::-1].tolist(), s[order[::-1]].tolist(), strict=True):
-        tail[c] -= 1
-        sa[tail[c]] = i
-    head = heads.tolist()
-    for j in sa:  # grows behind the scan
-        if j > 0 and (c := before_larger[j]) >= 0:
-            sa[head[c]] = j - 1
-            head[c] += 1
-    tail = tails.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i]
-        if j > 0 and (c := before_smaller[j]) >= 0:
-            tail[c] -= 1
-            sa[tail[c]] = j - 1
-    return np.array(sa, dtype=np.int64)
+    order = np.argsort(s, kind="stable")
+    key = s[order].astype(np.int64)
+    rank = np.empty(n, dtype=np.int64)
+    live, reach = np.arange(n), 0
+    while True:
+        new = np.append(True, key[1:] != key[:-1])
+        at = order[live]
+        rank[at] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
+        equal = ~(new & np.append(new[1:], True))
+        live, at = live[equal], at[equal]
+        if not len(live):
+            return order
+        reach = 2 * reach or 1
+        then = at + reach
+        key = rank[at] * (n + 1)
+        inside = then < n
+        key[inside] += rank[then[inside]] + 1
+        by = np.argsort(key, kind="stable")
+        order[live], key = at[by], key[by]
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -110,16 +110,15 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n, alphabet = len(s), int(s.max()) + 1
     if n == 1:
         return np.zeros(1, dtype=np.int64)
-    small = alphabet <= SMALL_ALPHABET
-    if small:
-        s = s.astype(np.int16)
-    induced = _induced_by_buckets if small else _induced_by_suffixes
+    if alphabet > SMALL_ALPHABET:
+        return _by_doubling(s)
+    s = s.astype(np.int16)
     smaller, leftmost = _types(s)
     if len(leftmost) <= 1:
-        return induced(s, smaller, leftmost, alphabet)
+        return _induced(s, smaller, leftmost, alphabet)
     place = np.full(n, -1, dtype=np.int64)
     place[leftmost] = np.arange(len(leftmost))
-    order = place[induced(s, smaller, leftmost, alphabet)]
+    order = place[_induced(s, smaller, leftmost, alphabet)]
     order = order[order >= 0]
     # leftmost-smaller substrings, each up to the next one's first symbol, in order: equal neighbours get one name
     length = np.diff(np.append(leftmost, n - 1)) + 1
@@ -138,7 +137,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         reduced = np.empty(len(leftmost), dtype=np.int64)
         reduced[order] = name
         order = suffix_array(reduced)
-    return induced(s, smaller, leftmost[order], alphabet)
+    return _induced(s, smaller, leftmost[order], alphabet)
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
