@@ -505,6 +505,16 @@ def test_rules_catch_and_lose(spark):
     assert sum(lost) <= 0.03 * len(lost) and sum(caught) >= 0.9 * len(caught)
 
 
+def test_one_python_worker_for_each_core(spark, edges):
+    """Passages are marked and cut in one pass of Python; in blocks the cut comes out the same."""
+    bench = spark.createDataFrame([("a", "b c d e f g h i j k l m"), ("b", "some words of a benchmark item that is not long")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j k z"), (2, "no hit"), (3, None), (4, "it has some Words of a benchmark item that is not long, yes")], "doc_id long, text string")
+    once, blocks = decontamination.remove_spans(docs, bench), decontamination.remove_spans(docs, bench, block_ngrams=1)
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, blocks.collect()), key=str)
+    assert {r.doc_id: r.text for r in once.collect()} == {1: "x a  z", 2: "no hit", 3: None, 4: "it has , yes"}
+
+
 def test_every_labelled_row_takes_part(spark, monkeypatch):
     """More labelled rows than a bounded sample would hold: all reach a tree or the threshold."""
     n, seen, split = 24_000, [], quality_rules.Growing.split

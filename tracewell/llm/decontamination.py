@@ -132,15 +132,19 @@ def mark(
     n: int = 10,
     block_ngrams: int = BLOCK_NGRAMS,
     keep: list[str] | None = None,
+    left: str | None = None,
 ) -> DataFrame:
     """Add to each row: n_words, spans (hit word ranges [start, end), merged) and items (found item ids, sorted).
 
+    With `left`, what is left of the text without the hit words is added under that name.
+
     Null and empty texts have no words.  Every row is judged alone, so
     repeated rows and ties all get the same marks.
     """
     grams = cut(benchmark_ngrams(benchmark, item, "text", n), "ngrams")
     limits, share = _blocks(grams, block_ngrams)
     blocks = len(limits)
+    at_once = left is not None and blocks == 1  # a second pass of Python in one stage would hold a second worker for each core
     out = docs.select(*[col(c) for c in (docs.columns if keep is None else keep) if c not in ("n_words", "spans", "items")], *([] if keep is None or text in keep else [col(text)]))
     for b, (low, high) in enumerate(limits):
         # at most block_ngrams rows of n words each
@@ -151,22 +155,23 @@ def mark(
             block = _built(name, sent)
 
             def work(texts: pa.Array) -> list[pa.Array]:
-                _, _, _, before, mask, found = block.scan(texts)
+                c, starts, ends, before, mask, found = block.scan(texts)
                 first, last = K.runs(mask, before)
                 of = np.searchsorted(before, first, side="right") - 1
                 base = before[of]
                 spans = pa.StructArray.from_arrays([pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], ["start", "end"])
-                return [
+                made = [
                     pa.array(np.diff(before)),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)), spans),
                     pa.array([sorted(x) for x in found], pa.list_(pa.string())),
                 ]
+                return [*made, _left(texts, c, starts, ends, before, made[1])] if at_once else made
 
             return work
 
-        fields = [T.StructField("n_words", T.LongType()), T.StructField(f"spans{b}", _SPAN), T.StructField(f"items{b}", T.ArrayType(T.StringType()))]
+        fields = [T.StructField("n_words", T.LongType()), T.StructField(f"spans{b}", _SPAN), T.StructField(f"items{b}", T.ArrayType(T.StringType())), *([T.StructField(left, T.StringType())] if at_once else [])]
         out = map_text(out, text, setup, fields)
-        if b + 1 < blocks:
+        if b + 1 < blocks or (left is not None and not at_once):
             before, out = out, cut(out, "marked")
             if b:
                 drop_cut(before)
@@ -176,7 +181,39 @@ def mark(
     rest = [col(c) for c in out.columns if c not in (*spans, *items)]
     if blocks == 1:
         return out.select(*rest, F.col("spans0").alias("spans"), F.col("items0").alias("items"))
-    return out.select(*rest, merged(F.concat(*spans)).alias("spans"), F.array_sort(F.array_distinct(F.concat(*items))).alias("items"))
+    out = out.select(*rest, merged(F.concat(*spans)).alias("spans"), F.array_sort(F.array_distinct(F.concat(*items))).alias("items"))
+    return out if left is None else _with_left(out, text, left)
+
+
+def _left(texts: pa.Array, c: K.Chunk, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, spans: pa.Array) -> pa.Array:
+    """The texts without the words of their spans."""
+    out = []
+    for i, cuts in enumerate(spans.to_pylist()):
+        if not cuts:
+            out.append(texts[i].as_py())
+            continue
+        pos, parts = int(c.offsets[i]), []
+        for s in cuts:
+            parts.append(c.data[pos : starts[before[i] + s["start"]]].tobytes())
+            pos = int(ends[before[i] + s["end"] - 1])
+        parts.append(c.data[pos : c.offsets[i + 1]].tobytes())
+        out.append(b"".join(parts).decode())
+    return pa.array(out, pa.string())
+
+
+def _with_left(marked: DataFrame, text: str, left: str) -> DataFrame:
+    schema = T.StructType([*marked.schema.fields, T.StructField(left, T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            for first, size in K.slices(batch.column(at)):
+                part = batch.slice(first, size)
+                c = K.chunk(part.column(at))
+                made = _left(part.column(at), c, *c.words(K.ALNUM), part.column(batch.schema.get_field_index("spans")))
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [f.name for f in schema])
+
+    return marked.mapInArrow(run, schema)
 
 
 def merged(spans: Column) -> Column:
@@ -206,32 +243,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
     From the first to the last character of each run of hit words is removed;
     all other characters stay, and a null text stays null.
     """
-    marked = mark(docs, benchmark, text, **options)
-
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            for first, size in K.slices(batch.column(at)):
-                part = batch.slice(first, size)
-                texts = part.column(at)
-                spans = part.column(batch.schema.get_field_index("spans")).to_pylist()
-                c = K.chunk(texts)
-                starts, ends, before = c.words(K.ALNUM)
-                out = []
-                for i, cuts in enumerate(spans):
-                    if not cuts:
-                        out.append(texts[i].as_py())
-                        continue
-                    pos, parts = int(c.offsets[i]), []
-                    for s in cuts:
-                        parts.append(c.data[pos : starts[before[i] + s["start"]]].tobytes())
-                        pos = int(ends[before[i] + s["end"] - 1])
-                    parts.append(c.data[pos : c.offsets[i + 1]].tobytes())
-                    out.append(b"".join(parts).decode())
-                columns = [pa.array(out, pa.string()) if k == at else x for k, x in enumerate(part.columns)]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return marked.mapInArrow(run, marked.schema).select(*[col(c) for c in docs.columns])
+    marked = mark(docs, benchmark, text, left="__left", **options)
+    return marked.select(*[F.col("__left").alias(c) if c == text else col(c) for c in docs.columns])
 
 
 def op6_decontamination(spark, sf_dir):

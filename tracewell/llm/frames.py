@@ -46,6 +46,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows, by Arrow: from a plain list Spark would start a second set of Python workers."""
+    fields = T.StructType.fromDDL(schema).fields
+    made = spark.createDataFrame(pa.table(list(map(pa.array, zip(*rows, strict=True))), names=[f.name for f in fields]))
+    return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

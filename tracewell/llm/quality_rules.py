@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import kernels as K
-from tracewell.llm.frames import col, map_text, read
+from tracewell.llm.frames import col, map_text, read, small_table
 from tracewell.sources.shared import written
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stops", "n_distinct_words"]
@@ -312,7 +312,7 @@ def calibrated(forest: IsolationForest, rows: DataFrame, max_good_loss: float) -
     if not goods or not bads:
         return forest
     before = np.cumsum([(0, 0), *(t[1:] for t in totals)], axis=0).tolist()
-    start = rows.sparkSession.createDataFrame([(t[0], *b) for t, b in zip(totals, before[:-1], strict=True)], "bucket int, good0 long, bad0 long")
+    start = small_table(rows.sparkSession, [(t[0], *b) for t, b in zip(totals, before[:-1], strict=True)], "bucket int, good0 long, bad0 long")
     w = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     below = counts.join(F.broadcast(start), "bucket")
     lost = 1 - (F.col("good0") + F.sum("good").over(w)) / F.lit(float(goods))
@@ -331,7 +331,7 @@ def _halved(rows: DataFrame, order: list[str]) -> DataFrame:
     if not sizes:
         return laid.select(*rows.columns, F.lit(True).alias("_fit"))
     before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
-    start = rows.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "_part int, _before long")
+    start = small_table(rows.sparkSession, [(p, b) for (p, _), b in zip(sizes, before, strict=False)], "_part int, _before long")
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return written(laid.join(F.broadcast(start), "_part").select(*rows.columns, (place % 2 == 1).alias("_fit")), "halves")
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.frames import col, read
+from tracewell.llm.frames import col, read, small_table
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     clauses = [(r.kind, i, g, len(c)) for r in rules for i, c in enumerate(trigram_query(r.pattern) or []) for g in c]
     spark = index.sparkSession
-    table = spark.createDataFrame(clauses, "kind string, clause int, trigram string, n int")
+    table = small_table(spark, clauses, "kind string, clause int, trigram string, n int")
     return (
         index.distinct()
         .join(F.broadcast(table), "trigram")
