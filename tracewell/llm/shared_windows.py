@@ -408,56 +408,69 @@ def _buckets(strings: DataFrame, units: Units, finder: Finder) -> DataFrame:
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in _HITS.split(", ")]
 
-    def solve(rows: list[tuple]) -> list[tuple]:
+    def solve(groups: list[list[tuple]]) -> list[tuple]:
+        """Hits and distinct windows of buckets' parts, rows (hot, doc, did, start, n, string) by doc."""
         out, left = [], []
-        i = 0
-        while i < len(rows):  # groups of one bucket part, by key
-            j = i
+        for rows in groups:
             least: dict[bytes, int] = {}
-            while j < len(rows) and rows[j][1:3] == rows[i][1:3]:
-                least.setdefault(rows[j][8], rows[j][4])
-                j += 1
-            for r in rows[i:j]:
-                if r[4] > least[r[8]]:
-                    out.append((1, r[4], r[5], r[6], r[7], None))
-                elif len(least) > 1 or r[3]:
+            for r in rows:
+                least.setdefault(r[5], r[1])
+            if len(least) == len(rows):  # no string repeats
+                if len(rows) > 1 or rows[0][0]:
+                    left += rows
+                continue
+            several = len(least) > 1
+            for r in rows:
+                if r[1] > least[r[5]]:
+                    out.append((1, r[1], r[2], r[3], r[4], None))
+                elif several or r[0]:
                     left.append(r)
-            i = j
         same: dict[bytes, list[tuple]] = defaultdict(list)
         for r in left:
-            same[r[8]].append(r)
+            same[r[5]].append(r)
         for s, owners in same.items():  # parts of one bucket can hold a string under different keys
-            low = min(r[4] for r in owners)
-            out += [(1, r[4], r[5], r[6], r[7], None) for r in owners if r[4] > low]
-            same[s] = [r for r in owners if r[4] == low]
+            if len(owners) == 1:
+                continue
+            low = min(r[1] for r in owners)
+            out += [(1, r[1], r[2], r[3], r[4], None) for r in owners if r[1] > low]
+            same[s] = [r for r in owners if r[1] == low]
         texts, owners = list(same), list(same.values())
-        hits, firsts = finder(texts, [o[0][4] for o in owners], [o[0][3] for o in owners]) if texts else ([], [])
+        hits, firsts = finder(texts, [o[0][1] for o in owners], [o[0][0] for o in owners]) if texts else ([], [])
         for i, a, n in hits:
-            out += [(1, r[4], r[5], r[6] + a, n, None) for r in owners[i]]
+            out += [(1, r[1], r[2], r[3] + a, n, None) for r in owners[i]]
         for i, a in firsts:
             digest = hashlib.blake2b(units.join(units.split(texts[i])[a : a + units.k]), digest_size=16).digest()
-            out += [(2, r[4], r[5], r[6] + a, 1, digest) for r in owners[i]]
+            out += [(2, r[1], r[2], r[3] + a, 1, digest) for r in owners[i]]
         return out
 
     def run(batches):
         held, size, last = [], 0, None
+
         def batch(out: list[tuple]):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         for b in batches:
+            kind = b.column(0).to_numpy()
+            if (kind == 1).any():  # known hits pass through
+                told = b.filter(pa.array(kind == 1))
+                yield pa.RecordBatch.from_arrays([*(told.column(i) for i in (0, 4, 5, 6, 7)), pa.nulls(told.num_rows, pa.binary())], names)
+                b = b.filter(pa.array(kind == 0))
             for i in range(0, b.num_rows, 2048):
+                some = b.slice(i, 2048)
+                h, part = some.column(1).to_numpy(), some.column(2).to_numpy()
+                new = np.append((h[0], part[0]) != last, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))
+                last = h[-1], part[-1]
                 out = []
-                for r in zip(*(x.to_pylist() for x in b.slice(i, 2048).columns), strict=True):
-                    if r[0] == 1:
-                        out.append((1, r[4], r[5], r[6], r[7], None))
-                        continue
-                    if r[1:3] != last and size >= SHARD_BYTES:
-                        out += solve(held)
-                        held, size = [], 0
-                    last = r[1:3]
-                    held.append(r)
-                    size += len(r[8])
+                whole = [some.column(c).to_numpy(zero_copy_only=False).tolist() for c in range(3, 8)]
+                for first, *r in zip(new.tolist(), *whole, some.column(8).to_pylist(), strict=True):
+                    if first:
+                        if size >= SHARD_BYTES:
+                            out += solve(held)
+                            held, size = [], 0
+                        held.append([])
+                    held[-1].append(r)
+                    size += len(r[5])
                 yield from batch(out)
         yield from batch(solve(held))
 
